@@ -4,16 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import round_trip
 from .common import table
+from .cotraining import quality_scores
 from .exact_dedup import exact_dedup
+from .kd_shards import kd_shards
+from .licenses import license_scan
+from .mixing import mix
+from .ngram_join import ngram_join
+from .quality_rules import quality_rules
+from .secrets import secret_scan
+from .token_counts import token_counts
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draw of a document: its pass over the source, its block, and its place in the pass."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
+def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with its score. Labels are made from the corpus, as no table has any."""
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op5_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+#: The exponent is searched for over the whole grid, and a pass is one running sum over the permuted documents.
+OP1_SQL = r"""
+WITH t AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n,
+         md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+src AS (SELECT s, CAST(sum(n) AS BIGINT) AS tokens, count(*) AS docs FROM t GROUP BY s HAVING sum(n) > 0),
+total AS (SELECT CAST(sum(tokens) AS BIGINT) AS total, count(*) AS c FROM src),
+powers AS (SELECT k, s, tokens, docs, c, total, pow(tokens / total, k / 1024.0) AS p, tokens / total AS share FROM (SELECT unnest(range(0, 1025)) AS k) AS grid CROSS JOIN src CROSS JOIN total),
+tried AS (SELECT k, max(c) AS c, ln(sum(p)) - (k / 1024.0) * sum(p * ln(share)) / sum(p) AS entropy, max(p / share) / sum(p) AS repeats FROM powers GROUP BY k),
+flat AS (SELECT CASE WHEN max(c) < 2 THEN 1024 ELSE coalesce(max(CASE WHEN entropy >= 0.98 * ln(c) THEN k END), 0) END AS k FROM tried),
+chosen AS (SELECT coalesce(min(CASE WHEN tried.k >= flat.k AND (repeats <= 4.0 OR tried.k = 1024) THEN tried.k END), 1024) AS k FROM tried, flat),
+weighed AS (SELECT s, tokens, docs, CAST(floor(total * p / sum(p) OVER ()) AS BIGINT) AS budget FROM powers WHERE k = (SELECT k FROM chosen)),
+planned AS (
+  SELECT s, budget, budget // tokens AS passes, budget % tokens AS need,
+         (SELECT CAST(count(*) AS BIGINT) FROM (SELECT unnest(range(0, 8)) AS i) AS x WHERE greatest(tokens / 1000000, docs / 10000, 1.0) > pow(16, i)) AS digits FROM weighed),
+placed AS (SELECT t.*, budget, passes, need, substr(d, 1, CAST(digits AS INTEGER)) AS block, md5('mix|' || CAST(passes AS VARCHAR) || '|' || t.s || '|' || substr(d, 1, CAST(digits AS INTEGER))) AS last FROM t JOIN planned ON t.s = planned.s),
+summed AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY last, d RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(n) OVER (PARTITION BY s, last, d) AS before FROM placed),
+drawn AS (SELECT *, unnest(range(0, passes + CASE WHEN before < need THEN 1 ELSE 0 END)) AS pass FROM summed)
+SELECT doc_id, source, n AS mix_tokens, budget AS mix_budget, CAST(pass AS BIGINT) AS mix_pass, block AS mix_block, md5('mix|' || CAST(pass AS VARCHAR) || '|' || s || '|' || block) || d AS mix_order FROM drawn
+"""
+
 OP8_SQL = r"""
 WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
 ranked AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size, row_number() OVER w AS nth FROM rows WINDOW w AS (PARTITION BY content ORDER BY points DESC, doc_id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
@@ -23,11 +92,21 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, nth = 1 AS kep
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
+        "op2_kd_shards": op2_kd_shards,
+        "op3_secrets": op3_secrets,
+        "op4_token_counts": op4_token_counts,
+        "op5_cotraining": op5_cotraining,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_ngram_join": op7_ngram_join,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_quality_rules": op9_quality_rules,
+        "op10_licenses": op10_licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": OP1_SQL,
         "op8_exact_dedup": OP8_SQL,
     }
