@@ -57,7 +57,7 @@ def kept_rows(docs: DataFrame, decisions: DataFrame, flag: str, keys: dict[str,
     names = [f"_k_{k}" for k in keys]
     marked = docs.withColumns(dict(zip(names, keys.values(), strict=True)))
     same = lambda other: reduce(lambda a, b: a & b, (marked[k].eqNullSafe(other[k]) for k in names))
-    n_gone, n_some = summed.agg(F.count_if("_kept = 0"), F.count_if("_kept between 1 and _n - 1")).first()
+    n_gone, n_some = summed.agg(F.count_if(F.expr("_kept = 0")), F.count_if(F.expr("_kept between 1 and _n - 1"))).first()
     gone = summed.filter("_kept = 0").select(*names)
     if n_gone <= most_broadcast:
         gone = F.broadcast(gone)
