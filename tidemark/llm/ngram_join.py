@@ -7,8 +7,9 @@
 3. Prefixes. Tokens are ordered rare first. Rare tokens are indexed alone, frequent ones in pairs and very frequent ones
    in triples within subclasses of the hash; the prefix is extended until no loss of the allowed number of tokens can
    remove every one of its combinations. So two similar sets share a combination, whatever the classes.
-4. Verify. In each list of one combination all are compared with the first; lists that this leaves in more than one
-   component are compared across components. Components are exact, though no list is expanded into all its pairs.
+4. Verify. In each list of one combination all are compared with one member; after some rounds of this, lists in more
+   than one component are compared across components, unless parity sketches prove two sets too different. Components
+   are exact, though no list is expanded into all its pairs.
 
 Defined results: a null or blank text has an empty set and is linked with nothing; its component_id is its own doc_id.
 Repeated rows and equal texts link with each other. A null doc_id takes part in links, but never is a component_id
@@ -34,6 +35,8 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 #: Classes of tokens: (least frequency as a multiple of `frequent`, tokens in a combination, tokens that a subclass shall have).
 CLASSES = ((0, 1, 1), (1, 2, 4), (16, 3, 6))
 SHORT = 8
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 16
 
 
 class _Hashes(dict):
@@ -154,11 +157,22 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"d1": pa.array(classes), "shared": pa.array(times.astype(np.int64))})
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """64 * SKETCH bits: whether a cell of the hash has an odd number of tokens. Two sets differ by at least as many tokens as bits."""
+    odd = np.bincount((tokens >> np.uint64(20) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sketch_names() -> list[str]:
+    return [f"k{i}" for i in range(SKETCH)]
+
+
 def _token_arrays(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", width).tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), _binaries(sets)], names=["node", "n", "tokens"])
+            sets = [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", width) for x in batch.column("text")]
+            words = np.array([parities(x) for x in sets], dtype=np.int64).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), _binaries([x.tobytes() for x in sets]), *(pa.array(words[:, i]) for i in range(SKETCH))], names=["node", "n", "tokens", *_sketch_names()])
 
     return run
 
@@ -241,7 +255,9 @@ def _postings(names: np.ndarray, times: np.ndarray, frequent: int) -> Callable[[
             for i, end in enumerate(ends):
                 a = end - lengths[i]
                 found = np.fromiter(signatures(tokens[a:end], known[a:end], frequent), dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), nodes[i])), pa.array(np.full(len(found), sizes[i]))], names=["sig", "node", "n"])
+                score = int(1000 * np.log2(1 + known[a:end]).mean()) if lengths[i] else 0
+                columns = (nodes[i], sizes[i], score)
+                yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.full(len(found), x)) for x in columns)], names=["sig", "node", "n", "score"])
 
     return run
 
@@ -285,13 +301,54 @@ def _linked(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify_batches(over, under), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, screen: float = 0.3, frequent: int = 16, most_frequent: int = 400_000, most_broadcast: int = 2_000_000) -> DataFrame:
+def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds: int) -> DataFrame:
+    """Links (a, b) that give the right components: in rounds each list's members are compared with one of them, the one
+    whose tokens are the most frequent among those not yet taken, as the source of many copies is; what then is in more than
+    one component is compared across components, where the sketches don't rule it out.
+    """
+    fits = lambda x, y: (x * under >= y * over) & (y * under >= x * over)
+    many = lists.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("sig")
+    lists = durable(lists.join(many, "sig"))
+    at_hand = lists.withColumn("component", F.col("node"))
+    last = None
+    tried = links = None
+    for _ in range(rounds):
+        rank = F.struct("score", "node")
+        if last is not None:
+            at_hand = at_hand.join(last, "sig", "left")
+        heads = at_hand.groupBy("sig").agg(F.max_by(F.struct("node", "n", "component", "score"), rank if last is None else F.when(F.col("last").isNull() | (rank < F.col("last")), rank)).alias("head"))
+        heads = durable(heads.filter("head is not null"))
+        stars = at_hand.join(heads, "sig").filter(F.col("component") != F.col("head.component")).filter(fits(F.col("n"), F.col("head.n")))
+        stars = stars.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+        stars = durable(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
+        new = durable(_linked(stars, sets.select("node", "tokens"), over, under))
+        tried = stars if tried is None else tried.unionByName(stars)
+        links = new if links is None else links.unionByName(new)
+        last = heads.select("sig", F.struct(F.col("head.score").alias("score"), F.col("head.node").alias("node")).alias("last"))
+        placed = lists.join(components(links), "node", "left").select("sig", "node", "n", "score", F.coalesce("component", "node").alias("component"))
+        split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
+        at_hand = durable(placed.join(split, "sig"))
+    # the largest component of a list is compared with the rest of it, not with itself
+    size = at_hand.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
+    whole = at_hand.drop("score").join(size, "sig").join(sets.select("node", *_sketch_names()), "node")
+    rest = whole.filter("component <> main")
+    x, y = rest.select(*(F.col(c).alias(f"x_{c}") for c in rest.columns)), whole.select(*(F.col(c).alias(f"y_{c}") for c in whole.columns))
+    differ = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _sketch_names()), F.lit(0))
+    near = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
+    near &= fits(F.col("x_n"), F.col("y_n")) & (differ * (over + under) <= (F.col("x_n") + F.col("y_n")) * (under - over))
+    across = x.join(y, near).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    across = durable(across.join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(durable(_linked(across, sets.select("node", "tokens"), over, under)))
+
+
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, screen: float = 0.3, frequent: int = 16, most_frequent: int = 400_000, most_broadcast: int = 2_000_000, rounds: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, first (one row of each component has it true), text_hash.
 
     Two rows link when 5 times their common shingles are at least 4 times their united ones.
     screen: the share of its tokens that a class is screened by. frequent: from this many classes on, a token is indexed
     in combinations; it is doubled until most_frequent tokens at most are so, which are then broadcast.
     most_broadcast: up to so many texts that pass the screen are found again by broadcast, more by a shuffle.
+    rounds: in so many rounds a list's members are compared with one of them each.
     """
     over, under = 4, 5
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
@@ -310,7 +367,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     count, = alive.agg(F.count(F.lit(1))).first()
     chosen = F.broadcast(alive) if count <= most_broadcast else alive
     texts = source.join(chosen, (source["text_hash"] == alive["text_hash"]) & source["doc_id"].eqNullSafe(alive["own_id"])).select("node", "n", "text")
-    sets = durable(texts.mapInArrow(_token_arrays(width), "node long, n long, tokens binary").dropDuplicates(["node"]))
+    sets = durable(texts.mapInArrow(_token_arrays(width), f"node long, n long, tokens binary, {', '.join(f'{k} long' for k in _sketch_names())}").dropDuplicates(["node"]))
 
     known = durable(sets.select("tokens").mapInArrow(_counted(64), "range int, tokens binary, counts binary").groupBy("range").applyInArrow(_frequent(frequent), "token long, times long"))
     sizes = known.groupBy(F.floor(F.log2("times")).alias("power")).count().collect()
@@ -319,26 +376,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     chosen_tokens = known.filter(F.col("times") >= frequent).orderBy("token").toArrow()
     names, times = chosen_tokens.column("token").to_numpy(), chosen_tokens.column("times").to_numpy()
 
-    postings = sets.mapInArrow(_merged(_postings(names, times, frequent)), "sig long, node long, n long")
-    lists = durable(postings)
-    heads = lists.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    fits = lambda x, y: (x * under >= y * over) & (y * under >= x * over)
-    lists = durable(lists.join(heads.select("sig", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "sig"))
-    stars = durable(lists.filter("head <> node").filter(fits(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    links = durable(_linked(stars, sets, over, under))
-
+    lists = durable(sets.select("node", "n", "tokens").mapInArrow(_merged(_postings(names, times, frequent)), "sig long, node long, n long, score long"))
+    links = _verified(lists, sets, over, under, rounds)
     labels = components(links)
-    placed = lists.join(labels, "node", "left").select("sig", "node", "n", "head", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    placed = durable(placed.join(split, "sig"))
-    groups = placed.select("sig", "component").distinct()
-    meets = groups.select("sig", F.col("component").alias("ca")).join(groups.select("sig", F.col("component").alias("cb")), "sig").filter("ca < cb")
-    one = placed.select("sig", F.col("component").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"))
-    two = placed.select("sig", F.col("component").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), "head")
-    across = meets.join(one, ["sig", "ca"]).join(two, ["sig", "cb"]).filter(fits(F.col("nx"), F.col("ny"))).filter("x <> head and y <> head")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = durable(_linked(across, sets, over, under))
-    labels = components(links.unionByName(more)) if more.limit(1).count() else labels
 
     named = classes.select("d1", "d2", "node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names_of = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.min("node").alias("first_node"), F.min(F.struct(F.col("least_id").isNull(), F.col("least_id"), F.col("node"))).alias("best"))
