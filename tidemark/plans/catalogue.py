@@ -1,15 +1,454 @@
-"""The named queries of the library over the driver's tables, each with the SQL that must give the same rows."""
+"""The named queries of the library over the driver's tables, each with the SQL that must give the same rows.
+
+News are orders (batch: the year; score: by priority; raw time: the date as text), sectors the part types, stocks the
+parts, quotes the mean prices of line items, users the customers, comments and crawled rows the events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, text, values
+from ..operators import market, news, social
+from ..sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+NEWS_SQL = """news AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(year(o_orderdate) AS BIGINT) AS batch_id, 2 * (6 - CAST(left(o_orderpriority, 1) AS INTEGER)) AS score,
+  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS publish_time, o_orderstatus AS status, CAST(o_custkey % 3 - 1 AS INTEGER) AS is_useful FROM orders)"""
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql.replace("{news}", NEWS_SQL)
+        return f
+
+    return add
+
+
+def news_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.year("o_orderdate").cast("long").alias("batch_id"), (2 * (6 - F.left("o_orderpriority", F.lit(1)).cast("int"))).alias("score"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("publish_time"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 3 - 1).cast("int").alias("is_useful"),
+    )
+
+
+def stock_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_type").alias("sector"), F.col("p_partkey").alias("code"), F.col("p_brand").alias("tier"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+
+
+def news_sectors(spark: SparkSession, d: str, feed: DataFrame) -> DataFrame:
+    """feed with its sectors: the types of an order's parts, in line order, each once."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_linenumber").join(F.broadcast(feed.select("id")), "id")
+    typed = lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    first = typed.groupBy("id", "p_type").agg(F.min("l_linenumber").alias("place"))
+    listed = first.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "p_type"))), lambda x: x["p_type"]).alias("sectors"))
+    return feed.join(listed, "id", "left")
+
+
+@query("WITH {news} SELECT id, score, publish_time FROM news WHERE publish_time >= '1998-01-01 00:00:00' ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10")
+def feed_top(spark: SparkSession, d: str) -> DataFrame:
+    return news.top(news_rows(spark, d), 10, since="1998-01-01 00:00:00").select("id", "score", "publish_time")
+
+
+@query("""WITH {news}, feed AS (SELECT id, score, publish_time FROM news ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10),
+best AS (SELECT * FROM (SELECT p_type AS sector, p_partkey AS code, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS nth FROM part) AS x WHERE nth <= 10),
+listed AS (SELECT f.id, p.p_type AS sector, min(l.l_linenumber) AS place FROM feed f JOIN lineitem l ON l.l_orderkey = f.id JOIN part p ON p.p_partkey = l.l_partkey GROUP BY f.id, p.p_type)
+SELECT f.id, f.score, f.publish_time, coalesce(string_agg(CAST(b.code AS VARCHAR), '|' ORDER BY s.place, s.sector, b.nth), '') AS stocks
+FROM feed f LEFT JOIN listed s ON s.id = f.id LEFT JOIN best b ON b.sector = s.sector GROUP BY f.id, f.score, f.publish_time""")
+def feed_with_stocks(spark: SparkSession, d: str) -> DataFrame:
+    feed = news_sectors(spark, d, news.top(news_rows(spark, d), 10).select("id", "score", "publish_time"))
+    return market.with_stocks(feed, stock_rows(spark, d)).select("id", "score", "publish_time", F.array_join(F.col("codes").cast("array<string>"), "|").alias("stocks"))
+
+
+@query("WITH {news} SELECT id, publish_time FROM news WHERE status = 'O' AND is_useful = 1 AND batch_id = (SELECT max(batch_id) FROM news) ORDER BY publish_time DESC, id DESC LIMIT 10")
+def latest_batch_unread(spark: SparkSession, d: str) -> DataFrame:
+    return news.queue(news_rows(spark, d), F.expr("status = 'O' and is_useful = 1"), 10).select("id", "publish_time")
+
+
+@query("WITH {news} SELECT is_useful, status, count(*) AS n FROM news WHERE batch_id = (SELECT max(batch_id) FROM news) AND (is_useful IN (0, -1) OR (is_useful = 1 AND status = 'P')) GROUP BY is_useful, status")
+def open_queues(spark: SparkSession, d: str) -> DataFrame:
+    rows = news.queue(news_rows(spark, d), F.expr("is_useful in (0, -1) or (is_useful = 1 and status = 'P')"))
+    return rows.groupBy("is_useful", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH {news} SELECT coalesce(max(batch_id), 0) + 1 AS next_batch_id FROM news")
+def next_batch_id(spark: SparkSession, d: str) -> DataFrame:
+    return news.next_batch_id(news_rows(spark, d))
+
+
+@query("WITH {news} SELECT id, score FROM news WHERE score >= 8 ORDER BY score DESC, publish_time DESC, id DESC LIMIT 20")
+def score_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return news.top(news_rows(spark, d), 20, least=8).select("id", "score")
+
+
+@query("WITH {news}, best AS (SELECT * FROM news WHERE batch_id = 1997 ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10) SELECT id, score, row_number() OVER (ORDER BY score DESC, publish_time DESC, id DESC) AS rank FROM best")
+def top_by_batch(spark: SparkSession, d: str) -> DataFrame:
+    best = news.top(news_rows(spark, d).filter("batch_id = 1997"), 10)
+    return news.ranked(best, F.desc("score"), F.desc("publish_time"), F.desc("id")).select("id", "score", "rank")
+
+
+@query("WITH {news} SELECT id FROM news LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS flag FROM lineitem WHERE l_quantity > 25 GROUP BY l_orderkey) AS x ON l_orderkey = id WHERE score >= 8 AND (flag IS NULL OR flag = '')")
+def null_or_blank_filter(spark: SparkSession, d: str) -> DataFrame:
+    flags = table(spark, d, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_returnflag").alias("flag"))
+    return news_rows(spark, d).filter("score >= 8").join(flags, "id", "left").filter("flag is null or flag = ''").select("id")
+
+
+@query("SELECT p_partkey AS code, p_brand AS tier FROM part WHERE p_type = 'ECONOMY' AND p_brand IN ('Brand#1', 'Brand#2') AND p_size >= 10")
+def dynamic_filters(spark: SparkSession, d: str) -> DataFrame:
+    rows = stock_rows(spark, d)
+    for wanted in (F.col("sector") == "ECONOMY", F.col("tier").isin("Brand#1", "Brand#2"), F.col("size") >= 10):
+        rows = rows.filter(wanted)
+    return rows.select("code", "tier")
+
+
+@query("SELECT p_type AS sector, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type IN ('ECONOMY', 'SMALL', 'STANDARD') GROUP BY p_type")
+def stocks_inner_join(spark: SparkSession, d: str) -> DataFrame:
+    wanted = stock_rows(spark, d).filter(F.col("sector").isin("ECONOMY", "SMALL", "STANDARD")).select("sector", "code")
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("code"), "l_quantity")
+    return lines.join(wanted, "code").groupBy("sector").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("""SELECT event_id AS id, CASE WHEN c_custkey IS NULL THEN NULL ELSE '游客' || right(c_name, 4) END AS author FROM events LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) AS c ON c_custkey = user_id ORDER BY ts DESC, event_id DESC LIMIT 50""")
+def comments_left_join(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.lit(None).cast("string").alias("nickname"), F.col("c_name").alias("phone"))
+    comments = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"))
+    return social.comments_with_users(comments, users).select("id", "author")
+
+
+def _two(spark: SparkSession, d: str, as_joined: bool) -> DataFrame:
+    parts = stock_rows(spark, d).select("code")
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("code"), "l_quantity")
+    return market.two_counts(parts, lines.filter("l_quantity > 40"), lines.filter("l_quantity < 10"), "code", as_joined)
+
+
+@query("SELECT p_partkey AS code, count(a.l_partkey) AS n_one, count(b.l_partkey) AS n_two FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) a ON a.l_partkey = p_partkey LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity < 10) b ON b.l_partkey = p_partkey GROUP BY p_partkey")
+def two_left_join_count_raw(spark: SparkSession, d: str) -> DataFrame:
+    return _two(spark, d, as_joined=True)
+
+
+@query("SELECT p_partkey AS code, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40) AS n_one, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity < 10) AS n_two FROM part")
+def two_left_join_count_fixed(spark: SparkSession, d: str) -> DataFrame:
+    return _two(spark, d, as_joined=False)
+
+
+@query("SELECT page_id FROM pages WHERE NOT EXISTS (SELECT 1 FROM pages k WHERE k.page_id % 3 = 0 AND k.url = pages.url)")
+def url_anti_join(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url")
+    return news.unknown_urls(pages, pages.filter("page_id % 3 = 0")).select("page_id")
+
+
+@query("SELECT min(doc_id) AS doc_id, source AS url FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source")
+def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("url"))
+    return news.insert_or_ignore(docs, docs.filter("url in ('src1', 'src2')"), "doc_id").select("doc_id", "url")
+
+
+@query("SELECT p_partkey AS code FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size > 48)")
+def semi_verify(spark: SparkSession, d: str) -> DataFrame:
+    known = stock_rows(spark, d).filter("size > 48").select("sector").distinct()
+    return stock_rows(spark, d).join(known, "sector", "left_semi").select("code")
+
+
+@query("""WITH c AS (SELECT n_nationkey AS code, avg(c_acctbal) AS price FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey < 10 GROUP BY n_nationkey),
+n AS (SELECT n_name AS name, CAST(max(s_acctbal) AS DOUBLE) AS price FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name)
+SELECT n_nationkey AS code, n_name AS name, c.price IS NOT NULL AS by_code, n.price IS NOT NULL AS by_name, CASE WHEN c.price IS NULL THEN n.price END AS price FROM nation LEFT JOIN c ON c.code = n_nationkey LEFT JOIN n ON n.name = n_name""")
+def two_key_fallback(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    by_code = table(spark, d, "customer").filter("c_nationkey < 10").groupBy(F.col("c_nationkey").alias("code")).agg(F.avg("c_acctbal").alias("price"))
+    by_name = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("code")).agg(F.max("s_acctbal").alias("price")).join(nation, "code").select("name", "price")
+    out = market.priced(nation, by_code, by_name).join(by_code.select("code", F.lit(True).alias("a")), "code", "left").join(by_name.select("name", F.lit(True).alias("b")), "name", "left")
+    return out.select("code", "name", F.coalesce("a", F.lit(False)).alias("by_code"), F.coalesce("b", F.lit(False)).alias("by_name"), F.when(F.col("a").isNull(), F.col("price")).alias("price"))
+
+
+@query("""WITH quotes AS (SELECT p_type AS qn, min(p_partkey) AS place, CAST(max(p_retailprice) AS DOUBLE) AS price FROM part GROUP BY p_type),
+names AS (SELECT DISTINCT left(p_type, 4) AS name FROM part UNION SELECT DISTINCT p_type || ' X' FROM part UNION SELECT 'NONE')
+SELECT name, quote_name, price FROM (SELECT name, qn AS quote_name, price, row_number() OVER (PARTITION BY name ORDER BY coalesce(name = qn, FALSE) DESC, place) AS nth FROM names LEFT JOIN quotes ON name = qn OR contains(qn, name) OR contains(name, qn)) AS x WHERE nth = 1""")
+def substring_theta(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part")
+    quotes = part.groupBy(F.col("p_type").alias("name")).agg(F.min("p_partkey").alias("place"), F.max("p_retailprice").alias("price"))
+    names = part.select(F.left("p_type", F.lit(4)).alias("name")).union(part.select(F.concat("p_type", F.lit(" X")))).union(spark.range(1).select(F.lit("NONE"))).distinct()
+    return market.matched_names(names, quotes).select("name", "quote_name", "price")
+
+
+_MOVES_SQL = """moves AS (SELECT l_orderkey AS id, p_type AS sector, CAST(min(l_quantity) AS DOUBLE) AS p, CAST(max(l_quantity) AS DOUBLE) AS c FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey, p_type)"""
+
+
+def _moves(spark: SparkSession, d: str) -> DataFrame:
+    """By news: the maps of its sectors' first and current values, each read from a delimited string."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(stock_rows(spark, d).select(F.col("code").alias("l_partkey"), "sector"), "l_partkey")
+    by = lines.groupBy(F.col("l_orderkey").alias("id"), "sector").agg(F.min("l_quantity").alias("p"), F.max("l_quantity").alias("c"))
+    pair = lambda c: F.array_sort(F.collect_list(F.struct(F.col("sector").alias("name"), F.col(c).alias("value"))))
+    held = by.groupBy("id").agg(values.built_values(pair("p")).alias("published"), values.built_values(pair("c")).alias("current"))
+    return held.withColumns({"p": values.parsed_values(F.col("published")), "c": values.parsed_values(F.col("current"))})
+
+
+@query(f"WITH {_MOVES_SQL} SELECT id, sector, p AS published, c AS current FROM moves WHERE p > 0 AND c > p")
+def map_explode_join(spark: SparkSession, d: str) -> DataFrame:
+    rows = _moves(spark, d).select("id", "c", F.explode("p").alias("sector", "published"))
+    return rows.select("id", "sector", "published", F.element_at("c", F.col("sector")).alias("current")).filter("published > 0 and current > published")
+
+
+@query(f"WITH {_MOVES_SQL} SELECT id, round(greatest(0.0, max((c - p) / p * 100)), 2) AS max_rise FROM moves GROUP BY id")
+def max_rise(spark: SparkSession, d: str) -> DataFrame:
+    return _moves(spark, d).select("id", values.max_rise(F.col("p"), F.col("c")).alias("max_rise"))
+
+
+@query(f"WITH {_MOVES_SQL} SELECT id, sum(c - p) AS total_change FROM moves GROUP BY id")
+def total_change(spark: SparkSession, d: str) -> DataFrame:
+    return _moves(spark, d).select("id", F.aggregate(F.map_values(F.map_zip_with("p", "c", lambda k, p, c: c - p)), F.lit(0.0), lambda a, x: a + x).alias("total_change"))
+
+
+@query("""WITH {news}, v AS (SELECT id, score, publish_time, CASE WHEN user_id % 4 <> 0 THEN 'A:1' ELSE '' END AS published, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'A:2' END AS current_value, CAST(user_id % 7 AS DOUBLE) AS rise, CAST(user_id % 6 AS DOUBLE) AS max_rise FROM news),
+w AS (SELECT *, score >= 7 AND publish_time >= '1998-01-01' AS recent FROM v),
+a AS (SELECT *, CASE WHEN current_value = '' THEN 'none' WHEN published = '' AND recent THEN 'both' WHEN published = '' THEN 'publish' WHEN recent THEN 'current' ELSE 'none' END AS action FROM w)
+SELECT id, action, CASE WHEN action = 'none' THEN max_rise ELSE greatest(max_rise, CASE WHEN recent AND published <> '' THEN rise ELSE 0.0 END) END AS new_rise FROM a""")
+def sync_decision(spark: SparkSession, d: str) -> DataFrame:
+    rows = news_rows(spark, d).withColumns({
+        "published": F.when(F.col("user_id") % 4 != 0, "A:1").otherwise(""), "current_value": F.when(F.col("user_id") % 5 == 0, "").otherwise("A:2"),
+        "rise": (F.col("user_id") % 7).cast("double"), "max_rise": (F.col("user_id") % 6).cast("double"),
+    })
+    return market.sync_decisions(rows, F.expr("score >= 7 and publish_time >= '1998-01-01'")).select("id", "action", "new_rise")
+
+
+_PERIOD_SQL = "CASE WHEN hour(ts) < 9 OR (hour(ts) = 9 AND minute(ts) <= 30) THEN 'pre_market' ELSE 'regular' END"
+
+
+@query(f"SELECT event_id, {_PERIOD_SQL} AS period, CASE WHEN {_PERIOD_SQL} = 'pre_market' THEN CAST(ts AS DATE) - 1 ELSE CAST(ts AS DATE) END AS query_date FROM events")
+def period_and_query_date(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", dates.period(F.col("ts")).alias("period"), dates.query_date(F.col("ts")).alias("query_date"))
+
+
+@query("""WITH q AS (SELECT event_type AS sector, date_trunc('day', ts) AS day, max(value) AS value FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2),
+n AS (SELECT event_id AS id, event_type AS sector, date_trunc('day', ts) AS day FROM events WHERE user_id % 5 <> 0)
+SELECT id, (SELECT arg_max(q.value, q.day) FROM q WHERE q.sector = n.sector AND q.day <= n.day) AS value FROM n""")
+def asof_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", "user_id", "value", F.col("event_type").alias("sector"), F.to_date("ts").alias("query_date"))
+    quotes = events.filter("user_id % 5 = 0").groupBy("sector", "query_date").agg(F.max("value").alias("value"))
+    rows = events.filter("user_id % 5 <> 0").select(F.col("event_id").alias("id"), "sector", "query_date")
+    return market.snapshot(rows, quotes).select("id", "value")
+
+
+@query(f"SELECT {_PERIOD_SQL} AS period, CAST(ts AS DATE) AS day, count(*) AS n, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS sectors, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2")
+def group_collect(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").groupBy(dates.period(F.col("ts")).alias("period"), F.to_date("ts").alias("day"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("sectors"), F.count_distinct("user_id").alias("n_users"))
+
+
+@query("""SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 THEN 1 ELSE 0 END + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS high FROM events
+WHERE CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 THEN 1 ELSE 0 END + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END >= 1""")
+def high_dims_count(spark: SparkSession, d: str) -> DataFrame:
+    k = F.from_json("props", "map<string,int>")["k"]
+    dims = F.create_map(F.lit("a"), F.when(k >= 50, "高").otherwise("低"), F.lit("b"), F.when(F.col("event_type") == "click", "高").otherwise("中"))
+    return table(spark, d, "events").select("event_id", values.high_dims(dims).alias("high")).filter("high >= 1")
+
+
+@query("SELECT event_type, count(*) AS n, count(CASE WHEN value > 50 THEN 1 END) AS n_useful, count(CASE WHEN value IS NULL THEN 1 END) AS n_error, count(CASE WHEN value IS NULL THEN 1 END) > count(*) // 2 AS retry FROM events GROUP BY event_type")
+def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
+    value = F.col("value")
+    rows = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(value > 50).alias("n_useful"), F.count_if(value.isNull()).alias("n_error"))
+    return rows.withColumn("retry", F.expr("n_error > n div 2"))
+
+
+@query("SELECT source, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(text, '[0-9]{4}') THEN 0 ELSE 1 END) AS BIGINT) AS n_no_date FROM documents GROUP BY source")
+def per_source_no_date(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("text").rlike("[0-9]{4}"), 0).otherwise(1)).alias("n_no_date"))
+
+
+@query("SELECT l_suppkey AS sector, round(avg(l_quantity), 6) AS mean_change, count(*) > 0 AS known FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")
+def avg_change_label(spark: SparkSession, d: str) -> DataFrame:
+    change = values.rate(F.concat(F.lit("+"), F.col("l_quantity").cast("string"), F.lit("%")))
+    return table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("sector")).agg(F.round(F.avg(change), 6).alias("mean_change"), (F.count(F.lit(1)) > 0).alias("known"))
+
+
+@query("SELECT user_id, event_id, nth FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS nth FROM events) AS x WHERE nth <= 10")
+def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_id", "value")
+    return news.first_of_each(rows, ["user_id"], [F.desc("value"), F.asc("event_id")], 10).select("user_id", "event_id", "nth")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type <> 'error' AS dated, value > 20 AND event_type <> 'error' AS today, value <= 20 AND event_type <> 'error' AS old, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+i AS (SELECT *, sum(CAST(today AS INTEGER)) OVER (PARTITION BY user_id ORDER BY nth) AS island FROM e),
+r AS (SELECT *, sum(CAST(old AS INTEGER)) OVER (PARTITION BY user_id, island ORDER BY nth) AS run FROM i),
+s AS (SELECT *, min(CASE WHEN run >= 3 THEN nth END) OVER (PARTITION BY user_id) AS stop FROM r)
+SELECT event_id FROM s WHERE nth <= 30 AND (stop IS NULL OR nth <= stop) AND NOT old""")
+def admission_stop(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", "user_id", "value", "event_type")
+    return news.admitted(rows, "user_id", "event_id", F.col("value") > 20, F.col("event_type") != "error", 30, 3).select("event_id")
+
+
+@query("SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) AS x WHERE before IS DISTINCT FROM event_type")
+def adjacent_dedup(spark: SparkSession, d: str) -> DataFrame:
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    return table(spark, d, "events").select("event_id", "event_type", before.alias("before")).filter("not (before <=> event_type)").select("event_id")
+
+
+@query("SELECT event_id, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS next_error FROM events")
+def lookahead_frame(spark: SparkSession, d: str) -> DataFrame:
+    ahead = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, 3)
+    return table(spark, d, "events").select("event_id", F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).over(ahead).alias("next_error"))
+
+
+@query("SELECT user_id AS phone, max(event_id) AS id FROM events WHERE event_type <> 'click' AND ts > TIMESTAMP '2024-01-05 00:00:00' GROUP BY user_id")
+def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
+    codes = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("phone"), (F.col("event_type") == "click").cast("int").alias("used"), F.col("ts").alias("expire_at"))
+    return social.newest_code(codes, F.lit("2024-01-05 00:00:00").cast("timestamp_ntz")).select("phone", "id")
+
+
+@query("""WITH {news} SELECT id, nth = 1 AND free AS locked FROM (SELECT id, c_mktsegment = 'MACHINERY' AS free, row_number() OVER (PARTITION BY user_id ORDER BY publish_time DESC, id DESC) AS nth FROM news JOIN customer ON c_custkey = user_id) AS x""")
+def lock_first(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_mktsegment") == "MACHINERY").alias("free"))
+    rows = news_rows(spark, d).select("id", "user_id", "publish_time").join(users, "user_id")
+    return news.first_of_each(rows, ["user_id"], [F.desc("publish_time"), F.desc("id")], 2**31 - 1).select("id", ((F.col("nth") == 1) & F.col("free")).alias("locked"))
+
+
+@query("SELECT n_nationkey AS id, CAST(floor((row_number() OVER (ORDER BY n_nationkey) - 1) / 4) AS BIGINT) AS chunk FROM nation")
+def batch_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return news.chunks(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), [F.asc("id")], 4)
+
+
+@query("SELECT p_type AS name, row_number() OVER (ORDER BY coalesce(rate, 0) DESC, p_type) AS place FROM (SELECT p_type, max(CASE WHEN p_size > 45 THEN p_retailprice END) AS rate FROM part GROUP BY p_type) AS x")
+def quote_sort(spark: SparkSession, d: str) -> DataFrame:
+    quotes = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.max(F.when(F.col("p_size") > 45, F.col("p_retailprice"))).alias("rate")).withColumn("nth", F.col("name"))
+    return market.sorted_quotes(quotes).select("name", "place")
+
+
+@query("SELECT c_custkey AS id, 'idle' AS kind FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'both' FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def set_ops(spark: SparkSession, d: str) -> DataFrame:
+    users, asked = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal"), table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
+    idle = users.join(asked, "id", "left_anti").select("id", F.lit("idle").alias("kind"))
+    return idle.unionByName(asked.join(users.filter("c_acctbal < 0"), "id", "left_semi").select("id", F.lit("both").alias("kind")))
+
+
+@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || ' 08:05' AS raw, strftime(o_orderdate, '%Y-%m-%d') || ' 08:05:00' AS normalised, strftime(o_orderdate, '%Y-%m-%d') AS of_url, o_orderdate = TIMESTAMP '1998-01-05 00:00:00' AS today FROM orders""")
+def date_extract(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    told = F.concat(F.lit("updated 1990/1/2, posted "), day, F.lit(" 08:05 by x"))
+    url = F.concat(F.lit("http://example.com/n1/"), F.date_format("o_orderdate", "yyyy/MMdd"), F.lit("/c1.html"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.latest_in(told).alias("raw"), dates.from_url(url).alias("of_url"))
+    return rows.withColumns({"normalised": dates.normalised(F.col("raw")), "today": dates.is_day(F.col("raw"), F.lit("1998-01-05").cast("date"))})
+
+
+_LISTING = "(regexp_matches(u, '\\.gif$') OR regexp_matches(u, '\\?s=|/category/|/topic/|/channel/') OR regexp_matches(lower(u), '/node/|/list/|/index'))"
+
+
+@query(f"""WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '/news/2024/01/02/a' WHEN 1 THEN url || '/article/1' WHEN 2 THEN url || '/Index/show/' WHEN 3 THEN url || '/news/a12.htm' ELSE url END AS u FROM pages)
+SELECT page_id, NOT {_LISTING} AND CASE WHEN regexp_matches(u, '/news') THEN regexp_matches(u, '/news/[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}/') ELSE regexp_matches(u, '/article/|/info/|/detail/|/show/') END AS listed,
+NOT ({_LISTING} OR regexp_matches(lower(u), '/page')) AND (regexp_matches(u, '[0-9]+\\.s?html?') OR regexp_matches(u, '/news/|/article/|/info/|/detail/|/show/')) AS learned FROM x""")
+def url_is_article(spark: SparkSession, d: str) -> DataFrame:
+    ends = ["/news/2024/01/02/a", "/article/1", "/Index/show/", "/news/a12.htm"]
+    url = F.concat("url", F.coalesce(*(F.when(F.col("page_id") % 5 == i, e) for i, e in enumerate(ends)), F.lit("")))
+    return table(spark, d, "pages").select("page_id", text.is_article_url(url).alias("listed"), text.is_article_url_learned(url).alias("learned"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, coalesce(contains(html, '<article>'), FALSE) AS has_article FROM pages")
+def html_title(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.title_of(F.col("html")).alias("title"), F.coalesce(F.col("html").contains("<article>"), F.lit(False)).alias("has_article"))
+
+
+@query()
+def html_body(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.body_of(F.col("html")).alias("body"), dates.of_page(F.col("html"), F.col("url")).alias("published"))
+
+
+@query("""WITH x AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^<>{]', '', 'g')) AS m FROM documents)
+SELECT doc_id, n AS n_chars, n < 200 AS short, m * 20 > n AS markup, NOT n < 200 AND NOT m * 20 > n AS passed FROM x""")
+def quality_report(spark: SparkSession, d: str) -> DataFrame:
+    report = text.quality(F.lit("A plain title"), F.col("text"), F.lit("2024-01-01 10:00:00"))
+    return table(spark, d, "documents").select("doc_id", report.alias("r")).select("doc_id", "r.n_chars", "r.short", "r.markup", "r.passed")
+
+
+@query()
+def line_score_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' lines that score at least 0.25, without those equal to the line before."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
+    kept = lines.withColumn("score", text.line_score(F.col("line"))).filter("score >= 0.25")
+    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("nth"))
+    return kept.withColumn("before", before).filter("not (before <=> line)").select("doc_id", "nth", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_partkey AS code, CASE WHEN p_size > 25 THEN '高' ELSE '低' END AS first, '未知' AS second, '中' AS third, '未知' AS fourth FROM part")
+def four_dims_parse(spark: SparkSession, d: str) -> DataFrame:
+    dims = values.four_dims(F.concat(F.when(F.col("size") > 25, "高").otherwise("低"), F.lit("//中")))
+    names = dict(zip(("first", "second", "third", "fourth"), values.DIMENSIONS, strict=True))
+    return stock_rows(spark, d).select("code", *(dims[v].alias(k) for k, v in names.items()))
+
+
+@query("SELECT p_type AS report_id, p_brand AS tier, CASE WHEN p_size = 1 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS code, p_name AS name FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
+def report_table_parse(spark: SparkSession, d: str) -> DataFrame:
+    cell = F.concat(F.lit("| **"), F.col("p_brand"), F.lit("** | 1 | "), F.when(F.col("p_size") == 1, "-").otherwise(F.col("p_partkey").cast("string")), F.lit(" | "), F.col("p_name"), F.lit(" | link | 高/中/低/高 |"))
+    reports = table(spark, d, "part").groupBy(F.col("p_type").alias("report_id")).agg(F.concat(F.lit("# Report\n|a|b|c|d|e|\n|---|---|---|---|---|\n"), F.array_join(F.collect_list(cell), "\n")).alias("text"))
+    return market.report_rows(reports, ["Brand#1", "Brand#2"]).select("report_id", "tier", "code", "name")
+
+
+@query("""WITH s AS (SELECT n_nationkey AS id, n_name AS name FROM nation), k AS (SELECT DISTINCT p_name AS raw FROM part UNION SELECT n_name FROM nation UNION SELECT lower(n_name) || '板块' FROM nation),
+tries AS (SELECT raw, 0 AS step, raw AS key FROM k UNION ALL SELECT raw, 1, left(raw, length(raw) - 2) FROM k WHERE suffix(raw, '板块')
+  UNION ALL SELECT raw, n, left(raw, n) FROM k, (VALUES (2), (3), (4)) AS v(n) WHERE length(raw) > n UNION ALL SELECT raw, n + 3, right(raw, n) FROM k, (VALUES (2), (3), (4)) AS v(n) WHERE length(raw) > n),
+hits AS (SELECT raw, step, id, s.name, row_number() OVER (PARTITION BY raw ORDER BY step, s.name = key DESC, id) AS nth FROM tries JOIN s ON s.name = key OR contains(lower(s.name), lower(key)))
+SELECT k.raw, id, name, id IS NOT NULL AS normalized FROM k LEFT JOIN (SELECT * FROM hits WHERE nth = 1) AS h ON h.raw = k.raw""")
+def entity_normalise(spark: SparkSession, d: str) -> DataFrame:
+    sectors = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.lit("").alias("keywords"), F.lit("").alias("pinyin_initial"))
+    raw = table(spark, d, "part").select(F.col("p_name").alias("raw")).union(sectors.select("name")).union(sectors.select(F.concat(F.lower("name"), F.lit("板块")))).distinct()
+    return market.normalised(raw, sectors).select("raw", "id", "name", "normalized")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 OR c_acctbal < 1000 THEN 'free' ELSE c_mktsegment END AS state FROM customer")
+def subscription_state(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") != 3, F.col("c_mktsegment")).alias("level"), F.col("c_acctbal").alias("expires"))
+    return social.states(users, F.lit(1000.0)).select("id", "state")
+
+
+@query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS failures FROM events")
+def login_lock(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return social.locked(rows, "user_id", "ts", F.col("event_type") == "error", minutes=1440).select("event_id", "failures")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def llm_json_recover(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+    return table(spark, d, "events").select("event_id", values.recovered_json(reply, "k int")["k"].alias("k"))
+
+
+@query("WITH {news} SELECT id, CASE WHEN user_id % 3 = 0 THEN 'failed' WHEN user_id % 3 = 1 THEN 'useful' ELSE 'rejected' END AS state FROM news WHERE batch_id = (SELECT max(batch_id) FROM news)")
+def replies_aligned(spark: SparkSession, d: str) -> DataFrame:
+    rows = news.newest_batch(news_rows(spark, d)).withColumn("nth", F.col("id"))
+    replies = rows.filter("user_id % 3 <> 0").select("nth", (F.col("user_id") % 3 == 1).alias("useful"))
+    return news.judged(rows, replies).select("id", "state")
+
+
+@query("WITH {news} SELECT id, CASE WHEN user_id % 10 = 0 THEN 'X' ELSE status END AS status FROM news")
+def update_by_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = news_rows(spark, d)
+    changes = rows.filter("user_id % 10 = 0").select("id", F.lit("X").alias("status"))
+    return news.updated(rows, changes, "id", ["status"]).select("id", "status")
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey < 5 THEN 'NEW' ELSE n_name END AS name FROM nation UNION ALL SELECT 100, 'ADDED'")
+def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    changes = rows.filter("id < 5").select("id", F.lit("NEW").alias("name")).unionByName(spark.range(1).select(F.lit(100).alias("id"), F.lit("ADDED").alias("name")))
+    return news.upserted(rows, changes, "id")
+
+
+@query("SELECT o_orderkey AS id, count(event_id) AS n_comments, coalesce(string_agg(event_type, '|' ORDER BY ts, event_id), '') AS comments FROM orders LEFT JOIN events ON event_id % 500 = o_orderkey AND event_type <> 'view' WHERE o_orderkey < 500 GROUP BY o_orderkey")
+def comments_for_review(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).filter("id < 500")
+    comments = table(spark, d, "events").filter("event_type <> 'view'").select((F.col("event_id") % 500).alias("news_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("content"))
+    out = social.reviewed(rows, comments)
+    return out.select("id", F.size("comments").cast("long").alias("n_comments"), F.array_join("comments", "|").alias("comments"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
