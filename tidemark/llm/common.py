@@ -32,6 +32,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int, in_each: int = 250_000) -> DataFrame:
+    """df in as few partitions as rows need, so that a small table costs no shuffle files by the hundred."""
+    return df.coalesce(max(1, -(-rows // in_each)))
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches whose text column holds about most_bytes at most (one row at least)."""
     for batch in batches:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, sized, slices
 from .components import components
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -309,28 +309,30 @@ def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds:
     fits = lambda x, y: (x * under >= y * over) & (y * under >= x * over)
     many = lists.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("sig")
     lists = durable(lists.join(many, "sig"))
+    size = lists.count()
+    lists = sized(lists, size)
     at_hand = lists.withColumn("component", F.col("node"))
     last = None
     tried = links = None
     for _ in range(rounds):
         rank = F.struct("score", "node")
         if last is not None:
-            at_hand = at_hand.join(last, "sig", "left")
+            at_hand = sized(at_hand.join(last, "sig", "left"), size)
         heads = at_hand.groupBy("sig").agg(F.max_by(F.struct("node", "n", "component", "score"), rank if last is None else F.when(F.col("last").isNull() | (rank < F.col("last")), rank)).alias("head"))
-        heads = durable(heads.filter("head is not null"))
-        stars = at_hand.join(heads, "sig").filter(F.col("component") != F.col("head.component")).filter(fits(F.col("n"), F.col("head.n")))
+        heads = durable(sized(heads.filter("head is not null"), size))
+        stars = sized(at_hand.join(heads, "sig"), size).filter(F.col("component") != F.col("head.component")).filter(fits(F.col("n"), F.col("head.n")))
         stars = stars.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-        stars = durable(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"))
+        stars = durable(sized(stars, size) if tried is None else sized(sized(stars, size).join(tried, ["a", "b"], "left_anti"), size))
         new = durable(_linked(stars, sets.select("node", "tokens"), over, under))
         tried = stars if tried is None else tried.unionByName(stars)
-        links = new if links is None else links.unionByName(new)
+        links = sized(new if links is None else links.unionByName(new), size)
         last = heads.select("sig", F.struct(F.col("head.score").alias("score"), F.col("head.node").alias("node")).alias("last"))
-        placed = lists.join(components(links), "node", "left").select("sig", "node", "n", "score", F.coalesce("component", "node").alias("component"))
+        placed = sized(lists.join(components(links), "node", "left"), size).select("sig", "node", "n", "score", F.coalesce("component", "node").alias("component"))
         split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-        at_hand = durable(placed.join(split, "sig"))
+        at_hand = durable(sized(placed.join(sized(split, size), "sig"), size))
     # the largest component of a list is compared with the rest of it, not with itself
-    size = at_hand.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-    whole = at_hand.drop("score").join(size, "sig").join(sets.select("node", *_sketch_names()), "node")
+    main = sized(at_hand.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main")), size)
+    whole = sized(at_hand.drop("score").join(main, "sig"), size).join(sets.select("node", *_sketch_names()), "node")
     rest = whole.filter("component <> main")
     x, y = rest.select(*(F.col(c).alias(f"x_{c}") for c in rest.columns)), whole.select(*(F.col(c).alias(f"y_{c}") for c in whole.columns))
     differ = sum((F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in _sketch_names()), F.lit(0))
@@ -341,7 +343,7 @@ def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds:
     return links.unionByName(durable(_linked(across, sets.select("node", "tokens"), over, under)))
 
 
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, screen: float = 0.3, frequent: int = 16, most_frequent: int = 400_000, most_broadcast: int = 2_000_000, rounds: int = 3) -> DataFrame:
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, screen: float = 0.3, frequent: int = 16, most_frequent: int = 400_000, most_broadcast: int = 2_000_000, rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, first (one row of each component has it true), text_hash.
 
     Two rows link when 5 times their common shingles are at least 4 times their united ones.
