@@ -87,7 +87,7 @@ def plan(marked: DataFrame, *, budget: int | None, entropy_share: float | None,
     exponent = bisected(sources, whole, entropy=target, most_repeats=most_repeats, steps=steps) if count else 1.0
     power = F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(exponent))
     norm = sources.agg(F.coalesce(F.sum(power), F.lit(1.0))).first()[0]
-    sources = sources.withColumn("budget", F.floor(F.lit(float(whole)) * power / F.lit(norm)).cast("long"))
+    sources = sources.withColumn("budget", F.round(F.lit(float(whole)) * power / F.lit(norm)).cast("long"))
     sources = sources.withColumn("passes", F.expr("budget div tokens")).withColumn("need", F.col("budget") - F.col("passes") * F.col("tokens"))
     sources = durable(sources.withColumn("digits", _digits(F.col("tokens"), F.col("documents"), block_tokens, block_documents)))
 

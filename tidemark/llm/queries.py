@@ -73,7 +73,7 @@ powers AS (SELECT k, s, tokens, docs, c, total, pow(tokens / total, k / 1024.0)
 tried AS (SELECT k, max(c) AS c, ln(sum(p)) - (k / 1024.0) * sum(p * ln(share)) / sum(p) AS entropy, max(p / share) / sum(p) AS repeats FROM powers GROUP BY k),
 flat AS (SELECT CASE WHEN max(c) < 2 THEN 1024 ELSE coalesce(max(CASE WHEN entropy >= 0.98 * ln(c) THEN k END), 0) END AS k FROM tried),
 chosen AS (SELECT coalesce(min(CASE WHEN tried.k >= flat.k AND (repeats <= 4.0 OR tried.k = 1024) THEN tried.k END), 1024) AS k FROM tried, flat),
-weighed AS (SELECT s, tokens, docs, CAST(floor(total * p / sum(p) OVER ()) AS BIGINT) AS budget FROM powers WHERE k = (SELECT k FROM chosen)),
+weighed AS (SELECT s, tokens, docs, CAST(round(total * p / sum(p) OVER ()) AS BIGINT) AS budget FROM powers WHERE k = (SELECT k FROM chosen)),
 planned AS (
   SELECT s, budget, budget // tokens AS passes, budget % tokens AS need,
          (SELECT CAST(count(*) AS BIGINT) FROM (SELECT unnest(range(0, 8)) AS i) AS x WHERE greatest(tokens / 1000000, docs / 10000, 1.0) > pow(16, i)) AS digits FROM weighed),
