@@ -78,10 +78,11 @@ def _cut(rows: DataFrame, keys: list[str], order: str, need: str) -> DataFrame:
     return last.select(*keys, F.col(f"_last.{order}").alias(order), (F.col(f"_last.{need}") - F.col("_last._until")).alias(need))
 
 
-def plan(marked: DataFrame, *, budget: int | None, entropy_share: float | None, most_repeats: float | None, seed: str, steps: int, block_tokens: int, block_documents: int) -> DataFrame:
+def plan(marked: DataFrame, *, budget: int | None, entropy_share: float | None, most_repeats: float | None, seed: str, steps: int, block_tokens: int, block_documents: int, most_broadcast: int) -> DataFrame:
     """One row per source: tokens, documents, budget, full passes, digits of a block, and where the last pass ends."""
     sources = durable(marked.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")).filter("tokens > 0"))
     count, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    small = F.broadcast if count <= most_broadcast else lambda df: df  # a row per source
     whole = total if budget is None else budget
     target = None if entropy_share is None or count < 2 else entropy_share * math.log(count)
     exponent = bisected(sources, whole, entropy=target, most_repeats=most_repeats, steps=steps) if count else 1.0
@@ -92,14 +93,14 @@ def plan(marked: DataFrame, *, budget: int | None, entropy_share: float | None,
     sources = durable(sources.withColumn("digits", _digits(F.col("tokens"), F.col("documents"), block_tokens, block_documents)))
 
     # hashes of hashes are uniform: bounded sums by their first three digits, then by block, then by document
-    blocks = marked.join(sources.filter("need > 0"), "_source").withColumn("_block", F.expr("substring(_doc, 1, digits)"))
+    blocks = marked.join(small(sources.filter("need > 0")), "_source").withColumn("_block", F.expr("substring(_doc, 1, digits)"))
     blocks = blocks.groupBy("_source", "_block").agg(F.sum("_tokens").alias("_tokens"), F.first("need").alias("need"), F.first("passes").alias("passes"))
     blocks = durable(blocks.withColumn("_order", _order(F.col("_source"), seed, F.col("passes"), F.col("_block"))).withColumn("_front", F.substring("_order", 1, 3)))
     front = _cut(blocks, ["_source"], "_front", "need")
     within = blocks.drop("need").join(front, ["_source", "_front"])
     block = _cut(within.select("_source", "_order", "_tokens", "need"), ["_source"], "_order", "need")
     block = durable(block.join(blocks.select("_source", "_order", "_block"), ["_source", "_order"]).join(sources.select("_source", "digits"), "_source"))
-    rows = marked.join(block, "_source").filter(F.expr("substring(_doc, 1, digits) = _block")).select("_source", "_doc", "_tokens", "need")
+    rows = marked.join(small(block), "_source").filter(F.expr("substring(_doc, 1, digits) = _block")).select("_source", "_doc", "_tokens", "need")
     last = _cut(rows, ["_source"], "_doc", "need").select("_source", F.col("_doc").alias("last_doc"))
     ends = block.select("_source", F.col("_order").alias("last_order")).join(last, "_source")
     return durable(sources.join(ends, "_source", "left").drop("need"))
@@ -120,7 +121,7 @@ def mix(
     counted = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long") if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))
     marked = _marked(docs, F.col(source_col), counted, id_col, seed)
     narrow = durable(marked.select("_source", "_tokens", "_doc"))
-    sources = plan(narrow, budget=budget, entropy_share=entropy_share, most_repeats=most_repeats, seed=seed, steps=steps, block_tokens=block_tokens, block_documents=block_documents)
+    sources = plan(narrow, budget=budget, entropy_share=entropy_share, most_repeats=most_repeats, seed=seed, steps=steps, block_tokens=block_tokens, block_documents=block_documents, most_broadcast=most_broadcast)
     named = sources.select("_source", *(F.col(c).alias(f"_{c}") for c in ("budget", "passes", "digits", "last_order", "last_doc")))
     if sources.count() <= most_broadcast:
         named = F.broadcast(named)
