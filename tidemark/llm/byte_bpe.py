@@ -29,7 +29,7 @@ from .common import slices
 class ByteBpe:
     """ids of pre-tokens and texts. Made of a rank file's bytes: base64 of a token and its rank on each line."""
 
-    def __init__(self, rank_file: bytes, pattern: str, most_kept: int = 800_000):
+    def __init__(self, rank_file: bytes, pattern: str, most_kept: int = 400_000):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
         self.split = regex.compile(pattern)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}

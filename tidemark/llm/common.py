@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -37,6 +37,19 @@ def sized(df: DataFrame, rows: int, in_each: int = 250_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // in_each)))
 
 
+def forgetting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: Callable[[], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which empties the worker's cache at the end of each task: workers are kept for later stages, their words need not be."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            cache().clear()
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches whose text column holds about most_bytes at most (one row at least)."""
     for batch in batches:

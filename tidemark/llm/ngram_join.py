@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sized, slices
+from .common import durable, forgetting, sized, slices
 from .components import components
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -52,6 +52,10 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
+def _cache() -> dict:
+    return _words
+
+
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles; of the whole sequence, if it has fewer words."""
     words = text.lower().split()
@@ -355,7 +359,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     over, under = 4, 5
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     rows = durable(
-        source.mapInArrow(_sets(width, screen), "doc_id long, text_hash long, n long, d1 long, d2 long, prefix binary").withColumn("row", F.monotonically_increasing_id())
+        source.mapInArrow(forgetting(_sets(width, screen), _cache), "doc_id long, text_hash long, n long, d1 long, d2 long, prefix binary").withColumn("row", F.monotonically_increasing_id())
     )
     total = rows.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
     ranges = int(max(64, min(65_536, total // 1_000_000)))
@@ -369,7 +373,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     count, = alive.agg(F.count(F.lit(1))).first()
     chosen = F.broadcast(alive) if count <= most_broadcast else alive
     texts = source.join(chosen, (source["text_hash"] == alive["text_hash"]) & source["doc_id"].eqNullSafe(alive["own_id"])).select("node", "n", "text")
-    sets = durable(texts.mapInArrow(_token_arrays(width), f"node long, n long, tokens binary, {', '.join(f'{k} long' for k in _sketch_names())}").dropDuplicates(["node"]))
+    sets = durable(texts.mapInArrow(forgetting(_token_arrays(width), _cache), f"node long, n long, tokens binary, {', '.join(f'{k} long' for k in _sketch_names())}").dropDuplicates(["node"]))
 
     known = durable(sets.select("tokens").mapInArrow(_counted(64), "range int, tokens binary, counts binary").groupBy("range").applyInArrow(_frequent(frequent), "token long, times long"))
     sizes = known.groupBy(F.floor(F.log2("times")).alias("power")).count().collect()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import forgetting, slices
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER, DIGITS, ENDS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".?!:;\"')"
@@ -42,6 +42,10 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
+def _cache() -> dict:
+    return _words
+
+
 def repeated_words(words: list[bytes]) -> int:
     """How many words lie in a window of three words that is found twice or more."""
     n = len(words)
@@ -205,7 +209,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), kind) for c, (_, kind) in zip(columns, added, strict=True))], names=["doc_id", *(n for n, _ in added)])
 
     if keep_columns:
-        return rows.mapInArrow(run, docs.schema)
+        return rows.mapInArrow(forgetting(run, _cache), docs.schema)
     kinds = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("content_share", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
-    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *(T.StructField(n, k) for n, k in kinds)]))
+    return rows.mapInArrow(forgetting(run, _cache), T.StructType([rows.schema["doc_id"], *(T.StructField(n, k) for n, k in kinds)]))
 
