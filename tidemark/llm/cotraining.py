@@ -130,10 +130,14 @@ def _samples(docs: DataFrame, labels: DataFrame, most_labelled: int, most_pool:
     return labelled.select("doc_id", F.col("quality").cast("int")).unionByName(pool).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)))
 
 
-def cotrain(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, sure: float = 0.95, most_labelled: int = 20_000, most_pool: int = 20_000) -> CoTrained | float:
-    """The pair of calibrated views, or the share of good labels if they aren't of both kinds. docs: doc_id, text, source, lang."""
+def cotrain(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, sure: float = 0.95, most_labelled: int = 20_000, most_pool: int = 20_000, fit_tasks: int = 4) -> CoTrained | float:
+    """The pair of calibrated views, or the share of good labels if they aren't of both kinds. docs: doc_id, text, source, lang.
+
+    fit_tasks: the models are fitted in so many tasks. Only the sampled rows' features are shuffled to them; the scan that
+    finds these rows has as many tasks as docs has partitions.
+    """
     chosen = F.broadcast(durable(_samples(docs, labels, most_labelled, most_pool)))
-    rows = durable(docs.join(chosen, "doc_id").mapInArrow(_features, "doc_id long, quality int, fold long, text array<double>, meta array<double>").coalesce(4))
+    rows = durable(docs.join(chosen, "doc_id").mapInArrow(_features, "doc_id long, quality int, fold long, text array<double>, meta array<double>").repartition(fit_tasks))
     labelled, pool = rows.filter("quality is not null and fold <> 0"), rows.filter("quality is null")
     held_out = rows.filter("quality is not null and fold = 0")
     n, good, = labelled.agg(F.count(F.lit(1)), F.sum("quality")).first()
