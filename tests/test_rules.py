@@ -45,6 +45,14 @@ def test_values(spark):
     assert abs(one(spark, values.composite_score(F.lit(10.0), F.lit(0.0), F.lit(2.0)), t=1) - 7.3) < 1e-9
 
 
+def test_fields_and_names(spark):
+    item = F.create_map(F.lit("排名"), F.lit("0"), F.lit("市盈率(pe)[20240102]"), F.lit("1"), F.lit("换手率[20240102 09:30:00-20240102 15:00:00]"), F.lit("2"), F.lit("量比"), F.lit("3"))
+    assert [one(spark, values.dynamic_field(item, n), t=1) for n in ("市盈率", "换手率", "量比", "量比lb", "价")] == ["1", "2", "3", "3", None]
+    assert one(spark, values.members(F.split("t", ","), F.array(F.lit("a"), F.lit("b"))), t="b,x,a,b") == ["b", "a", "b"]
+    assert one(spark, values.split_names(F.col("t")), t="a,b| c |") == ["a,b", "c"] and one(spark, values.split_names(F.col("t")), t="a, b,") == ["a", "b"]
+    assert [one(spark, values.batch_size(F.lit(x)), t=1) for x in (0.0, 3500.0, 1e6)] == [10, 3, 1]
+
+
 def test_text(spark):
     page = "<html><title>T</title><body><script>x</script><article><p>" + "word " * 60 + "</p></article></body></html>"
     assert one(spark, text.body_of(F.col("t")), t=page) == ("word " * 60).strip()

@@ -69,3 +69,13 @@ def line_score(line: Column) -> Column:
 def sign_ratio(text: Column, signs: list[str]) -> Column:
     """The share of signs that the text contains."""
     return sum((F.when(text.contains(s), 1).otherwise(0) for s in signs), F.lit(0)) / len(signs)
+
+
+#: Words that a pattern for article bodies is preferred by.
+BODY_WORDS = ("article", "content", "post", "entry", "text")
+
+
+def best_pattern(pattern: Column, place: Column) -> Column:
+    """An aggregate: of a group's patterns the first by place that names a body, else the shortest."""
+    named = pattern.rlike("(?i)" + "|".join(BODY_WORDS))
+    return F.min_by(pattern, F.struct(~named, F.when(named, 0).otherwise(F.length(pattern)), place))

@@ -59,6 +59,37 @@ def core_name(key: Column) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, p, ""), (r"\[[^\]]*\]", r"[（）()：:%\s]", r"[A-Za-z0-9._-]+$"), key)
 
 
+def indicator(key: Column) -> Column:
+    """An indicator's name: its letters, digits and Chinese characters, without the day or days in brackets."""
+    day = r"\d{8}(\s\d{2}:\d{2}:\d{2})?"
+    return F.regexp_replace(F.regexp_replace(key, rf"\[{day}(-{day})?\]", ""), r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]+", "")
+
+
+def dynamic_field(item: Column, name: str) -> Column:
+    """The value of the map's key `name`, else of its first key for the same indicator; a latin ending on one side may differ."""
+    bare = lambda c: F.regexp_replace(c, "[a-zA-Z]+$", "")
+    wanted = indicator(F.lit(name))
+    same = lambda key: (key == wanted) | (bare(key) == wanted) | ((bare(wanted) != "") & (key == bare(wanted)))
+    found = F.get(F.filter(F.map_entries(item), lambda x: same(indicator(x["key"]))), F.lit(0))["value"]
+    return F.when(F.map_contains_key(item, name), F.element_at(item, name)).otherwise(found)
+
+
+def members(names: Column, known: Column) -> Column:
+    """The names that are known, in their order; repeated names stay repeated."""
+    return F.filter(names, lambda x: F.array_contains(known, x))
+
+
+def split_names(text: Column) -> Column:
+    """The names in a text, between bars or, where it has none, commas."""
+    parts = F.when(text.contains("|"), F.split(text, r"\|")).otherwise(F.split(text, ","))
+    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+
+
+def batch_size(mean_chars: Column, most: int = 10, room: int = 3500, overhead: int = 200) -> Column:
+    """So many articles go into a model's request: its room in tokens over an article's, a token being four characters."""
+    return F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(room) / (mean_chars / 4 + overhead)))).cast("long")
+
+
 def intent(question: Column) -> Column:
     return F.when(question.contains("指数") | question.contains("板块"), "zhishu").otherwise("stock")
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .news import first_of_each
+from ..functions import values
+from .news import first_of_each, ranked
 
 SUFFIXES = ("行业", "板块", "概念", "设备", "生产", "制造", "相关", "主题")
 
@@ -114,3 +115,41 @@ def report_rows(reports: DataFrame, tiers: list[str]) -> DataFrame:
     at = lambda i: F.get("cells", F.lit(i))
     rows = cells.filter((F.size("cells") >= 6) & at(1).isin(tiers) & (F.coalesce(at(4), F.lit("")) != ""))
     return rows.select("report_id", "place", at(1).alias("tier"), F.when(at(3) == "-", "").otherwise(at(3)).alias("code"), at(4).alias("name"), at(5).alias("link"), at(6).alias("dims"))
+
+
+def running_max(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """rows with the greatest value so far of their key: a rise that never falls."""
+    return rows.withColumn("highest", F.max(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def previews(stocks: DataFrame, each: int = 3) -> DataFrame:
+    """The first stocks of each sector, by tier and code, as one list."""
+    best = first_of_each(stocks, ["sector"], [F.asc("tier"), F.asc("code")], each)
+    return best.groupBy("sector").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "code"))), lambda x: x["code"]).alias("codes"))
+
+
+def index_quotes(items: DataFrame, item: str = "item") -> DataFrame:
+    """Quotes of sector indices from maps of the market's own field names; a missing field is empty, a missing count 0."""
+    m = F.col(item)
+    either = lambda *names: F.coalesce(*(F.nullif(m[n], F.lit("")) for n in names), F.lit(""))
+    picked = lambda *names: F.coalesce(*(F.nullif(values.field_like(m, n), F.lit("")) for n in names), F.lit(""))
+    count = lambda name: F.coalesce(values.field_like(m, name).try_cast("long"), F.lit(0).cast("long"))
+    change = values.field_like(m, "指数@涨跌幅:前复权").try_cast("double")
+    return items.select(
+        either("code", "指数代码").alias("code"), either("指数简称", "name").alias("name"), F.when(change.isNull(), "").otherwise(F.format_string("%.2f%%", change)).alias("change_rate"), picked("指数@收盘价", "指数@最新价").alias("price"),
+        picked("指数@换手率").alias("turnover"), picked("指数@成交量").alias("volume"), picked("指数@成交额").alias("amount"), picked("指数@dde大单净额").alias("dde_net_amount"),
+        *(count(f"指数@{n}").alias(c) for n, c in (("上涨家数", "advancers"), ("下跌家数", "decliners"), ("涨停家数", "limit_up"), ("跌停家数", "limit_down"))),
+    )
+
+
+def report(feed: DataFrame, sectors: DataFrame, quotes: DataFrame) -> DataFrame:
+    """A feed (id, score, publish_time, sectors as text) with its rank, its known sectors' number and their mean change.
+
+    quotes: name and change_rate as text. A row without a quote says N/A. All rows' sectors are looked up at once.
+    """
+    listed = feed.select("id", F.explode(F.array_distinct(values.split_names(F.col("sectors")))).alias("raw"))
+    names = normalised(listed.select("raw").distinct(), sectors).filter("normalized").select("raw", "name")
+    rates = quotes.select("name", values.rate(F.col("change_rate")).alias("change"))
+    means = listed.join(names, "raw").join(rates, "name", "left").groupBy("id").agg(F.count(F.lit(1)).alias("n_sectors"), F.avg("change").alias("mean"))
+    out = feed.join(means, "id", "left").withColumns({"n_sectors": F.coalesce("n_sectors", F.lit(0).cast("long")), "mean_change": F.when(F.col("mean").isNull(), "N/A").otherwise(F.format_string("%+.2f%%", "mean"))})
+    return ranked(out, F.desc("score"), F.desc("publish_time"), F.desc("id")).select("rank", "id", "score", "n_sectors", "mean_change")

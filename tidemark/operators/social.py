@@ -35,3 +35,22 @@ def reviewed(news: DataFrame, comments: DataFrame) -> DataFrame:
     """News with its comments in order, for a review; news without comments has an empty list."""
     told = comments.groupBy("news_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "content"))).alias("comments"))
     return news.join(told, news["id"] == told["news_id"], "left").drop("news_id").withColumn("comments", F.coalesce(F.transform("comments", lambda x: x["content"]), F.array().cast("array<string>")))
+
+
+def signed_in(tokens: DataFrame, users: DataFrame, asked: list, now: Column) -> DataFrame:
+    """The users of those tokens (token, user_id, expire_at) that are asked for and hold now."""
+    held = tokens.filter(F.col("token").isin(asked) & (F.col("expire_at") > now)).select("token", F.col("user_id").alias("id"))
+    return held.join(users, "id")
+
+
+def without_own(comments: DataFrame, requests: DataFrame) -> DataFrame:
+    """Comments without those whose own user asks for it (id, user_id); others' requests do nothing."""
+    return comments.join(requests.select("id", "user_id").distinct(), ["id", "user_id"], "left_anti")
+
+
+def subscribed(subscriptions: DataFrame, orders: DataFrame) -> DataFrame:
+    """Subscriptions (user_id, level, status) after orders (user_id, level): those users' active ones end, new ones begin."""
+    asking = orders.select("user_id").distinct().withColumn("_asks", F.lit(True))
+    status = F.when(F.col("_asks") & (F.col("status") == "active"), "cancelled").otherwise(F.col("status"))
+    old = subscriptions.join(asking, "user_id", "left").withColumn("status", status).select("user_id", "level", "status")
+    return old.unionByName(orders.select("user_id", "level", F.lit("active").alias("status")))

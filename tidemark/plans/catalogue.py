@@ -446,6 +446,82 @@ def comments_for_review(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.size("comments").cast("long").alias("n_comments"), F.array_join("comments", "|").alias("comments"))
 
 
+@query("SELECT source, least(10, greatest(1, CAST(floor(3500 / (avg(length(coalesce(text, ''))) / 4 + 200)) AS BIGINT))) AS batch_size FROM documents GROUP BY source")
+def model_batch_size(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(values.batch_size(F.avg(F.length(F.coalesce("text", F.lit(""))))).alias("batch_size"))
+
+
+@query("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS highest FROM events")
+def running_max_rise(spark: SparkSession, d: str) -> DataFrame:
+    return market.running_max(table(spark, d, "events").select("event_id", "user_id", "value"), "user_id", "event_id", "value").select("event_id", "highest")
+
+
+@query("""SELECT sector, string_agg(CAST(code AS VARCHAR), '|' ORDER BY nth) AS codes FROM (SELECT p_type AS sector, p_partkey AS code, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS nth FROM part) AS x WHERE nth <= 3 GROUP BY sector""")
+def stock_previews(spark: SparkSession, d: str) -> DataFrame:
+    return market.previews(stock_rows(spark, d)).select("sector", F.array_join(F.col("codes").cast("array<string>"), "|").alias("codes"))
+
+
+@query("SELECT o_orderkey AS token, c_custkey AS id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (1, 2, 3, 5, 7, 32, 100) AND o_orderdate > DATE '1994-01-01'")
+def signed_in_users(spark: SparkSession, d: str) -> DataFrame:
+    tokens = table(spark, d, "orders").select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("expire_at"))
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return social.signed_in(tokens, users, [1, 2, 3, 5, 7, 32, 100], F.lit("1994-01-01").cast("timestamp_ntz")).select("token", "id", "name")
+
+
+@query("""WITH k AS (SELECT DISTINCT p_type FROM part WHERE p_type LIKE '%O%')
+SELECT l_orderkey AS id, string_agg(CASE WHEN p_type IN (SELECT p_type FROM k) THEN p_type END, '|' ORDER BY l_linenumber, l_partkey) AS sectors FROM lineitem JOIN part ON p_partkey = l_partkey
+GROUP BY l_orderkey HAVING count(CASE WHEN p_type IN (SELECT p_type FROM k) THEN 1 END) > 0""")
+def verified_sectors(spark: SparkSession, d: str) -> DataFrame:
+    """By order its parts' types in line order, without those that aren't in the dimension of known ones."""
+    part = stock_rows(spark, d).select("code", "sector")
+    known = part.filter("sector like '%O%'").select("sector").distinct()
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("code"), "l_linenumber").join(part.join(known, "sector", "left_semi"), "code")
+    return lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "code", "sector"))), lambda x: x["sector"]), "|").alias("sectors"))
+
+
+@query("""WITH x AS (SELECT p_brand AS source, p_partkey AS place, CASE WHEN p_partkey % 97 = 0 AND p_brand < 'Brand#3' THEN 'div.Content-' ELSE 'div.' END || repeat('x', CAST(p_size % 9 AS INTEGER)) || CAST(p_partkey AS VARCHAR) AS pattern FROM part),
+y AS (SELECT *, NOT contains(lower(pattern), 'content') AS plain FROM x)
+SELECT source, pattern FROM (SELECT source, pattern, row_number() OVER (PARTITION BY source ORDER BY plain, CASE WHEN plain THEN length(pattern) ELSE 0 END, place) AS nth FROM y) AS z WHERE nth = 1""")
+def best_patterns(spark: SparkSession, d: str) -> DataFrame:
+    key, brand = F.col("p_partkey"), F.col("p_brand")
+    pattern = F.concat(F.when((key % 97 == 0) & (brand < "Brand#3"), "div.Content-").otherwise("div."), F.repeat(F.lit("x"), (F.col("p_size") % 9).cast("int")), key.cast("string"))
+    return table(spark, d, "part").select(brand.alias("source"), key.alias("place"), pattern.alias("pattern")).groupBy("source").agg(text.best_pattern(F.col("pattern"), F.col("place")).alias("pattern"))
+
+
+@query("SELECT event_id AS id FROM events WHERE NOT (event_id % 2 = 0 AND event_id % 4 = 0)")
+def own_comments_deleted(spark: SparkSession, d: str) -> DataFrame:
+    comments = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id")
+    requests = comments.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("user_id"))
+    return social.without_own(comments, requests).select("id")
+
+
+@query("""WITH s AS (SELECT c_custkey AS user_id, c_mktsegment AS level, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'expired' END AS status FROM customer)
+SELECT user_id, level, CASE WHEN user_id % 3 = 0 AND status = 'active' THEN 'cancelled' ELSE status END AS status FROM s UNION ALL SELECT user_id, 'pro', 'active' FROM s WHERE user_id % 3 = 0""")
+def subscribe(spark: SparkSession, d: str) -> DataFrame:
+    held = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("level"), F.when(F.col("c_acctbal") > 0, "active").otherwise("expired").alias("status"))
+    return social.subscribed(held, held.filter("user_id % 3 = 0").select("user_id", F.lit("pro").alias("level")))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, CASE WHEN p_size = 1 THEN '' ELSE printf('%.2f%%', CAST(p_size - 25 AS DOUBLE)) END AS change_rate, CAST(p_partkey AS VARCHAR) AS price, CAST(p_size AS BIGINT) AS advancers, CAST(0 AS BIGINT) AS decliners FROM part""")
+def index_quotes(spark: SparkSession, d: str) -> DataFrame:
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    fields = [("指数代码", key), ("指数简称", F.col("p_name")), ("指数@涨跌幅:前复权排名[20240102]", F.lit("1")), ("指数@涨跌幅:前复权[20240102]", F.when(size != 1, (size - 25).cast("string"))), ("指数@最新价", key), ("指数@上涨家数[20240102]", size.cast("string"))]
+    items = table(spark, d, "part").select(F.create_map(*(x for name, value in fields for x in (F.lit(name), value))).alias("item"))
+    return market.index_quotes(items).select("code", "name", "change_rate", "price", "advancers", "decliners")
+
+
+@query("""WITH {news}, feed AS (SELECT id, score, publish_time FROM news ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10),
+listed AS (SELECT DISTINCT f.id, p_type FROM feed f JOIN lineitem ON l_orderkey = f.id JOIN part ON p_partkey = l_partkey), quotes AS (SELECT p_type, CAST(max(p_size) AS DOUBLE) AS change FROM part WHERE p_type <> 'ECONOMY' GROUP BY p_type),
+means AS (SELECT id, count(*) AS n, avg(change) AS mean FROM listed LEFT JOIN quotes ON quotes.p_type = listed.p_type GROUP BY id)
+SELECT row_number() OVER (ORDER BY score DESC, publish_time DESC, f.id DESC) AS rank, f.id, score, coalesce(n, 0) AS n_sectors, CASE WHEN mean IS NULL THEN 'N/A' ELSE printf('%+.2f%%', mean) END AS mean_change FROM feed f LEFT JOIN means ON means.id = f.id""")
+def sector_report(spark: SparkSession, d: str) -> DataFrame:
+    feed = news_sectors(spark, d, news.top(news_rows(spark, d), 10).select("id", "score", "publish_time")).withColumn("sectors", F.array_join("sectors", "|"))
+    types = stock_rows(spark, d).groupBy("sector").agg(F.min("code").alias("id"), F.max("size").alias("change"))
+    sectors = types.select("id", F.col("id").cast("string").alias("code"), F.col("sector").alias("name"), F.lit("").alias("keywords"), F.lit("").alias("pinyin_initial"))
+    quotes = types.filter("sector <> 'ECONOMY'").select(F.col("sector").alias("name"), F.format_string("+%s%%", F.col("change").cast("string")).alias("change_rate"))
+    return market.report(feed, sectors, quotes)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
