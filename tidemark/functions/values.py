@@ -82,7 +82,7 @@ def members(names: Column, known: Column) -> Column:
 def split_names(text: Column) -> Column:
     """The names in a text, between bars or, where it has none, commas."""
     parts = F.when(text.contains("|"), F.split(text, r"\|")).otherwise(F.split(text, ","))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def batch_size(mean_chars: Column, most: int = 10, room: int = 3500, overhead: int = 200) -> Column:
