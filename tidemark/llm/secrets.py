@@ -23,10 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: The forms of candidates. A name and a sign of equality may lead; the secret itself is the last group.
-KEYS = r"AKIA[0-9A-Z]{12,20}|gh[pousr]_[0-9A-Za-z]{20,255}|xox[abprs]-[0-9A-Za-z-]{10,250}|sk_live_[0-9A-Za-z]{16,99}|AIza[0-9A-Za-z_-]{30,40}|eyJ[0-9A-Za-z_-]{10,2000}\.[0-9A-Za-z_-]{10,2000}\.[0-9A-Za-z_-]{5,2000}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth)[\x22']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\x22']?[^\s\x22'<>,;]{6,512}"
-CANDIDATE = rf"{KEYS}|{ASSIGNED}"
+#: The forms of candidates. Quantifiers are possessive, so a value is matched to its end in one pass.
+#: A block of a private key reaches to its END line, or without one over the lines of base64 that follow.
+BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[0-9A-Za-z+/=]{16,}+)*+)"
+KEYS = (
+    r"A[KS]IA[0-9A-Z]{12,}+|gh[pousr]_[0-9A-Za-z]{20,}+|github_pat_\w{20,}+|glpat-[\w-]{16,}+|xox[abeoprs]-[0-9A-Za-z-]{10,}+|xapp-[0-9A-Za-z-]{10,}+|[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+|(?<![0-9A-Za-z])sk-[\w-]{20,}+|AIza[\w-]{30,}+"
+    r"|eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{5,}+|npm_[0-9A-Za-z]{30,}+|(?<![0-9A-Za-z])hf_[0-9A-Za-z]{30,}+|pypi-[\w-]{50,}+|(?<![0-9A-Za-z])SG\.[\w-]{16,}+\.[\w-]{16,}+|dop_v1_[0-9a-f]{40,}+|shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32,}+|ya29\.[\w-]{20,}+"
+    rf"|{BLOCK}"
+)
+#: An identifier that has one of these words in it, and the sign that assigns to it (a type may stand between).
+NAMES = r"pass(?:word|wd|wort|phrase|code)|pwd|secret|token|credential|auth|(?:api|access|private|signing|encryption|master|session|account|storage|service|client|shared|ssh)[_.-]?key"
+LEAD = rf"(?<![\w.-])(?=[\w.-]++[\x22'\x60\])]{{0,3}}[\x20\t]*+[:=])(?=[\w.-]*?(?i:{NAMES}))[\w.-]++[\x22'\x60\])]{{0,3}}[\x20\t]*+(?::[\x20\t]*+[A-Za-z_][\w.<>\[\]&|]*+[\x20\t]*+(?==[^=>]))?(?::=|=>|={{1,3}}|:)[\x20\t]*+(?:[bfruBFRU]{{1,2}}(?=[\x22']))?"
+SCHEME = r"(?:(?i:bearer|basic|digest|apikey|token)[\x20\t]++)"
+#: A quoted value reaches to its closing quote (unless a key of fixed form begins inside), a bare one to a blank, a quote or one of <>,;
+QUOTED = "|".join(rf"{q}(?:[^{q}\\\s]|\\.|[\x20\t](?!{KEYS})){{6,}}+{q}" for q in (r"\x22", "'", r"\x60"))
+ASSIGNED = rf"{LEAD}(?:{QUOTED}|[\x22'\x60]?{SCHEME}?[^\s\x22'\x60<>,;]{{6,}}+)"
+BEARER = r"(?<![\w-])(?i:bearer)[\x20\t]++[\w.~+/=-]{12,}+"
+IN_URL = r"://[^\s/:@?#\x22'\x60<>]*+:[^\s/\x22'\x60<>]+@"
+ENTROPY = rf"(?<![\w+/-])(?=(?:[A-Za-z+/_-]*+[0-9]){{3}})(?=(?:[0-9+/_-]*+[A-Za-z]){{2}})(?:(?!{KEYS})[\w+/-]){{20,}}+={{0,2}}"
+CANDIDATE = f"{KEYS}|{ASSIGNED}|{BEARER}|{IN_URL}|{ENTROPY}"
 #: Words that placeholders are made of, and words beside findings that tell for or against.
 PLAIN = r"(?i)example|sample|test|dummy|fake|placeholder|changeme|change|your|insert|secret|password|passwd|token|key|here|xxxx+|none|null|true|false|foo|bar|baz|value|string|user|admin|hello|world|letmein|welcome|qwerty|abc|the|and|for|with|that|this"
 FOR = r"(?i)\b(?:password|passwd|token|secret|key|credential|login|auth|aws|prod|production|access)"
@@ -48,14 +63,21 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("sums", grown)
     each = rows.select("doc_id", "path", "between", "sums", F.posexplode("found").alias("nth", "finding"))
     before, after = F.element_at("between", F.col("nth") + 1), F.element_at("between", F.col("nth") + 2)
-    strict = F.col("finding").rlike(f"^(?:{KEYS})$")
+    finding, kind = F.col("finding"), F.col("kind")
     each = each.select(
         "doc_id", "path", "nth", (F.element_at("sums", F.col("nth") + 1) + F.length(before)).cast("long").alias("start"), F.right(before, F.lit(40)).alias("before"), F.left(after, F.lit(40)).alias("after"), "finding",
-        F.when(strict, F.regexp_extract("finding", r"^(AKIA|gh.|xox|sk|AIza|eyJ|-----)", 1)).otherwise("assigned").alias("kind"),
+        F.when(finding.rlike(rf"^(?:{KEYS})\z"), F.regexp_extract("finding", r"^(A[KS]IA|github|gh.|glpat|xox|xapp|[rs]k|AIza|eyJ|npm|hf|pypi|SG|dop|shp|ya29|-----)", 1))
+        .when(finding.startswith("://"), "url").when(finding.rlike(rf"^(?:{BEARER})\z"), "bearer").when(finding.rlike(f"^{LEAD}"), "assigned").otherwise("entropy").alias("kind"),
     )
-    value = F.when(F.col("kind") == "assigned", F.regexp_replace("finding", r"^[^=:]*[=:][\x20\t\x22']*", "")).otherwise(F.col("finding"))
-    name = F.when(F.col("kind") == "assigned", F.regexp_extract("finding", r"^([A-Za-z_-]+)", 1)).otherwise("")
-    return each.select("doc_id", "path", "nth", "start", "kind", F.regexp_replace(value, r"[.:)\]}]+$", "").alias("value"), F.concat_ws(" ", "before", name).alias("before"), "after")
+    each = each.withColumn("held", F.when(kind == "assigned", F.regexp_replace("finding", f"^{LEAD}", "")).otherwise(finding))
+    quoted = (kind == "assigned") & F.col("held").rlike(rf"^(?:{QUOTED})\z")
+    bare = F.regexp_replace(F.regexp_replace("held", rf"^[\x22'\x60]?{SCHEME}?", ""), r"[.:)\]}]+\z", "")
+    value = (
+        F.when(quoted, F.regexp_replace(F.regexp_replace("held", r"^.|.\z", ""), f"^{SCHEME}", "")).when(kind.isin("assigned", "bearer"), bare)
+        .when(kind == "url", F.regexp_replace("held", r"^://[^:]*+:|@\z", "")).otherwise(F.col("held"))
+    )
+    name = F.when(kind == "assigned", F.regexp_extract("finding", r"^([\w.-]+)", 1)).otherwise("")
+    return each.select("doc_id", "path", "nth", "start", "kind", value.alias("value"), F.concat_ws(" ", "before", name).alias("before"), "after")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -74,7 +96,7 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def labelled_by_construction(found: DataFrame, most: int = 1000) -> DataFrame:
     """Labelled findings for found: at most `most` secrets of strict form, and six false ones made of each one's place."""
-    strict = found.filter(F.col("value").rlike(r"^AKIA[0-9A-Z]{16}$") | F.col("value").rlike(f"^(?:{KEYS})$") | F.col("value").rlike(r"^(?=.*[0-9].*[0-9].*[0-9])(?=.*[a-zA-Z].*[a-zA-Z])[0-9A-Za-z+/=_-]{12,}$"))
+    strict = found.filter("kind <> 'entropy'").filter(F.col("value").rlike(r"^AKIA[0-9A-Z]{16}$") | F.col("value").rlike(f"^(?:{KEYS})$") | F.col("value").rlike(r"^(?=.*[0-9].*[0-9].*[0-9])(?=.*[a-zA-Z].*[a-zA-Z])[0-9A-Za-z+/=_-]{12,}$"))
     strict = strict.filter(~F.col("value").rlike(r"(?i)(.)\1{4}|example|sample|placeholder|changeme|your")).dropDuplicates(["value"])
     taken = durable(strict.orderBy(F.xxhash64("value"), "value").limit(most))
     word = F.coalesce(F.nullif(F.regexp_extract(F.concat_ws(" ", "after", "before"), r"([A-Za-zÀ-ɏ]{3,})", 1), F.lit("")), F.lit("password"))
