@@ -1,6 +1,9 @@
 """Jobs that were done in part once: every row comes back, whatever the size of the input."""
 
+from pyspark.sql import functions as F
+
 from tidemark.llm.secrets import candidates
+from tidemark.operators import news
 from tidemark.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -32,3 +35,11 @@ def test_secrets_of_many_forms_to_their_end(spark):
     assert found[103] == ["a1" * 75_000] and len(found[102]) == 5_000
     texts = dict((i, t) for i, t, _ in rows)
     assert all(v in texts[i] for i, values in found.items() for v in values)
+
+
+def test_chunks_number_all_rows_in_many_tasks(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"))
+    got = news.chunks(rows, [F.desc("id")], 30)
+    assert {r.id: r.chunk for r in got.collect()} == {i: (999 - i) // 30 for i in range(1000)}
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert news.chunks(rows.filter("id < 0"), [F.desc("id")], 30).count() == 0

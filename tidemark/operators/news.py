@@ -5,6 +5,8 @@ A news row has id, batch_id, status, is_useful, publish_time (raw text, compared
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,8 +68,17 @@ def admitted(rows: DataFrame, group: str, order: str, is_today: Column, has_date
 
 
 def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """Rows with the number of their fixed-size batch."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    """Rows with the number of their fixed-size batch.
+
+    They are numbered within ranges of the order, each of which begins where the ones before it end. The ranges are kept
+    (persist), since another sampling could draw them otherwise; only their counts go through the driver.
+    """
+    held = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    counts = sorted(tuple(x) for x in held.groupBy("_range").count().collect())
+    ends = list(accumulate(n for _, n in counts))
+    before = rows.sparkSession.createDataFrame([(r, end - n) for (r, n), end in zip(counts, ends, strict=True)], "_range int, _before long")
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return held.join(F.broadcast(before), "_range").withColumn("chunk", F.floor(nth / size).cast("long")).drop("_range", "_before")
 
 
 def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -314,6 +314,11 @@ def batch_chunks(spark: SparkSession, d: str) -> DataFrame:
     return news.chunks(table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), [F.asc("id")], 4)
 
 
+@query("SELECT o_orderkey AS id, CAST(floor((row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1) / 50) AS BIGINT) AS chunk FROM orders")
+def batch_chunks_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    return news.chunks(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate"), [F.desc("o_orderdate"), F.asc("id")], 50).select("id", "chunk")
+
+
 @query("SELECT p_type AS name, row_number() OVER (ORDER BY coalesce(rate, 0) DESC, p_type) AS place FROM (SELECT p_type, max(CASE WHEN p_size > 45 THEN p_retailprice END) AS rate FROM part GROUP BY p_type) AS x")
 def quote_sort(spark: SparkSession, d: str) -> DataFrame:
     quotes = table(spark, d, "part").groupBy(F.col("p_type").alias("name")).agg(F.max(F.when(F.col("p_size") > 45, F.col("p_retailprice"))).alias("rate")).withColumn("nth", F.col("name"))
