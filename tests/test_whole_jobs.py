@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.llm.secrets import candidates
-from tidemark.operators import news
+from tidemark.operators import market, news
 from tidemark.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,3 +43,15 @@ def test_chunks_number_all_rows_in_many_tasks(spark):
     assert {r.id: r.chunk for r in got.collect()} == {i: (999 - i) // 30 for i in range(1000)}
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert news.chunks(rows.filter("id < 0"), [F.desc("id")], 30).count() == 0
+
+
+def test_snapshot_runs_over_days_not_news(spark):
+    n = spark.createDataFrame([(i, "a" if i % 9 else None, i % 5) for i in range(2000)], "id int, sector string, query_date int")
+    q = spark.createDataFrame([("a", 1, 1.0), ("a", 3, None), ("a", 4, 4.0), (None, 2, 7.0)], "sector string, query_date int, value double")
+    got = market.snapshot(n, q)
+    want = {"a": [None, 1.0, 1.0, 1.0, 4.0], None: [None, None, 7.0, 7.0, 7.0]}
+    assert got.columns == ["id", "sector", "query_date", "value"]
+    assert {r.id: r.value for r in got.collect()} == {i: want["a" if i % 9 else None][i % 5] for i in range(2000)}
+    plan = got._jdf.queryExecution().optimizedPlan()
+    below = plan.toString().split("Window [")[1]
+    assert "Aggregate [_sector" in below

@@ -51,10 +51,15 @@ def matched_names(names: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def snapshot(news: DataFrame, quotes: DataFrame, sector: str = "sector", day: str = "query_date") -> DataFrame:
-    """news (sector, query_date) with the value of that day, else the latest before: an as-of join by a merged, ordered run."""
-    both = news.select("*", F.lit(None).cast("double").alias("_value"), F.lit(1).alias("_side")).unionByName(quotes.select(F.col(sector), F.col(day), F.col("value").alias("_value"), F.lit(0).alias("_side")), allowMissingColumns=True)
-    value = F.last("_value", ignorenulls=True).over(Window.partitionBy(sector).orderBy(day, "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("value", value).filter("_side = 1").drop("_value", "_side")
+    """news (sector, query_date) with the value of that day, else the latest before: an as-of join by an ordered run.
+
+    The run is over the distinct days of each sector, whatever the number of news; these are then found again by both keys.
+    """
+    days = news.select(F.col(sector).alias("_sector"), F.col(day).alias("_day"), F.lit(None).cast("double").alias("_value"))
+    days = days.unionByName(quotes.select(F.col(sector).alias("_sector"), F.col(day).alias("_day"), F.col("value").alias("_value"))).groupBy("_sector", "_day").agg(F.max("_value").alias("_value"))
+    value = F.last("_value", ignorenulls=True).over(Window.partitionBy("_sector").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    known = days.select("_sector", "_day", value.alias("value"))
+    return news.drop("value").join(known, F.col(sector).eqNullSafe(F.col("_sector")) & F.col(day).eqNullSafe(F.col("_day")), "left").drop("_sector", "_day")
 
 
 def sync_decisions(news: DataFrame, recent: Column, keep_greater: bool = True) -> DataFrame:
