@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.llm.quality_rules import labelled_sample
 from tidemark.llm.secrets import candidates
 from tidemark.operators import market, news
 from tidemark.plans import catalogue
@@ -55,3 +56,11 @@ def test_snapshot_runs_over_days_not_news(spark):
     plan = got._jdf.queryExecution().optimizedPlan()
     below = plan.toString().split("Window [")[1]
     assert "Aggregate [_sector" in below
+
+
+def test_sample_of_quality_rules_has_both_labels_where_ids_repeat(spark):
+    rows = [(1, f"good line of some words number {i}\nand one more line here") for i in range(40)] + [(2, "BUY NOW $$$\nclick here click here")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(bad for _, bad in labelled_sample(docs, labels, "doc_id", "text", 2)) == [False, True]
+    long = spark.createDataFrame([(1, "one two three\n" * 10_000), (2, "x y\n" * 3)], "doc_id long, text string")
+    assert sum(not bad for _, bad in labelled_sample(long, labels, "doc_id", "text", 2, most_windows=5)) == 5

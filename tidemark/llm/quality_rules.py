@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forgetting, slices
+from .common import durable, forgetting, slices
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER, DIGITS, ENDS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".?!:;\"')"
@@ -160,20 +160,31 @@ def fit_field(documents: list[tuple[np.ndarray, bool]], rounds: int = 200, weigh
     return Field(emit, step)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_labelled: int) -> list[tuple[np.ndarray, bool]]:
-    """Features of the lines of at most most_labelled good and as many bad documents. Only ids are sorted; these are then few."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_labelled: int, most_windows: int = 20_000) -> list[tuple[np.ndarray, bool]]:
+    """Windows of the lines of at most most_labelled good and as many bad documents, one row of each.
+
+    Only ids are sorted; these are then few. Of each label at most most_windows windows, those with the least hash, come to
+    the driver to be fitted.
+    """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     parts = [known.filter(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for bad in (False, True)]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "doc_id").select("text", "bad")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "doc_id").select("doc_id", "text", "bad")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
             found = [line_features(x.as_buffer().to_pybytes())[0].tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("bad")], names=["features", "bad"])
-
-    got = rows.mapInArrow(run, "features binary, bad boolean").orderBy("bad", "features").limit(4 * most_labelled).toArrow()
-    return [(np.frombuffer(f, dtype=np.float64).reshape(-1, FEATURES), b) for f, b in zip(got.column("features").to_pylist(), got.column("bad").to_pylist(), strict=True) if f]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("bad")], names=["doc_id", "features", "bad"])
+
+    width = WINDOW * FEATURES * 8
+    each = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("features", T.BinaryType()), T.StructField("bad", T.BooleanType())]))
+    each = each.filter("length(features) > 0").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("bad").alias("bad"))
+    windows = each.select("doc_id", "bad", F.expr(f"posexplode(transform(sequence(0, (length(features) - 1) div {width}), i -> substring(features, cast(i * {width} + 1 as int), {width})))").alias("nth", "features"))
+    windows = durable(windows)
+    parts = [windows.filter(F.col("bad") == bad).orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth").limit(most_windows) for bad in (False, True)]
+    got = parts[0].unionByName(parts[1]).select("bad", "features").toArrow()
+    taken = sorted(zip(got.column("bad").to_pylist(), got.column("features").to_pylist(), strict=True))
+    return [(np.frombuffer(f, dtype=np.float64).reshape(-1, FEATURES), b) for b, f in taken]
 
 
 def judged(text: bytes, field: Field | None, share: float) -> tuple:
