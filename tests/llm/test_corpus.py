@@ -130,6 +130,27 @@ def test_byte_bpe(spark, docs):
         assert bpe.encode(t) == " ".join(map(str, library.encode_ordinary(t)))
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
+def test_rank_queue_on_many_pieces_at_once(name, monkeypatch):
+    """Pieces that share a queue, repeat themselves, or hold ranks that sink; buckets merged by arrays and one by one."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(name), "rb"))}
+    library, bpe, r = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), ByteBpe(open(P.path(name), "rb").read(), P.PATTERN), random.Random(4)
+    tokens = [x for x in ranks if len(x) > 1]
+    sinking = [bpe.bytes_of[x] for x in sorted(bpe.sinking)]
+    pieces = [bytes(r.choice(b"abcdeilnorstAB=-") for _ in range(r.randint(2, 200))) for _ in range(500)] + [b"ab" * 20_000, b"aba" * 10_000, b"=-" * 10_000, b"a" * 9_999]
+    pieces += [b"".join(r.choice(tokens) for _ in range(r.randint(2, 9))) for _ in range(1500)] + [r.choice(sinking) * r.randint(2, 12) for _ in range(500)]
+    for many in (2, 24, 10**9):
+        monkeypatch.setattr("tidemark.llm.byte_bpe.MANY", many)
+        (ids, ends), start = bpe.merged(pieces), 0
+        for piece, end in zip(pieces, ends.tolist(), strict=True):
+            assert piece in ranks or ids[start:end].tolist() == library._core_bpe.encode_single_piece(piece), piece
+            start = end
+    text = "".join(r.choice(["the ", "café", " 12", "\n\n ", "zqx" * 50]) for _ in range(3000))
+    monkeypatch.setattr("tidemark.llm.byte_bpe.LONG", 100)
+    monkeypatch.setattr("tidemark.llm.byte_bpe.PART", 7)
+    assert bpe.encode(text) == " ".join(map(str, library.encode_ordinary(text)))
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
