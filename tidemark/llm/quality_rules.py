@@ -1,14 +1,18 @@
 """Quality rules: base counts, and lines labelled as content or boilerplate by a linear-chain conditional random field.
 
 The field has two states, content and boilerplate, weights for what a line looks like and for each step from state to
-state. It is fitted to documents whose quality is known: all lines of a good one count as content, of a bad one as
-boilerplate. At most `most_labelled` of each kind, those with the least hash of their id, are used, in windows of WINDOW
-lines; they are all that reaches the driver. Viterbi decoding labels each document's lines together. A document stays
-if it passes the base rules and at least `share` of its words lie in content lines.
+state. It is fitted to documents whose quality is known. At most `most_labelled` of each kind, those with the least hash
+of their id, give windows of WINDOW lines; at most `most_windows` of each kind, those with the least hash, are all that
+reaches the driver. There lines of good documents count as content, of bad ones as boilerplate, and the windows are used
+as they are and joined: runs of RUNS lines from a good one and a bad one take turns, so the steps between states are
+learned as well. Viterbi decoding labels each document's lines together. A document stays if it passes the base rules and
+at least `share` of its words lie in content lines.
 
 Defined results: a null text has no words and fails. A text without a line that has a word has a content share of 0.
 Without labels of both kinds no field can be fitted: all lines then count as content. Rows that repeat are judged apart.
-A null doc_id is kept. Of repeated or null labels the worst counts, null ones none. An empty table gives an empty result.
+A null doc_id is kept. Of repeated or null labels the worst counts, null ones none. Where an id repeats in docs, each of its
+windows is taken once (the least). An empty table gives an empty result. Only the id and text columns are read, and
+with keep_columns all columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .common import durable, forgetting, slices
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER, DIGITS, ENDS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b".?!:;\"')"
 FEATURES, WINDOW = 11, 32
+#: Lines of one kind in turn, where windows are joined to sequences that change state.
+RUNS = (4, 1, 7, 2, 10, 3, 5)
 BASE = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64())]
 
 
@@ -121,38 +127,62 @@ class Field:
         return np.array(states, dtype=bool)
 
 
-def fit_field(documents: list[tuple[np.ndarray, bool]], rounds: int = 200, weight_decay: float = 1e-3) -> Field | None:
-    """The field of highest likelihood, by gradient steps over all the documents' windows at once (features, is_boilerplate)."""
-    if len({bad for _, bad in documents}) < 2:
+def joined(good: np.ndarray, bad: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """One sequence of two windows' lines, in runs that take turns, and each line's label."""
+    rest, parts, labels, state = [good, bad], [], [], turn % 2
+    while len(rest[0]) or len(rest[1]):
+        size = RUNS[turn % len(RUNS)]
+        parts.append(rest[state][:size])
+        labels.append(np.full(len(parts[-1]), state))
+        rest[state], state, turn = rest[state][size:], 1 - state, turn + 1
+    return np.concatenate(parts), np.concatenate(labels)
+
+
+def training_sequences(windows: list[tuple[np.ndarray, bool]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Windows (features, is_boilerplate) as they are and joined in pairs: features, labels of lines, kind of sequence."""
+    good, bad = [x for x, b in windows if not b], [x for x, b in windows if b]
+    plain = [(x, np.full(len(x), int(b)), int(b)) for x, b in windows]
+    return plain + [(*joined(good[i % len(good)], bad[i % len(bad)], i), 2) for i in range(max(len(good), len(bad)))]
+
+
+def fit_field(windows: list[tuple[np.ndarray, bool]], rounds: int = 120, weight_decay: float = 1e-3) -> Field | None:
+    """The field of highest likelihood, by gradient steps over all sequences at once; good, bad and joined ones weigh the same."""
+    if len({bad for _, bad in windows}) < 2:
         return None
-    windows = [(x[i : i + WINDOW], bad) for x, bad in documents for i in range(0, len(x), WINDOW)]
-    lengths = np.array([len(x) for x, _ in windows])
-    label = np.array([bad for _, bad in windows], dtype=int)
-    share = np.bincount(label, minlength=2) / len(label)
-    weight = 0.5 / share[label]
-    x = np.zeros((len(windows), int(lengths.max()), FEATURES))
-    for i, (features, _) in enumerate(windows):
+    sequences = training_sequences(windows)
+    lengths = np.array([len(x) for x, _, _ in sequences])
+    kind = np.array([k for _, _, k in sequences])
+    weight = (1 / np.bincount(kind, weights=lengths, minlength=3))[kind]
+    x = np.zeros((len(sequences), int(lengths.max()), FEATURES))
+    label = np.zeros(x.shape[:2], dtype=int)
+    for i, (features, labels, _) in enumerate(sequences):
         x[i, : len(features)] = features
+        label[i, : len(labels)] = labels
     real = np.arange(x.shape[1])[None, :] < lengths[:, None]
     emit, step = np.zeros(FEATURES), np.zeros((2, 2))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emit, step)]
     norm = (weight * lengths).sum()
+    seen = np.array([[(weight[:, None] * (real[:, 1:] & (label[:, :-1] == i) & (label[:, 1:] == j))).sum() for j in range(2)] for i in range(2)])
+    ahead_real = real.T[1:, :, None]
     for turn in range(1, rounds + 1):
-        own = np.stack([np.zeros(x.shape[:2]), x @ emit], axis=-1)
-        forward, backward = np.zeros_like(own), np.zeros_like(own)
-        forward[:, 0] = own[:, 0]
-        for t in range(1, x.shape[1]):
-            forward[:, t] = np.where(real[:, t, None], np.logaddexp(forward[:, t - 1, 0, None] + step[0], forward[:, t - 1, 1, None] + step[1]) + own[:, t], forward[:, t - 1])
-        for t in range(x.shape[1] - 2, -1, -1):
-            ahead = own[:, t + 1] + backward[:, t + 1]
-            backward[:, t] = np.where(real[:, t + 1, None], np.logaddexp(step[:, 0] + ahead[:, 0, None], step[:, 1] + ahead[:, 1, None]), 0)
-        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        bad = np.where(real, np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]), 0)
-        d_emit = np.einsum("w,wtf->f", weight, x * (np.where(real, label[:, None], 0) - bad)[:, :, None]) / norm - weight_decay * emit
-        pair = forward[:, :-1, :, None] + step + (own + backward)[:, 1:, None, :] - total[:, None, None, None]
-        expected = np.einsum("w,wtij->ij", weight, np.where(real[:, 1:, None, None], np.exp(pair), 0))
-        seen = np.array([[(weight * (lengths - 1) * (label == 0)).sum(), 0.0], [0.0, (weight * (lengths - 1) * (label == 1)).sum()]])
-        d_step = (seen - expected) / norm - weight_decay * step
+        # forward and backward by line, each normalised: probabilities of the states given the lines before and after
+        odds = np.clip(x @ emit, -30, 30).T
+        own = np.stack([1 / (1 + np.exp(odds)), 1 / (1 + np.exp(-odds))], axis=-1)
+        move = np.exp(step)
+        forward, backward = np.empty_like(own), np.full_like(own, 0.5)
+        forward[0] = own[0] / own[0].sum(axis=1, keepdims=True)
+        for t in range(1, len(own)):
+            now = (forward[t - 1] @ move) * own[t]
+            forward[t] = np.where(ahead_real[t - 1], now / now.sum(axis=1, keepdims=True), forward[t - 1])
+        for t in range(len(own) - 2, -1, -1):
+            now = (own[t + 1] * backward[t + 1]) @ move.T
+            backward[t] = np.where(ahead_real[t], now / now.sum(axis=1, keepdims=True), 0.5)
+        both = forward * backward
+        bad = np.where(real, (both[:, :, 1] / both.sum(axis=2)).T, 0)
+        d_emit = np.einsum("w,wtf->f", weight, x * (label - bad)[:, :, None]) / norm - weight_decay * emit
+        pair = forward[:-1, :, :, None] * move * (own * backward)[1:, :, None, :]
+        pair *= (ahead_real[:, :, 0] * weight / pair.sum(axis=(2, 3)))[:, :, None, None]
+        d_step = (seen - pair.sum(axis=(0, 1))) / norm - weight_decay * step
         for p, d, (m, v) in zip((emit, step), (d_emit, d_step), moments, strict=True):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -160,11 +190,11 @@ def fit_field(documents: list[tuple[np.ndarray, bool]], rounds: int = 200, weigh
     return Field(emit, step)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_labelled: int, most_windows: int = 20_000) -> list[tuple[np.ndarray, bool]]:
-    """Windows of the lines of at most most_labelled good and as many bad documents, one row of each.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most_labelled: int, most_windows: int = 2000) -> list[tuple[np.ndarray, bool]]:
+    """Windows of the lines of at most most_labelled good and as many bad documents.
 
-    Only ids are sorted; these are then few. Of each label at most most_windows windows, those with the least hash, come to
-    the driver to be fitted.
+    Only ids are sorted; these are then few. A text leaves its task as windows of bounded size. Of each label at most
+    most_windows windows, those with the least hash, come to the driver to be fitted.
     """
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
     parts = [known.filter(F.col("bad") == bad).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for bad in (False, True)]
@@ -173,18 +203,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            found = [line_features(x.as_buffer().to_pybytes())[0].tobytes() for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("bad")], names=["doc_id", "features", "bad"])
-
-    width = WINDOW * FEATURES * 8
-    each = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("features", T.BinaryType()), T.StructField("bad", T.BooleanType())]))
-    each = each.filter("length(features) > 0").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("bad").alias("bad"))
-    windows = each.select("doc_id", "bad", F.expr(f"posexplode(transform(sequence(0, (length(features) - 1) div {width}), i -> substring(features, cast(i * {width} + 1 as int), {width})))").alias("nth", "features"))
-    windows = durable(windows)
+            for i, x in enumerate(batch.column("text")):
+                found = line_features(x.as_buffer().to_pybytes())[0]
+                cut = [found[k : k + WINDOW].tobytes() for k in range(0, len(found), WINDOW)]
+                whose = pa.array(np.full(len(cut), i))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(whose), batch.column("bad").take(whose), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["doc_id", "bad", "nth", "features"])
+
+    kinds = [rows.schema["doc_id"], T.StructField("bad", T.BooleanType()), T.StructField("nth", T.IntegerType()), T.StructField("features", T.BinaryType())]
+    windows = durable(rows.mapInArrow(run, T.StructType(kinds)).groupBy("doc_id", "bad", "nth").agg(F.min("features").alias("features")))
     parts = [windows.filter(F.col("bad") == bad).orderBy(F.xxhash64("doc_id", "nth"), "doc_id", "nth").limit(most_windows) for bad in (False, True)]
-    got = parts[0].unionByName(parts[1]).select("bad", "features").toArrow()
-    taken = sorted(zip(got.column("bad").to_pylist(), got.column("features").to_pylist(), strict=True))
-    return [(np.frombuffer(f, dtype=np.float64).reshape(-1, FEATURES), b) for b, f in taken]
+    got = parts[0].unionByName(parts[1]).select("bad", F.xxhash64("doc_id", "nth").alias("place"), "features").toArrow()
+    taken = sorted(zip(got.column("bad").to_pylist(), got.column("place").to_pylist(), got.column("features").to_pylist(), strict=True))
+    return [(np.frombuffer(f, dtype=np.float64).reshape(-1, FEATURES), b) for b, _, f in taken]
 
 
 def judged(text: bytes, field: Field | None, share: float) -> tuple:
@@ -223,4 +253,3 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return rows.mapInArrow(forgetting(run, _cache), docs.schema)
     kinds = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("content_share", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
     return rows.mapInArrow(forgetting(run, _cache), T.StructType([rows.schema["doc_id"], *(T.StructField(n, k) for n, k in kinds)]))
-
