@@ -6,7 +6,7 @@ import tempfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, text, values
+from tidemark.functions import dates, values
 from tidemark.operators import market, news, social
 from tidemark.sources import tables
 from tidemark.streaming import ingest
@@ -16,18 +16,6 @@ def one(spark, column, **row):
     return spark.createDataFrame(pd.DataFrame([row])).select(column.alias("x")).first()[0]
 
 
-def test_dates(spark):
-    cases = [("2026-06-01 08:30", "2026-06-01 08:30:00"), ("2026/6/1", "2026-06-01 00:00:00"), ("2026年6月1日 08:05", "2026-06-01 08:05:00"), ("2026-06-01T08:30", "2026-06-01 00:00:00"), ("Jun 1, 2026", None), ("", None)]
-    for raw, want in cases:
-        assert one(spark, dates.normalised(F.col("t")), t=raw) == want
-    assert one(spark, dates.latest_in(F.col("t")), t="2020-01-02 then 2021年3月4日 and 2021-03-04") == "2021年3月4日"
-    assert one(spark, dates.latest_in(F.col("t")), t="none") is None
-    assert one(spark, dates.from_url(F.col("t")), t="http://x/n1/2026/0601/c2.html") == "2026-06-01"
-    assert one(spark, dates.from_url(F.col("t")), t="http://x/2026/1301/") is None
-    assert one(spark, dates.from_meta(F.col("t")), t='<meta content="2026-01-02" property="og:published_time">') == "2026-01-02"
-    assert one(spark, dates.by_pattern(F.col("t"), F.lit(r"at (\d+)"), F.lit(r"on (\d+)")), t="on 7") == "7"
-
-
 def test_values(spark):
     assert one(spark, values.parsed_values(F.col("t")), t="A:1|B:x|A:2|C:D:3|") == {"A": 2.0, "C:D": 3.0}
     assert one(spark, values.parsed_values(F.col("t")), t="") == {}
@@ -36,10 +24,16 @@ def test_values(spark):
     assert one(spark, values.rate(F.col("t")), t="+2.35%") == 2.35 and one(spark, values.rate(F.col("t")), t="--") is None
     assert one(spark, values.four_dims(F.col("t")), t="高/中")["客户"] == "未知"
     assert one(spark, values.field_like(F.create_map(F.lit("涨跌幅排名"), F.lit("1"), F.lit("涨跌幅[20260101]"), F.lit("2")), "涨跌幅"), t=1) == "2"
-    assert one(spark, values.core_name(F.col("t")), t="主力净额[20260601] dde") == "主力净额"
     assert one(spark, values.valid_phone(F.col("t")), t="13800000000") and not one(spark, values.valid_phone(F.col("t")), t="23800000000")
     assert one(spark, values.valid_email(F.col("t")), t="a.b@c.de") and not one(spark, values.valid_email(F.col("t")), t="a@b")
-    assert one(spark, values.recovered_batch(F.col("t"), "id int, ok boolean"), t='x [{"id":1,"ok":true}] y')[0].ok
+    assert one(spark, values.four_dims(F.col("t")), t="高//低")["盈利"] == ""
+    assert one(spark, values.recovered_batch(F.array("t"), "id int, ok boolean", ("id",)), t='x [{"id":1,"ok":true}] y')[0].ok
+    assert [one(spark, values.signed_rate(F.col("t")), t=t) for t in ("2.345", "-1", "0", "", "x")] == ["+2.35%", "-1.00%", "0.00%", "", ""]
+    assert [one(spark, values.safe_round(F.col("t")), t=t) for t in ("2.344", "x")] == [2.34, None]
+    assert one(spark, values.url_parameters(F.col("t")), t="http://x/?a=1&b=%E4%B8%AD&a=2&c=") == {"a": "1", "b": "中"} and one(spark, values.url_parameters(F.col("t")), t="http://x/") == {}
+    assert one(spark, values.client_values(F.col("t")), t=" A :1:9|B:x|C|A:3") == {"B": 0.0, "A": 3.0}
+    deep = '{"id": 2, "ok": true, "x": ' + '{"y": ' * 5 + "1" + "}" * 5 + "}"
+    assert [r.id for r in one(spark, values.recovered_batch(F.array("t"), "id int, ok boolean", ("id", "ok")), t="{ [" + deep + ' {"id": 3}')] == [2]
     assert one(spark, values.filled("a <<t>>!", {"t": F.col("t")}, 3), t="12345") == "a 123!"
     assert one(spark, values.intent(F.col("t")), t="银行板块") == "zhishu"
     assert abs(one(spark, values.composite_score(F.lit(10.0), F.lit(0.0), F.lit(2.0)), t=1) - 7.3) < 1e-9
@@ -53,14 +47,6 @@ def test_fields_and_names(spark):
     assert [one(spark, values.batch_size(F.lit(x)), t=1) for x in (0.0, 3500.0, 1e6)] == [10, 3, 1]
 
 
-def test_text(spark):
-    page = "<html><title>T</title><body><script>x</script><article><p>" + "word " * 60 + "</p></article></body></html>"
-    assert one(spark, text.body_of(F.col("t")), t=page) == ("word " * 60).strip()
-    assert one(spark, text.clean_markdown(F.col("t")), t="# Hi [there](http://x) **b**") == "Hi there b"
-    assert one(spark, text.line_score(F.col("t")), t="abc") == 0.1
-    assert one(spark, text.line_score(F.col("t")), t="A longer line of words that ends well.") > one(spark, text.line_score(F.col("t")), t="Subscribe | Log in | Cookie | Copyright")
-
-
 def plain_admission(rows, most, stop):
     out, run = [], 0
     for n, (i, today, dated) in enumerate(rows):
@@ -93,15 +79,21 @@ def test_snapshot_takes_the_latest_before(spark):
 
 def test_search_tiers(spark):
     s = spark.createDataFrame([(1, "c1", "白酒", "酿酒", "bj"), (2, "c2", "白酒概念", "", "bjgn"), (3, "c3", "AIDC", "数据中心", "aidc")], "id int, code string, name string, keywords string, pinyin_initial string")
-    k = spark.createDataFrame([("白酒",), ("bj",), ("dc",), ("数据",), ("酒",)], "key string")
+    k = spark.createDataFrame([("白酒", ""), ("柏酒", "bj"), ("bj", ""), ("dc", ""), ("数据", ""), ("酒", "")], "key string, pinyin string")
     got = {}
     for x in market.searched(k, s).orderBy("key", "nth").collect():
         got.setdefault(x.key, []).append(x.id)
-    assert got == {"白酒": [1], "bj": [1], "dc": [3], "数据": [3], "酒": [1, 2, 1]}
+    assert got == {"白酒": [1], "柏酒": [1], "dc": [3], "数据": [3], "酒": [1, 2, 1]}
     raw = spark.createDataFrame([("白酒行业",), ("没有",), ("数据中心建设",)], "raw string")
     assert {x.raw: x.id for x in market.normalised(raw, s).collect()} == {"白酒行业": 1, "没有": None, "数据中心建设": 3}
 
 
+def test_a_keyword_goes_before_a_part_of_a_name(spark):
+    s = spark.createDataFrame([(1, "c1", "黄金概念", "", ""), (2, "c2", "贵金属", "黄金,白银", ""), (3, "c3", "煤炭", "xy", "mt")], "id int, code string, name string, keywords string, pinyin_initial string")
+    raw = spark.createDataFrame([("黄金", ""), ("美坛", "mt"), ("zzxy", "")], "raw string, pinyin string")
+    assert {x.raw: x.name for x in market.normalised(raw, s).collect()} == {"黄金": "贵金属", "美坛": "煤炭", "zzxy": None}
+
+
 def test_sync_keeps_the_greater_rise(spark):
     rows = spark.createDataFrame([(1, "A:1", "A:2", 3.0, 9.0), (2, "", "A:2", 3.0, 1.0), (3, "A:1", "", 3.0, 1.0)], "id int, published string, current_value string, rise double, max_rise double")
     got = {x.id: (x.action, x.new_rise) for x in market.sync_decisions(rows, F.lit(True)).collect()}
@@ -114,15 +106,73 @@ def test_codes_and_locks(spark):
     assert [x.id for x in social.newest_code(codes, F.lit(5)).collect()] == [1]
 
 
+def plain_refusals(rows, most=5, seconds=300):
+    """(user, at, failed) in order, by a loop over counts and locks."""
+    count, until, out = {}, {}, []
+    for user, at, failed in rows:
+        if at < until.get(user, -1):
+            out.append(True)
+        elif count.get(user, 0) >= most:
+            until[user], count[user] = at + seconds, 0
+            out.append(True)
+        else:
+            count[user] = count.get(user, 0) + 1 if failed else 0
+            out.append(False)
+    return out
+
+
+def test_refusals_like_the_loop(spark):
+    r, rows, at = random.Random(3), [], 0
+    for i in range(3000):
+        at += r.randint(0, 40)
+        rows.append((i, r.randint(0, 5), at, r.random() < 0.8))
+    df = spark.createDataFrame(rows, "i int, user int, s long, bad boolean").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    got = {x.i: x.refused for x in social.refused(df.select("user", "at", "i", "bad"), "user", "at", F.col("bad")).collect()}
+    want = plain_refusals([(u, s, b) for _, u, s, b in rows])
+    assert [got[i] for i in range(len(rows))] == want and any(want)
+
+
 def test_sources_and_models(spark):
     folder = tempfile.mkdtemp()
-    config = spark.createDataFrame([("a", True), ("b", False)], "name string, is_flash boolean")
+    text = '{"sources": [{"name": "a", "url": "http://a", "is_flash": true, "contentExtract": "<p>(.*)"}, {"name": "b", "url": "http://b", "publishTimeExtract": {"pattern": "x"}}], "crawNumPerSource": 30, "maxConsecutiveNonToday": 10}'
+    with open(f"{folder}/sources.json", "w") as file:
+        file.write(text)
+    config = tables.source_config(spark, f"{folder}/sources.json")
+    assert [(x.name, x.most, x.stop_after) for x in config.orderBy("name").collect()] == [("a", 30, 10), ("b", 30, 10)]
+    more = tables.with_source(tables.with_source(config, "c", "http://c"), "a", "http://other")
+    listed = {x.name: (x.is_flash, x.url, x.has_content, x.has_time) for x in tables.listed_sources(tables.without_source(more, "b")).collect()}
+    assert listed == {"a": (True, "http://a", True, False), "c": (False, "http://c", False, False)}
     rows = spark.createDataFrame([("a", "t", "", "x"), ("b", "t", "s", "x")], "source_name string, title string, subtitle string, body string")
     assert {x.source_name: x.body for x in tables.body_or_title(rows, config).collect()} == {"a": "t", "b": "x"}
-    tables.write_feed(spark.createDataFrame([(1, "2026")], "id int, publish_time string"), f"{folder}/feed")
-    assert spark.read.json(f"{folder}/feed").first()["count"] == 1
-    scored = tables.scored(rows, lambda f: f[["title"]].assign(n=len(f)), "title string, n long", batch=1)
-    assert {x.n for x in scored.collect()} == {1}
+    feed = spark.createDataFrame([(1, 5, "2025"), (2, 9, "2026"), (3, 5, "2027")], "id int, score int, created_at string").repartition(3)
+    tables.write_feed(feed, f"{folder}/feed", F.desc("score"), F.desc("created_at"))
+    back = tables.read_feed(spark, f"{folder}/feed", "id int, score int, created_at string").orderBy("place").collect()
+    assert [(x.id, x.batch_time) for x in back] == [(2, "2026"), (3, "2026"), (1, "2026")]
+    told = tables.report_json(feed.withColumn("rank", F.col("id")), F.lit("now")).first().text
+    assert told.startswith('{"status":"success","generated_at":"now","top_news":[{"id":1,')
+    with open(f"{folder}/r.md", "w") as file:
+        file.write("one\ntwo")
+    assert tables.reports(spark, f"{folder}/r.md").first().text == "one\ntwo"
+    rows.createOrReplaceTempView("here")
+    assert tables.missing_tables(spark, ["here", "there"]) == ["there"]
+    bodies = spark.createDataFrame([(1, " " * 30), (2, "long enough to be scored")], "id int, content string")
+    assert [x.id for x in tables.to_score(bodies).collect()] == [2]
+
+
+def test_models_that_fail(spark):
+    rows = spark.range(20).withColumnRenamed("id", "n").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(frame):
+        calls.add(1)
+        if 7 in frame.n.tolist():
+            raise ValueError("no reply")
+        return frame.assign(good=True)
+
+    got = tables.scored(rows, model, "n long, good boolean", batch=5, wait=0.0).collect()
+    assert [x.n for x in got if x.error] == [5, 6, 7, 8, 9] and all(x.good for x in got if not x.error) and calls.value == 3 + 3
+    left = tables.dead_letters(spark.createDataFrame([(x.n, x.error) for x in got], "n long, error string"), rows, "n")
+    assert sorted(x.n for x in left.collect()) == [5, 6, 7, 8, 9]
 
 
 def test_stream_keeps_each_url_once(spark):
@@ -134,3 +184,16 @@ def test_stream_keeps_each_url_once(spark):
     query.processAllAvailable()
     query.stop()
     assert sorted(seen) == [("u", 1), ("v", 1)]
+
+
+def test_stream_feeds_and_windows(spark):
+    folder = tempfile.mkdtemp()
+    spark.sql("select * from values (1, 5, '2025-03-09 10:00'), (2, 9, '2025-03-09'), (3, 9, 'Mar 9, 2025'), (4, 7, '2025-03-08') t(id, score, raw)").write.parquet(f"{folder}/in")
+    stream = ingest.not_late(spark.readStream.schema("id int, score int, raw string").parquet(f"{folder}/in"), F.col("raw"), F.lit("2025-03-09").cast("date"))
+    query = ingest.refreshing_feed(stream, f"{folder}/history", lambda rows: news.top(rows.withColumn("publish_time", F.col("raw")), 10).select("id", "score"), f"{folder}/feed", f"{folder}/state", F.desc("score"))
+    query.processAllAvailable()
+    query.stop()
+    assert [x.id for x in tables.read_feed(spark, f"{folder}/feed", "id int, score int").orderBy("place").collect()] == [2, 1]
+    events = spark.sql("select * from values ('a', timestamp'2026-01-01 00:01:00'), ('a', timestamp'2026-01-01 00:04:00'), ('b', timestamp'2026-01-01 00:06:00') t(k, at)")
+    counted = ingest.counts_by_window(events, "at", "5 minutes", "k").collect()
+    assert sorted((str(x.start)[11:16], x.k, x.n) for x in counted) == [("00:00", "a", 2), ("00:05", "b", 1)]

@@ -1,61 +1,115 @@
-"""Dates in free text, addresses and pages, as column expressions."""
+"""Dates in free text, addresses and pages, as column expressions. Times stay in the form in which they were found."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The forms in which a time is written (ISO, plain digits, Chinese, English).
-ISO = r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:[ T]\d{1,2}:\d{2}(?::\d{2})?)?"
-CHINESE = r"\d{4}年\d{1,2}月\d{1,2}日(?: ?\d{1,2}:\d{2}(?::\d{2})?)?"
-ENGLISH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2}, \d{4}"
-DAY = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})"
-CLOCK = r"^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日? ?(\d{1,2}):(\d{2})(?::(\d{2}))?"
+#: The forms in which a time is written, tried in this order at each place of a text.
+FORMS = (
+    r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}T\d{1,2}:\d{2}:\d{2}(?:\.\d+)?",
+    r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}(?:\s+\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)?",
+    r"\d{4}年\d{1,2}月\d{1,2}日(?:\s*\d{1,2}:\d{2}(?::\d{2})?(?:\.\d+)?)?",
+    r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2},\s+\d{4}",
+    r"\d{1,2}/\d{1,2}/\d{4}",
+)
+NUMBERS = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?:\s+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+CHINESE = r"^(\d{4})年(\d{1,2})月(\d{1,2})日(?:\s*(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+#: Where pages of known make have their time, tried in this order. All of the groups are joined by a blank.
+PLACES = (
+    (r"<span[^>]+class=[\x22']time[\x22'][^>]*>\s*(\d{4}年\d{1,2}月\d{1,2}日\s*\d{1,2}:\d{2})", 1),
+    (r"<div\s+class=\x22news_bt1_left\x22[^>]*>([\s\S]*?)</div>", 1),
+    (r"<b\s+id=\x22newstime\x22[^>]*>([\s\S]*?)</b>", 1),
+    (r"class=\x22[^\x22]*w-createtime-date[^\x22]*\x22[^>]*>\s*([\d-]+)\s*</span>\s*<[^>]*class=\x22[^\x22]*w-createtime-time[^\x22]*\x22[^>]*>\s*([\d:]+)\s*</span>", 2),
+    (r"class=\x22[^\x22]*detail_left[^\x22]*\x22[^>]*>([\s\S]*?)</div>", 1),
+    (r"<div\s+class=\x22news_info\x22[^>]*>([\s\S]*?)</div>", 1),
+    (r"(?i)(?:datePublished|dateModified|pubdate|publishdate)[^>]*content=\x22([^\x22]+)\x22", 1),
+)
+#: Meta tags of a publishing time in both orders of their attributes, and the time element.
+META = (r"(?i)<meta[^>]+(?:property|name)=[\x22']og:published_time[\x22'][^>]+content=[\x22']([^\x22']+)[\x22']", r"(?i)<meta[^>]+content=[\x22']([^\x22']+)[\x22'][^>]+(?:property|name)=[\x22']og:published_time[\x22']")
+TIME = r"(?i)<time[^>]+datetime=[\x22']([^\x22']+)[\x22']"
+
+
+def _group(text: Column, pattern: str, k: int = 1) -> Column:
+    return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
 def normalised(raw: Column) -> Column:
-    """yyyy-MM-dd HH:mm:ss of a raw time, null if its form has no order of digits. After a T the clock is not read."""
-    part = lambda pattern, k: F.regexp_extract(raw, pattern, k)
-    two = lambda x: F.lpad(F.when(x == "", "0").otherwise(x), 2, "0")
-    day = F.concat_ws("-", part(DAY, 1), two(part(DAY, 2)), two(part(DAY, 3)))
-    clock = F.concat_ws(":", two(part(CLOCK, 1)), two(part(CLOCK, 2)), two(part(CLOCK, 3)))
-    return F.when(part(DAY, 1) != "", F.concat_ws(" ", day, clock))
+    """A raw time as yyyy-MM-dd HH:mm:ss, to compare by; null for forms without an order of digits.
+
+    A fraction of a second stays where the time is written in just this form. With a T, only a clock with seconds is read.
+    """
+    raw = F.btrim(raw)
+
+    def of(pattern: str) -> Column:
+        part = lambda k, missing: F.lpad(F.coalesce(_group(raw, pattern, k), F.lit(missing)), 2, "0")
+        day = F.concat_ws("-", F.regexp_extract(raw, pattern, 1), part(2, "00"), part(3, "00"))
+        return F.when(raw.rlike(pattern), F.concat_ws(" ", day, F.concat_ws(":", *(part(k, "00") for k in (4, 5, 6)))))
+
+    return (
+        F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"), raw)
+        .when(raw.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.concat_ws(" ", F.left(raw, F.lit(10)), F.substring(raw, 12, 8)))
+        .otherwise(F.coalesce(of(NUMBERS), of(CHINESE)))
+    )
 
 
 def latest_in(text: Column) -> Column:
-    """The raw form of the latest time in a text; of equal ones the first."""
-    found = F.regexp_extract_all(text, F.lit(f"({ISO}|{CHINESE}|{ENGLISH})"), F.lit(1))
-    ranked = F.transform(found, lambda x, i: F.struct(normalised(x).alias("key"), (-i).alias("place"), x.alias("raw")))
-    return F.array_max(F.filter(ranked, lambda x: x["key"].isNotNull()))["raw"]
+    """The raw form of the latest time in a text; of equal ones the first. Forms that can't be ordered compare as they are."""
+    found = F.regexp_extract_all(text, F.lit(f"({'|'.join(FORMS)})"), F.lit(1))
+    ranked = F.transform(found, lambda x, i: F.struct(F.coalesce(normalised(x), x).alias("key"), (-i).alias("place"), x.alias("raw")))
+    return F.array_max(ranked)["raw"]
 
 
 def is_day(raw: Column, day: Column) -> Column:
     """Whether a raw time lies on the day; unreadable ones don't."""
-    return F.coalesce(F.to_date(F.substring(normalised(raw), 1, 10)) == day, F.lit(False))
+    return F.coalesce(F.left(normalised(raw), F.lit(10)).try_cast("date") == day, F.lit(False))
 
 
 def from_url(url: Column) -> Column:
-    """yyyy-MM-dd of /n1/yyyy/MMdd/ or /yyyy/MMdd in an address, null if there is none or no such month or day."""
-    found = F.coalesce(F.nullif(F.regexp_extract(url, r"/n1/(\d{4}/\d{4})/", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"/(\d{4}/\d{4})(?:[/.?]|$)", 1), F.lit("")))
-    year, month, day = F.substring(found, 1, 4), F.substring(found, 6, 2), F.substring(found, 8, 2)
-    return F.when(month.cast("int").between(1, 12) & day.cast("int").between(1, 31), F.concat_ws("-", year, month, day))
+    """The day of /n1/yyyy/MMdd/ in an address, else of /yyyy/MMdd followed by a slash, dot or question mark, at midnight."""
+
+    def of(pattern: str) -> Column:
+        found = F.regexp_extract(url, pattern, 1)
+        year, month, day = F.left(found, F.lit(4)), F.substring(found, 6, 2), F.substring(found, 8, 2)
+        return F.when(month.try_cast("int").between(1, 12) & day.try_cast("int").between(1, 31), F.concat(F.concat_ws("-", year, month, day), F.lit(" 00:00:00")))
+
+    return F.coalesce(of(r"/n1/(\d{4}/\d{4})/"), of(r"/(\d{4}/\d{4})[/.?]"))
 
 
 def from_meta(html: Column) -> Column:
-    """The publishing time in a page's meta tags or its time element."""
-    tries = [r'property="(?:og|article):published_time"\s+content="([^"]+)"', r'content="([^"]+)"\s+property="(?:og|article):published_time"', r'<time[^>]*datetime="([^"]+)"']
-    return F.coalesce(*(F.nullif(F.regexp_extract(html, t, 1), F.lit("")) for t in tries))
+    """The latest time in a page's meta tag of the publishing time, else in its time element."""
+    return F.coalesce(latest_in(F.coalesce(*(_group(html, p) for p in META))), latest_in(_group(html, TIME)))
+
+
+def from_places(html: Column) -> Column:
+    """The latest time in the first place of PLACES that has one."""
+    tries = []
+    for pattern, groups in PLACES:
+        told = F.concat_ws(" ", *(F.regexp_extract(html, pattern, k + 1) for k in range(groups)))
+        tries.append(latest_in(F.regexp_replace(told, "<[^>]+>", "") if "detail_left" in pattern else told))
+    return F.coalesce(*tries)
 
 
 def by_pattern(html: Column, pattern: Column, fallback: Column) -> Column:
-    """The first group of the row's own pattern, or of its fallback."""
-    group = lambda p: F.nullif(F.regexp_extract_all(html, F.coalesce(p, F.lit("(?!)()")), F.lit(1))[0], F.lit(""))
-    return F.coalesce(F.when(F.size(F.regexp_extract_all(html, F.coalesce(pattern, F.lit("(?!)()")), F.lit(1))) > 0, group(pattern)), F.when(F.size(F.regexp_extract_all(html, F.coalesce(fallback, F.lit("(?!)()")), F.lit(1))) > 0, group(fallback)))
+    """The latest time in what the row's own pattern finds (its first group, or all of it), else its fallback.
+
+    Patterns are data and must be valid.
+    """
+
+    def of(p: Column) -> Column:
+        # two groups stand in for a first group that the pattern may lack
+        whole = F.concat(F.lit("(?is)("), F.nullif(p, F.lit("")), F.lit(")()"))
+        group = lambda k: F.nullif(F.btrim(F.call_function("regexp_extract", html, whole, F.lit(k))), F.lit(""))
+        return latest_in(F.coalesce(group(2), group(1)))
+
+    return F.coalesce(of(pattern), of(fallback))
 
 
-def of_page(html: Column, url: Column) -> Column:
-    """A page's time: its meta tags, else the latest time in it, else the date in its address."""
-    return F.coalesce(from_meta(html), latest_in(html), from_url(url))
+def of_page(html: Column, url: Column, pattern: Column | None = None, fallback: Column | None = None) -> Column:
+    """A page's time: by its source's pattern, in known places, in meta tags, the latest anywhere, else of its address."""
+    missing = F.lit(None).cast("string")
+    own = [] if pattern is None else [by_pattern(html, pattern, missing if fallback is None else fallback)]
+    return F.when(html != "", F.coalesce(*own, from_places(html), from_meta(html), latest_in(html), from_url(url)))
 
 
 def period(ts: Column) -> Column:

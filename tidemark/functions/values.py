@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIMENSIONS = ("竞争", "盈利", "客户", "技术")
+#: The dimensions of a stock's grade, and what their highest and unknown grades are called.
+DIMENSIONS, HIGH, UNKNOWN = ("竞争", "盈利", "客户", "技术"), "高", "未知"
+#: A sentence that means no, what a reply then would have said, and a ranking among a quote's fields.
+NO_MOVE, WILL_MOVE, RANKING = "不会引起市场波动", "will_flunctuate", "排名"
 
 
 def parsed_values(text: Column) -> Column:
@@ -15,7 +18,22 @@ def parsed_values(text: Column) -> Column:
     pairs = F.transform(F.split(text, r"\|"), lambda x: F.struct(F.regexp_extract(x, r"^(.*):([^:]*)$", 1).alias("name"), F.regexp_extract(x, r"^(.*):([^:]*)$", 2).try_cast("double").alias("value")))
     good = F.filter(pairs, lambda x: (x["name"] != "") & x["value"].isNotNull())
     last = F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda y: y["name"] == x["name"]))
-    return F.map_from_entries(last)
+    names = F.transform(good, lambda x: x["name"])
+    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), good).otherwise(last))
+
+
+def client_values(text: Column) -> Column:
+    """The map as clients read it: between the first two colons, names trimmed, bad numbers are 0, the last of equal names wins."""
+    pairs = F.transform(F.filter(F.split(text, r"\|"), lambda x: x.contains(":")), lambda x: F.struct(F.btrim(F.get(F.split(x, ":"), F.lit(0))).alias("name"), F.coalesce(F.get(F.split(x, ":"), F.lit(1)).try_cast("double"), F.lit(0.0)).alias("value")))
+    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["name"] == x["name"])))
+
+
+def client_changes(published: Column, current: Column) -> Column:
+    """By sector of the published values: name, published, current and change; a missing current value is the published one."""
+    before = client_values(F.coalesce(published, F.lit("")))
+    now = F.when(F.coalesce(current, F.lit("")) == "", before).otherwise(client_values(current))
+    told = lambda x: F.coalesce(now[x["key"]], x["value"])
+    return F.transform(F.map_entries(before), lambda x: F.struct(x["key"].alias("name"), x["value"].alias("published"), told(x).alias("current"), (told(x) - x["value"]).alias("change")))
 
 
 def built_values(pairs: Column) -> Column:
@@ -39,24 +57,19 @@ def rate(text: Column) -> Column:
 
 
 def four_dims(text: Column) -> Column:
-    """The map of '高/中/低/高' by dimension; a missing or empty one is 未知."""
+    """The map of '高/中/低/高' by dimension; one whose part lacks is 未知, one whose part is empty is empty."""
     parts = F.split(F.coalesce(text, F.lit("")), "/")
-    graded = [F.coalesce(F.nullif(F.trim(F.get(parts, F.lit(i))), F.lit("")), F.lit("未知")) for i in range(len(DIMENSIONS))]
+    graded = [F.coalesce(F.btrim(F.get(parts, F.lit(i))), F.lit(UNKNOWN)) for i in range(len(DIMENSIONS))]
     return F.map_from_arrays(F.array(*(F.lit(d) for d in DIMENSIONS)), F.array(*graded))
 
 
 def high_dims(dims: Column) -> Column:
-    return F.size(F.filter(F.map_values(dims), lambda x: x == "高"))
+    return F.size(F.filter(F.map_values(dims), lambda x: x == HIGH))
 
 
 def field_like(item: Column, prefix: str) -> Column:
     """The value of the map's first key that begins with prefix and is no ranking."""
-    return F.get(F.filter(F.map_entries(item), lambda x: x["key"].startswith(prefix) & ~x["key"].contains("排名")), F.lit(0))["value"]
-
-
-def core_name(key: Column) -> Column:
-    """An indicator's name without its bracketed date, signs and latin suffix."""
-    return reduce(lambda c, p: F.regexp_replace(c, p, ""), (r"\[[^\]]*\]", r"[（）()：:%\s]", r"[A-Za-z0-9._-]+$"), key)
+    return F.get(F.filter(F.map_entries(item), lambda x: x["key"].startswith(prefix) & ~x["key"].contains(RANKING)), F.lit(0))["value"]
 
 
 def indicator(key: Column) -> Column:
@@ -94,6 +107,29 @@ def intent(question: Column) -> Column:
     return F.when(question.contains("指数") | question.contains("板块"), "zhishu").otherwise("stock")
 
 
+def signed_rate(value: Column) -> Column:
+    """'+2.35%' of a number; nothing of none, and no sign before 0."""
+    number = value.try_cast("double")
+    return F.when(number.isNull(), "").when(number > 0, F.format_string("+%.2f%%", number)).otherwise(F.format_string("%.2f%%", number))
+
+
+def safe_round(value: Column, decimals: int = 2) -> Column:
+    """A number in a text, rounded; null if it is none."""
+    return F.bround(value.try_cast("double"), decimals)
+
+
+def url_parameters(url: Column) -> Column:
+    """The map of an address's query; of equal names the first value."""
+    pairs = F.filter(F.transform(F.split(F.parse_url(url, F.lit("QUERY")), "&"), lambda x: F.split(x, "=", 2)), lambda x: F.get(x, F.lit(1)) != "")
+    known = F.transform(pairs, lambda x: F.struct(F.url_decode(x[0]).alias("name"), F.url_decode(x[1]).alias("value")))
+    first = F.filter(known, lambda x, i: ~F.exists(F.slice(known, F.lit(1), i), lambda y: y["name"] == x["name"]))
+    return F.coalesce(F.map_from_entries(first), F.create_map().cast("map<string,string>"))
+
+
+def hashed(secret: Column) -> Column:
+    return F.sha2(secret, 256)
+
+
 def masked_phone(phone: Column) -> Column:
     return F.concat(F.lit("游客"), F.right(phone, F.lit(4)))
 
@@ -115,19 +151,72 @@ def score_band(score: Column) -> Column:
     return F.when(score >= 9, "high").when(score >= 7, "middle").otherwise("low")
 
 
+def change_sign(change: Column) -> Column:
+    return F.when(change > 0, "up").when(change < 0, "down").otherwise("flat")
+
+
 def composite_score(intensity: Column, move: Column, duration: Column) -> Column:
     """The documented weighting for model replies; nothing in the engine depends on it."""
     return intensity * 0.7 + move * 0.15 + duration * 0.15
 
 
-def recovered_json(text: Column, schema: str) -> Column:
-    """The struct in a model's reply: fences stripped, from the first brace to the last."""
-    return F.from_json(F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)(\{.*\})", 1), schema)
+def _parsed(text: Column, schema: str) -> Column:
+    """The struct in a JSON object, or in a list of just one; null if the text is no JSON."""
+    known = F.try_parse_json(text).isNotNull()
+    several = F.from_json(text, f"array<struct<{schema}>>")
+    return F.when(known & text.startswith("{"), F.from_json(text, schema)).when(known & text.startswith("[") & (F.size(several) == 1), several[0])
+
+
+def recovered_json(blocks: Column, schema: str) -> Column:
+    """The struct in a model's reply, of the last block that holds one: its widest part in brackets, without fences.
+
+    Where no block has one and the schema has WILL_MOVE, a reply that only says NO_MOVE is the struct with that false.
+    """
+    unfenced = F.transform(blocks, lambda x: F.regexp_replace(F.regexp_replace(F.btrim(x), r"(?m)^```json\s*", ""), r"(?m)^```\s*$", ""))
+    found = F.filter(F.transform(F.reverse(unfenced), lambda x: _parsed(F.regexp_extract(x, r"[\[{][\s\S]*[\]}]", 0), schema)), lambda x: x.isNotNull())
+    first = F.get(found, F.lit(0))
+    if f"{WILL_MOVE} " not in schema:
+        return first
+    joined = F.array_join(blocks, "\n")
+    unmoved = ~joined.rlike(rf"\"{WILL_MOVE}\"\s*:\s*(true|false)") & joined.contains(NO_MOVE)
+    return F.coalesce(first, F.when(unmoved, F.from_json(F.lit(f'{{"{WILL_MOVE}": false}}'), schema)))
+
+
+#: Objects in braces that are balanced, up to eight deep.
+BALANCED = r"\{[^{}]*+\}"
+for _ in range(7):
+    BALANCED = rf"\{{(?:[^{{}}]++|{BALANCED})*+\}}"
+
+
+def recovered_batch(blocks: Column, schema: str, needed: tuple[str, ...] = ("id", WILL_MOVE)) -> Column:
+    """The array of structs in a model's reply: of its widest list, else of each object in balanced braces that has all of `needed`.
+
+    Of equal ids the list's last one counts, of objects the first.
+    """
+    kind = f"array<struct<{schema}>>"
+    plain = F.regexp_replace(F.array_join(blocks, "\n"), r"```(?:json)?\s*", "")
+    text = F.regexp_extract(plain, r"\[[\s\S]*\]", 0)
+    listed = F.filter(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, kind)), lambda x: x["id"].isNotNull())
+    last = F.filter(listed, lambda x, i: ~F.exists(F.slice(listed, i + 2, F.size(listed)), lambda y: y["id"] == x["id"]))
+    objects = F.transform(F.regexp_extract_all(plain, F.lit(f"({BALANCED})"), F.lit(1)), lambda x: _parsed(x, schema))
+    good = F.filter(objects, lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed)))
+    first = F.filter(good, lambda x, i: ~F.exists(F.slice(good, F.lit(1), i), lambda y: y["id"] == x["id"]))
+    return F.coalesce(last, first)
+
+
+def aligned(replies: Column, total: Column) -> Column:
+    """The replies of ids 1 to total, null where there is none."""
+    return F.when(total > 0, F.transform(F.sequence(F.lit(1), total), lambda n: F.get(F.filter(replies, lambda x: x["id"] == n), F.lit(0)))).otherwise(F.slice(replies, F.lit(1), F.lit(0)))
+
+
+def recovered_review(blocks: Column, schema: str) -> Column:
+    """The struct in a review's reply (an array of structs type, text): of the last text block that is JSON or has it in braces."""
 
+    def read(x: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(F.btrim(x["text"]), r"^```json\s*", ""), r"\s*```\s*$", "")
+        return F.coalesce(_parsed(text, schema), _parsed(F.regexp_extract(text, r"\{[\s\S]+\}", 0), schema))
 
-def recovered_batch(text: Column, schema: str) -> Column:
-    """The array of structs in a model's reply, null if it has none that parses."""
-    return F.from_json(F.regexp_extract(F.regexp_replace(text, r"```(?:json)?", ""), r"(?s)(\[.*\])", 1), f"array<struct<{schema}>>")
+    return F.get(F.filter(F.transform(F.reverse(F.filter(blocks, lambda x: x["type"] == "text")), read), lambda x: x.isNotNull()), F.lit(0))
 
 
 def filled(template: str, fields: dict[str, Column], most: int = 3000) -> Column:

@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import values
 from .news import first_of_each, ranked
 
+#: Endings that sector names go by or without.
 SUFFIXES = ("行业", "板块", "概念", "设备", "生产", "制造", "相关", "主题")
+#: The tiers of a report's stocks, its appendices, and the links of a chain.
+TIERS = ("第一梯队", "第二梯队", "第三梯队A类", "第三梯队A", "第三梯队B类", "第三梯队B")
+APPENDIX_ONE, APPENDIX_TWO, APPENDIX_END = "附录一", "附录二", ("附录三", "末尾")
+LINKS = ("上游资源", "上游设备", "上游材料", "中游制造", "中游设计", "中游模组", "中游系统", "下游封测", "下游应用")
+COVERED, NO_LINK, UNCOVERED = "已覆盖", "无此环节", "未覆盖"
+
+
+def dimension(rows: DataFrame, most: int = 20_000) -> DataFrame:
+    """A dimension, broadcast if it has at most so many rows; beyond, Spark plans its joins by itself."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def with_stocks(news: DataFrame, stocks: DataFrame, each: int = 10) -> DataFrame:
@@ -42,11 +53,11 @@ def priced(rows: DataFrame, by_code: DataFrame, by_name: DataFrame) -> DataFrame
 def matched_names(names: DataFrame, quotes: DataFrame) -> DataFrame:
     """names (name) with the quote of the same name, else the first by place that contains it or is contained.
 
-    quotes is a dimension of some hundred names that the caller broadcasts.
+    quotes is a dimension of some hundred names, broadcast up to a number of rows.
     """
     q = quotes.select(F.col("name").alias("quote_name"), "place", "price")
     fits = (F.col("name") == F.col("quote_name")) | F.col("quote_name").contains(F.col("name")) | F.col("name").contains(F.col("quote_name"))
-    both = names.join(F.broadcast(q), fits, "left")
+    both = names.join(dimension(q), fits, "left")
     return first_of_each(both, ["name"], [F.desc(F.coalesce(F.col("name") == F.col("quote_name"), F.lit(False))), F.asc("place")]).drop("nth", "place")
 
 
@@ -82,44 +93,92 @@ def sorted_quotes(quotes: DataFrame) -> DataFrame:
 
 
 def searched(keys: DataFrame, sectors: DataFrame, limit: int = 5) -> DataFrame:
-    """Matches of each key (key): the sector of that name alone; else by pinyin initials, then by name, then by keywords.
+    """Matches of each key (key, and pinyin: its initials, '' by default): the sector of that name alone; else by pinyin
+    initials of two letters or more, then by name, then by keywords (tiers 0 to 3).
 
-    Tiers fill up to limit rows and may repeat a sector. LIKE has no case. sectors is a dimension, which is broadcast.
+    Tiers fill up to limit rows, in the order of id, and may repeat a sector. LIKE has no case. The first two tiers are
+    hash joins; the others compare with the whole dimension, which is broadcast up to a number of rows.
     """
-    s = F.broadcast(sectors.select("id", "code", "name", "keywords", "pinyin_initial"))
-    tiers = [(0, F.col("name") == F.col("key")), (1, (F.length("key") >= 2) & (F.col("pinyin_initial") == F.lower("key"))), (2, F.expr("name ilike concat('%', key, '%')")), (3, F.expr("keywords ilike concat('%', key, '%')"))]
+    keys = keys if "pinyin" in keys.columns else keys.withColumn("pinyin", F.lit(""))
+    s = dimension(sectors.select("id", "code", "name", "keywords", "pinyin_initial"))
+    tiers = [
+        (0, F.col("name") == F.col("key")), (1, (F.col("pinyin_initial") == F.col("pinyin")) & (F.length("pinyin") >= 2)),
+        (2, F.expr("name ilike concat('%', key, '%')")), (3, F.expr("keywords ilike concat('%', key, '%')")),
+    ]
     found = None
     for tier, condition in tiers:
         part = keys.join(s, condition).withColumn("tier", F.lit(tier))
         found = part if found is None else found.unionByName(part)
-    w = Window.partitionBy("key").orderBy("tier", "id")
-    exact = F.min("tier").over(Window.partitionBy("key")) == 0
-    return found.withColumns({"_exact": exact, "nth": F.row_number().over(w).cast("long")}).filter(F.when(F.col("_exact"), (F.col("tier") == 0) & (F.col("nth") == 1)).otherwise(F.col("nth") <= limit)).drop("_exact")
+    group = Window.partitionBy("key", "pinyin")
+    exact = F.min("tier").over(group) == 0
+    rows = found.withColumns({"_exact": exact, "nth": F.row_number().over(group.orderBy("tier", "id")).cast("long")})
+    return rows.filter(F.when(F.col("_exact"), (F.col("tier") == 0) & (F.col("nth") == 1)).otherwise(F.col("nth") <= limit)).drop("_exact")
 
 
 def normalised(raw: DataFrame, sectors: DataFrame) -> DataFrame:
-    """The sector of each raw name: as it is, by a keyword, without a suffix, by its first or last 2 to 4 characters."""
-    suffix = f"({'|'.join(SUFFIXES)})$"
+    """The sector of each raw name (raw, and pinyin: its initials, '' by default), by the first of these steps that hits:
+    its own name; its initials as a key; among its first five matches one by keyword; its first match; it without a suffix;
+    its first 2, 3 or 4 characters; its last 2, 3 or 4, by name only.
+    """
+    raw = raw if "pinyin" in raw.columns else raw.withColumn("pinyin", F.lit(""))
+    name, suffix = F.col("raw"), f"({'|'.join(SUFFIXES)})$"
     core = F.regexp_replace("raw", suffix, "")
-    tries = [F.struct(F.lit(0).alias("step"), F.col("raw").alias("key"))]
-    tries += [F.struct(F.lit(1).alias("step"), F.when((core != F.col("raw")) & (F.length(core) >= 2), core).alias("key"))]
-    for n in (2, 3, 4):
-        tries.append(F.struct(F.lit(n).alias("step"), F.when(F.length("raw") > n, F.left("raw", F.lit(n))).alias("key")))
-    for n in (2, 3, 4):
-        tries.append(F.struct(F.lit(n + 3).alias("step"), F.when(F.length("raw") > n, F.right("raw", F.lit(n))).alias("key")))
-    asked = raw.select("raw").distinct().select("raw", F.inline(F.array(*tries))).filter("key is not null")
-    hits = first_of_each(searched(asked.select("key").distinct(), sectors), ["key"], [F.asc("nth")]).select("key", "id", "name")
-    best = first_of_each(asked.join(hits, "key"), ["raw"], [F.asc("step")]).select("raw", "id", "name")
-    return raw.join(best, "raw", "left").withColumn("normalized", F.col("id").isNotNull())
-
-
-def report_rows(reports: DataFrame, tiers: list[str]) -> DataFrame:
-    """Stock rows of reports' markdown tables (report_id, text): report_id, place, tier, code, name, link, dims."""
-    lines = reports.select("report_id", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter("line like '|%' and not contains(line, '---')")
-    cells = lines.withColumn("cells", F.transform(F.split("line", r"\|"), lambda x: F.trim(F.replace(x, F.lit("*"), F.lit("")))))
-    at = lambda i: F.get("cells", F.lit(i))
-    rows = cells.filter((F.size("cells") >= 6) & at(1).isin(tiers) & (F.coalesce(at(4), F.lit("")) != ""))
-    return rows.select("report_id", "place", at(1).alias("tier"), F.when(at(3) == "-", "").otherwise(at(3)).alias("code"), at(4).alias("name"), at(5).alias("link"), at(6).alias("dims"))
+    initials = F.when(F.length("pinyin") >= 2, F.col("pinyin"))
+    # step, key, whether the raw name's initials go with the key, which tiers count
+    tries = [(0, name, True, (0,)), (1, initials, False, (0, 1, 2, 3)), (2, name, True, (3,)), (3, name, True, (0, 1, 2, 3)), (4, F.when((core != name) & (F.length(core) >= 2), core), False, (0, 1, 2, 3))]
+    tries += [(3 + n, F.when(F.length("raw") > n, F.left("raw", F.lit(n))), False, (0, 1, 2, 3)) for n in (2, 3, 4)]
+    tries += [(6 + n, F.when(F.length("raw") > n, F.right("raw", F.lit(n))), False, (0, 2)) for n in (2, 3, 4)]
+    listed = F.array(*(F.struct(F.lit(step).alias("step"), key.alias("key"), (F.col("pinyin") if own else F.lit("")).alias("key_pinyin"), F.lit(step == 2).alias("any_place"), F.array(*map(F.lit, tiers)).alias("tiers")) for step, key, own, tiers in tries))
+    asked = raw.select("raw", "pinyin").distinct().select("raw", "pinyin", F.inline(listed)).filter("key <> ''")
+    keys = asked.select("key", F.col("key_pinyin").alias("pinyin")).distinct()
+    hits = searched(keys, sectors).select("key", F.col("pinyin").alias("key_pinyin"), "tier", "nth", "id", "code", "name")
+    fits = asked.join(hits, ["key", "key_pinyin"]).filter(F.expr("array_contains(tiers, tier) and (any_place or nth = 1)"))
+    best = fits.groupBy("raw", "pinyin").agg(F.min_by(F.struct("id", "code", "name"), F.struct("step", "nth")).alias("best"))
+    return raw.join(best, ["raw", "pinyin"], "left").select(*raw.columns, F.col("best.id").alias("id"), F.col("best.code").alias("code"), F.col("best.name").alias("name"), F.col("best").isNotNull().alias("normalized"))
+
+
+def _cells(reports: DataFrame) -> DataFrame:
+    """report_id, place, line (trimmed) and cells of each line of reports (report_id, text)."""
+    lines = reports.select("report_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.btrim(x))).alias("place", "line"))
+    return lines.withColumn("cells", F.transform(F.split("line", r"\|"), lambda x: F.btrim(x)))
+
+
+def _cell(i: int, bare: bool = False) -> Column:
+    found = F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
+    return F.replace(found, F.lit("*"), F.lit("")) if bare else found
+
+
+def report_rows(reports: DataFrame, tiers: list[str] | None = None) -> DataFrame:
+    """Stock rows of reports' markdown tables (report_id, text): report_id, place, tier, sort, code, name, link, dims, moat, metrics, path."""
+    rows = _cells(reports).filter("contains(line, '|') and not contains(line, '---')")
+    rows = rows.filter((F.size("cells") >= 6) & _cell(1, bare=True).isin(list(tiers or TIERS)) & (_cell(4, bare=True) != ""))
+    dims = F.when(F.size("cells") > 6, values.four_dims(_cell(6)))
+    return rows.select("report_id", "place", _cell(1, bare=True).alias("tier"), _cell(2).alias("sort"), F.when(_cell(3).isin("-", "**-**"), "").otherwise(_cell(3, bare=True)).alias("code"), _cell(4, bare=True).alias("name"), _cell(5).alias("link"), dims.alias("dims"), _cell(7).alias("moat"), _cell(8).alias("metrics"), _cell(9).alias("path"))
+
+
+def _sections(reports: DataFrame) -> DataFrame:
+    """Lines with the number of lines so far, in their report, that name the first or the second appendix, or what follows it."""
+    so_far = Window.partitionBy("report_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    names = {"one": F.col("line").contains(APPENDIX_ONE), "two": F.col("line").contains(APPENDIX_TWO)}
+    rows = _cells(reports).withColumns({k: F.max(v).over(so_far) for k, v in names.items()} | {f"is_{k}": v for k, v in names.items()})
+    end = F.col("two") & ~F.col("is_two") & (F.col("line").contains(APPENDIX_END[0]) | F.col("line").contains(APPENDIX_END[1]))
+    return rows.withColumn("after", F.max(end).over(so_far))
+
+
+def eliminated_rows(reports: DataFrame) -> DataFrame:
+    """Stocks that reports rule out, in the first appendix's table: report_id, place, code, name, reason, rule_no."""
+    rows = _sections(reports).filter("one and not is_one and not two and contains(line, '|') and not contains(line, '---')")
+    rows = rows.filter((F.size("cells") >= 4) & ~_cell(1).isin("名称", "代码", ""))
+    return rows.select("report_id", "place", _cell(1, bare=True).alias("code"), _cell(2, bare=True).alias("name"), _cell(3).alias("reason"), _cell(4).alias("rule_no"))
+
+
+def chain_coverage(reports: DataFrame) -> DataFrame:
+    """What reports say of each link in the second appendix, the last line that names it: report_id, link, state."""
+    rows = _sections(reports).filter("two and not is_two and not after").filter(F.col("line").rlike("[:√×]"))
+    each = rows.select("report_id", "place", "line", F.explode(F.array(*map(F.lit, LINKS))).alias("link")).filter("contains(line, link)")
+    count = F.coalesce(F.nullif(F.regexp_extract("line", r"(\d+)", 1), F.lit("")), F.lit("1"))
+    state = F.when(F.col("line").contains(COVERED) | F.col("line").contains("√"), F.concat(F.lit(COVERED), count, F.lit("家"))).when(F.col("line").contains(NO_LINK), NO_LINK).otherwise(UNCOVERED)
+    return each.groupBy("report_id", "link").agg(F.max_by(state, "place").alias("state"))
 
 
 def running_max(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -143,10 +202,45 @@ def index_quotes(items: DataFrame, item: str = "item") -> DataFrame:
     return items.select(
         either("code", "指数代码").alias("code"), either("指数简称", "name").alias("name"), F.when(change.isNull(), "").otherwise(F.format_string("%.2f%%", change)).alias("change_rate"), picked("指数@收盘价", "指数@最新价").alias("price"),
         picked("指数@换手率").alias("turnover"), picked("指数@成交量").alias("volume"), picked("指数@成交额").alias("amount"), picked("指数@dde大单净额").alias("dde_net_amount"),
+        picked("指数@dde大单净额{/}指数@流通市值{*}10000").alias("dde_intensity"),
         *(count(f"指数@{n}").alias(c) for n, c in (("上涨家数", "advancers"), ("下跌家数", "decliners"), ("涨停家数", "limit_up"), ("跌停家数", "limit_down"))),
     )
 
 
+def stock_quotes(items: DataFrame, item: str = "item") -> DataFrame:
+    """Quotes of stocks from maps of the market's own field names; a missing field is empty."""
+    m = F.col(item)
+    either = lambda *names: F.coalesce(*(F.nullif(m[n], F.lit("")) for n in names), F.lit(""))
+    named = lambda *names: F.coalesce(*(F.nullif(values.dynamic_field(m, n), F.lit("")) for n in names), F.lit(""))
+    return items.select(
+        either("code", "代码").alias("code"), either("name", "股票简称").alias("name"), either("market_code").alias("market_code"), either("price", "最新价").alias("price"), values.signed_rate(named("最新涨跌幅", "涨跌幅:前复权")).alias("change_rate"),
+        named("dde大单净额").alias("dde_net_amount"), named("所属同花顺行业").alias("industrys"), named("换手率").alias("turnover_rate"), named("量比").alias("volume_ratio"),
+    )
+
+
+def sector_quotes(names: DataFrame, sectors: DataFrame, quotes: DataFrame) -> DataFrame:
+    """The quote (name, change_rate) of each raw name's sector; names of no known sector, and sectors without a quote, have null."""
+    found = normalised(names, sectors).withColumnRenamed("name", "sector")
+    return found.join(quotes.select(F.col("name").alias("sector"), "change_rate"), "sector", "left")
+
+
+def values_of_day(quotes: DataFrame, names: DataFrame, day: Column) -> DataFrame:
+    """quotes (name, day, value) of one day for the names asked for; those without a value go."""
+    return quotes.filter((F.col("day") == day) & F.col("value").isNotNull()).join(names.select("name").distinct(), "name", "left_semi").select("name", "value")
+
+
+def sectors_with_stocks(stocks: DataFrame) -> DataFrame:
+    return stocks.select("sector").distinct()
+
+
+def value_strings(news: DataFrame, by_code: DataFrame, by_name: DataFrame) -> DataFrame:
+    """news (id, sectors: array of structs code, name) with value_string: 'name:price|...' of those that have a price, in order."""
+    listed = news.select("id", F.posexplode("sectors").alias("place", "x")).select("id", "place", "x.code", "x.name")
+    told = priced(listed, by_code, by_name).filter("price is not null")
+    made = told.groupBy("id").agg(values.built_values(F.array_sort(F.collect_list(F.struct("place", "name", F.col("price").alias("value"))))).alias("value_string"))
+    return news.join(made, "id", "left").withColumn("value_string", F.coalesce("value_string", F.lit("")))
+
+
 def report(feed: DataFrame, sectors: DataFrame, quotes: DataFrame) -> DataFrame:
     """A feed (id, score, publish_time, sectors as text) with its rank, its known sectors' number and their mean change.
 

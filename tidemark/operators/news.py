@@ -16,6 +16,25 @@ def newest_batch(news: DataFrame, batch: str = "batch_id") -> DataFrame:
     return news.join(F.broadcast(news.agg(F.max(batch).alias("_newest"))), F.col(batch) == F.col("_newest")).drop("_newest")
 
 
+def newest_by_score(news: DataFrame, at: str, limit: int = 20) -> DataFrame:
+    """Of the rows with the greatest time those with the best score."""
+    return newest_batch(news, at).orderBy(F.desc("score"), F.desc("id")).limit(limit)
+
+
+def recent(news: DataFrame, at: str, limit: int = 20) -> DataFrame:
+    return news.orderBy(F.desc(at), F.desc("id")).limit(limit)
+
+
+def created_since(news: DataFrame, at: str, now: Column, days: int) -> DataFrame:
+    """Rows of the last days, for a review."""
+    return news.filter(F.col(at) >= now - F.make_interval(days=F.lit(days)))
+
+
+def with_sectors(news: DataFrame, sectors: str = "sectors") -> DataFrame:
+    """Rows that name a sector."""
+    return news.filter(F.col(sectors) != "")
+
+
 def next_batch_id(news: DataFrame, batch: str = "batch_id") -> DataFrame:
     return news.agg((F.coalesce(F.max(batch), F.lit(0)) + 1).cast("long").alias("next_batch_id"))
 
@@ -56,15 +75,15 @@ def insert_or_ignore(rows: DataFrame, known: DataFrame, arrival: str) -> DataFra
 def admitted(rows: DataFrame, group: str, order: str, is_today: Column, has_date: Column, most: int, stop_after: int) -> DataFrame:
     """Rows of each source until `most` rows have been read or stop_after dated ones in a row are not of today.
 
-    Rows of today and rows without a date are admitted. Islands between rows of today have running counts; the first row
+    No more than `most` rows of a source are read, so no task holds more of it. Rows of today and rows without a date are admitted. Islands between rows of today have running counts; the first row
     that reaches the count is the last that is read.
     """
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"_today": is_today & has_date, "_old": has_date & ~is_today}).withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    rows = first_of_each(rows, [group], [F.asc(order)], most).withColumnRenamed("nth", "_nth").withColumns({"_today": is_today & has_date, "_old": has_date & ~is_today})
     rows = rows.withColumn("_island", F.sum(F.col("_today").cast("int")).over(w))
     rows = rows.withColumn("_run", F.sum(F.col("_old").cast("int")).over(Window.partitionBy(group, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     stop = F.min(F.when(F.col("_run") >= stop_after, F.col("_nth"))).over(Window.partitionBy(group))
-    return rows.withColumn("_stop", stop).filter((F.col("_nth") <= most) & (F.col("_stop").isNull() | (F.col("_nth") <= F.col("_stop"))) & ~F.col("_old")).drop("_today", "_old", "_nth", "_island", "_run", "_stop")
+    return rows.withColumn("_stop", stop).filter((F.col("_stop").isNull() | (F.col("_nth") <= F.col("_stop"))) & ~F.col("_old")).drop("_today", "_old", "_nth", "_island", "_run", "_stop")
 
 
 def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
@@ -96,3 +115,8 @@ def upserted(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def judged(queue_rows: DataFrame, replies: DataFrame) -> DataFrame:
     """Replies (nth from 1, useful) aligned to rows by place: state useful, rejected or, without a reply, failed."""
     return queue_rows.join(replies, "nth", "left").withColumn("state", F.when(F.col("useful").isNull(), "failed").when(F.col("useful"), "useful").otherwise("rejected"))
+
+
+def important(scored: DataFrame) -> DataFrame:
+    """What an insert of scored news adds: news that a reply (struct) says will move, with the reply's fields."""
+    return scored.filter("reply.will_flunctuate").select("id", "title", "url", "reply.*").drop("will_flunctuate")

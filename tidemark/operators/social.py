@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import masked_phone, subscription
 
@@ -54,3 +58,72 @@ def subscribed(subscriptions: DataFrame, orders: DataFrame) -> DataFrame:
     status = F.when(F.col("_asks") & (F.col("status") == "active"), "cancelled").otherwise(F.col("status"))
     old = subscriptions.join(asking, "user_id", "left").withColumn("status", status).select("user_id", "level", "status")
     return old.unionByName(orders.select("user_id", "level", F.lit("active").alias("status")))
+
+
+def edited(comments: DataFrame, requests: DataFrame) -> DataFrame:
+    """Comments with the content that their own user asks for (id, user_id, content); others' requests do nothing."""
+    asked = requests.groupBy("id", "user_id").agg(F.max("content").alias("_content"))
+    return comments.join(asked, ["id", "user_id"], "left").withColumn("content", F.coalesce("_content", "content")).drop("_content")
+
+
+def added(comments: DataFrame, requests: DataFrame) -> DataFrame:
+    """comments and new ones (news_id, user_id, content, created_at), numbered on from the greatest id by time."""
+    last = comments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    # a request's number is the count of those before it: by second first, then within it
+    by_time = requests.groupBy("created_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("created_at").orderBy("user_id", "news_id", "content"))
+    new = requests.join(by_time.withColumn("_before", before).drop("_n"), "created_at").withColumn("_nth", nth).join(F.broadcast(last))
+    return comments.unionByName(new.withColumn("id", F.col("_last") + F.col("_before") + F.col("_nth")).select(*comments.columns))
+
+
+def cancelled(subscriptions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Subscriptions (user_id, level, status) without active ones of the users who cancel."""
+    asking = requests.select("user_id").distinct().withColumn("_asks", F.lit(True))
+    status = F.when(F.col("_asks") & (F.col("status") == "active"), "cancelled").otherwise(F.col("status"))
+    return subscriptions.join(asking, "user_id", "left").withColumn("status", status).drop("_asks")
+
+
+def with_levels(users: DataFrame, orders: DataFrame, cancels: DataFrame) -> DataFrame:
+    """Users (id, level, expires) after orders (user_id, level, expires) and cancellations (user_id); who cancels is free."""
+    new = orders.groupBy(F.col("user_id").alias("id")).agg(F.max(F.struct("expires", "level")).alias("_new"))
+    gone = cancels.select(F.col("user_id").alias("id"), F.lit(True).alias("_gone")).distinct()
+    rows = users.join(new, "id", "left").join(gone, "id", "left")
+    level = F.when(F.col("_gone"), "free").otherwise(F.coalesce("_new.level", "level"))
+    expires = F.when(F.col("_gone").isNull(), F.coalesce("_new.expires", "expires"))
+    return rows.withColumns({"level": level, "expires": expires}).drop("_new", "_gone")
+
+
+def refused(attempts: DataFrame, user: str, at: str, failed: Column, most: int = 5, minutes: int = 5) -> DataFrame:
+    """Attempts with whether each is refused, by counts that are kept for each user.
+
+    Failures count up; a success that isn't refused sets the count to 0. At the first attempt with a count of `most` the
+    user is locked for some minutes and the count is 0 again; that attempt and those until the lock ends are refused.
+    The state after an attempt depends on the one before, so users with so many failures at all are read in order.
+    """
+    rows = attempts.withColumns({"_failed": failed, "_at": F.col(at).cast("timestamp").cast("long")})
+    risky = rows.groupBy(user).agg(F.count_if("_failed").alias("_n")).filter(F.col("_n") >= most).select(user)
+    kinds = T.StructType([*rows.schema.fields, T.StructField("refused", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, count, until = None, 0, -1
+        for frame in batches:
+            out = []
+            for who, when, bad in zip(frame[user], frame["_at"], frame["_failed"], strict=True):
+                if who != now:
+                    now, count, until = who, 0, -1
+                if when < until:
+                    out.append(True)
+                elif count >= most:
+                    count, until = 0, when + 60 * minutes
+                    out.append(True)
+                else:
+                    count = count + 1 if bad else 0
+                    out.append(False)
+            yield frame.assign(refused=out)
+
+    # a user's rows are together and in order in one partition, and pass through it in batches
+    others = [c for c in attempts.columns if c not in (user, at)]
+    ordered = rows.join(risky, user, "left_semi").repartition(user).sortWithinPartitions(user, "_at", *others)
+    calm = rows.join(risky, user, "left_anti").withColumn("refused", F.lit(False))
+    return ordered.mapInPandas(run, kinds).unionByName(calm).drop("_failed", "_at")

@@ -7,12 +7,15 @@ parts, quotes the mean prices of line items, users the customers, comments and c
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, values
 from ..operators import market, news, social
+from ..sources import tables
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -332,54 +335,181 @@ def set_ops(spark: SparkSession, d: str) -> DataFrame:
     return idle.unionByName(asked.join(users.filter("c_acctbal < 0"), "id", "left_semi").select("id", F.lit("both").alias("kind")))
 
 
-@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') || ' 08:05' AS raw, strftime(o_orderdate, '%Y-%m-%d') || ' 08:05:00' AS normalised, strftime(o_orderdate, '%Y-%m-%d') AS of_url, o_orderdate = TIMESTAMP '1998-01-05 00:00:00' AS today FROM orders""")
+#: The forms of a time in which orders are told, by id: SQL's format, Spark's format.
+_TOLD = [
+    ("%Y-%m-%d 08:05", "yyyy-MM-dd' 08:05'"), ("%Y/%m/%d", "yyyy/MM/dd"), ("%Y年%m月%d日 8:05", "yyyy年MM月dd日' 8:05'"), ("%Y-%m-%dT08:05:09", "yyyy-MM-dd'T08:05:09'"), ("%Y-%m-%d 08:05:09.25", "yyyy-MM-dd' 08:05:09.25'"),
+    ("%b %d, %Y", "MMM dd, yyyy"), ("%m/%d/%Y", "MM/dd/yyyy"), ("%Y.%m.%d 08:05:09", "yyyy.MM.dd' 08:05:09'"), ("%Y-%m-%dT08:05", "yyyy-MM-dd'T08:05'"), ("at no time", "'at no time'"),
+]
+_TIMES_SQL = "|".join(dates.FORMS)
+_NORMALISED_SQL = r"""CASE WHEN regexp_matches(raw, '^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') THEN raw WHEN regexp_matches(raw, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}') THEN raw[1:10] || ' ' || raw[12:19]
+  WHEN regexp_matches(raw, '^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}') THEN regexp_extract(raw, '^\d{4}') || '-' || lpad(regexp_extract(raw, '^\d{4}.(\d{1,2})', 1), 2, '0') || '-' || lpad(regexp_extract(raw, '^\d{4}.\d{1,2}.(\d{1,2})', 1), 2, '0') || ' ' ||
+    CASE WHEN regexp_matches(raw, '^\d{4}.\d{1,2}.\d{1,2}日?\s*\d{1,2}:\d{2}') THEN lpad(regexp_extract(raw, '(\d{1,2}):\d{2}', 1), 2, '0') || ':' || regexp_extract(raw, ':(\d{2})', 1) || ':' || coalesce(nullif(regexp_extract(raw, ':\d{2}:(\d{2})', 1), ''), '00') ELSE '00:00:00' END END"""
+
+
+@query(rf"""WITH x AS (SELECT o_orderkey AS id, o_orderdate, 'updated 1990/1/2, posted ' || CASE o_orderkey % 10 {' '.join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, (f, _) in enumerate(_TOLD))} END || ' by x' AS told FROM orders),
+f AS (SELECT id, unnest(found) AS raw, unnest(range(len(found))) AS place FROM (SELECT id, regexp_extract_all(told, '{_TIMES_SQL}') AS found FROM x) AS y),
+n AS (SELECT *, {_NORMALISED_SQL} AS normalised FROM f), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(normalised, raw) DESC, place) AS nth FROM n)
+SELECT x.id, raw, normalised, coalesce(normalised[1:10] = '1998-01-05', FALSE) AS today,
+  CASE x.id % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS of_url FROM x JOIN best ON best.id = x.id AND nth = 1""")
 def date_extract(spark: SparkSession, d: str) -> DataFrame:
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    told = F.concat(F.lit("updated 1990/1/2, posted "), day, F.lit(" 08:05 by x"))
-    url = F.concat(F.lit("http://example.com/n1/"), F.date_format("o_orderdate", "yyyy/MMdd"), F.lit("/c1.html"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), dates.latest_in(told).alias("raw"), dates.from_url(url).alias("of_url"))
+    at, key = F.col("o_orderdate"), F.col("o_orderkey")
+    form = F.coalesce(*(F.when(key % 10 == i, F.date_format(at, f)) for i, (_, f) in enumerate(_TOLD)))
+    told = F.concat(F.lit("updated 1990/1/2, posted "), form, F.lit(" by x"))
+    ends = [F.concat(F.lit("n1/2024/1399/"), F.date_format(at, "yyyy"), F.lit("/x")), F.concat(F.date_format(at, "yyyy/MMdd"), F.lit(".html")), F.lit("n1/2024/0041/x")]
+    ends[0] = F.concat(F.date_format(at, "yyyy/MMdd"), F.lit("/n1/2024/1399/x"))
+    url = F.concat(F.lit("http://example.com/"), F.coalesce(*(F.when(key % 3 == i, e) for i, e in enumerate(ends))))
+    rows = table(spark, d, "orders").select(key.alias("id"), dates.latest_in(told).alias("raw"), dates.from_url(url).alias("of_url"))
     return rows.withColumns({"normalised": dates.normalised(F.col("raw")), "today": dates.is_day(F.col("raw"), F.lit("1998-01-05").cast("date"))})
 
 
-_LISTING = "(regexp_matches(u, '\\.gif$') OR regexp_matches(u, '\\?s=|/category/|/topic/|/channel/') OR regexp_matches(lower(u), '/node/|/list/|/index'))"
+_ENDS = ["/news/2024/01/02/a", "/article/1", "/Index/show/", "/news/a12.htm", "/newsroom/article/1", "/ARTICLE/1.GIF", "/CATEGORY/news/1", "/2024/a.htm", "/news/?s=1", "/a-12-b.html", "/page/show/", ""]
+
+
+def _any_of(text_sql: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text_sql}, '{w}')" for w in words) + ")"
 
 
-@query(f"""WITH x AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url || '/news/2024/01/02/a' WHEN 1 THEN url || '/article/1' WHEN 2 THEN url || '/Index/show/' WHEN 3 THEN url || '/news/a12.htm' ELSE url END AS u FROM pages)
-SELECT page_id, NOT {_LISTING} AND CASE WHEN regexp_matches(u, '/news') THEN regexp_matches(u, '/news/[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}/') ELSE regexp_matches(u, '/article/|/info/|/detail/|/show/') END AS listed,
-NOT ({_LISTING} OR regexp_matches(lower(u), '/page')) AND (regexp_matches(u, '[0-9]+\\.s?html?') OR regexp_matches(u, '/news/|/article/|/info/|/detail/|/show/')) AS learned FROM x""")
+@query(rf"""WITH x AS (SELECT page_id, url || CASE page_id % 12 {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDS))} END AS u FROM pages)
+SELECT page_id, NOT suffix(lower(u), '.gif') AND NOT {_any_of('u', text.LISTS)} AND NOT {_any_of('lower(u)', text.LISTS_ANY_CASE)}
+  AND CASE WHEN regexp_matches(u, '/news(/|$|\?)') THEN regexp_matches(u, '/news/\d{{4}}/\d{{2}}/\d{{2}}/') ELSE {_any_of('lower(u)', text.ARTICLES)} END AS listed,
+NOT suffix(lower(u), '.gif') AND NOT {_any_of('lower(u)', text.LEARNED_LISTS)} AND (((regexp_matches(u, '/\d+') OR regexp_matches(u, '[-.]\d+[-.]')) AND contains(u, '.htm')) OR {_any_of('lower(u)', text.LEARNED_ARTICLES)}) AS learned FROM x""")
 def url_is_article(spark: SparkSession, d: str) -> DataFrame:
-    ends = ["/news/2024/01/02/a", "/article/1", "/Index/show/", "/news/a12.htm"]
-    url = F.concat("url", F.coalesce(*(F.when(F.col("page_id") % 5 == i, e) for i, e in enumerate(ends)), F.lit("")))
+    url = F.concat("url", F.coalesce(*(F.when(F.col("page_id") % 12 == i, e) for i, e in enumerate(_ENDS))))
     return table(spark, d, "pages").select("page_id", text.is_article_url(url).alias("listed"), text.is_article_url_learned(url).alias("learned"))
 
 
+@query(r"SELECT page_id, nullif(regexp_extract(url, '[?&]utm_source=([^&#]*)', 1), '') AS origin FROM pages")
+def url_origin(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", values.url_parameters(F.col("url"))["utm_source"].alias("origin"))
+
+
 @query("SELECT page_id, regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) AS title, coalesce(contains(html, '<article>'), FALSE) AS has_article FROM pages")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.title_of(F.col("html")).alias("title"), F.coalesce(F.col("html").contains("<article>"), F.lit(False)).alias("has_article"))
 
 
-@query()
+def _plain_sql(part: str, between: str = "") -> str:
+    """SQL that takes tags out of a part of a page and reads the character references that the test pages have."""
+    found = f"regexp_replace({part}, '<[^>]+>', '{between}', 'g')"
+    return reduce(lambda c, kv: f"replace({c}, '{kv[0]}', '{kv[1]}')", (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")), found)
+
+
+def _spaced_sql(part: str) -> str:
+    return f"trim(regexp_replace({part}, '\\s+', ' ', 'g'))"
+
+
+def _paragraphs_sql(part: str) -> str:
+    kept = f"len(p) >= 15 AND NOT {_any_of('p', text.PARAGRAPH_NOISE)} AND NOT starts_with(p, 'http') AND NOT regexp_matches(p, '^\\[.+\\]\\(https?://') AND NOT (regexp_matches(p, '^\\d{{4}}[-/年]\\d{{1,2}}[-/月]\\d{{1,2}}[日]?\\s*\\d{{1,2}}:\\d{{2}}') AND len(p) < 30)"
+    found = f"list_transform(regexp_extract_all({part}, '(?is)<p[^>]*>(.*?)</p>', 1), lambda p: regexp_replace({_plain_sql('p')}, '^\\s+|\\s+$', '', 'g'))"
+    return f"nullif(array_to_string(list_filter({found}, lambda p: {kept}), ' '), '')".replace("{{", "{").replace("}}", "}")
+
+
+@query(rf"""WITH x AS (SELECT page_id, html, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS area FROM pages),
+b AS (SELECT page_id, html, area, {_spaced_sql(_plain_sql('area'))} AS body FROM x),
+p AS (SELECT page_id, html, CASE WHEN length(body) >= 200 THEN body ELSE coalesce({_paragraphs_sql('area')}, {_paragraphs_sql('html')}, regexp_replace({_plain_sql('html', ' ')}, '\s{{3,}}', ' ', 'g')) END AS body FROM b)
+SELECT page_id, {_spaced_sql("regexp_replace(body, '#{1,6}\\s+', '', 'g')")} AS body FROM p""")
 def html_body(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", text.body_of(F.col("html")).alias("body"), dates.of_page(F.col("html"), F.col("url")).alias("published"))
+    return table(spark, d, "pages").select("page_id", text.body_of(F.col("html"), F.col("url")).alias("body"))
+
 
+#: Pages told with a time in each of the places where it may stand; the SQL gives what is found.
+_PAGE_TIMES = [
+    ("<span class='time'>2025年01月02日 23:22</span> 2026-01-01", "2025年01月02日 23:22"), ('<div class="news_info">2025-01-03</div> 2026-01-01', "2025-01-03"), ('<meta name="publishdate" content="2025-01-04T08:00:00">', "2025-01-04T08:00:00"),
+    ("<meta name='og:published_time' content='2025-01-05'> 2026-01-01", "2025-01-05"), ("<time datetime='2025-01-06 10:00'> 2026-01-01", "2025-01-06 10:00"), ("<p>2025-01-07 and 2025/01/08</p>", "2025/01/08"), ("<p>none</p>", "2025-01-09 00:00:00"),
+]
 
-@query("""WITH x AS (SELECT doc_id, length(text) AS n, length(regexp_replace(text, '[^<>{]', '', 'g')) AS m FROM documents)
-SELECT doc_id, n AS n_chars, n < 200 AS short, m * 20 > n AS markup, NOT n < 200 AND NOT m * 20 > n AS passed FROM x""")
+
+@query(f"""SELECT page_id, CASE page_id % 7 {' '.join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_PAGE_TIMES))} END AS published FROM pages""")
+def page_times(spark: SparkSession, d: str) -> DataFrame:
+    html = F.coalesce(*(F.when(F.col("page_id") % 7 == i, h) for i, (h, _) in enumerate(_PAGE_TIMES)))
+    return table(spark, d, "pages").select("page_id", dates.of_page(html, F.concat("url", F.lit("/2025/0109/"))).alias("published"))
+
+
+_MARKS = ['<i class="article_content">', '<i id="news_detail">', "see news.smm.cn", '<i class="people_news_content">', '<b class="article" pubdate>', ""]
+
+
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'cnenergynews' WHEN 1 THEN 'mydrivers' WHEN 2 THEN 'smm' WHEN 3 THEN 'people' WHEN 4 THEN 'cnenergynews' ELSE CASE page_id % 4 WHEN 1 THEN 'moa' WHEN 3 THEN 'mydrivers' ELSE 'unknown' END END AS source FROM pages")
+def page_sources(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("page_id")
+    html = F.concat("html", F.coalesce(*(F.when(key % 6 == i, m) for i, m in enumerate(_MARKS))))
+    url = F.concat("url", F.when(key % 4 == 1, "?www.moa.gov.cn").when(key % 4 == 3, "?news.mydrivers.com").otherwise(""))
+    return table(spark, d, "pages").select("page_id", text.source_of(url, html).alias("source"))
+
+
+@query(f"""WITH x AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN regexp_extract(html, '<title[^>]*>([^<]*)</title>', 1) WHEN 1 THEN regexp_extract(html, '(?s)<nav>.*?</nav>') ELSE '' END AS part, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1 FROM pages)
+SELECT page_id, {_spaced_sql(_plain_sql('part'))} AS found, CASE WHEN length({_spaced_sql(_plain_sql('h1'))}) >= 50 THEN {_spaced_sql(_plain_sql('h1'))} END AS heading FROM x""")
+def source_patterns(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("page_id")
+    pattern = F.when(key % 3 == 0, "<title[^>]*>([^<]*)</title>").when(key % 3 == 1, "<nav>.*?</nav>").otherwise("(not there)")
+    tried = text.by_all_patterns(F.col("html"), {"h1": "<h1>(.*?)</h1>", "none": "(not there)"})
+    return table(spark, d, "pages").select("page_id", text.by_source_pattern(F.col("html"), pattern).alias("found"), tried["h1"].alias("heading"))
+
+
+@query("""SELECT page_id, place, title, url, subtitle, list_date FROM (SELECT page_id, 1 AS place, 'Plain title ' || page_id AS title, 'http://x.example/article/' || page_id AS url, '' AS subtitle, '2024-01-02' AS list_date FROM pages
+UNION ALL SELECT page_id, 3, 'Headline number ' || page_id, 'http://x.example/info/' || page_id, 'A subtitle of page ' || page_id, CASE WHEN page_id % 2 = 0 THEN '2024-03-05' END FROM pages
+UNION ALL SELECT page_id, 7, 'Other title ' || page_id, 'http://x.example/news/2024/05/06/' || page_id, '', '2024-05-06' FROM pages) AS x""")
+def list_page_articles(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("page_id").cast("string")
+    lines = [
+        F.lit("# List"), F.concat(F.lit("[Plain title "), key, F.lit(" 2024-01-02](http://x.example/article/"), key, F.lit(")")), F.lit("[About these pages](http://x.example/about)"), F.concat(F.lit("[Read more](http://x.example/info/"), key, F.lit(")")),
+        F.concat(F.lit("**[News] Headline number "), key, F.lit("**")), F.when(F.col("page_id") % 2 == 0, "2024-03-05").otherwise("short"), F.concat(F.lit("A *subtitle* of page "), key), F.concat(F.lit("[Other title "), key, F.lit("](http://x.example/news/2024/05/06/"), key, F.lit(")")),
+    ]
+    return table(spark, d, "pages").select("page_id", F.inline(text.listed_articles(F.concat_ws("\n", *lines))))
+
+
+_TITLE_SQL = "CASE doc_id % 5 WHEN 0 THEN '【图片】' || left(text, 20) WHEN 1 THEN '12345' WHEN 2 THEN left(text, 3) ELSE left(text, 30) END"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, length(coalesce(text, '')) AS n, coalesce({_TITLE_SQL}, '') AS title, CASE doc_id % 3 WHEN 0 THEN '2024-01-01 00:00:00' WHEN 1 THEN '2024-01-01' END AS t, length(regexp_replace(coalesce(text, ''), '[^<>{{]', '', 'g')) AS m FROM documents),
+y AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(trim(title), '{p}') THEN 'noise_title:{p}'" for p in text.BAD_TITLES)} END AS noise FROM x)
+SELECT doc_id, n AS n_chars, length(title) AS title_chars, t IS NOT NULL AS has_time, coalesce(t = '2024-01-01 00:00:00', FALSE) AS time_is_zero, n >= 200 AND length(title) >= 5 AND noise IS NULL AND NOT m > n * CAST(0.05 AS DOUBLE) AS passed,
+  concat_ws(';', CASE WHEN n < 200 THEN 'content_too_short:' || n END, CASE WHEN length(title) < 5 THEN 'title_missing_or_too_short' END, CASE WHEN t = '2024-01-01 00:00:00' THEN 'time_may_be_missing' END, noise, CASE WHEN m > n * CAST(0.05 AS DOUBLE) THEN 'content_impure:label_chars=' || m END) AS issues FROM y""")
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
-    report = text.quality(F.lit("A plain title"), F.col("text"), F.lit("2024-01-01 10:00:00"))
-    return table(spark, d, "documents").select("doc_id", report.alias("r")).select("doc_id", "r.n_chars", "r.short", "r.markup", "r.passed")
+    key = F.col("doc_id")
+    title = F.when(key % 5 == 0, F.concat(F.lit("【图片】"), F.left("text", F.lit(20)))).when(key % 5 == 1, "12345").when(key % 5 == 2, F.left("text", F.lit(3))).otherwise(F.left("text", F.lit(30)))
+    at = F.when(key % 3 == 0, "2024-01-01 00:00:00").when(key % 3 == 1, "2024-01-01")
+    rows = table(spark, d, "documents").select("doc_id", text.quality(title, F.col("text"), at).alias("r"))
+    return rows.select("doc_id", "r.n_chars", "r.title_chars", "r.has_time", "r.time_is_zero", "r.passed", F.array_join("r.issues", ";").alias("issues"))
 
 
-@query()
+_LINES_SQL = rf"""l AS (SELECT doc_id, unnest(range(len(lines))) AS nth, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) AS x),
+s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS plain FROM l), m AS (SELECT *, length(plain) AS n FROM s),
+o AS (SELECT *, CASE WHEN n = 0 THEN 0e0 WHEN n < 5 THEN 1e-1 ELSE greatest(0e0, least(1e0, CASE WHEN n < 15 THEN 2e-1 WHEN n < 30 THEN 5e-1 WHEN n < 200 THEN 8e-1 ELSE 6e-1 END * 2e-1
+  + (1 - length(regexp_replace(array_to_string(regexp_extract_all(line, '\[[^\]]*\]\([^)]+\)|<a[^>]*>[^<]*</a>'), ''), '[\[\](){{}}<>`]', '', 'g')) / CAST(n AS DOUBLE)) * 2e-1 + (n - length(regexp_replace(plain, '[一-鿿]', '', 'g'))) / CAST(n AS DOUBLE) * 3e-1
+  + (1 - (n - length(regexp_replace(plain, '[a-zA-Z0-9]', '', 'g'))) / CAST(n AS DOUBLE)) * 15e-2 - least(5e-1, ({' + '.join(f"CAST(contains(plain, '{w}') AS INTEGER)" for w in text.NOISE)}) * 15e-2) + CASE WHEN regexp_matches(plain, '[。！？.!?]$') THEN 1e-1 ELSE 0e0 END)) END AS score FROM m),
+k AS (SELECT * FROM o WHERE n >= 3 AND NOT regexp_matches(plain, '^[|\-=•○●◆■□▪▫◦▪*]{{3,}}$') AND NOT (n < 10 AND regexp_matches(plain, '^[a-zA-Z0-9\s().,;:!?-]+$')) AND score >= 25e-2),
+kept AS (SELECT * FROM (SELECT *, lag(plain) OVER (PARTITION BY doc_id ORDER BY nth) AS before FROM k) AS y WHERE before IS DISTINCT FROM plain)"""
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, CAST(nth AS INTEGER) AS nth, round(score, 6) AS score FROM kept")
 def line_score_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' lines that score at least 0.25, without those equal to the line before."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "line"))
-    kept = lines.withColumn("score", text.line_score(F.col("line"))).filter("score >= 0.25")
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("nth"))
-    return kept.withColumn("before", before).filter("not (before <=> line)").select("doc_id", "nth", F.round("score", 6).alias("score"))
+    """Documents' lines that score at least 0.25, without those equal to the line before. Each line is scored once."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(text.article_lines(F.col("text"))).alias("x"))
+    return lines.select("doc_id", F.col("x.place").alias("nth"), F.round("x.score", 6).alias("score"))
+
+
+@query(f"""WITH {_LINES_SQL}, t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nth) AS text FROM kept GROUP BY doc_id),
+c AS (SELECT doc_id, {reduce(lambda c, p: f"regexp_replace({c}, '{p}', '', 'g')", text.BOILERPLATE, 'text')} AS cleaned FROM t)
+SELECT d.doc_id, coalesce(regexp_replace(regexp_replace(cleaned, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), '') AS cleaned FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id WHERE d.text IS NOT NULL""".replace("{{3,}}", "{3,}"))
+def boilerplate_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.without_boilerplate(F.col("text")).alias("cleaned"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) AS x)
+SELECT doc_id, line AS best FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, place DESC) AS nth FROM l) AS y WHERE nth = 1""")
+def best_candidate(spark: SparkSession, d: str) -> DataFrame:
+    """Of several texts for one article the longest, of equal ones the one of the best score."""
+    told = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.length(x).alias("size"), i.alias("score"), x.alias("text")))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_max(told)["text"].alias("best"))
+
 
+@query("SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY md5('7|' || CAST(page_id AS VARCHAR))) AS nth FROM pages) AS x WHERE nth <= 5")
+def sampled_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Five pages at random, the same ones for the same seed: this operator samples."""
+    return table(spark, d, "pages").select("page_id").orderBy(F.md5(F.concat(F.lit("7|"), F.col("page_id").cast("string")))).limit(5)
 
-@query("SELECT p_partkey AS code, CASE WHEN p_size > 25 THEN '高' ELSE '低' END AS first, '未知' AS second, '中' AS third, '未知' AS fourth FROM part")
+
+@query("SELECT p_partkey AS code, CASE WHEN p_size > 25 THEN '高' ELSE '低' END AS first, '' AS second, '中' AS third, '未知' AS fourth FROM part")
 def four_dims_parse(spark: SparkSession, d: str) -> DataFrame:
     dims = values.four_dims(F.concat(F.when(F.col("size") > 25, "高").otherwise("低"), F.lit("//中")))
     names = dict(zip(("first", "second", "third", "fourth"), values.DIMENSIONS, strict=True))
@@ -393,15 +523,65 @@ def report_table_parse(spark: SparkSession, d: str) -> DataFrame:
     return market.report_rows(reports, ["Brand#1", "Brand#2"]).select("report_id", "tier", "code", "name")
 
 
-@query("""WITH s AS (SELECT n_nationkey AS id, n_name AS name FROM nation), k AS (SELECT DISTINCT p_name AS raw FROM part UNION SELECT n_name FROM nation UNION SELECT lower(n_name) || '板块' FROM nation),
-tries AS (SELECT raw, 0 AS step, raw AS key FROM k UNION ALL SELECT raw, 1, left(raw, length(raw) - 2) FROM k WHERE suffix(raw, '板块')
-  UNION ALL SELECT raw, n, left(raw, n) FROM k, (VALUES (2), (3), (4)) AS v(n) WHERE length(raw) > n UNION ALL SELECT raw, n + 3, right(raw, n) FROM k, (VALUES (2), (3), (4)) AS v(n) WHERE length(raw) > n),
-hits AS (SELECT raw, step, id, s.name, row_number() OVER (PARTITION BY raw ORDER BY step, s.name = key DESC, id) AS nth FROM tries JOIN s ON s.name = key OR contains(lower(s.name), lower(key)))
-SELECT k.raw, id, name, id IS NOT NULL AS normalized FROM k LEFT JOIN (SELECT * FROM hits WHERE nth = 1) AS h ON h.raw = k.raw""")
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """A report of each part type, with both appendices: parts are what it rules out, their number what a link has."""
+    cell = F.concat(F.lit("| **"), F.col("p_partkey").cast("string"), F.lit("** | "), F.col("p_name"), F.lit(" | of size "), F.col("p_size").cast("string"), F.lit(" | R"), (F.col("p_size") % 4).cast("string"), F.lit(" |"))
+    by = table(spark, d, "part").groupBy(F.col("p_type").alias("report_id")).agg(F.array_join(F.collect_list(cell), "\n").alias("rows"), F.count(F.lit(1)).cast("string").alias("n"))
+    parts = [F.lit("# Report\n| x | 1 | 2 | 3 |\n附录一 已剔除\n| 名称 | 代码 | 原因 | 规则 |\n|---|---|---|---|\n"), F.col("rows"), F.lit("\n附录二 覆盖\n上游资源: 已覆盖 "), F.col("n"), F.lit(" 家\n中游制造 √\n下游应用: 无此环节\n下游封测 ×\n其他\n附录三\n上游设备: √ 9")]
+    return by.select("report_id", F.concat(*parts).alias("text"))
+
+
+@query("SELECT p_type AS report_id, CAST(p_partkey AS VARCHAR) AS code, p_name AS name, 'of size ' || p_size AS reason, 'R' || (p_size % 4) AS rule_no FROM part")
+def report_eliminated(spark: SparkSession, d: str) -> DataFrame:
+    return market.eliminated_rows(_reports(spark, d)).select("report_id", "code", "name", "reason", "rule_no")
+
+
+@query("""WITH n AS (SELECT p_type AS report_id, count(*) AS n FROM part GROUP BY p_type)
+SELECT report_id, '上游资源' AS link, '已覆盖' || n || '家' AS state FROM n UNION ALL SELECT report_id, '中游制造', '已覆盖1家' FROM n UNION ALL SELECT report_id, '下游应用', '无此环节' FROM n UNION ALL SELECT report_id, '下游封测', '未覆盖' FROM n""")
+def report_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return market.chain_coverage(_reports(spark, d))
+
+
+#: Sectors with initials and other names, and raw names that reach each step: initials, keywords that beat LIKE, LIKE, suffix, parts.
+_SECTORS_SQL = "s AS (SELECT n_nationkey AS id, n_name AS name, 'p' || n_nationkey || 'q' AS initials, 'kw' || n_nationkey || ',' || left((SELECT m.n_name FROM nation m WHERE m.n_nationkey = (nation.n_nationkey + 3) % 25), 4) AS keywords FROM nation)"
+_RAW_SQL = "k AS (SELECT DISTINCT p_name AS raw, '' AS pinyin FROM part UNION SELECT n_name, '' FROM nation UNION SELECT lower(n_name) || '板块', '' FROM nation UNION SELECT left(n_name, 4), '' FROM nation UNION SELECT 'zz' || n_nationkey, 'p' || n_nationkey || 'q' FROM nation UNION SELECT '#' || n_nationkey, left(n_name, 2) FROM nation UNION SELECT 'KW' || n_nationkey || '设备', '' FROM nation UNION SELECT 'xyzq' || right(n_name, 3), '' FROM nation)"
+_STEPS_SQL = "SELECT raw, pinyin, {step} AS step, {key} AS key, {own} AS own, {least} AS from_tier, {most} AS to_tier, {any} AS any_place FROM k WHERE {where}"
+_TRIES = [(0, "raw", "pinyin", 0, 0, "FALSE", "TRUE"), (1, "pinyin", "''", 0, 3, "FALSE", "length(pinyin) >= 2"), (2, "raw", "pinyin", 3, 3, "TRUE", "TRUE"), (3, "raw", "pinyin", 0, 3, "FALSE", "TRUE")]
+_TRIES += [(4, "regexp_replace(raw, '(行业|板块|概念|设备|生产|制造|相关|主题)$', '')", "''", 0, 3, "FALSE", "regexp_matches(raw, '..(行业|板块|概念|设备|生产|制造|相关|主题)$')")]
+_TRIES += [(3 + n, f"left(raw, {n})", "''", 0, 3, "FALSE", f"length(raw) > {n}") for n in (2, 3, 4)] + [(6 + n, f"right(raw, {n})", "''", 0, 2, "FALSE", f"length(raw) > {n}") for n in (2, 3, 4)]
+_NORMALISE_SQL = f"""t AS ({' UNION ALL '.join(_STEPS_SQL.format(step=a, key=b, own=c, least=e, most=f, any=g, where=h) for a, b, c, e, f, g, h in _TRIES)}),
+h AS (SELECT t.*, 0 AS tier, s.id, s.name FROM t JOIN s ON s.name = key UNION ALL SELECT t.*, 1, s.id, s.name FROM t JOIN s ON s.initials = own AND length(own) >= 2
+  UNION ALL SELECT t.*, 2, s.id, s.name FROM t JOIN s ON s.name ILIKE '%' || key || '%' UNION ALL SELECT t.*, 3, s.id, s.name FROM t JOIN s ON s.keywords ILIKE '%' || key || '%'),
+p AS (SELECT *, row_number() OVER (PARTITION BY raw, pinyin, step ORDER BY tier, id) AS nth, min(tier) OVER (PARTITION BY raw, pinyin, step) = 0 AS exact FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY raw, pinyin ORDER BY step, nth) AS choice FROM p WHERE (CASE WHEN exact THEN tier = 0 AND nth = 1 ELSE nth <= 5 END) AND tier BETWEEN from_tier AND to_tier AND (any_place OR nth = 1) AND (step < 9 OR tier IN (0, 2)))"""
+
+
+def _sectors(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    other = nation.select(((F.col("n_nationkey") + 22) % 25).alias("n_nationkey"), F.left("n_name", F.lit(4)).alias("other"))
+    key = F.col("n_nationkey").cast("string")
+    return nation.join(other, "n_nationkey").select(
+        F.col("n_nationkey").alias("id"), key.alias("code"), F.col("n_name").alias("name"), F.concat(F.lit("kw"), key, F.lit(","), "other").alias("keywords"), F.concat(F.lit("p"), key, F.lit("q")).alias("pinyin_initial")
+    )
+
+
+def _raw_names(spark: SparkSession, d: str) -> DataFrame:
+    nation, key, name, none = table(spark, d, "nation"), F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit("")
+    told = [(name, none), (F.concat(F.lower(name), F.lit("板块")), none), (F.left(name, F.lit(4)), none), (F.concat(F.lit("zz"), key), F.concat(F.lit("p"), key, F.lit("q"))), (F.concat(F.lit("#"), key), F.left(name, F.lit(2))), (F.concat(F.lit("KW"), key, F.lit("设备")), none), (F.concat(F.lit("xyzq"), F.right(name, F.lit(3))), none)]
+    pairs = nation.select(F.inline(F.array(*(F.struct(r.alias("raw"), p.alias("pinyin")) for r, p in told))))
+    return table(spark, d, "part").select(F.col("p_name").alias("raw"), none.alias("pinyin")).unionByName(pairs).distinct()
+
+
+@query(f"WITH {_SECTORS_SQL}, {_RAW_SQL}, {_NORMALISE_SQL} SELECT k.raw, k.pinyin, id, name, id IS NOT NULL AS normalized FROM k LEFT JOIN (SELECT * FROM f WHERE choice = 1) AS b ON b.raw = k.raw AND b.pinyin = k.pinyin")
 def entity_normalise(spark: SparkSession, d: str) -> DataFrame:
-    sectors = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"), F.lit("").alias("keywords"), F.lit("").alias("pinyin_initial"))
-    raw = table(spark, d, "part").select(F.col("p_name").alias("raw")).union(sectors.select("name")).union(sectors.select(F.concat(F.lower("name"), F.lit("板块")))).distinct()
-    return market.normalised(raw, sectors).select("raw", "id", "name", "normalized")
+    return market.normalised(_raw_names(spark, d), _sectors(spark, d)).select("raw", "pinyin", "id", "name", "normalized")
+
+
+@query(f"""WITH {_SECTORS_SQL}, {_RAW_SQL}, {_NORMALISE_SQL}, q AS (SELECT n_name AS name, '+' || n_regionkey || '%' AS change_rate FROM nation WHERE n_nationkey < 15)
+SELECT k.raw, k.pinyin, b.name AS sector, change_rate FROM k LEFT JOIN (SELECT * FROM f WHERE choice = 1) AS b ON b.raw = k.raw AND b.pinyin = k.pinyin LEFT JOIN q ON q.name = b.name""")
+def sector_quote_lookup(spark: SparkSession, d: str) -> DataFrame:
+    quotes = table(spark, d, "nation").filter("n_nationkey < 15").select(F.col("n_name").alias("name"), F.concat(F.lit("+"), F.col("n_regionkey").cast("string"), F.lit("%")).alias("change_rate"))
+    return market.sector_quotes(_raw_names(spark, d), _sectors(spark, d), quotes).select("raw", "pinyin", "sector", "change_rate")
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_nationkey = 3 OR c_acctbal < 1000 THEN 'free' ELSE c_mktsegment END AS state FROM customer")
@@ -410,16 +590,35 @@ def subscription_state(spark: SparkSession, d: str) -> DataFrame:
     return social.states(users, F.lit(1000.0)).select("id", "state")
 
 
-@query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS failures FROM events")
+@query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS failures, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) >= 5 AS locked FROM events")
 def login_lock(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    return social.locked(rows, "user_id", "ts", F.col("event_type") == "error", minutes=1440).select("event_id", "failures")
+    return social.locked(rows, "user_id", "ts", F.col("event_type") == "error", minutes=1440).select("event_id", "failures", "locked")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k, CASE WHEN event_id % 5 = 4 THEN FALSE END AS moves FROM events")
 def llm_json_recover(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
-    return table(spark, d, "events").select("event_id", values.recovered_json(reply, "k int")["k"].alias("k"))
+    """Replies in blocks: the last one that holds JSON counts, in a list of one or not; one that only says no is no."""
+    props, key = F.col("props"), F.col("event_id") % 5
+    told = F.when(key == 0, F.concat(F.lit("Sure:\n```json\n"), props, F.lit("\n```\nDone."))).when(key == 1, F.concat(F.lit("["), props, F.lit("]"))).when(key < 4, props).otherwise("不会引起市场波动")
+    blocks = F.when(key == 4, F.array(F.lit("thinking"), told)).otherwise(F.array(F.lit('draft {"k": -1}'), told, F.lit("that {is} all"), F.lit(" ")))
+    return table(spark, d, "events").select("event_id", values.recovered_json(blocks, "k int, will_flunctuate boolean").alias("r")).select("event_id", "r.k", F.col("r.will_flunctuate").alias("moves"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN FALSE END AS first, CASE WHEN event_id % 2 = 1 THEN TRUE END AS second, CASE WHEN event_id % 2 = 0 THEN FALSE END AS third FROM events")
+def llm_batch_recover(spark: SparkSession, d: str) -> DataFrame:
+    """Replies on three news: a list whose last entry of an id counts, or loose objects whose first does."""
+    listed = F.array(F.lit('ok\n```json\n[{"id": 3, "will_flunctuate": true}, {"id": 7, "will_flunctuate": true},'), F.lit('{"id": 3, "will_flunctuate": false}]\n```'))
+    loose = F.array(F.lit('[1] {"id": 2, "will_flunctuate": true} {broken} {"id": 2, "will_flunctuate": false} {"id": 1, "will_flunctuate": false, "why": {"a": {"b": 1}}} ]'), F.lit('{"id": 3}'))
+    found = values.aligned(values.recovered_batch(F.when(F.col("event_id") % 2 == 0, listed).otherwise(loose), "id int, will_flunctuate boolean"), F.lit(3))
+    return table(spark, d, "events").select("event_id", *(F.get(found, F.lit(i))["will_flunctuate"].alias(n) for i, n in enumerate(("first", "second", "third"))))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
+def review_recover(spark: SparkSession, d: str) -> DataFrame:
+    told = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("So: "), "props", F.lit("!"))).otherwise("no")
+    blocks = F.array(F.struct(F.lit("text").alias("type"), told.alias("text")), F.struct(F.lit("thinking").alias("type"), F.lit('{"k": -1}').alias("text")))
+    return table(spark, d, "events").select("event_id", values.recovered_review(blocks, "k int")["k"].alias("k"))
 
 
 @query("WITH {news} SELECT id, CASE WHEN user_id % 3 = 0 THEN 'failed' WHEN user_id % 3 = 1 THEN 'useful' ELSE 'rejected' END AS state FROM news WHERE batch_id = (SELECT max(batch_id) FROM news)")
@@ -443,11 +642,14 @@ def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
     return news.upserted(rows, changes, "id")
 
 
-@query("SELECT o_orderkey AS id, count(event_id) AS n_comments, coalesce(string_agg(event_type, '|' ORDER BY ts, event_id), '') AS comments FROM orders LEFT JOIN events ON event_id % 500 = o_orderkey AND event_type <> 'view' WHERE o_orderkey < 500 GROUP BY o_orderkey")
+@query("""WITH f AS (SELECT min(o_orderkey) AS id, o_custkey FROM orders GROUP BY o_custkey)
+SELECT o_orderkey AS id, count(event_id) AS n_comments, coalesce(string_agg(event_type, '|' ORDER BY ts, event_id), '') AS comments FROM orders LEFT JOIN f ON f.id = o_orderkey LEFT JOIN events ON user_id = f.o_custkey AND event_type <> 'view' GROUP BY o_orderkey""")
 def comments_for_review(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).filter("id < 500")
-    comments = table(spark, d, "events").filter("event_type <> 'view'").select((F.col("event_id") % 500).alias("news_id"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("content"))
-    out = social.reviewed(rows, comments)
+    """Every order with the comments on it: a customer's first order has all of their events but views."""
+    orders = table(spark, d, "orders")
+    first = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderkey").alias("news_id"))
+    comments = table(spark, d, "events").filter("event_type <> 'view'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("content")).join(first, "user_id")
+    out = social.reviewed(orders.select(F.col("o_orderkey").alias("id")), comments)
     return out.select("id", F.size("comments").cast("long").alias("n_comments"), F.array_join("comments", "|").alias("comments"))
 
 
@@ -536,6 +738,195 @@ def sector_report(spark: SparkSession, d: str) -> DataFrame:
     return market.report(feed, sectors, quotes)
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, '' AS market_code, CAST(p_size AS VARCHAR) AS price, CASE WHEN p_size = 1 THEN '' WHEN p_size > 25 THEN printf('+%.2f%%', CAST(p_size - 25 AS DOUBLE)) ELSE printf('%.2f%%', CAST(p_size - 25 AS DOUBLE)) END AS change_rate, CAST(p_size AS VARCHAR) AS turnover_rate, p_type AS industrys FROM part""")
+def stock_quotes(spark: SparkSession, d: str) -> DataFrame:
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    change = F.when(size != 1, (size - 25).cast("string"))
+    fields = [("代码", key), ("股票简称", F.col("p_name")), ("最新价", size.cast("string")), ("最新涨跌幅[20240102]", F.when(size % 2 == 0, change)), ("涨跌幅:前复权[20240102]", F.when(size % 2 == 1, change)), ("换手率[20240102 09:30:00-20240102 15:00:00]", size.cast("string")), ("所属同花顺行业", F.col("p_type"))]
+    items = table(spark, d, "part").select(F.create_map(*(x for name, value in fields for x in (F.lit(name), value))).alias("item"))
+    return market.stock_quotes(items).select("code", "name", "market_code", "price", "change_rate", "turnover_rate", "industrys")
+
+
+@query(f"WITH {_MOVES_SQL}, o AS (SELECT * FROM moves WHERE id % 4 <> 0) SELECT m.id, m.sector, m.p AS published, coalesce(CASE WHEN m.sector <> 'ECONOMY' THEN o.c END, m.p) AS current, coalesce(CASE WHEN m.sector <> 'ECONOMY' THEN o.c END, m.p) - m.p AS change FROM moves m LEFT JOIN o ON o.id = m.id AND o.sector = m.sector")
+def client_changes(spark: SparkSession, d: str) -> DataFrame:
+    """By news and sector what a client shows: no current values for some news, none of one sector for the others."""
+    rows = _moves(spark, d).select("id", "published", F.when(F.col("id") % 4 != 0, F.array_join(F.filter(F.split("current", r"\|"), lambda x: ~x.startswith("ECONOMY:")), "|")).alias("current"))
+    return rows.select("id", F.inline(values.client_changes(F.col("published"), F.col("current")))).withColumnRenamed("name", "sector")
+
+
+@query("WITH {news} SELECT id, score FROM news WHERE publish_time = (SELECT max(publish_time) FROM news) ORDER BY score DESC, id DESC LIMIT 20")
+def newest_created(spark: SparkSession, d: str) -> DataFrame:
+    return news.newest_by_score(news_rows(spark, d), "publish_time").select("id", "score")
+
+
+@query("WITH {news} SELECT id, publish_time FROM news ORDER BY publish_time DESC, id DESC LIMIT 20")
+def recent_news(spark: SparkSession, d: str) -> DataFrame:
+    return news.recent(news_rows(spark, d), "publish_time").select("id", "publish_time")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate >= TIMESTAMP '1998-07-01 12:00:00' - INTERVAL 7 DAY")
+def created_since(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    return news.created_since(rows, "o_orderdate", F.lit("1998-07-01 12:00:00").cast("timestamp_ntz"), 7).select("id")
+
+
+@query("""WITH {news}, best AS (SELECT * FROM (SELECT p_type AS sector, p_partkey AS code, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS nth FROM part) AS x WHERE nth <= 10),
+listed AS (SELECT l_orderkey AS id, p_type AS sector, min(l_linenumber) AS place FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 7 GROUP BY l_orderkey, p_type)
+SELECT f.id, f.score, coalesce(string_agg(CAST(b.code AS VARCHAR), '|' ORDER BY s.place, s.sector, b.nth), '') AS stocks FROM news f LEFT JOIN listed s ON s.id = f.id LEFT JOIN best b ON b.sector = s.sector WHERE f.id = 7 GROUP BY f.id, f.score""")
+def news_detail(spark: SparkSession, d: str) -> DataFrame:
+    one = news_sectors(spark, d, news_rows(spark, d).filter("id = 7").select("id", "score"))
+    return market.with_stocks(one, stock_rows(spark, d)).select("id", "score", F.array_join(F.col("codes").cast("array<string>"), "|").alias("stocks"))
+
+
+@query("WITH {news} SELECT id FROM news WHERE user_id % 4 > 0 AND status = 'O'")
+def sectors_to_sync(spark: SparkSession, d: str) -> DataFrame:
+    rows = news_rows(spark, d).withColumn("sectors", F.when(F.col("user_id") % 4 > 0, F.col("status")).otherwise(""))
+    return news.with_sectors(rows).filter("sectors = 'O'").select("id")
+
+
+@query("SELECT DISTINCT p_type AS sector FROM part WHERE p_size > 10")
+def sectors_with_stocks(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct names, sorted."""
+    return market.sectors_with_stocks(stock_rows(spark, d).filter("size > 10")).orderBy("sector")
+
+
+@query("SELECT p_name AS name, CAST(max(p_size) AS DOUBLE) AS value FROM part WHERE p_brand = 'Brand#3' AND p_type <> 'ECONOMY' GROUP BY p_name")
+def values_of_day(spark: SparkSession, d: str) -> DataFrame:
+    """The brand stands for a day."""
+    quotes = table(spark, d, "part").groupBy(F.col("p_name").alias("name"), F.col("p_brand").alias("day"), "p_type").agg(F.max("p_size").cast("double").alias("value"))
+    names = quotes.filter("p_type <> 'ECONOMY'").select("name")
+    of_day = market.values_of_day(quotes.filter("p_type <> 'ECONOMY'"), names, F.lit("Brand#3"))
+    return of_day.groupBy("name").agg(F.max("value").alias("value"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS place, p_partkey AS code, p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
+a AS (SELECT p_partkey AS code, CAST(p_size AS DOUBLE) AS price FROM part WHERE p_size > 20), b AS (SELECT p_name AS name, CAST(max(p_size) AS DOUBLE) AS price FROM part WHERE p_size BETWEEN 5 AND 20 GROUP BY p_name),
+v AS (SELECT id, place, l.code, l.name, coalesce(a.price, b.price) AS price FROM l LEFT JOIN a ON a.code = l.code LEFT JOIN b ON b.name = l.name)
+SELECT id, coalesce(string_agg(name || ':' || printf('%.1f', price), '|' ORDER BY place, name, code) FILTER (WHERE price IS NOT NULL), '') AS value_string FROM v GROUP BY id""")
+def value_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Each order's parts with their price by code, else by name, as one string in line order."""
+    part = stock_rows(spark, d).select("code", "name", F.col("size").cast("double").alias("price"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("code"), "l_linenumber").join(part.select("code", "name"), "code")
+    rows = lines.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "name", "code"))), lambda x: F.struct(x["code"].alias("code"), x["name"].alias("name"))).alias("sectors"))
+    by_name = part.filter("price between 5 and 20").groupBy("name").agg(F.max("price").alias("price"))
+    return market.value_strings(rows, part.filter("price > 20"), by_name).select("id", "value_string")
+
+
+@query("""WITH {news}, f AS (SELECT * FROM news ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10)
+SELECT string_agg(CAST(id AS VARCHAR), '|' ORDER BY score DESC, publish_time DESC, id DESC) AS ids, (SELECT publish_time FROM f ORDER BY score DESC, publish_time DESC, id DESC LIMIT 1) AS batch_time, count(*) AS count FROM f""")
+def feed_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    feed = news.top(news_rows(spark, d), 10)
+    one = tables.feed_snapshot(feed.select("id", "score", "publish_time"), F.desc("score"), F.desc("publish_time"), F.desc("id"))
+    return one.select(F.array_join(F.transform("data", lambda x: x["id"].cast("string")), "|").alias("ids"), "batch_time", "count")
+
+
+@query("""WITH {news}, f AS (SELECT *, row_number() OVER (ORDER BY score DESC, publish_time DESC, id DESC) AS rank FROM news ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10)
+SELECT repeat('=', 70) || chr(10) || '新闻采集分析报告 - 2024-01-01 00:00:00' || chr(10) || repeat('=', 70) || chr(10) || string_agg(chr(10) || '【' || rank || '】' || left('Order ' || repeat(CAST(id AS VARCHAR), 20), 50) || chr(10) || '  来源: ' || status || ' | 时间: ' || publish_time || chr(10) || '  评分: ' || score || ' 分' || chr(10)
+  || '  摘要: ' || CASE WHEN id % 2 = 0 THEN repeat('s', 80) || '...' ELSE 'N/A' END || chr(10) || '  关联板块: ' || CASE WHEN id % 3 = 0 THEN 'A, B' ELSE 'N/A' END || chr(10) || '  发布至今涨跌幅: N/A' || chr(10) || '  理由: ' || CASE WHEN id % 2 = 1 THEN 'because' ELSE 'N/A' END, chr(10) ORDER BY rank)
+  || chr(10) || chr(10) || repeat('=', 70) || chr(10) || '共 10 条高评分新闻' AS text FROM f""")
+def report_as_text(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("id")
+    feed = news.ranked(news.top(news_rows(spark, d), 10), F.desc("score"), F.desc("publish_time"), F.desc("id"))
+    rows = feed.select(
+        "rank", F.concat(F.lit("Order "), F.repeat(key.cast("string"), F.lit(20))).alias("title"), F.col("status").alias("source"), "publish_time", "score", F.when(key % 2 == 0, F.repeat(F.lit("s"), F.lit(90))).alias("summary"),
+        F.when(key % 3 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(F.array().cast("array<string>")).alias("sectors"), F.lit("N/A").alias("mean_change"), F.when(key % 2 == 1, "because").otherwise("").alias("reason"),
+    )
+    return tables.report_text(rows, F.lit("2024-01-01 00:00:00"))
+
+
+def _stub(frame: pd.DataFrame) -> pd.DataFrame:
+    """Stands in for a model: it fails on every seventh customer."""
+    if (frame["id"] % 7 == 0).any():
+        raise RuntimeError("no reply")
+    return frame[["id"]].assign(useful=frame["balance"] > 0)
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal > 0 END AS useful, CASE WHEN c_custkey % 7 = 0 THEN 'no reply' END AS error FROM customer")
+def model_judgements(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return tables.scored(rows, _stub, "id long, useful boolean", batch=1, wait=0.0)
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS balance FROM customer WHERE c_custkey % 7 = 0")
+def dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return tables.dead_letters(tables.scored(rows, _stub, "id long, useful boolean", batch=1, wait=0.0), rows, "id")
+
+
+@query("WITH {news} SELECT id, 'Order ' || id AS title, CAST(score AS INTEGER) AS importance_score, 's' || id AS summary FROM news WHERE is_useful = 1")
+def importance_rows(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.struct((F.col("is_useful") == 1).alias("will_flunctuate"), F.col("score").cast("int").alias("importance_score"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("summary"))
+    rows = news_rows(spark, d).select("id", F.concat(F.lit("Order "), F.col("id").cast("string")).alias("title"), F.lit("").alias("url"), reply.alias("reply"))
+    return news.important(rows).select("id", "title", "importance_score", "summary")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS ids, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS sectors, count(*) AS n FROM orders GROUP BY 1")
+def news_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Of each day its news' ids in order, their distinct sectors and their number: a day's news are few."""
+    rows = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return rows.agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), "|").alias("ids"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("sectors"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_quantity >= 45 THEN 'high' WHEN l_quantity >= 35 THEN 'middle' ELSE 'low' END AS band, CASE WHEN l_quantity - 25 > 0 THEN 'up' WHEN l_quantity - 25 < 0 THEN 'down' ELSE 'flat' END AS sign,
+round(CASE WHEN l_quantity > 10 THEN (l_quantity - 25) / (l_quantity - 10) * 100 ELSE 0 END, 6) AS percent, round(l_quantity * 7e-1 + 2 * 15e-2 + 15e-2, 6) AS composite FROM lineitem""")
+def derived_numbers(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("l_quantity")
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), values.score_band(n / 5).alias("band"), values.change_sign(n - 25).alias("sign"), F.round(values.percent(n - 25, n - 10), 6).alias("percent"), F.round(values.composite_score(n, F.lit(2.0), F.lit(1.0)), 6).alias("composite")
+    )
+
+
+@query("""WITH x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN '2' ELSE '1' END || CAST(3 + c_custkey % 7 AS VARCHAR) || lpad(CAST(c_custkey AS VARCHAR), CAST(8 + CASE WHEN c_custkey % 11 = 0 THEN 2 ELSE 1 END AS INTEGER), '0') AS phone FROM customer)
+SELECT id, regexp_full_match(phone, '1[3-9]\\d{9}') AS valid_phone, id % 3 <> 0 AS valid_email, sha256(phone) AS hashed, '游客' || right(phone, 4) AS masked, CASE WHEN id % 4 = 0 THEN 'zhishu' ELSE 'stock' END AS intent FROM x""")
+def user_checks(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    phone = F.concat(F.when(key % 5 == 0, "2").otherwise("1"), (3 + key % 7).cast("string"), F.lpad(key.cast("string"), F.when(key % 11 == 0, 10).otherwise(9), F.lit("0")))
+    email = F.when(key % 3 == 0, F.concat(F.lit("a@"), key.cast("string"))).otherwise(F.concat(F.lit("a.b@x"), key.cast("string"), F.lit(".org")))
+    question = F.when(key % 4 == 0, "银行板块").otherwise("银行")
+    return table(spark, d, "customer").select(key.alias("id"), values.valid_phone(phone).alias("valid_phone"), values.valid_email(email).alias("valid_email"), values.hashed(phone).alias("hashed"), values.masked_phone(phone).alias("masked"), values.intent(question).alias("intent"))
+
+
+@query("SELECT doc_id, 'Of ' || coalesce(source, '') || ': ' || left(coalesce(text, ''), 3000) || '!' AS prompt FROM documents")
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """A template's fields are cut at 3,000 characters: that is its rule."""
+    return table(spark, d, "documents").select("doc_id", values.filled("Of <<source>>: <<content>>!", {"source": F.col("source"), "content": F.col("text")}).alias("prompt"))
+
+
+@query("SELECT event_id AS id, user_id, CASE WHEN event_id % 4 = 0 THEN 'edited ' || event_id ELSE event_type END AS content FROM events")
+def own_comments_edited(spark: SparkSession, d: str) -> DataFrame:
+    comments = table(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("content"))
+    requests = comments.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("user_id"), F.concat(F.lit("edited "), F.col("id").cast("string")).alias("content"))
+    return social.edited(comments, requests).select("id", "user_id", "content")
+
+
+@query("""WITH o AS (SELECT event_id AS id, user_id, event_type AS content, ts AS created_at FROM events WHERE event_type = 'view'), n AS (SELECT user_id, event_type AS content, ts AS created_at, event_id AS news_id FROM events WHERE event_type <> 'view')
+SELECT id, news_id, user_id, content FROM (SELECT id, 0 AS news_id, user_id, content FROM o UNION ALL SELECT (SELECT coalesce(max(id), 0) FROM o) + row_number() OVER (ORDER BY created_at, user_id, news_id, content), news_id, user_id, content FROM n) AS x""")
+def comments_added(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit(0).cast("long").alias("news_id"), "user_id", F.col("event_type").alias("content"), F.col("ts").alias("created_at"))
+    new = events.filter("content <> 'view'").select(F.col("id").alias("news_id"), "user_id", "content", "created_at")
+    return social.added(events.filter("content = 'view'"), new).select("id", "news_id", "user_id", "content")
+
+
+@query("""WITH s AS (SELECT c_custkey AS user_id, c_mktsegment AS level, CASE WHEN c_acctbal > 0 THEN 'active' ELSE 'expired' END AS status FROM customer) SELECT user_id, level, CASE WHEN user_id % 3 = 0 AND status = 'active' THEN 'cancelled' ELSE status END AS status FROM s""")
+def subscriptions_cancelled(spark: SparkSession, d: str) -> DataFrame:
+    held = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("level"), F.when(F.col("c_acctbal") > 0, "active").otherwise("expired").alias("status"))
+    return social.cancelled(held, held.filter("user_id % 3 = 0").select("user_id"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 6 = 0 THEN 'free' WHEN c_custkey % 3 = 0 THEN 'pro' ELSE c_mktsegment END AS level, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN '2025' ELSE '2024' END AS expires FROM customer")
+def user_levels(spark: SparkSession, d: str) -> DataFrame:
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("level"), F.lit("2024").alias("expires"))
+    orders = users.filter("id % 3 = 0").select(F.col("id").alias("user_id"), F.lit("pro").alias("level"), F.lit("2025").alias("expires"))
+    return social.with_levels(users, orders, users.filter("id % 6 = 0").select(F.col("id").alias("user_id")))
+
+
+@query()
+def login_refused(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-in attempts and whether each is refused: each state depends on the one before, so a test compares with a loop."""
+    rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return social.refused(rows, "user_id", "ts", F.col("event_type") != "click", minutes=24 * 60).select("event_id", "refused")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
