@@ -104,10 +104,16 @@ def _ranges(tokens: np.ndarray, ranges: int) -> np.ndarray:
     return ((tokens >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)).astype(np.int64)
 
 
+def _groups(tokens: int) -> int:
+    """So many ranges of hashes that one task's group holds about a million tokens, 64 at least."""
+    return int(max(64, min(1 << 22, tokens // 1_000_000)))
+
+
 def _screened(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For each batch and range of tokens: each token once, with its class, or with class 0 if two classes here have it.
 
-    The rows of range -1 are classes and the number of their tokens that two classes of the batch have.
+    The rows of ranges below 0 are classes, dealt by their hash to as many groups, and the number of their tokens that two
+    classes of the batch have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +130,16 @@ def _screened(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             counts = np.diff(np.r_[starts, len(tokens)])
             here, times = np.unique(nodes[np.repeat(counts > 1, counts)], return_counts=True)
             out_range, out_tokens, out_nodes = [], [], []
-            if len(here):
-                out_range, out_tokens, out_nodes = [-1], [times.astype(np.uint32).tobytes()], [here.tobytes()]
+            where = np.abs(here % ranges)
+            by_range = np.argsort(where, kind="stable")
+            for part in np.split(by_range, np.flatnonzero(np.diff(where[by_range])) + 1) if len(here) else []:
+                out_range.append(-1 - int(where[part[0]]))
+                out_tokens.append(times[part].astype(np.uint32).tobytes())
+                out_nodes.append(here[part].tobytes())
             tokens, nodes = tokens[starts], np.where(counts > 1, 0, nodes[starts])
             cells = _ranges(tokens, ranges)
-            bounds = np.searchsorted(cells, np.arange(ranges + 1))
-            for r in range(ranges):
-                a, b = bounds[r], bounds[r + 1]
-                if a == b:
-                    continue
+            full, begins = np.unique(cells, return_index=True)
+            for r, a, b in zip(full.tolist(), begins.tolist(), [*begins[1:].tolist(), len(cells)], strict=True):
                 # by class, so that a class's number compresses well beside its own neighbours
                 by_node = np.argsort(nodes[a:b], kind="stable")
                 out_range.append(r)
@@ -147,7 +154,8 @@ def _shared(key: tuple, table: pa.Table) -> pa.Table:
     """Classes of one range and how many of their tokens another class has as well."""
     if key[0].as_py() < 0:
         parts = [(np.frombuffer(n.as_buffer(), np.int64), np.frombuffer(t.as_buffer(), np.uint32)) for n, t in zip(table.column("nodes"), table.column("tokens"), strict=True)]
-        return pa.table({"d1": pa.array(np.concatenate([x[0] for x in parts])), "shared": pa.array(np.concatenate([x[1] for x in parts]).astype(np.int64))})
+        classes, where = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+        return pa.table({"d1": pa.array(classes), "shared": pa.array(np.bincount(where, weights=np.concatenate([x[1] for x in parts])).astype(np.int64))})
     tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")])
     nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("nodes")])
     order = np.lexsort((nodes, tokens))
@@ -190,12 +198,9 @@ def _counted(ranges: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if not len(tokens):
                 continue
             tokens, counts = np.unique(tokens >> np.uint64(24), return_counts=True)
-            bounds = np.searchsorted(_ranges(tokens << np.uint64(24), ranges), np.arange(ranges + 1))
-            full = [r for r in range(ranges) if bounds[r] < bounds[r + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), _binaries([tokens[bounds[r] : bounds[r + 1]].tobytes() for r in full]), _binaries([counts[bounds[r] : bounds[r + 1]].astype(np.uint32).tobytes() for r in full])],
-                names=["range", "tokens", "counts"],
-            )
+            full, begins = np.unique(_ranges(tokens << np.uint64(24), ranges), return_index=True)
+            spans = list(zip(begins.tolist(), [*begins[1:].tolist(), len(tokens)], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), _binaries([tokens[a:b].tobytes() for a, b in spans]), _binaries([counts[a:b].astype(np.uint32).tobytes() for a, b in spans])], names=["range", "tokens", "counts"])
 
     return run
 
@@ -362,7 +367,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         source.mapInArrow(forgetting(_sets(width, screen), _cache), "doc_id long, text_hash long, n long, d1 long, d2 long, prefix binary").withColumn("row", F.monotonically_increasing_id())
     )
     total = rows.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
-    ranges = int(max(64, min(65_536, total // 1_000_000)))
+    ranges = _groups(total)
 
     shared = rows.select("d1", "prefix").mapInArrow(_screened(ranges), "range int, tokens binary, nodes binary")
     shared = shared.groupBy("range").applyInArrow(_shared, "d1 long, shared long").groupBy("d1").agg(F.sum("shared").alias("shared"))
@@ -370,12 +375,12 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     needed = F.greatest(F.lit(1), F.floor((F.lit(screen) - 0.2) * 0.8 * F.col("n") + 1 - 1e-6))
     classes = durable(classes.join(shared, "d1", "left").withColumn("alive", F.coalesce(F.col("shared"), F.lit(0)) >= needed).select("d1", "d2", "node", "least_id", "text_hash", "doc_id", "n", "alive"))
     alive = classes.filter("alive").select("node", F.col("text_hash"), F.col("doc_id").alias("own_id"), "n")
-    count, = alive.agg(F.count(F.lit(1))).first()
+    count, tokens = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     chosen = F.broadcast(alive) if count <= most_broadcast else alive
     texts = source.join(chosen, (source["text_hash"] == alive["text_hash"]) & source["doc_id"].eqNullSafe(alive["own_id"])).select("node", "n", "text")
     sets = durable(texts.mapInArrow(forgetting(_token_arrays(width), _cache), f"node long, n long, tokens binary, {', '.join(f'{k} long' for k in _sketch_names())}").dropDuplicates(["node"]))
 
-    known = durable(sets.select("tokens").mapInArrow(_counted(64), "range int, tokens binary, counts binary").groupBy("range").applyInArrow(_frequent(frequent), "token long, times long"))
+    known = durable(sets.select("tokens").mapInArrow(_counted(_groups(tokens)), "range int, tokens binary, counts binary").groupBy("range").applyInArrow(_frequent(frequent), "token long, times long"))
     sizes = known.groupBy(F.floor(F.log2("times")).alias("power")).count().collect()
     while sum(x["count"] for x in sizes if 2 ** x["power"] >= frequent) > most_frequent:
         frequent *= 2
