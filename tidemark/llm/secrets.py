@@ -133,10 +133,13 @@ def with_features(found: DataFrame, words: DataFrame, logs: list[float]) -> Data
 def planted(docs: DataFrame, *, text_col: str = "text", path_col: str = "source", most: int = 1000, seed: str = "a") -> DataFrame:
     """Labelled findings: secrets of random characters, and what is mistaken for them, written into passages of at most `most` documents."""
     rows = docs.select(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text")).filter("length(text) > 20")
-    rows = rows.orderBy(F.xxhash64(F.lit(seed), "text", "path")).limit(most)
     at = F.pmod(F.xxhash64(F.lit(f"{seed} at"), "text"), F.length("text").cast("long")).cast("int") + 1
-    rows = rows.select("path", F.sha2(F.concat(F.lit(f"{seed} "), "text"), 512).alias("hex"), F.substring("text", at - 40, F.lit(40)).alias("before"), F.substring("text", at, F.lit(60)).alias("after"))
-    rows = rows.withColumns({"w1": F.regexp_extract("after", r"(\p{L}{4,12})", 1), "w2": F.regexp_extract(F.reverse("after"), r"(\p{L}{4,12})", 1), "big": F.regexp_replace(F.base64(F.unhex("hex")), "[+/=]", "Q")})
+    drawn = F.sha2(F.concat(F.lit(f"{seed} "), "text"), 512)
+    # passages, not texts, are sorted: a task sends the first `most` of its own
+    rows = rows.select("path", drawn.alias("hex"), F.substring("text", at - 40, F.lit(40)).alias("before"), F.substring("text", at, F.lit(60)).alias("after"))
+    rows = durable(rows.orderBy("hex", "path", "before").limit(most))
+    rows = rows.withColumn("big", F.regexp_replace(F.base64(F.unhex("hex")), "[+/=]", "Q"))
+    rows = rows.withColumns({"w1": F.regexp_extract("after", r"(\p{L}{4,12})", 1), "w2": F.regexp_extract(F.reverse("after"), r"(\p{L}{4,12})", 1)})
     rows = rows.withColumns({"w1": F.when(F.col("w1") == "", "word").otherwise(F.col("w1")), "w2": F.when(F.col("w2") == "", "none").otherwise(F.reverse("w2"))})
     hexed, big = lambda k, n: f"substring(hex, {k}, {n})", lambda k, n: f"substring(big, {k}, {n})"
     true = [
