@@ -3,14 +3,15 @@
 A node that shall become k shards is split at the weighted quantile k // 2 / k of its bytes (the median, for an even k)
 along the dimension in which its documents are spread widest. Dimensions are numbers of 24 bits: the place of the id
 between the smallest and the largest, the logarithm of the size, hashes of source and language. Below each, 38 bits of a
-hash of the row break ties, so a hot source or language can be split anywhere. The quantile is exact: rounds of
+hash of the id and the content break ties, so a hot source or language can be split anywhere, and the result does not
+depend on how the rows lie in files. The quantile is exact: rounds of
 histograms, one group per node and bin, narrow it to one value. Only those bounded histograms, and the tree with its
 shards - 1 splits, are on the driver. A row finds its shard by comparing along the tree.
 
 Slots number the rows of a shard from 0: rows are dealt into small cells of a shard by hash, cells get running sums.
 
 Defined results: a null text has no bytes, a size of 16 and the CRC of no bytes. Null ids, sources and languages lie at
-the low end. Rows that repeat may go to different shards: each has a tie-breaking number of its own. With fewer rows than
+the low end. Rows that repeat may go to different shards: they are counted, and each has a number of its own. With fewer rows than
 shards some shards are empty. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -111,6 +112,17 @@ def kd_leaves(rows: DataFrame, keys: list[str], shards: int, bins: int = 512) ->
     return rows
 
 
+def _numbered(rows: DataFrame, most_at_once: int = 100_000) -> DataFrame:
+    """rows with copy: equal rows are numbered from 0. They are counted, with sums before the shuffle, and told again."""
+    counted = durable(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies")))
+    span = F.lit(most_at_once)
+    each = counted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {most_at_once}"))))
+    if (counted.agg(F.max("copies")).first()[0] or 0) > most_at_once:
+        each = each.repartition(*rows.columns, "part")  # a group of very many copies is told by many tasks
+    last = F.least(F.col("copies"), (F.col("part") + 1) * span) - 1
+    return each.withColumn("copy", F.explode(F.sequence(F.col("part") * span, last))).select(*rows.columns, "copy")
+
+
 def kd_shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", cell_rows: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
 
@@ -119,9 +131,9 @@ def kd_shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        _hash_place(F.col(source_col)).alias("source"), _hash_place(F.col(lang_col)).alias("lang"),
+        _hash_place(F.col(source_col)).alias("source"), _hash_place(F.col(lang_col)).alias("lang"), F.xxhash64(text).alias("content"),
     )
-    rows = durable(rows.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", F.monotonically_increasing_id()), 64 - TIES)))
+    rows = durable(_numbered(rows).withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "content", "copy"), 64 - TIES)).drop("content", "copy"))
     count, low, high = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     columns = _keys(low or 0, high or 0)
     names = [f"key{i}" for i in range(len(columns))]
@@ -130,6 +142,6 @@ def kd_shards(docs: DataFrame, *, shards: int = 40, id_col: str = "doc_id", text
     placed = kd_leaves(keyed, names, shards).select("doc_id", "size", "text_crc32", "tie", F.col("node").cast("int").alias("shard"), F.pmod(F.col("tie"), F.lit(cells)).cast("int").alias("cell"))
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("cell")) - F.col("rows")
     starts = placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("rows")).select("shard", "cell", before.alias("start"))
-    nth = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "tie")) - 1
+    nth = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_crc32", "tie")) - 1
     slots = placed.withColumn("nth", nth).join(starts, ["shard", "cell"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
