@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -19,7 +20,7 @@ from tidemark.llm.byte_bpe import ByteBpe, decode, encode, round_trip
 from tidemark.llm.components import components
 from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.kd_shards import kd_shards
+from tidemark.llm.kd_shards import _numbered, kd_shards
 from tidemark.llm.licenses import license_scan, scanned
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_join, parities, shingle_set, signatures
@@ -78,15 +79,25 @@ def test_mixing_meets_its_targets(spark):
         assert len(part) == sum(s == part.source.iloc[0] for _, _, s in rows)
 
 
-def test_shards(docs):
-    got = kd_shards(docs, shards=7, cell_rows=5).toPandas()
-    sizes = {r.doc_id: len((r.text or "").encode()) + 16 for r in docs.collect()}
-    assert dict(zip(got.doc_id, got["size"], strict=True)) == sizes
+@pytest.mark.parametrize("shards", [7, 40])
+def test_shards(docs, shards):
+    got = kd_shards(docs, shards=shards, cell_rows=5).toPandas()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert {i: x for i, *x in zip(got.doc_id, got["size"], got.text_crc32, got.law, strict=True)} == {i: [len(t) + 16, zlib.crc32(t), "bytes"] for i, t in texts.items()} and got.grown_shard.isna().all()
     total = got.groupby("shard")["size"].sum()
-    assert set(total.index) == set(range(7)) and (total - total.mean()).abs().max() <= 2 * got["size"].max()
+    assert set(total.index) == set(range(shards)) and (total - total.mean()).abs().max() <= 2 * got["size"].max()
     assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
 
 
+def test_shards_whatever_the_files(docs, odd):
+    """The same rows in other partitions, and rows that repeat many times, lie in the same shards and slots."""
+    for rows in (docs, odd.unionByName(odd), docs.unionByName(docs.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("copy"))):
+        place = lambda d: sorted(map(str, kd_shards(d, shards=8, cell_rows=20).collect()))
+        assert place(rows) == place(rows.repartition(7))
+    copies = _numbered(odd.select("doc_id", "lang").unionByName(odd.select("doc_id", "lang")), most_at_once=3).groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list("copy")).alias("n")).collect()
+    assert sorted(len(r.n) for r in copies) == [2] * 8 + [4] and all(list(r.n) == list(range(len(r.n))) for r in copies)
+
+
 def test_token_counts(spark, docs):
     library = Tokenizer.from_file(VOCABULARY)
     want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
@@ -297,6 +308,43 @@ def test_odd_inputs(spark, odd, empty, labels):
     assert counts == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) for r in odd.collect()}
 
 
+def test_names_that_clash_come_through(spark, odd):
+    """Extra columns, also ones called as working columns or results, keep their values."""
+    extra = ("_source", "_block", "_budget", "_tokens", "_doc", "row", "first", "n", "kept", "k_doc_id", "_k_doc_id", "mix_pass", "mix_order", "doc", "features", "bad")
+    held = odd.select("doc_id", "text", "source", "lang", *(F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in extra))
+    got = mix(held).collect()
+    assert got and all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in got for c in extra if not c.startswith("mix_")) and all(r.mix_pass >= 0 for r in got)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, held, FOLDER)
+        if name != "encoding":
+            assert got.columns == held.columns
+            assert all(r[c] == f"{c} {'-' if r.doc_id is None else r.doc_id}" for r in got.collect() for c in extra), name
+        else:
+            assert got.count() == held.count()
+        assert stage(spark, held.filter("false"), FOLDER).count() == 0, name
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Nulls, empty and blank texts, repeated rows, ties: each stage's defined results."""
+    stage = dict(corpus_pipeline.STAGES)
+    rows = odd.select("doc_id", "text", "source", "lang", F.lit(1).cast("long").alias("n_chars"))
+    words = lambda t: len(WORDS.findall(t or ""))
+    good = stage["quality"](spark, rows, FOLDER).collect()
+    assert all(words(r.text) >= 50 for r in good)
+    once = stage["dedup"](spark, rows, FOLDER).collect()
+    assert sorted(str(r.doc_id) for r in once) == sorted(["3", "None", "4", "5", "6", "7", "8"])
+    far = stage["near_dedup"](spark, rows, FOLDER).collect()
+    assert sorted(str(r.doc_id) for r in far) == sorted(["1", "None", "2", "3", "4", "5", "6", "8"])
+    twice = stage["near_dedup"](spark, rows.unionByName(rows), FOLDER).collect()
+    assert Counter(str(r.doc_id) for r in twice) == {"1": 2, "2": 2, "3": 2, "None": 1, "4": 1, "5": 1, "6": 1, "8": 1}
+    mixed = stage["mixing"](spark, rows, FOLDER).collect()
+    assert {r.doc_id for r in mixed if words(r.text)} <= {r.doc_id for r in rows.collect()} and all(r.source is not None for r in mixed) and Counter(r.doc_id for r in mixed)[6] % 2 == 0
+    coded = stage["encoding"](spark, rows, FOLDER).collect()
+    empty_hash = hashlib.sha256(b"").hexdigest()
+    assert len(coded) == rows.count() and {(r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in coded if r.doc_id in (1, 2)} == {(0, empty_hash, empty_hash)}
+    assert {r.doc_id: r.decoded_sha256 for r in coded} == {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in rows.collect()}
+
+
 def test_pipeline(spark, odd, docs, labels):
     texts = {r.doc_id: r.text for r in docs.collect()}
     stage = dict(corpus_pipeline.STAGES)
@@ -313,6 +361,3 @@ def test_pipeline(spark, odd, docs, labels):
     mixed = stage["mixing"](spark, far, FOLDER)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in far.collect()}
     assert corpus_pipeline.run(spark, FOLDER).count() == mixed.count()
-    rows = odd.select("doc_id", "text", "source", "lang", F.lit(1).cast("long").alias("n_chars"))
-    assert stage["dedup"](spark, rows, FOLDER).count() == 7
-    assert stage["near_dedup"](spark, rows, FOLDER).count() == 8

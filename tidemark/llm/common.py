@@ -69,20 +69,21 @@ def kept_rows(docs: DataFrame, decisions: DataFrame, flag: str, keys: dict[str,
 
     decisions: a row for each row of docs, with the columns keys and flag (kept or not). keys: how docs gives the same
     values; several rows may have them in common, and then as many of these stay as are kept, those with the least first.
-    Keys of which nothing stays are broadcast up to most_broadcast of them; beyond, the join is a shuffle.
+    A row of docs goes through as one struct, so its columns may have any names. Keys of which nothing stays are broadcast
+    up to most_broadcast of them; beyond, the join is a shuffle.
     """
-    summed = durable(decisions.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(flag)).alias("_kept")))
-    names = [f"_k_{k}" for k in keys]
-    marked = docs.withColumns(dict(zip(names, keys.values(), strict=True)))
+    summed = durable(decisions.groupBy(*(F.col(k).alias(f"k_{k}") for k in keys)).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(flag)).alias("kept")))
+    names = [f"k_{k}" for k in keys]
+    marked = docs.select(F.struct("*").alias("row"), first.alias("first"), *(c.alias(n) for n, c in zip(names, keys.values(), strict=True)))
     same = lambda other: reduce(lambda a, b: a & b, (marked[k].eqNullSafe(other[k]) for k in names))
-    n_gone, n_some = summed.agg(F.count_if(F.expr("_kept = 0")), F.count_if(F.expr("_kept between 1 and _n - 1"))).first()
-    gone = summed.filter("_kept = 0").select(*names)
+    n_gone, n_some = summed.agg(F.count_if(F.expr("kept = 0")), F.count_if(F.expr("kept between 1 and n - 1"))).first()
+    gone = summed.filter("kept = 0").select(*names)
     if n_gone <= most_broadcast:
         gone = F.broadcast(gone)
     if not n_some:
-        return marked.join(gone, same(gone), "left_anti").select(*docs.columns)
-    some = summed.filter("_kept between 1 and _n - 1").select(*names, "_kept")
+        return marked.join(gone, same(gone), "left_anti").select("row.*")
+    some = summed.filter("kept between 1 and n - 1").select(*names, "kept")
     whole = marked.join(gone, same(gone), "left_anti").join(some, same(some), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(*(marked[k] for k in names)).orderBy(first))
-    part = marked.join(some, same(some)).withColumn("_nth", nth).filter("_nth <= _kept")
-    return whole.select(*docs.columns).unionByName(part.select(*docs.columns))
+    nth = F.row_number().over(Window.partitionBy(*(marked[k] for k in names)).orderBy("first"))
+    part = marked.join(some, same(some)).withColumn("nth", nth).filter("nth <= kept")
+    return whole.select("row.*").unionByName(part.select("row.*"))

@@ -13,6 +13,8 @@ documents of one block. Whether a document is drawn then depends on its source's
 Defined results: a null source is a source of its own. A null or empty text has no tokens and is drawn as often as the
 passes reach it. A source without tokens has no weight and is not drawn. Rows that repeat a doc_id have one place in the
 permutation and are drawn together; so are rows without doc_id in one source. An empty table gives an empty result.
+Columns of docs may have any names: a row goes through as one struct. Where one is called as a column of the result that
+this operator adds, the added one is returned.
 """
 
 from __future__ import annotations
@@ -66,7 +68,7 @@ def _order(source_key: Column, seed: str, nth: Column, block: Column) -> Column:
 
 def _marked(docs: DataFrame, source: Column, tokens: Column, id_col: str, seed: str) -> DataFrame:
     key = F.concat_ws("", F.when(source.isNull(), "-").otherwise("+"), source.cast("string"))
-    return docs.withColumns({"_source": key, "_tokens": tokens, "_doc": F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))})
+    return docs.select(F.struct("*").alias("row"), key.alias("_source"), tokens.alias("_tokens"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("_doc"))
 
 
 def _cut(rows: DataFrame, keys: list[str], order: str, need: str) -> DataFrame:
@@ -131,4 +133,5 @@ def mix(
     times = F.col("_passes") + also.cast("long")
     drawn = drawn.filter(times > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
     order = F.concat(_order(F.col("_source"), seed, F.col("_pass"), F.col("_block")), F.col("_doc"))
-    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_tokens").alias("mix_tokens"), F.col("_budget").alias("mix_budget"), F.col("_pass").alias("mix_pass"), F.col("_block").alias("mix_block"), order.alias("mix_order"))
+    added = {"mix_tokens": F.col("_tokens"), "mix_budget": F.col("_budget"), "mix_pass": F.col("_pass"), "mix_block": F.col("_block"), "mix_order": order}
+    return drawn.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in added), *(v.alias(k) for k, v in added.items()))
