@@ -21,7 +21,7 @@ from tidemark.llm.components import components
 from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.kd_shards import _numbered, kd_shards
-from tidemark.llm.licenses import license_scan, scanned
+from tidemark.llm.licenses import RULES, SENTENCES, license_scan, scanned
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_join import ngram_join, parities, shingle_set, signatures
 from tidemark.llm.quality_rules import WINDOW, fit_field, line_features, quality_rules
@@ -280,14 +280,74 @@ def test_cotraining_on_held_out_labels(spark):
     assert sum(k == bool(q) for k, q in held) >= 0.95 * len(held)
 
 
+def test_views_teach_each_other(spark):
+    """With few labels, rounds of exchange bring the score's accuracy above that of the labels alone."""
+    r, rows = random.Random(12), []
+    for i in range(900):
+        good = i % 2 == 0
+        own = "calm river stone garden letter".split() if good else "CLICK NOW WIN FREE CASH".split()
+        words = [r.choice(own) if r.random() < 0.12 else r.choice("table window paper music winter summer market street".split()) for _ in range(60)]
+        rows.append((i, " ".join(words), f"s{r.randint(0, 3) if (good ^ (r.random() < 0.1)) else r.randint(4, 7)}", "en", 400))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(24)], "doc_id long, quality int")
+    right = lambda rounds: sum(x.kept == (x.doc_id % 2 == 0) for x in quality_scores(docs, labels, rounds=rounds, sure=0.8).filter("doc_id >= 24").collect())
+    alone, taught = right(0), right(3)
+    assert taught >= 0.95 * 876 and taught >= alone
+
+
 def test_licenses(docs):
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary"}
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in license_scan(docs).collect():
         assert {*r.licenses} == {v for k, v in lines.items() if k in texts[r.doc_id].split("\n") or any(x.endswith(k) for x in texts[r.doc_id].split("\n"))}
-    assert scanned("# SPDX-License-Identifier: GPL-2.0")[0] == ["GPL-2.0"] or scanned("# SPDX-License-Identifier: GPL-2.0")[0] == ["GPL 2.0"]
+    spdx = {
+        "# SPDX-License-Identifier: GPL-2.0": (["GPL-2.0-only"], "copyleft"), "// SPDX-License-Identifier: MPL-2.0": (["MPL-2.0"], "copyleft"), "SPDX-License-Identifier: LicenseRef-Proprietary": (["LicenseRef-Proprietary"], "unknown"), "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */": (["MIT", "Apache-2.0"], "permissive"),
+        "SPDX-License-Identifier: LGPL-2.1+ WITH Some-exception AND MIT": (["LGPL-2.1-or-later", "MIT"], "copyleft"), "SPDX-License-Identifier: Nothing-1.0 OR GPL-3.0-only": (["Nothing-1.0", "GPL-3.0-only"], "unknown"), "SPDX-License-Identifier: CC-BY-SA-4.0": (["CC-BY-SA-4.0"], "copyleft"),
+    }
+    assert {k: scanned(k)[:2] for k in spdx} == spdx
     wrapped = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n* Redistributions of source code must retain the above copyright notice, this\n  list of conditions and the following disclaimer.\n* Redistributions in binary form must reproduce the above copyright notice, this list of conditions\n  and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
     assert scanned(wrapped)[:2] == (["BSD-2-Clause"], "permissive")
+    whole = "            GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"
+    assert scanned(whole)[:2] == (["LGPL-2.1-only"], "copyleft")
+
+
+def brute_recognised(names):
+    """Ordered rules as patterns over the joined identifiers, each tried at every place."""
+    left, found = [n.split(":")[0] for n in names], []
+    for licence, rule, _ in RULES:
+        pattern = re.compile("".join(f"(?:{re.escape(x.rstrip('?'))};){'?+' if x.endswith('?') else ''}" for x in rule))
+        at = 0
+        while at < len(left):
+            m = pattern.match("".join(f"{x};" for x in left[at:]))
+            size = m[0].count(";") if m else 0
+            if size:
+                found.append((at, licence))
+                left[at : at + size] = ["-"] * size
+            at += max(size, 1)
+    return [x for _, x in sorted(found, key=lambda x: x[0])]
+
+
+def test_licenses_like_brute_force():
+    """Notices of random sentences, wrapped and commented at random among prose: identifiers and rules as they were put in."""
+    r = random.Random(21)
+    names = sorted(SENTENCES)
+    for _ in range(400):
+        lines, want = [], []
+        mark = r.choice(["", "# ", " * ", "// "])
+        rule = [x.rstrip("?") for x in r.choice(RULES)[1] if x.rstrip("?") in SENTENCES and (not x.endswith("?") or r.random() < 0.7)]
+        for name in rule + [r.choice(names) for _ in range(r.randint(0, 4))]:
+            words, width, line = r.choice(SENTENCES[name]).split(), r.randint(30, 90), ""
+            for w in words:
+                if len(line) + len(w) > width:
+                    lines.append(mark + line.strip())
+                    line = ""
+                line += f" {w}"
+            lines += [mark + line.strip(), mark if r.random() < 0.5 else "", *(["Some plain words of prose about rivers and stones"] if r.random() < 0.5 else [])]
+            want.append(name)
+        lines.append("A licence is told above.")  # so that the text speaks of one, whatever the sentences
+        licences, verdict, told, _ = scanned("\n".join(lines))
+        assert [x["sentence"] for x in told] == want
+        assert licences == list(dict.fromkeys(brute_recognised(want)))
 
 
 def test_odd_inputs(spark, odd, empty, labels):

@@ -4,7 +4,9 @@ A text is cut into sentences: at sentence ends, at line ends, and again with the
 notices are wrapped. A sentence is normalised (case, comment marks, punctuation, spaces) and looked up among the known
 sentences of licences, which gives its identifier; sentences with free parts are known by a pattern. The identifiers in
 the order of the text are then matched against ordered rules: the first rule whose sequence is found names a licence and
-uses its sentences up, until no rule fits.
+uses its sentences up, until no rule fits. An SPDX line is read as it is written: each licence of its expression is
+named, deprecated names by their successors. Of alternatives (OR) the mildest kind counts, of joint ones (AND) the
+strictest; parentheses are read over. The kind of a name that is not known is `unknown`.
 
 Defined results: a null or empty text has no sentences and no licences. Repeated sentences count once per place. A
 sentence that speaks of a licence but is not known is counted in n_unknown. Rows that repeat are read apart; a null
@@ -48,14 +50,44 @@ SENTENCES = {
     "gpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "gpl2-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
-    "lgpl-ref": ["Licensed under the GNU Lesser General Public License, version 3.", "Licensed under the GNU Lesser General Public License, version 2.1."],
-    "mpl-ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "gpl-title": ["GNU GENERAL PUBLIC LICENSE"],
+    "lgpl-title": ["GNU LESSER GENERAL PUBLIC LICENSE"],
+    "agpl-title": ["GNU AFFERO GENERAL PUBLIC LICENSE"],
+    "june-2007": ["Version 3, 29 June 2007"],
+    "june-1991": ["Version 2, June 1991"],
+    "february-1999": ["Version 2.1, February 1999"],
+    "november-2007": ["Version 3, 19 November 2007"],
+    "fsf-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."],
+    "gpl3-preamble": ["The GNU General Public License is a free, copyleft license for software and other kinds of works."],
+    "gpl2-preamble": ["The licenses for most software are designed to take away your freedom to share and change it."],
+    "lgpl3-terms": ["This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."],
+    "lgpl3-ref": ["Licensed under the GNU Lesser General Public License, version 3.", "This library is licensed under the GNU Lesser General Public License, version 3.", "Released under the GNU Lesser General Public License, version 3."],
+    "lgpl21-ref": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU Lesser General Public License, version 2.1."],
+    "lgpl3-later": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl21-later": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "agpl3-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "agpl3-ref": ["Licensed under the GNU Affero General Public License, version 3.", "This program is licensed under the GNU Affero General Public License, version 3."],
+    "apache-title": ["Apache License"],
+    "january-2004": ["Version 2.0, January 2004"],
+    "apache-url": ["http://www.apache.org/licenses/", "https://www.apache.org/licenses/"],
+    "apache-heading": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "apache-meaning": ['"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.'],
+    "mpl-title": ["Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"],
+    "mpl-ref": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "epl1-title": ["Eclipse Public License - v 1.0"],
+    "epl2-title": ["Eclipse Public License - v 2.0"],
+    "epl-terms": ['THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT").'],
+    "epl-accept": ["ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."],
+    "epl2-ref": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "Licensed under the Eclipse Public License, version 2.0.", "Licensed under the Eclipse Public License 2.0."],
+    "zlib-asis": ["This software is provided 'as-is', without any express or implied warranty."],
+    "zlib-damages": ["In no event will the authors be held liable for any damages arising from the use of this software."],
+    "boost-ref": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0 - August 17th, 2003"],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "cc0-ref": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
 }
 #: Sentences with free parts, over the normalised form.
 PATTERNS = [
-    ("spdx", re.compile(r"spdx license identifier (?P<name>[a-z0-9 .+-]+)")),
     ("cc", re.compile(r"(?:(?:this work|content|text|this article) is )?(?:licensed|released|available) under (?:a |the )?(?:cc|creative commons) ?(?P<name>(?:by|attribution)[a-z ]*)(?P<version>[0-9.]+)?(?: [a-z]+)*(?: license)?")),
     ("copyright", re.compile(r"copyright (?:c )?[0-9 ]*[0-9]{4}.*")),
 ]
@@ -66,12 +98,29 @@ RULES = [
     ("BSD-3-Clause", ["copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary", "bsd-names"], "permissive"),
     ("BSD-2-Clause", ["copyright?", "all-rights?", "bsd-grant", "bsd-source", "bsd-binary"], "permissive"),
     ("Apache-2.0", ["copyright?", "apache-ref", "apache-terms?", "apache-copy?", "apache-asis?"], "permissive"),
+    ("Apache-2.0", ["apache-title", "january-2004", "apache-url?", "apache-heading?", "apache-meaning?"], "permissive"),
+    ("AGPL-3.0-only", ["agpl-title", "november-2007", "copyright?", "fsf-verbatim?"], "copyleft"),
+    ("LGPL-3.0-only", ["lgpl-title", "june-2007", "copyright?", "fsf-verbatim?", "lgpl3-terms?"], "copyleft"),
+    ("LGPL-2.1-only", ["lgpl-title", "february-1999", "copyright?", "fsf-verbatim?", "gpl2-preamble?"], "copyleft"),
+    ("GPL-3.0-only", ["gpl-title", "june-2007", "copyright?", "fsf-verbatim?", "gpl3-preamble?"], "copyleft"),
+    ("GPL-2.0-only", ["gpl-title", "june-1991", "copyright?", "fsf-verbatim?", "gpl2-preamble?"], "copyleft"),
+    ("AGPL-3.0-or-later", ["copyright?", "agpl3-later", "gpl-hope?"], "copyleft"),
+    ("LGPL-3.0-or-later", ["copyright?", "lgpl3-later", "gpl-hope?"], "copyleft"),
+    ("LGPL-2.1-or-later", ["copyright?", "lgpl21-later", "gpl-hope?"], "copyleft"),
     ("GPL-3.0-or-later", ["copyright?", "gpl3-later", "gpl-hope?"], "copyleft"),
     ("GPL-2.0-or-later", ["copyright?", "gpl2-later", "gpl-hope?"], "copyleft"),
+    ("AGPL-3.0-only", ["copyright?", "agpl3-ref"], "copyleft"),
+    ("LGPL-3.0-only", ["copyright?", "lgpl3-ref"], "copyleft"),
+    ("LGPL-2.1-only", ["copyright?", "lgpl21-ref"], "copyleft"),
     ("GPL-3.0-only", ["copyright?", "gpl3-ref"], "copyleft"),
     ("GPL-2.0-only", ["copyright?", "gpl2-ref"], "copyleft"),
-    ("LGPL", ["copyright?", "lgpl-ref"], "copyleft"),
-    ("MPL-2.0", ["copyright?", "mpl-ref"], "copyleft"),
+    ("MPL-2.0", ["copyright?", "mpl-title?", "mpl-ref", "mpl-copy?"], "copyleft"),
+    ("MPL-2.0", ["mpl-title"], "copyleft"),
+    ("EPL-2.0", ["epl2-title", "epl-terms?", "epl-accept?"], "copyleft"),
+    ("EPL-1.0", ["epl1-title", "epl-terms?", "epl-accept?"], "copyleft"),
+    ("EPL-2.0", ["copyright?", "epl2-ref"], "copyleft"),
+    ("Zlib", ["copyright?", "zlib-asis", "zlib-damages"], "permissive"),
+    ("BSL-1.0", ["copyright?", "boost-ref"], "permissive"),
     ("Unlicense", ["unlicense"], "permissive"),
     ("CC0-1.0", ["cc0-ref"], "permissive"),
     ("MIT", ["mit-ref"], "permissive"),
@@ -79,6 +128,16 @@ RULES = [
     ("BSD", ["bsd-ref"], "permissive"),
     ("Proprietary", ["copyright?", "all-rights"], "restricted"),
 ]
+#: Beginnings of SPDX names by the kind of their terms, tried in this order, and what they mean in the words of Creative Commons.
+FAMILIES = (
+    ("restricted", ("cc-by-nc", "cc-by-nd", "proprietary", "busl-", "sspl-", "elastic-")),
+    ("copyleft", ("gpl-", "lgpl-", "agpl-", "mpl-", "epl-", "cddl-", "eupl-", "osl-", "cc-by-sa", "ms-rl", "cpl-", "qpl-", "sleepycat", "ofl-")),
+    ("permissive", ("mit", "isc", "0bsd", "bsd-", "apache-", "zlib", "libpng", "bsl-", "unlicense", "cc0-", "cc-by-", "wtfpl", "python-", "psf-", "postgresql", "ncsa", "artistic-", "x11", "curl", "unicode-", "afl-", "ecl-", "upl-", "blueoak-", "ms-pl", "ftl", "ijg", "hpnd", "tcl", "ruby")),
+)
+CREATIVE = {"attribution": "BY", "by": "BY", "noncommercial": "NC", "nc": "NC", "noderivatives": "ND", "noderivs": "ND", "nd": "ND", "sharealike": "SA", "sa": "SA"}
+STRICTNESS = ("permissive", "unknown", "copyleft", "restricted")
+_NAME = r"[()]*[A-Za-z0-9][A-Za-z0-9.+:_-]*[()]*"
+SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*({_NAME}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_NAME})*)", re.IGNORECASE)
 SPEAKS = re.compile(r"licen[sc]e|copyright|rights reserved|spdx|warranty|redistribut|public domain|permission is hereby|permission to use|\bas is\b|unless required|above copyright|creative commons|under cc")
 _MARKS = re.compile(r"^[\s/*#;>|.-]+|[\s/*#|-]+$")
 _GAPS = re.compile(r"[^a-z0-9.+]+")
@@ -91,7 +150,8 @@ def normalised(sentence: str) -> str:
 
 
 _KNOWN = {normalised(s): name for name, group in SENTENCES.items() for s in group}
-_OPENINGS = {" ".join(k.split()[:3]) for k in _KNOWN}
+#: How known sentences begin; a line may break after one or two words.
+_OPENINGS = {" ".join(k.split()[:n]) for k in _KNOWN for n in (1, 2, 3)}
 _LONGEST = max(len(k.split()) for k in _KNOWN)
 
 
@@ -106,35 +166,43 @@ def identified(sentence: str) -> str | None:
     return None
 
 
+def _paragraphs(text: str) -> Iterator[list[tuple[int, str, str | None]]]:
+    """Runs of lines with words: (line, normalised part, SPDX expression or None) of each part of a sentence in them."""
+    held: list[tuple[int, str, str | None]] = []
+    for i, line in enumerate(text.split("\n")):
+        if spdx := SPDX.search(line):
+            held.append((i, normalised(line), spdx[1]))
+            continue
+        parts = [(i, plain, None) for x in _ENDS.split(_MARKS.sub("", line)) if (plain := normalised(x))]
+        if not parts and held:
+            yield held
+            held = []
+        held += parts
+    yield held
+
+
 def sentences(text: str) -> list[tuple[int, str, str | None]]:
     """(line, normalised sentence, identifier or None) of all that speaks of a licence, in the order of the text."""
-    lines = text.split("\n")
     found: list[tuple[int, str, str | None]] = []
-    covered = -1  # the last line that a sentence over many lines has used
-    for i, line in enumerate(lines):
-        low = line.lower()
-        if i <= covered or not low.strip():
-            continue
-        parts = _ENDS.split(_MARKS.sub("", line))
-        for k, part in enumerate(parts):
-            plain = normalised(part)
-            name = identified(plain) if SPEAKS.search(plain) or plain in _KNOWN else None
-            if name is None and k == len(parts) - 1 and " ".join(plain.split()[:3]) in _OPENINGS:
-                # perhaps wrapped: join lines until a known sentence ends with one of their parts
-                joined, j = plain, i
-                while name is None and j + 1 < len(lines) and lines[j + 1].strip() and len(joined.split()) <= _LONGEST:
-                    j += 1
-                    first, *rest = _ENDS.split(_MARKS.sub("", lines[j]), maxsplit=1)
-                    joined = f"{joined} {normalised(first)}"
-                    name = _KNOWN.get(joined)
-                    if name and not rest:
-                        covered = j
-                    elif name:
-                        lines[j] = rest[0]
-                if name:
-                    plain = joined
+    for parts in _paragraphs(text):
+        at = 0
+        while at < len(parts):
+            line, plain, spdx = parts[at]
+            name = f"spdx:{spdx}" if spdx else identified(plain) if plain in _KNOWN or SPEAKS.search(plain) else None
+            end = at + 1
+            if name is None and " ".join(plain.split()[:3]) in _OPENINGS:
+                # perhaps wrapped, or with a semicolon inside: join parts until they are a known sentence
+                joined = plain
+                while end < len(parts) and parts[end][2] is None and len(joined.split()) < _LONGEST:
+                    joined, end = f"{joined} {parts[end][1]}", end + 1
+                    if name := _KNOWN.get(joined):
+                        plain = joined
+                        break
+                else:
+                    end = at + 1
             if name is not None or SPEAKS.search(plain):
-                found.append((i, plain, name))
+                found.append((line, plain, name))
+            at = end
     return found
 
 
@@ -150,6 +218,23 @@ def _match(rule: list[str], names: list[str], start: int) -> int:
     return at if used else -1
 
 
+def kind_of(name: str) -> str:
+    return next((kind for kind, beginnings in FAMILIES if name.lower().startswith(beginnings)), "unknown")
+
+
+def of_expression(expression: str) -> list[tuple[str, str]]:
+    """(licence, kind) of each name in an SPDX expression; the name after WITH is an exception, not a licence."""
+    found: list[tuple[str, str]] = []
+    kinds = []
+    for alternative in re.split(r"\s+OR\s+", re.sub("[()]", "", expression), flags=re.IGNORECASE):
+        names = [re.split(r"\s+WITH\s+", x, flags=re.IGNORECASE)[0] for x in re.split(r"\s+AND\s+", alternative, flags=re.IGNORECASE)]
+        names = [re.sub(r"(?i)^(A?GPL|LGPL)-([0-9.]+)(\+?)$", lambda m: f"{m[1].upper()}-{m[2]}-{'or-later' if m[3] else 'only'}", x) for x in names]
+        kinds.append(max(map(kind_of, names), key=STRICTNESS.index))
+        found += [(x, "") for x in names]
+    mildest = min(kinds, key=STRICTNESS.index)
+    return [(x, mildest) for x, _ in found]
+
+
 def recognised(names: list[str]) -> list[tuple[str, str]]:
     """(licence, kind) in the order of the text. Copyright lines alone name none."""
     left = list(names)
@@ -167,27 +252,28 @@ def recognised(names: list[str]) -> list[tuple[str, str]]:
     for at, name in enumerate(left):
         head, _, rest = name.partition(":")
         if head == "spdx":
-            found.append((at, rest.upper(), "copyleft" if "gpl" in rest else "permissive"))
+            found += [(at, *x) for x in of_expression(rest)]
         elif head == "cc":
-            restricted = re.search(r"\bn[cd]\b|noncommercial|noderiv", rest)
-            found.append((at, "CC-" + "-".join(rest.upper().split()), "restricted" if restricted else "permissive"))
-    return [(licence, kind) for _, licence, kind in sorted(found)]
+            words = [CREATIVE.get(x, x.upper()) for x in rest.split()]
+            licence = "CC-" + "-".join(words)
+            found.append((at, licence, kind_of(licence if len(words) > 1 else f"{licence}-")))
+    return [(licence, kind) for _, licence, kind in sorted(found, key=lambda x: x[0])]
 
 
 def scanned(text: str) -> tuple[list[str], str, list[dict], int]:
     low = text.lower()
-    if not SPEAKS.search(low):
+    if not SPEAKS.search(low) and not ("\n" in low and SPEAKS.search(_GAPS.sub(" ", low))):  # words may be wrapped
         return [], "none", [], 0
     found = sentences(text)
     known = [(line, name) for line, _, name in found if name]
     licences = recognised([n for _, n in known])
     kinds = {k for _, k in licences}
-    verdict = next((k for k in ("restricted", "copyleft", "permissive") if k in kinds), "none")
+    verdict = next((k for k in reversed(STRICTNESS) if k in kinds), "none")
     return list(dict.fromkeys(n for n, _ in licences)), verdict, [{"line": a, "sentence": b} for a, b in known], sum(n is None for _, _, n in found)
 
 
 def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, licenses (in the order of the text), verdict (the strictest kind), sentences (line, identifier), n_unknown."""
+    """doc_id, licenses (in the order of the text), verdict (the strictest kind: restricted, copyleft, unknown, permissive or none), sentences (line, identifier), n_unknown."""
     found_type = pa.list_(pa.struct([("line", pa.int64()), ("sentence", pa.string())]))
     kinds = [("licenses", pa.list_(pa.string())), ("verdict", pa.string()), ("sentences", found_type), ("n_unknown", pa.int64())]
 
