@@ -207,6 +207,22 @@ def index_quotes(items: DataFrame, item: str = "item") -> DataFrame:
     )
 
 
+def sectors_at(news: DataFrame, quotes: DataFrame, most: int = 5) -> DataFrame:
+    """The first `most` sectors (array) of each news (id, query_date) with the value of that day, else the latest before."""
+    listed = news.select("id", "query_date", F.posexplode(F.slice("sectors", F.lit(1), F.lit(most))).alias("place", "sector"))
+    return snapshot(listed, quotes).select("id", "place", "sector", "value")
+
+
+def saved_indices(indices: DataFrame, quotes: DataFrame, of_news: DataFrame, at: Column) -> DataFrame:
+    """indices with the quotes (name, change_rate) of the news' sectors (news_id, sector) added, stamped with the time."""
+    new = of_news.join(quotes.withColumnRenamed("name", "sector"), "sector").select("news_id", "sector", "change_rate", at.alias("query_time"))
+    return indices.unionByName(new)
+
+
+def indices_of(indices: DataFrame, news_id: Column) -> DataFrame:
+    return indices.filter(F.col("news_id") == news_id)
+
+
 def stock_quotes(items: DataFrame, item: str = "item") -> DataFrame:
     """Quotes of stocks from maps of the market's own field names; a missing field is empty."""
     m = F.col(item)

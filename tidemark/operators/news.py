@@ -100,6 +100,12 @@ def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
     return held.join(F.broadcast(before), "_range").withColumn("chunk", F.floor(nth / size).cast("long")).drop("_range", "_before")
 
 
+def numbered(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """Rows with their batch (chunk) and their ordinal in it (nth, from 1), as a model's request lists them."""
+    nth = F.row_number().over(Window.partitionBy("chunk").orderBy(*order)).cast("long")
+    return chunks(rows, order, size).withColumn("nth", nth)
+
+
 def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """rows with the columns of changes where it has the key and a value."""
     new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))
@@ -113,8 +119,8 @@ def upserted(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def judged(queue_rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies (nth from 1, useful) aligned to rows by place: state useful, rejected or, without a reply, failed."""
-    return queue_rows.join(replies, "nth", "left").withColumn("state", F.when(F.col("useful").isNull(), "failed").when(F.col("useful"), "useful").otherwise("rejected"))
+    """Replies (chunk, nth, useful) aligned to numbered rows by batch and ordinal: state useful, rejected or, without a reply, failed."""
+    return queue_rows.join(replies, ["chunk", "nth"], "left").withColumn("state", F.when(F.col("useful").isNull(), "failed").when(F.col("useful"), "useful").otherwise("rejected"))
 
 
 def important(scored: DataFrame) -> DataFrame:

@@ -41,6 +41,16 @@ def reviewed(news: DataFrame, comments: DataFrame) -> DataFrame:
     return news.join(told, news["id"] == told["news_id"], "left").drop("news_id").withColumn("comments", F.coalesce(F.transform("comments", lambda x: x["content"]), F.array().cast("array<string>")))
 
 
+def feedback_added(feedback: DataFrame, requests: DataFrame) -> DataFrame:
+    """feedback and new rows (user_id, type, content) with a content; a user may lack."""
+    return feedback.unionByName(requests.filter(F.coalesce(F.btrim("content"), F.lit("")) != "").select(*feedback.columns))
+
+
+def review_rows(reviews: DataFrame) -> DataFrame:
+    """What is kept of reviews (news_id, reply: struct, raw): the reply's lists as JSON, and the reply as it came."""
+    return reviews.select("news_id", *(F.to_json(F.col(f"reply.{c}")).alias(c) for c in ("valid_comments", "optimization_suggestions")), F.col("raw").alias("raw_llm_result"))
+
+
 def signed_in(tokens: DataFrame, users: DataFrame, asked: list, now: Column) -> DataFrame:
     """The users of those tokens (token, user_id, expire_at) that are asked for and hold now."""
     held = tokens.filter(F.col("token").isin(asked) & (F.col("expire_at") > now)).select("token", F.col("user_id").alias("id"))

@@ -621,11 +621,13 @@ def review_recover(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", values.recovered_review(blocks, "k int")["k"].alias("k"))
 
 
-@query("WITH {news} SELECT id, CASE WHEN user_id % 3 = 0 THEN 'failed' WHEN user_id % 3 = 1 THEN 'useful' ELSE 'rejected' END AS state FROM news WHERE batch_id = (SELECT max(batch_id) FROM news)")
+@query("""WITH {news}, n AS (SELECT id, user_id, row_number() OVER (ORDER BY publish_time DESC, id DESC) - 1 AS place FROM news WHERE batch_id = (SELECT max(batch_id) FROM news))
+SELECT id, CAST(place // 50 AS BIGINT) AS chunk, CAST(place % 50 + 1 AS BIGINT) AS nth, CASE WHEN (place % 50 + 1) % 4 = 0 THEN 'failed' WHEN (place // 50 + place % 50 + 1) % 2 = 0 THEN 'useful' ELSE 'rejected' END AS state FROM n""")
 def replies_aligned(spark: SparkSession, d: str) -> DataFrame:
-    rows = news.newest_batch(news_rows(spark, d)).withColumn("nth", F.col("id"))
-    replies = rows.filter("user_id % 3 <> 0").select("nth", (F.col("user_id") % 3 == 1).alias("useful"))
-    return news.judged(rows, replies).select("id", "state")
+    """The newest batch in requests of 50, each news with the reply to its ordinal; every fourth has none."""
+    rows = news.numbered(news.newest_batch(news_rows(spark, d)).select("id", "publish_time"), [F.desc("publish_time"), F.desc("id")], 50)
+    replies = rows.filter("nth % 4 <> 0").select("chunk", "nth", ((F.col("chunk") + F.col("nth")) % 2 == 0).alias("useful"))
+    return news.judged(rows, replies).select("id", "chunk", "nth", "state")
 
 
 @query("WITH {news} SELECT id, CASE WHEN user_id % 10 = 0 THEN 'X' ELSE status END AS status FROM news")
@@ -718,12 +720,12 @@ def subscribe(spark: SparkSession, d: str) -> DataFrame:
     return social.subscribed(held, held.filter("user_id % 3 = 0").select("user_id", F.lit("pro").alias("level")))
 
 
-@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, CASE WHEN p_size = 1 THEN '' ELSE printf('%.2f%%', CAST(p_size - 25 AS DOUBLE)) END AS change_rate, CAST(p_partkey AS VARCHAR) AS price, CAST(p_size AS BIGINT) AS advancers, CAST(0 AS BIGINT) AS decliners FROM part""")
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS code, p_name AS name, CASE WHEN p_size = 1 THEN '' ELSE printf('%.2f%%', CAST(p_size - 25 AS DOUBLE)) END AS change_rate, CAST(p_partkey AS VARCHAR) AS price, CAST(p_size AS VARCHAR) AS dde_net_amount, CAST(p_partkey AS VARCHAR) AS dde_intensity, CAST(p_size AS BIGINT) AS advancers, CAST(0 AS BIGINT) AS decliners FROM part""")
 def index_quotes(spark: SparkSession, d: str) -> DataFrame:
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
-    fields = [("指数代码", key), ("指数简称", F.col("p_name")), ("指数@涨跌幅:前复权排名[20240102]", F.lit("1")), ("指数@涨跌幅:前复权[20240102]", F.when(size != 1, (size - 25).cast("string"))), ("指数@最新价", key), ("指数@上涨家数[20240102]", size.cast("string"))]
+    fields = [("指数代码", key), ("指数简称", F.col("p_name")), ("指数@涨跌幅:前复权排名[20240102]", F.lit("1")), ("指数@涨跌幅:前复权[20240102]", F.when(size != 1, (size - 25).cast("string"))), ("指数@最新价", key), ("指数@上涨家数[20240102]", size.cast("string")), ("指数@dde大单净额[20240102]", size.cast("string")), ("指数@dde大单净额{/}指数@流通市值{*}10000", key)]
     items = table(spark, d, "part").select(F.create_map(*(x for name, value in fields for x in (F.lit(name), value))).alias("item"))
-    return market.index_quotes(items).select("code", "name", "change_rate", "price", "advancers", "decliners")
+    return market.index_quotes(items).select("code", "name", "change_rate", "price", "dde_net_amount", "dde_intensity", "advancers", "decliners")
 
 
 @query("""WITH {news}, feed AS (SELECT id, score, publish_time FROM news ORDER BY score DESC, publish_time DESC, id DESC LIMIT 10),
@@ -920,6 +922,46 @@ def user_levels(spark: SparkSession, d: str) -> DataFrame:
     return social.with_levels(users, orders, users.filter("id % 6 = 0").select(F.col("id").alias("user_id")))
 
 
+@query("""WITH {news}, q AS (SELECT event_type AS sector, date_trunc('day', ts) AS day, max(value) AS value FROM events WHERE user_id % 5 = 0 GROUP BY 1, 2),
+n AS (SELECT event_id AS id, date_trunc('day', ts) AS day, unnest([0, 1]) AS place FROM events WHERE user_id % 5 <> 0), s AS (SELECT id, day, place, CASE WHEN place = 0 THEN (CASE WHEN id % 2 = 0 THEN 'click' ELSE 'view' END) ELSE 'error' END AS sector FROM n)
+SELECT id, place, sector, (SELECT arg_max(q.value, q.day) FROM q WHERE q.sector = s.sector AND q.day <= s.day) AS value FROM s""")
+def sectors_at(spark: SparkSession, d: str) -> DataFrame:
+    """The first two of each news' sectors as of its day."""
+    events = table(spark, d, "events").select("event_id", "user_id", "value", F.col("event_type").alias("sector"), F.to_date("ts").alias("query_date"))
+    quotes = events.filter("user_id % 5 = 0").groupBy("sector", "query_date").agg(F.max("value").alias("value"))
+    named = F.array(F.when(F.col("event_id") % 2 == 0, "click").otherwise("view"), F.lit("error"), F.lit("purchase"))
+    return market.sectors_at(events.filter("user_id % 5 <> 0").select(F.col("event_id").alias("id"), "query_date", named.alias("sectors")), quotes, 2)
+
+
+@query("""SELECT l_orderkey AS news_id, p_type AS sector, '+' || max(p_size) || '%' AS change_rate, '2024-01-02' AS query_time FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey = 7 GROUP BY l_orderkey, p_type UNION ALL SELECT 7, 'OLD', '+0%', '2024-01-01'""")
+def sector_indices(spark: SparkSession, d: str) -> DataFrame:
+    """The indices that are kept of one news, after those of all orders have been added."""
+    old = spark.range(1).select(F.lit(7).cast("long").alias("news_id"), F.lit("OLD").alias("sector"), F.lit("+0%").alias("change_rate"), F.lit("2024-01-01").alias("query_time"))
+    part = stock_rows(spark, d).select("code", "sector", "size")
+    sold = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("news_id"), F.col("l_partkey").alias("code")).join(part, "code").groupBy("news_id", "sector").agg(F.max("size").alias("size"))
+    # each news has quotes of its own here: the sector's name goes with the news
+    named = sold.select("news_id", F.concat_ws("|", "news_id", "sector").alias("sector"), "size")
+    quotes = named.select(F.col("sector").alias("name"), F.concat(F.lit("+"), F.col("size").cast("string"), F.lit("%")).alias("change_rate"))
+    held = market.indices_of(market.saved_indices(old, quotes, named.select("news_id", "sector"), F.lit("2024-01-02")), F.lit(7))
+    return held.withColumn("sector", F.regexp_replace("sector", r"^\d+\|", ""))
+
+
+@query("SELECT user_id, 'old' AS type, event_type AS content FROM events WHERE event_id % 3 = 0 UNION ALL SELECT CASE WHEN event_id % 3 = 1 THEN user_id END, 'new', event_type FROM events WHERE event_id % 3 <> 0 AND event_type <> 'view'")
+def feedback_added(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, "old").otherwise("new").alias("type"), F.col("event_type").alias("content"))
+    new = events.filter("event_id % 3 <> 0").select(F.when(F.col("event_id") % 3 == 1, F.col("user_id")).alias("user_id"), "type", F.when(F.col("content") == "view", "  ").otherwise(F.col("content")).alias("content"))
+    return social.feedback_added(events.filter("event_id % 3 = 0").select("user_id", "type", "content"), new)
+
+
+@query("""SELECT event_id AS news_id, '["c' || event_id || '"]' AS valid_comments, CASE WHEN event_id % 2 = 0 THEN '[]' END AS optimization_suggestions, CASE WHEN event_id % 2 = 0 THEN '{"valid_comments": ["c' || event_id || '"], "optimization_suggestions": []}' ELSE '{"valid_comments": ["c' || event_id || '"]}' END AS raw_llm_result FROM events""")
+def review_rows(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("event_id").cast("string")
+    raw = F.concat(F.lit('{"valid_comments": ["c'), key, F.when(F.col("event_id") % 2 == 0, '"], "optimization_suggestions": []}').otherwise('"]}'))
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("raw").alias("text")))
+    reply = values.recovered_review(blocks, "valid_comments array<string>, optimization_suggestions array<string>")
+    return social.review_rows(table(spark, d, "events").select(F.col("event_id").alias("news_id"), raw.alias("raw")).withColumn("reply", reply))
+
+
 @query()
 def login_refused(spark: SparkSession, d: str) -> DataFrame:
     """Sign-in attempts and whether each is refused: each state depends on the one before, so a test compares with a loop."""

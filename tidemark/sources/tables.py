@@ -97,6 +97,11 @@ def report_json(rows: DataFrame, at: Column) -> DataFrame:
     return told.select(F.to_json(F.struct(F.lit("success").alias("status"), at.alias("generated_at"), F.transform("found", lambda x: x["row"]).alias("top_news"))).alias("text"))
 
 
+def write_text(report: DataFrame, path: str) -> None:
+    """A report (text) as a text file of its own."""
+    report.select("text").write.mode("overwrite").text(path)
+
+
 def missing_tables(spark: SparkSession, required: list[str]) -> list[str]:
     return sorted({*required} - {t.name for t in spark.catalog.listTables()})
 
