@@ -245,7 +245,7 @@ def _run(docs: DataFrame, rank_path: str, pattern: str, columns: list[tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared.value, pattern)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             texts = [x.as_py() or "" for x in batch.column("text")]
             found = list(zip(*read(bpe, texts), strict=True)) or [()] * len(columns)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), kind) for x, (_, _, kind) in zip(found, columns, strict=True))], names=["doc_id", *(c for c, _, _ in columns)])
