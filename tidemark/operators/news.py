@@ -86,8 +86,8 @@ def admitted(rows: DataFrame, group: str, order: str, is_today: Column, has_date
     return rows.withColumn("_stop", stop).filter((F.col("_stop").isNull() | (F.col("_nth") <= F.col("_stop"))) & ~F.col("_old")).drop("_today", "_old", "_nth", "_island", "_run", "_stop")
 
 
-def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
-    """Rows with the number of their fixed-size batch.
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their place in the order, from 0.
 
     They are numbered within ranges of the order, each of which begins where the ones before it end. The ranges are kept
     (persist), since another sampling could draw them otherwise; only their counts go through the driver.
@@ -97,7 +97,12 @@ def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
     ends = list(accumulate(n for _, n in counts))
     before = rows.sparkSession.createDataFrame([(r, end - n) for (r, n), end in zip(counts, ends, strict=True)], "_range int, _before long")
     nth = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return held.join(F.broadcast(before), "_range").withColumn("chunk", F.floor(nth / size).cast("long")).drop("_range", "_before")
+    return held.join(F.broadcast(before), "_range").withColumn("place", nth).drop("_range", "_before")
+
+
+def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """Rows with the number of their fixed-size batch in the order."""
+    return placed(rows, order).withColumn("chunk", F.floor(F.col("place") / size).cast("long")).drop("place")
 
 
 def numbered(rows: DataFrame, order: list[Column], size: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import masked_phone, subscription
+from .news import placed
 
 
 def comments_with_users(comments: DataFrame, users: DataFrame, limit: int | None = 50) -> DataFrame:
@@ -79,12 +80,9 @@ def edited(comments: DataFrame, requests: DataFrame) -> DataFrame:
 def added(comments: DataFrame, requests: DataFrame) -> DataFrame:
     """comments and new ones (news_id, user_id, content, created_at), numbered on from the greatest id by time."""
     last = comments.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    # a request's number is the count of those before it: by second first, then within it
-    by_time = requests.groupBy("created_at").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    nth = F.row_number().over(Window.partitionBy("created_at").orderBy("user_id", "news_id", "content"))
-    new = requests.join(by_time.withColumn("_before", before).drop("_n"), "created_at").withColumn("_nth", nth).join(F.broadcast(last))
-    return comments.unionByName(new.withColumn("id", F.col("_last") + F.col("_before") + F.col("_nth")).select(*comments.columns))
+    order = [F.asc(c) for c in ("created_at", "user_id", "news_id", "content")]
+    new = placed(requests, order).join(F.broadcast(last))
+    return comments.unionByName(new.withColumn("id", F.col("_last") + F.col("place") + 1).select(*comments.columns))
 
 
 def cancelled(subscriptions: DataFrame, requests: DataFrame) -> DataFrame:
