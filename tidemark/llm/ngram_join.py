@@ -303,14 +303,30 @@ def _verify_batches(over: int, under: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar. Inner joins of plain keys: Spark splits a key that many pairs have."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+def _near(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """The pairs (a, b) whose parity sketches don't prove them too different."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), *(F.col(k).alias(f"{k}_{name}") for k in _sketch_names()))
+    differ = sum((F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in _sketch_names()), F.lit(0))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ * (over + under) <= (F.col("n_a") + F.col("n_b")) * (under - over)).select("a", "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, over: int, under: int, most_broadcast: int) -> DataFrame:
+    """Those pairs (a, b) whose sets are similar. Inner joins of plain keys: Spark splits a key that many pairs have.
+
+    Sketches come first, as they are small beside the tokens. Up to most_broadcast pairs are broadcast, so that only the
+    tokens of sets that are left in a pair are shuffled, once.
+    """
+    pairs = durable(_near(pairs, sets, over, under))
+    tokens = sets.select("node", "tokens")
+    if pairs.count() <= most_broadcast:
+        pairs = F.broadcast(pairs)
+        tokens = tokens.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "node", "left_semi")
+    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
+    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify_batches(over, under), "a long, b long")
 
 
-def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds: int) -> DataFrame:
+def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds: int, most_broadcast: int) -> DataFrame:
     """Links (a, b) that give the right components: in rounds each list's members are compared with one of them, the one
     whose tokens are the most frequent among those not yet taken, as the source of many copies is; what then is in more than
     one component is compared across components, where the sketches don't rule it out.
@@ -332,7 +348,7 @@ def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds:
         stars = sized(at_hand.join(heads, "sig"), size).filter(F.col("component") != F.col("head.component")).filter(fits(F.col("n"), F.col("head.n")))
         stars = stars.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
         stars = durable(sized(stars, size) if tried is None else sized(sized(stars, size).join(tried, ["a", "b"], "left_anti"), size))
-        new = durable(_linked(stars, sets.select("node", "tokens"), over, under))
+        new = durable(_linked(stars, sets, over, under, most_broadcast))
         tried = stars if tried is None else tried.unionByName(stars)
         links = sized(new if links is None else links.unionByName(new), size)
         last = heads.select("sig", F.struct(F.col("head.score").alias("score"), F.col("head.node").alias("node")).alias("last"))
@@ -349,7 +365,7 @@ def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds:
     near &= fits(F.col("x_n"), F.col("y_n")) & (differ * (over + under) <= (F.col("x_n") + F.col("y_n")) * (under - over))
     across = x.join(y, near).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     across = durable(across.join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(durable(_linked(across, sets.select("node", "tokens"), over, under)))
+    return links.unionByName(durable(_linked(across, sets, over, under, most_broadcast)))
 
 
 def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, screen: float = 0.3, frequent: int = 16, most_frequent: int = 400_000, most_broadcast: int = 2_000_000, rounds: int = 2) -> DataFrame:
@@ -358,7 +374,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Two rows link when 5 times their common shingles are at least 4 times their united ones.
     screen: the share of its tokens that a class is screened by. frequent: from this many classes on, a token is indexed
     in combinations; it is doubled until most_frequent tokens at most are so, which are then broadcast.
-    most_broadcast: up to so many texts that pass the screen are found again by broadcast, more by a shuffle.
+    most_broadcast: up to so many texts that pass the screen are found again by broadcast, and so many pairs of them join
+    their tokens by broadcast; more by a shuffle.
     rounds: in so many rounds a list's members are compared with one of them each.
     """
     over, under = 4, 5
@@ -378,7 +395,9 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     count, tokens = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     chosen = F.broadcast(alive) if count <= most_broadcast else alive
     texts = source.join(chosen, (source["text_hash"] == alive["text_hash"]) & source["doc_id"].eqNullSafe(alive["own_id"])).select("node", "n", "text")
-    sets = durable(texts.mapInArrow(forgetting(_token_arrays(width), _cache), f"node long, n long, tokens binary, {', '.join(f'{k} long' for k in _sketch_names())}").dropDuplicates(["node"]))
+    sets = durable(texts.mapInArrow(forgetting(_token_arrays(width), _cache), f"node long, n long, tokens binary, {', '.join(f'{k} long' for k in _sketch_names())}"))
+    if sets.groupBy("node").count().filter("count > 1").limit(1).count():  # a row that repeats is found again as often
+        sets = durable(sets.dropDuplicates(["node"]))
 
     known = durable(sets.select("tokens").mapInArrow(_counted(_groups(tokens)), "range int, tokens binary, counts binary").groupBy("range").applyInArrow(_frequent(frequent), "token long, times long"))
     sizes = known.groupBy(F.floor(F.log2("times")).alias("power")).count().collect()
@@ -388,7 +407,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     names, times = chosen_tokens.column("token").to_numpy(), chosen_tokens.column("times").to_numpy()
 
     lists = durable(sets.select("node", "n", "tokens").mapInArrow(_merged(_postings(names, times, frequent)), "sig long, node long, n long, score long"))
-    links = _verified(lists, sets, over, under, rounds)
+    links = _verified(lists, sets, over, under, rounds, most_broadcast)
     labels = components(links)
 
     named = classes.select("d1", "d2", "node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
