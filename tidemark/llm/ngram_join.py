@@ -335,6 +335,8 @@ def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds:
     many = lists.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("sig")
     lists = durable(lists.join(many, "sig"))
     size = lists.count()
+    if not size:
+        return lists.select(F.col("node").alias("a"), F.col("node").alias("b"))
     lists = sized(lists, size)
     at_hand = lists.withColumn("component", F.col("node"))
     last = None
@@ -355,6 +357,8 @@ def _verified(lists: DataFrame, sets: DataFrame, over: int, under: int, rounds:
         placed = sized(lists.join(components(links), "node", "left"), size).select("sig", "node", "n", "score", F.coalesce("component", "node").alias("component"))
         split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
         at_hand = durable(sized(placed.join(sized(split, size), "sig"), size))
+        if not at_hand.limit(1).count():  # no list is in more than one component
+            return links
     # the largest component of a list is compared with the rest of it, not with itself
     main = sized(at_hand.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main")), size)
     whole = sized(at_hand.drop("score").join(main, "sig"), size).join(sets.select("node", *_sketch_names()), "node")
