@@ -232,7 +232,10 @@ def quality(title: Column, content: Column, time: Column) -> Column:
 
 def line_score(line: Column) -> Column:
     """From 0 to 1, by length, links, share of Chinese and of Latin characters, noise words and a sentence's end."""
-    plain = stripped(line)
+    return _line_score(line, stripped(line))
+
+
+def _line_score(line: Column, plain: Column) -> Column:
     n = F.length(plain)
     size = F.when(n < 15, 0.2).when(n < 30, 0.5).when(n < 200, 0.8).otherwise(0.6)
     share = lambda pattern: (n - F.length(F.regexp_replace(plain, f"{pattern}+", ""))) / n
@@ -245,18 +248,25 @@ def line_score(line: Column) -> Column:
 
 def is_noise_line(line: Column) -> Column:
     """A line that is blank, has under three characters, only rules or bullets, or is short and Latin."""
-    plain = stripped(line)
+    return _is_noise(stripped(line))
+
+
+def _is_noise(plain: Column) -> Column:
     return (F.length(plain) < 3) | plain.rlike(r"^[|\-=•○●◆■□▪▫◦▪*]{3,}$") | ((F.length(plain) < 10) & plain.rlike(r"^[a-zA-Z0-9\s().,;:!?-]+$"))
 
 
 def article_lines(text: Column, least: float = 0.25) -> Column:
     """The lines that are no noise and score so much, without those equal to the one kept before: structs of place, line and score."""
-    told = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("line"), F.when(is_noise_line(x), -1.0).otherwise(line_score(x)).alias("score")))
-    kept = F.filter(told, lambda x: x["score"] >= least)
-    before = F.concat(F.array(F.lit(None).cast("struct<place:int,line:string,score:double>")), kept)
-    return F.transform(
-        F.filter(F.zip_with(kept, before, lambda a, b: F.struct(a.alias("now"), b.alias("before"))), lambda x: x["now"].isNotNull() & ~stripped(x["now"]["line"]).eqNullSafe(stripped(x["before"]["line"]))), lambda x: x["now"]
-    )
+    # a line is stripped once: expressions in functions of arrays are evaluated as often as they are named
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("place"), x.alias("line"), stripped(x).alias("plain")))
+    told = F.transform(lines, lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["plain"].alias("plain"), F.when(_is_noise(x["plain"]), -1.0).otherwise(_line_score(x["line"], x["plain"])).alias("score")))
+
+    def kept(held: Column) -> Column:
+        before = lambda i: F.get(held, i - 1)["plain"]
+        return F.transform(F.filter(held, lambda x, i: ~x["plain"].eqNullSafe(before(i))), lambda x: F.struct(x["place"].alias("place"), x["line"].alias("line"), x["score"].alias("score")))
+
+    # named once, as the only element of an array
+    return F.flatten(F.transform(F.array(F.filter(told, lambda x: x["score"] >= least)), kept))
 
 
 def without_boilerplate(text: Column) -> Column:
