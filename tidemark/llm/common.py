@@ -37,6 +37,47 @@ def sized(df: DataFrame, rows: int, in_each: int = 250_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // in_each)))
 
 
+def placed(rows: DataFrame, group: list[str], order: list[str], most_broadcast: int = 200_000) -> DataFrame:
+    """rows with place (from 0 on in each group, by order, nulls first) and size (the group's rows). Columns of group have no nulls.
+
+    Rows are dealt by ranges, so a group of any size is numbered by many tasks: each numbers its own range, and a running
+    sum over the ranges (a row for each group and task that has it) gives where that begins. Equal rows are told apart by
+    where they are stored, so they too are dealt to many tasks.
+    """
+    stored = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+    keys = [*group, *order, "_row"]
+    ranged = durable(stored.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).drop("_row"))
+    ranged = ranged.withColumn("_task", F.shiftright("_at", 33))
+    tasks = ranged.groupBy(*group, "_task").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = durable(tasks.select(*group, "_task", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(whole).alias("size")))
+    if tasks.count() <= most_broadcast:
+        tasks = F.broadcast(tasks)
+    return ranged.join(tasks, [*group, "_task"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_task", "_at", "_shift")
+
+
+def running(rows: DataFrame, group: list[str], at: str, values: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]], step: int = 4096, most_broadcast: int = 200_000) -> DataFrame:
+    """rows, which are stored, with each column of values replaced by its running value in the group, by at (from 0 on, no gaps).
+
+    values: a column's aggregate, and how two of its results combine. Runs of step rows are windows of their own, and runs
+    are combined after that, so a group of any size is spread over tasks.
+    """
+    block = F.floor(F.col(at) / step)
+    within = Window.partitionBy(*group, "_block").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("_block", block).withColumns({c: whole(F.col(c)).over(within) for c, (whole, _) in values.items()})
+    long = rows.filter(F.col(at) >= step).select(*group).distinct()
+    if not long.limit(1).count():
+        return out.drop("_block")
+    sums = rows.join(long, group, "left_semi").groupBy(*group, block.alias("_block")).agg(*(whole(F.col(c)).alias(f"_{c}") for c, (whole, _) in values.items()))
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = durable(sums.select(*group, "_block", *(whole(F.col(f"_{c}")).over(before).alias(f"_{c}") for c, (whole, _) in values.items())).filter("_block > 0"))
+    if sums.count() <= most_broadcast:
+        sums = F.broadcast(sums)
+    joined = out.join(sums, [*group, "_block"], "left")
+    return joined.withColumns({c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(both(F.col(c), F.col(f"_{c}"))) for c, (_, both) in values.items()}).drop("_block", *(f"_{c}" for c in values))
+
+
 def forgetting(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cache: Callable[[], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, which empties the worker's cache at the end of each task: workers are kept for later stages, their words need not be."""
 
