@@ -6,8 +6,8 @@ parts, quotes the mean prices of line items, users the customers, comments and c
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
+from importlib import import_module
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,24 +17,7 @@ from ..functions import dates, text, values
 from ..operators import market, news, social
 from ..sources import tables
 from ..sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-NEWS_SQL = """news AS (SELECT o_orderkey AS id, o_custkey AS user_id, CAST(year(o_orderdate) AS BIGINT) AS batch_id, 2 * (6 - CAST(left(o_orderpriority, 1) AS INTEGER)) AS score,
-  strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS publish_time, o_orderstatus AS status, CAST(o_custkey % 3 - 1 AS INTEGER) AS is_useful FROM orders)"""
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql.replace("{news}", NEWS_SQL)
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, Query, query
 
 def news_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
@@ -962,16 +945,22 @@ def review_rows(spark: SparkSession, d: str) -> DataFrame:
     return social.review_rows(table(spark, d, "events").select(F.col("event_id").alias("news_id"), raw.alias("raw")).withColumn("reply", reply))
 
 
-@query()
+@query("""WITH RECURSIVE a AS MATERIALIZED (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, event_type <> 'click' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id, event_type) AS n FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS fails, CAST(-1 AS BIGINT) AS until, FALSE AS refused FROM (SELECT DISTINCT user_id FROM a) AS u
+ UNION ALL SELECT a.user_id, a.n, a.event_id, CASE WHEN a.at < s.until THEN s.fails WHEN s.fails >= 5 THEN 0 WHEN a.failed THEN s.fails + 1 ELSE 0 END, CASE WHEN a.at >= s.until AND s.fails >= 5 THEN a.at + 86400 ELSE s.until END, a.at < s.until OR s.fails >= 5 FROM s JOIN a ON a.user_id = s.user_id AND a.n = s.n + 1)
+SELECT event_id, refused FROM s WHERE n > 0""")
 def login_refused(spark: SparkSession, d: str) -> DataFrame:
-    """Sign-in attempts and whether each is refused: each state depends on the one before, so a test compares with a loop."""
+    """Sign-in attempts and whether each is refused: each state depends on the one before."""
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     return social.refused(rows, "user_id", "ts", F.col("event_type") != "click", minutes=24 * 60).select("event_id", "refused")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    for more in ("crawl",):
+        import_module(f"{__package__}.{more}")  # adds its own
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
