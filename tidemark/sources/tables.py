@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,7 +47,7 @@ def listed_sources(config: DataFrame) -> DataFrame:
 
 def body_or_title(rows: DataFrame, config: DataFrame) -> DataFrame:
     """rows (source_name, title, subtitle, body): for flash sources the subtitle or title is the body."""
-    flash = F.broadcast(config.select(F.col("name").alias("source_name"), "is_flash"))
+    flash = config.select(F.col("name").alias("source_name"), "is_flash")
     short = F.coalesce(F.nullif("subtitle", F.lit("")), "title")
     return rows.join(flash, "source_name", "left").withColumn("body", F.when(F.coalesce("is_flash", F.lit(False)), short).otherwise(F.col("body"))).drop("is_flash")
 
@@ -111,11 +114,13 @@ def to_score(rows: DataFrame, least: int = 20) -> DataFrame:
     return rows.filter(F.length(F.btrim(F.coalesce("content", F.lit("")))) >= least)
 
 
-def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 50, tries: int = 3, wait: float = 1.0) -> DataFrame:
+def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch: int = 50, tries: int = 3, wait: float = 1.0, in_flight: int = 1) -> DataFrame:
     """rows judged by a model that takes and gives data frames, at most `batch` rows a call; the column error is null.
 
     A failing call is tried again after wait, 2 * wait, 4 * wait seconds. When it fails for the last time, its rows come back
     with what they have of schema's columns and the message as error: a table of dead letters, to be judged again later.
+    in_flight: so many calls of a task run at once, each with its own waiting; their rows come in the order of the input, and
+    no more calls than that are held.
     """
     kinds = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("error", T.StringType())])
     names = [f.name for f in kinds.fields]
@@ -131,9 +136,15 @@ def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schem
         return pd.DataFrame({n: part[n] if n in part else None for n in names[:-1]}, index=part.index).assign(error=str(failed))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                yield judged(frame.iloc[i : i + batch])
+        parts = (frame.iloc[i : i + batch] for frame in frames for i in range(0, len(frame), batch))
+        if in_flight <= 1:
+            yield from map(judged, parts)
+            return
+        with ThreadPoolExecutor(in_flight) as pool:
+            calls = deque(pool.submit(judged, part) for part in islice(parts, in_flight))
+            while calls:
+                yield calls.popleft().result()
+                calls.extend(pool.submit(judged, part) for part in islice(parts, 1))
 
     return rows.mapInPandas(run, kinds)
 
