@@ -9,9 +9,10 @@
 4. Odd sketches. Each sample flips one bit of a bitmap. Where two bitmaps differ in k of n bits, some
    -n/4 ln(1 - 2k/n) of the samples differ. A pair that this puts `deviations` standard deviations below the threshold is
    dropped; all others are compared by their whole sets.
-5. In two rounds all of a list are compared with one of them (the same in all lists that have it, then one for each list); what
-   is then in more than one component of links is compared across these. Components are exact, and no list of similar
-   texts is expanded into its pairs.
+5. All of a list are compared with the one of them that has most lists in common with others. In further rounds those that
+   are not in the list's largest component of links are compared with another one of that; what is then in more than one component
+   is compared across these, a pair once for all its lists. Components are exact, and no list of similar texts is expanded
+   into its pairs.
 
 With 288 samples in bands of 6, a pair at the threshold of 0.85 is in no list with a probability of 1e-10, and a pair above
 it with less; an odd sketch drops it with less than that.
@@ -165,44 +166,54 @@ class _Confirmed:
         return durable(held.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify_batches(self.over, self.under), "a long, b long"))
 
 
-def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column]) -> DataFrame:
-    """Links (a, b) that give the right components of the classes in lists (sig, node). about: node, n and sketches."""
-    many = lists.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("sig")
-    lists = durable(lists.join(many, "sig"))
+def _split(lists: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """The rows of lists that are in more than one component, with their component and the list's main one, its largest."""
+    named = sized(lists.join(components(links), "node", "left"), size).select("sig", "node", "score", F.coalesce("component", "node").alias("component"))
+    parts = sized(named.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("rows")), size)
+    parts = sized(parts.groupBy("sig").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")), size)
+    return durable(sized(named.join(parts.filter("parts > 1").drop("parts"), "sig"), size))
+
+
+def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], rounds: int) -> DataFrame:
+    """Links (a, b) that give the right components of the classes in lists (sig, node). about: node, n, sketches and bands."""
+    sizes = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    lists = durable(lists.join(sizes, "sig"))
     size = lists.count()
-    lists = sized(lists, size)
-    sides = lambda name: about.select(*(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in about.columns))
-    at_hand = lists.withColumn("component", F.col("node"))
+    # what has most in common with others is in the middle of them, so most of a group of copies is similar to it
+    scores = sized(lists.groupBy("node").agg(F.sum("rows").alias("score")), size)
+    lists = durable(sized(lists.drop("rows").join(scores, "node"), size))
+    sides = lambda name: about.drop("bands").select(*(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in about.columns if c != "bands"))
+    best = F.struct("score", "node")
+    at_hand = lists.join(sized(lists.groupBy("sig").agg(F.max_by("node", best).alias("main")), size), "sig").withColumn("component", F.col("node"))
     links = tried = None
-    for by in (F.xxhash64("node"), F.xxhash64("node", "sig")):
-        heads = durable(sized(at_hand.groupBy("sig").agg(F.max_by(F.struct("node", "component"), F.struct(by, F.col("node"))).alias("head")), size))
-        stars = sized(at_hand.join(heads, "sig"), size).filter(F.col("component") != F.col("head.component"))
-        stars = sized(stars.select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), size)
+    for r in range(rounds):
+        by = best if r == 0 else F.struct(F.xxhash64("node", "sig", F.lit(r)), F.col("node"))
+        heads = sized(at_hand.filter("component = main").groupBy("sig").agg(F.max_by("node", by).alias("head")), size)
+        stars = sized(at_hand.filter("component <> main").join(heads, "sig"), size)
+        stars = sized(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), size)
         stars = durable(stars if tried is None else sized(stars.join(tried, ["a", "b"], "left_anti"), size))
         near = durable(sized(stars.join(sides("a"), "a").join(sides("b"), "b").filter(may_link("a_", "b_")).select("a", "b"), size))
         tried = stars if tried is None else tried.unionByName(stars)
         new = confirmed(near)
         links = new if links is None else links.unionByName(new)
-        named = sized(lists.join(components(links), "node", "left"), size).select("sig", "node", F.coalesce("component", "node").alias("component"))
-        split = named.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-        at_hand = durable(sized(named.join(sized(split, size), "sig"), size))
+        at_hand = _split(lists, links, size)
         if not at_hand.limit(1).count():
             return links
-    # the largest component of a list is compared with the rest of it, not with itself
-    main = sized(at_hand.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("sig").agg(F.max_by("component", F.struct("size", "component")).alias("main")), size)
-    whole = sized(at_hand.join(main, "sig"), size).join(about, "node")
+    # the main component of a list is compared with the rest of it, not with itself; a pair counts in the first list that both are in
+    whole = at_hand.drop("score").join(about, "node")
     x, y = (part.select(*(F.col(c).alias(f"{name}_{c}") for c in whole.columns)) for name, part in (("x", whole.filter("component <> main")), ("y", whole)))
     apart = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
-    across = x.join(y, apart & may_link("x_", "y_")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_sig")
+    across = x.join(y, apart & may_link("x_", "y_") & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return links.unionByName(confirmed(durable(across.join(tried, ["a", "b"], "left_anti"))))
 
 
-def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (85, 100), count: int = 288, rows: int = 6, words: int = 16, deviations: float = 7.0, most_broadcast: int = 2_000_000) -> DataFrame:
+def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (85, 100), count: int = 288, rows: int = 6, words: int = 16, deviations: float = 7.0, rounds: int = 3, most_broadcast: int = 2_000_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id is component_id).
 
     Two rows link when their common shingles are at least threshold of their united ones. count: samples of a set, a multiple
     of rows, which are a band's. words: of 64 bits in an odd sketch. deviations: how far below the threshold a sketch must
-    put a pair to end it. most_broadcast: so many classes or pairs are found again by broadcast, more by a shuffle.
+    put a pair to end it. rounds: in so many a list's members are compared with one of them each. most_broadcast: so many classes or pairs are found again by broadcast, more by a shuffle.
     """
     over, under = threshold
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
@@ -211,11 +222,11 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     first = F.min_by(F.struct("doc_id", "text_hash", "n", "bands", "own", "upper"), "row").alias("first")
     classes = durable(described.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), first))
     lists = classes.select("node", F.explode("first.bands").alias("sig"))
-    about = classes.select("node", "first.n", "first.own", "first.upper")
+    about = classes.select("node", "first.n", "first.own", "first.upper", "first.bands")
     keys = classes.select("node", "first.text_hash", F.col("first.doc_id").alias("own_id"))
     confirmed = _Confirmed(source, keys, width, over, under, most_broadcast)
     most = most_bits(count, words, over, under, deviations)
-    links = _links(lists, about, confirmed, lambda x, y: _may_link(x, y, words, most, over, under))
+    links = _links(lists, about, confirmed, lambda x, y: _may_link(x, y, words, most, over, under), rounds)
 
     named = classes.select("d1", "d2", "node", "least_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
