@@ -17,7 +17,7 @@ from ..functions import dates, text, values
 from ..operators import market, news, social
 from ..sources import tables
 from ..sources.tables import table
-from .registry import QUERIES, SQL, Query, query
+from .registry import QUERIES, REFUSED_SQL, SQL, Query, query
 
 def news_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(
@@ -945,10 +945,7 @@ def review_rows(spark: SparkSession, d: str) -> DataFrame:
     return social.review_rows(table(spark, d, "events").select(F.col("event_id").alias("news_id"), raw.alias("raw")).withColumn("reply", reply))
 
 
-@query("""WITH RECURSIVE a AS MATERIALIZED (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at, event_type <> 'click' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id, event_type) AS n FROM events),
-s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS fails, CAST(-1 AS BIGINT) AS until, FALSE AS refused FROM (SELECT DISTINCT user_id FROM a) AS u
- UNION ALL SELECT a.user_id, a.n, a.event_id, CASE WHEN a.at < s.until THEN s.fails WHEN s.fails >= 5 THEN 0 WHEN a.failed THEN s.fails + 1 ELSE 0 END, CASE WHEN a.at >= s.until AND s.fails >= 5 THEN a.at + 86400 ELSE s.until END, a.at < s.until OR s.fails >= 5 FROM s JOIN a ON a.user_id = s.user_id AND a.n = s.n + 1)
-SELECT event_id, refused FROM s WHERE n > 0""")
+@query(REFUSED_SQL)
 def login_refused(spark: SparkSession, d: str) -> DataFrame:
     """Sign-in attempts and whether each is refused: each state depends on the one before."""
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
@@ -956,7 +953,7 @@ def login_refused(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    for more in ("crawl",):
+    for more in ("crawl", "jobs"):
         import_module(f"{__package__}.{more}")  # adds its own
     return dict(QUERIES)
 

@@ -5,11 +5,25 @@ A run that fails, or that is repeated, leaves the table as it was, or as it woul
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once and kept in the session's shared folder (spark.checkpoint.dir; a local master may have one of its own)."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="tidemark-")
+        context.setCheckpointDir(shared)
+    return rows.checkpoint(eager=True)
+
+
 def put_batches(rows: DataFrame, path: str, *by: str) -> None:
     """Writes rows into the table's partitions by (batch_id), of which those that rows have are replaced as a whole."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(by or ("batch_id",))).parquet(path)

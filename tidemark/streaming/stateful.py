@@ -186,6 +186,11 @@ class GrowingFeed:
             best, floor = self._kept(self._history(epoch), None)
         state = self.spark.createDataFrame([(*r, False) for r in best] + ([(*floor, True)] if floor else []), f"{self.schema}, floor boolean")
         stored.put_version(self.spark, f"{self.path}/state", self.schema, epoch, lambda _: state)
+        return self.feed(epoch)
+
+    def feed(self, epoch: int) -> DataFrame:
+        """The feed as it was stored after a batch."""
+        state = stored.current(self.spark, f"{self.path}/state", f"{self.schema}, floor boolean", before=epoch + 1)
         return state.filter("not floor").drop("floor").orderBy(*self.order).limit(self.size)
 
     def start(self, stream: DataFrame, feed_path: str, checkpoint: str):
