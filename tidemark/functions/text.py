@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from html.entities import name2codepoint
 
@@ -93,6 +94,23 @@ LINK_WORDS = ("view more", "first page", "previous page", "next page", "last pag
 BODY_WORDS = ("article", "content", "post", "entry", "text")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _through(text: Column, *ends: str) -> Column:
+    """text up to the last of ends, so that whatever opens before it is closed. Empty without any."""
+    upto = [F.length(text) - F.length(F.substring_index(text, end, -1)) for end in ends]
+    return F.left(text, F.greatest(*upto) if len(upto) > 1 else upto[0])
+
+
+def untagged(html: Column, by: str = "") -> Column:
+    """html with each run from < to the next > replaced. What comes after the last > has none, and isn't searched."""
+    tail = F.substring_index(html, ">", -1)
+    return F.concat(F.regexp_replace(F.left(html, F.length(html) - F.length(tail)), "<[^>]+>", by), tail)
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
@@ -137,7 +155,7 @@ def unescaped(text: Column) -> Column:
 
 def without_tags(html: Column) -> Column:
     """The text of a page's part: tags go, character references become characters, single spaces."""
-    return spaced(unescaped(F.regexp_replace(html, "<[^>]+>", "")))
+    return spaced(unescaped(untagged(html)))
 
 
 def title_of(html: Column) -> Column:
@@ -153,6 +171,14 @@ def source_of(url: Column, html: Column) -> Column:
     return F.coalesce(*(F.when(found, name) for name, found in tries), F.lit("unknown"))
 
 
+def _found(html: Column, pattern: str) -> Column:
+    """The first group of a pattern that ends with a mark, which is only searched for where a mark follows."""
+    ends = [e for e in ("</div>", "</section>", "</article>", "</p>", "【本文结束】") if e in pattern or e == "</div>" and "</(?:div|p|article)>" in pattern]
+    if "</(?:div|p|article)>" in pattern:
+        ends = ["</div>", "</p>", "</article>"]
+    return F.regexp_extract(_through(html, *ends) if ends else html, pattern, 1)
+
+
 def is_boilerplate_paragraph(text: Column) -> Column:
     t = stripped(text)
     dated = t.rlike(r"^\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?\s*\d{1,2}:\d{2}") & (F.length(t) < 30)
@@ -161,20 +187,22 @@ def is_boilerplate_paragraph(text: Column) -> Column:
 
 def paragraphs_of(html: Column) -> Column:
     """The paragraphs of a page's article, else of the whole page, without boilerplate, as one text; without any, all its text."""
-    area = F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in AREAS))
+    area = F.coalesce(*(F.nullif(_found(html, p), F.lit("")) for p in AREAS))
 
     def joined(part: Column) -> Column:
-        texts = F.transform(F.regexp_extract_all(part, F.lit(r"(?is)<p[^>]*>(.*?)</p>"), F.lit(1)), lambda x: stripped(unescaped(F.regexp_replace(x, "<[^>]+>", ""))))
+        # a paragraph begins with the first tag since the last end, as if each were searched for in turn
+        parts = F.split(part, "(?i)</p>", -1)
+        closed = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.regexp_extract(x, r"(?is)<p[^<>]*+>(.*)", 1))
+        texts = F.transform(closed, lambda x: stripped(unescaped(untagged(x))))
         return F.nullif(F.array_join(F.filter(texts, lambda x: (F.length(x) >= 15) & ~is_boilerplate_paragraph(x)), " "), F.lit(""))
 
-    return F.coalesce(joined(area), joined(html), stripped(F.regexp_replace(unescaped(F.regexp_replace(html, "<[^>]+>", " ")), r"(?U)\s{3,}", " ")))
+    return F.coalesce(joined(area), joined(html), stripped(F.regexp_replace(unescaped(untagged(html, " ")), r"(?U)\s{3,}", " ")))
 
 
 def body_of(html: Column, url: Column | None = None, least: int = 200) -> Column:
     """An article's text: of the first place of BODIES with so many characters, else its paragraphs; without marks of links."""
     source = source_of(F.lit("") if url is None else url, html)
-    tries = [without_tags(F.regexp_extract(html, p, 1)) for p in BODIES]
-    found = [F.when(F.length(t) >= least, t) for t in tries]
+    found = [once(without_tags(_found(html, p)), lambda t: F.when(F.length(t) >= least, t)) for p in BODIES]
     found[0] = F.when(source != "mydrivers", found[0])
     steps = [(r"!\[([^\]]*)\]\([^)]+\)", ""), (r"\[\]\([^)]+\)", ""), (r"(?U)#{1,6}\s+", "")]
     cleaned = spaced(reduce(lambda c, s: F.regexp_replace(c, *s), steps, F.coalesce(*found, paragraphs_of(html))))
@@ -216,18 +244,22 @@ def clean_markdown_light(text: Column) -> Column:
 
 def quality(title: Column, content: Column, time: Column) -> Column:
     """What an article lacks: a struct of n_chars, title_chars, has_time, time_is_zero, issues and passed."""
-    title, content = F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))
+    return once(F.struct(title.alias("title"), stripped(title).alias("plain"), content.alias("content"), time.alias("time")), _quality)
+
+
+def _quality(row: Column) -> Column:
+    title, content, time = F.coalesce(row["title"], F.lit("")), F.coalesce(row["content"], F.lit("")), row["time"]
     size, title_size = F.length(content), F.length(title)
     marks = size - F.length(F.translate(content, "<>{", ""))
     zero = F.coalesce(F.get(F.split(time, " "), F.lit(1)) == "00:00:00", F.lit(False))
-    noise = F.coalesce(*(F.when(stripped(title).rlike(p), F.lit(f"noise_title:{p}")) for p in BAD_TITLES))
+    noise = F.coalesce(*(F.when(row["plain"].rlike(p), F.lit(f"noise_title:{p}")) for p in BAD_TITLES))
     failed = [
         F.when(size < 200, F.concat(F.lit("content_too_short:"), size.cast("string"))), F.when(title_size < 5, "title_missing_or_too_short"), noise,
         F.when(marks > size * F.lit(0.05), F.concat(F.lit("content_impure:label_chars="), marks.cast("string"))),
     ]
     issues = F.array_compact(F.array(*failed[:2], F.when(zero, "time_may_be_missing"), *failed[2:]))
-    passed = reduce(lambda a, b: a & b, (x.isNull() for x in failed))
-    return F.struct(size.cast("long").alias("n_chars"), title_size.cast("long").alias("title_chars"), time.isNotNull().alias("has_time"), zero.alias("time_is_zero"), issues.alias("issues"), passed.alias("passed"))
+    told = F.struct(size.cast("long").alias("n_chars"), title_size.cast("long").alias("title_chars"), time.isNotNull().alias("has_time"), zero.alias("time_is_zero"))
+    return once(issues, lambda held: F.struct(*(told[c].alias(c) for c in ("n_chars", "title_chars", "has_time", "time_is_zero")), held.alias("issues"), (F.size(held) == F.when(zero, 1).otherwise(0)).alias("passed")))
 
 
 def line_score(line: Column) -> Column:
@@ -279,8 +311,8 @@ def without_boilerplate(text: Column) -> Column:
 
 def clean_content(html: Column) -> Column:
     """The text of a page's first block that has 100 characters, without boilerplate; else an empty one."""
-    tries = [without_tags(F.regexp_extract(html, p, 1)) for p in BLOCKS]
-    return without_boilerplate(F.coalesce(*(F.when(F.length(t) >= 100, t) for t in tries), F.lit("")))
+    tries = [once(without_tags(_found(html, p)), lambda t: F.when(F.length(t) >= 100, t)) for p in BLOCKS]
+    return without_boilerplate(F.coalesce(*tries, F.lit("")))
 
 
 def sign_ratio(text: Column, signs: tuple[str, ...] = INDICATORS) -> Column:

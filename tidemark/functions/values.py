@@ -2,38 +2,51 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: The dimensions of a stock's grade, and what their highest and unknown grades are called.
 DIMENSIONS, HIGH, UNKNOWN = ("竞争", "盈利", "客户", "技术"), "高", "未知"
 #: A sentence that means no, what a reply then would have said, and a ranking among a quote's fields.
 NO_MOVE, WILL_MOVE, RANKING = "不会引起市场波动", "will_flunctuate", "排名"
 
 
+def of_equal(rows: Column, key: str, last: bool) -> Column:
+    """Of an array's structs with equal keys the last (or first) one, in the array's order."""
+    placed = F.array_sort(F.transform(rows, lambda x, i: F.struct(x[key].alias("key"), (i if last else -i).alias("place"), x.alias("row"))))
+    kept = once(placed, lambda held: F.filter(held, lambda x, i: ~x["key"].eqNullSafe(F.get(held, i + 1)["key"]) | (i + 1 == F.size(held))))
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct(F.abs(x["place"]).alias("place"), x["row"].alias("row"))))
+    return F.transform(ordered, lambda x: x["row"])
+
+
 def parsed_values(text: Column) -> Column:
     """The map of 'name:value|name:value': split at the last colon, bad numbers skipped, the last of equal names wins."""
     pairs = F.transform(F.split(text, r"\|"), lambda x: F.struct(F.regexp_extract(x, r"^(.*):([^:]*)$", 1).alias("name"), F.regexp_extract(x, r"^(.*):([^:]*)$", 2).try_cast("double").alias("value")))
-    good = F.filter(pairs, lambda x: (x["name"] != "") & x["value"].isNotNull())
-    last = F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda y: y["name"] == x["name"]))
-    names = F.transform(good, lambda x: x["name"])
-    return F.map_from_entries(F.when(F.size(F.array_distinct(names)) == F.size(names), good).otherwise(last))
+    return F.map_from_entries(of_equal(F.filter(pairs, lambda x: (x["name"] != "") & x["value"].isNotNull()), "name", last=True))
 
 
 def client_values(text: Column) -> Column:
     """The map as clients read it: between the first two colons, names trimmed, bad numbers are 0, the last of equal names wins."""
     pairs = F.transform(F.filter(F.split(text, r"\|"), lambda x: x.contains(":")), lambda x: F.struct(F.btrim(F.get(F.split(x, ":"), F.lit(0))).alias("name"), F.coalesce(F.get(F.split(x, ":"), F.lit(1)).try_cast("double"), F.lit(0.0)).alias("value")))
-    return F.map_from_entries(F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["name"] == x["name"])))
+    return F.map_from_entries(of_equal(pairs, "name", last=True))
 
 
 def client_changes(published: Column, current: Column) -> Column:
     """By sector of the published values: name, published, current and change; a missing current value is the published one."""
-    before = client_values(F.coalesce(published, F.lit("")))
-    now = F.when(F.coalesce(current, F.lit("")) == "", before).otherwise(client_values(current))
-    told = lambda x: F.coalesce(now[x["key"]], x["value"])
-    return F.transform(F.map_entries(before), lambda x: F.struct(x["key"].alias("name"), x["value"].alias("published"), told(x).alias("current"), (told(x) - x["value"]).alias("change")))
+    none = F.coalesce(current, F.lit("")) == ""
+    both = F.struct(client_values(F.coalesce(published, F.lit(""))).alias("before"), F.when(~none, client_values(current)).alias("now"))
+
+    def changes(held: Column) -> Column:
+        told = lambda x: F.coalesce(held["now"][x["key"]], x["value"])
+        return F.transform(F.map_entries(held["before"]), lambda x: F.struct(x["key"].alias("name"), x["value"].alias("published"), told(x).alias("current"), (told(x) - x["value"]).alias("change")))
+
+    return once(both, changes)
 
 
 def built_values(pairs: Column) -> Column:
@@ -182,10 +195,23 @@ def recovered_json(blocks: Column, schema: str) -> Column:
     return F.coalesce(first, F.when(unmoved, F.from_json(F.lit(f'{{"{WILL_MOVE}": false}}'), schema)))
 
 
-#: Objects in braces that are balanced, up to eight deep.
-BALANCED = r"\{[^{}]*+\}"
-for _ in range(7):
-    BALANCED = rf"\{{(?:[^{{}}]++|{BALANCED})*+\}}"
+def _objects(text: str) -> list[str]:
+    """What stands in balanced braces and in no wider ones; a brace that is never closed counts for nothing."""
+    opened, found = [], []
+    for brace in re.finditer("[{}]", text):
+        if brace.group() == "{":
+            opened.append(brace.start())
+        elif opened:
+            start = opened.pop()
+            while found and found[-1][0] > start:
+                found.pop()
+            found.append((start, brace.end()))
+    return [text[a:b] for a, b in found]
+
+
+def loose_objects(text: Column) -> Column:
+    """The array of a text's parts in balanced braces, however deep."""
+    return F.arrow_udf(lambda texts: pa.array([None if t is None else _objects(t) for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")(text)
 
 
 def recovered_batch(blocks: Column, schema: str, needed: tuple[str, ...] = ("id", WILL_MOVE)) -> Column:
@@ -193,20 +219,24 @@ def recovered_batch(blocks: Column, schema: str, needed: tuple[str, ...] = ("id"
 
     Of equal ids the list's last one counts, of objects the first.
     """
-    kind = f"array<struct<{schema}>>"
     plain = F.regexp_replace(F.array_join(blocks, "\n"), r"```(?:json)?\s*", "")
-    text = F.regexp_extract(plain, r"\[[\s\S]*\]", 0)
-    listed = F.filter(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, kind)), lambda x: x["id"].isNotNull())
-    last = F.filter(listed, lambda x, i: ~F.exists(F.slice(listed, i + 2, F.size(listed)), lambda y: y["id"] == x["id"]))
-    objects = F.transform(F.regexp_extract_all(plain, F.lit(f"({BALANCED})"), F.lit(1)), lambda x: _parsed(x, schema))
-    good = F.filter(objects, lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed)))
-    first = F.filter(good, lambda x, i: ~F.exists(F.slice(good, F.lit(1), i), lambda y: y["id"] == x["id"]))
-    return F.coalesce(last, first)
+    begin, tail = F.locate("[", plain), F.substring_index(plain, "]", -1)
+    widest = F.when((begin > 0) & (F.length(plain) - F.length(tail) > begin), F.substring(plain, begin, F.length(plain) - F.length(tail) - begin + 1)).otherwise("")
+    listed = once(widest, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, f"array<struct<{schema}>>")))
+    objects = F.transform(loose_objects(plain), lambda x: _parsed(x, schema))
+
+    def chosen(held: Column) -> Column:
+        last = of_equal(F.filter(held["listed"], lambda x: x["id"].isNotNull()), "id", last=True)
+        first = of_equal(F.filter(held["objects"], lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed))), "id", last=False)
+        return F.when(held["listed"].isNotNull(), last).otherwise(first)
+
+    return once(F.struct(listed.alias("listed"), objects.alias("objects")), chosen)
 
 
 def aligned(replies: Column, total: Column) -> Column:
     """The replies of ids 1 to total, null where there is none."""
-    return F.when(total > 0, F.transform(F.sequence(F.lit(1), total), lambda n: F.get(F.filter(replies, lambda x: x["id"] == n), F.lit(0)))).otherwise(F.slice(replies, F.lit(1), F.lit(0)))
+    numbered = lambda held: F.transform(F.sequence(F.lit(1), total), lambda n: F.get(F.filter(held, lambda x: x["id"] == n), F.lit(0)))
+    return once(replies, lambda held: F.when(total > 0, numbered(held)).otherwise(F.slice(held, F.lit(1), F.lit(0))))
 
 
 def recovered_review(blocks: Column, schema: str) -> Column:

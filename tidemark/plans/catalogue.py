@@ -588,13 +588,19 @@ def llm_json_recover(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", values.recovered_json(blocks, "k int, will_flunctuate boolean").alias("r")).select("event_id", "r.k", F.col("r.will_flunctuate").alias("moves"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 1 THEN FALSE END AS first, CASE WHEN event_id % 2 = 1 THEN TRUE END AS second, CASE WHEN event_id % 2 = 0 THEN FALSE END AS third FROM events")
+@query("""WITH e AS (SELECT event_id, user_id % 2 = 0 AS even, CAST(json_extract_string(props, '$.k') AS INTEGER) % 2 = 0 AS moves FROM events)
+SELECT event_id, CASE WHEN event_id % 2 = 1 THEN moves END AS first, CASE WHEN event_id % 2 = 1 THEN even END AS second, CASE WHEN event_id % 2 = 0 THEN moves END AS third FROM e""")
 def llm_batch_recover(spark: SparkSession, d: str) -> DataFrame:
-    """Replies on three news: a list whose last entry of an id counts, or loose objects whose first does."""
-    listed = F.array(F.lit('ok\n```json\n[{"id": 3, "will_flunctuate": true}, {"id": 7, "will_flunctuate": true},'), F.lit('{"id": 3, "will_flunctuate": false}]\n```'))
-    loose = F.array(F.lit('[1] {"id": 2, "will_flunctuate": true} {broken} {"id": 2, "will_flunctuate": false} {"id": 1, "will_flunctuate": false, "why": {"a": {"b": 1}}} ]'), F.lit('{"id": 3}'))
+    """Replies on three news: a list whose last entry of an id counts, or loose objects whose first does, of which one is fifty deep."""
+    moves = F.when(F.regexp_extract("props", r"(\d+)", 1).cast("int") % 2 == 0, "true").otherwise("false")
+    even = F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")
+    entry = lambda n, told, more="": F.concat(F.lit(f'{{"id": {n}, "will_flunctuate": '), told, F.lit(more + "}"))
+    deep = ', "why": ' + '{"a": ' * 50 + "1" + "}" * 50
+    listed = F.array(F.concat(F.lit("ok\n```json\n["), entry(3, F.lit("true")), F.lit(","), entry(7, F.lit("true")), F.lit(",")), F.concat(entry(3, moves), F.lit("]\n```")))
+    loose = F.array(F.concat(F.lit("[1] { "), entry(2, even), F.lit(" {broken} "), entry(2, F.lit("null")), F.lit(" "), entry(1, moves, deep), F.lit(" ]")), F.lit('{"id": 3}'))
     found = values.aligned(values.recovered_batch(F.when(F.col("event_id") % 2 == 0, listed).otherwise(loose), "id int, will_flunctuate boolean"), F.lit(3))
-    return table(spark, d, "events").select("event_id", *(F.get(found, F.lit(i))["will_flunctuate"].alias(n) for i, n in enumerate(("first", "second", "third"))))
+    told = text.once(found, lambda x: F.struct(*(F.get(x, F.lit(i))["will_flunctuate"].alias(n) for i, n in enumerate(("first", "second", "third")))))
+    return table(spark, d, "events").select("event_id", told.alias("r")).select("event_id", "r.*")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events")
