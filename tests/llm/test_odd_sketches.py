@@ -63,7 +63,7 @@ def test_near_duplicates_around_the_threshold(spark):
     rows += [(5000 + i, t) for i, t in enumerate([None, "", " \n", "a", "A", "a b", "a  B", "é É", "É é", "x" * 150_000, "w " * 50_000])] + [(None, "a"), (None, "solo text here now"), (7, rows[7][1]), (7, rows[7][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "n", "own", "sig", "component", "upper", "bands", "row", "d1", "a", "b")})
     for broadcast in (2_000_000, 0):
-        got = minhash_dedup(docs, most_broadcast=broadcast).collect()
+        got = minhash_dedup(docs, most_broadcast=broadcast, most_rest=broadcast).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted(plain_join(rows), key=str)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert minhash_dedup(docs.filter("false")).collect() == []

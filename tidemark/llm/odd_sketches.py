@@ -9,9 +9,9 @@
 4. Odd sketches. Each sample flips one bit of a bitmap. Where two bitmaps differ in k of n bits, some
    -n/4 ln(1 - 2k/n) of the samples differ. A pair that this puts `deviations` standard deviations below the threshold is
    dropped; all others are compared by their whole sets.
-5. All of a list are compared with the one of them that has most lists in common with others. In further rounds those that
-   are not in the list's largest component of links are compared with another one of that; what is then in more than one component
-   is compared across these, a pair once for all its lists. Components are exact, and no list of similar texts is expanded
+5. In each list the one that has most lists in common with others is its head; each class is compared with the best head of its
+   lists. In further rounds those that are not in a list's largest component of links are compared with another one of that; what
+   is then in more than one component is compared across these, a pair once for all its lists. Components are exact, and no list of similar texts is expanded
    into its pairs.
 
 With 288 samples in bands of 6, a pair at the threshold of 0.85 is in no list with a probability of 1e-10, and a pair above
@@ -174,7 +174,7 @@ def _split(lists: DataFrame, links: DataFrame, size: int) -> DataFrame:
     return durable(sized(named.join(parts.filter("parts > 1").drop("parts"), "sig"), size))
 
 
-def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], rounds: int) -> DataFrame:
+def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], rounds: int, most_rest: int) -> DataFrame:
     """Links (a, b) that give the right components of the classes in lists (sig, node). about: node, n, sketches and bands."""
     sizes = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     lists = durable(lists.join(sizes, "sig"))
@@ -188,8 +188,11 @@ def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame],
     links = tried = None
     for r in range(rounds):
         by = best if r == 0 else F.struct(F.xxhash64("node", "sig", F.lit(r)), F.col("node"))
-        heads = sized(at_hand.filter("component = main").groupBy("sig").agg(F.max_by("node", by).alias("head")), size)
+        heads = sized(at_hand.filter("component = main").groupBy("sig").agg(F.max_by(F.struct("node", "score"), by).alias("head")), size)
         stars = sized(at_hand.filter("component <> main").join(heads, "sig"), size)
+        # of the heads of its lists each is compared with one: the best, then any
+        rank = F.struct("head.score", "head.node") if r == 0 else F.struct(F.xxhash64("node", "head.node", F.lit(r)), "head.node")
+        stars = stars.groupBy("node").agg(F.max_by("head.node", rank).alias("head"))
         stars = sized(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), size)
         stars = durable(stars if tried is None else sized(stars.join(tried, ["a", "b"], "left_anti"), size))
         near = durable(sized(stars.join(sides("a"), "a").join(sides("b"), "b").filter(may_link("a_", "b_")).select("a", "b"), size))
@@ -200,20 +203,23 @@ def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame],
         if not at_hand.limit(1).count():
             return links
     # the main component of a list is compared with the rest of it, not with itself; a pair counts in the first list that both are in
-    whole = at_hand.drop("score").join(about, "node")
-    x, y = (part.select(*(F.col(c).alias(f"{name}_{c}") for c in whole.columns)) for name, part in (("x", whole.filter("component <> main")), ("y", whole)))
+    whole, rest = at_hand.drop("score").join(about, "node"), at_hand.filter("component <> main").drop("score").join(about, "node")
+    x, y = (part.select(*(F.col(c).alias(f"{name}_{c}") for c in whole.columns)) for name, part in (("x", rest), ("y", whole)))
+    if at_hand.filter("component <> main").count() <= most_rest:  # then rows of large lists stay where they are
+        x = F.broadcast(x)
     apart = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_sig")
     across = x.join(y, apart & may_link("x_", "y_") & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return links.unionByName(confirmed(durable(across.join(tried, ["a", "b"], "left_anti"))))
 
 
-def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (85, 100), count: int = 288, rows: int = 6, words: int = 16, deviations: float = 7.0, rounds: int = 3, most_broadcast: int = 2_000_000) -> DataFrame:
+def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (85, 100), count: int = 288, rows: int = 6, words: int = 16, deviations: float = 7.0, rounds: int = 3, most_broadcast: int = 2_000_000, most_rest: int = 100_000) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept (doc_id is component_id).
 
     Two rows link when their common shingles are at least threshold of their united ones. count: samples of a set, a multiple
     of rows, which are a band's. words: of 64 bits in an odd sketch. deviations: how far below the threshold a sketch must
     put a pair to end it. rounds: in so many a list's members are compared with one of them each. most_broadcast: so many classes or pairs are found again by broadcast, more by a shuffle.
+    most_rest: so many rows outside of their lists' largest components are compared across components by broadcast.
     """
     over, under = threshold
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
@@ -226,7 +232,7 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keys = classes.select("node", "first.text_hash", F.col("first.doc_id").alias("own_id"))
     confirmed = _Confirmed(source, keys, width, over, under, most_broadcast)
     most = most_bits(count, words, over, under, deviations)
-    links = _links(lists, about, confirmed, lambda x, y: _may_link(x, y, words, most, over, under), rounds)
+    links = _links(lists, about, confirmed, lambda x, y: _may_link(x, y, words, most, over, under), rounds, most_rest)
 
     named = classes.select("d1", "d2", "node", "least_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
