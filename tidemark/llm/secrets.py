@@ -32,10 +32,11 @@ from .common import durable
 #: The forms of candidates. Quantifiers are possessive, so a value is matched to its end in one pass.
 #: A block of a private key reaches to its END line, or without one over the lines of base64 that follow.
 BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*+[0-9A-Za-z+/=]{16,}+)*+)"
+#: Most places of a text can't begin a key by their first three characters.
 KEYS = (
-    r"A[KS]IA[0-9A-Z]{12,}+|gh[pousr]_[0-9A-Za-z]{20,}+|github_pat_\w{20,}+|glpat-[\w-]{16,}+|xox[abeoprs]-[0-9A-Za-z-]{10,}+|xapp-[0-9A-Za-z-]{10,}+|[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+|(?<![0-9A-Za-z])sk-[\w-]{20,}+|AIza[\w-]{30,}+"
-    r"|eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{5,}+|npm_[0-9A-Za-z]{30,}+|(?<![0-9A-Za-z])hf_[0-9A-Za-z]{30,}+|pypi-[\w-]{50,}+|(?<![0-9A-Za-z])SG\.[\w-]{16,}+\.[\w-]{16,}+|dop_v1_[0-9a-f]{40,}+|shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32,}+|ya29\.[\w-]{20,}+"
-    rf"|{BLOCK}"
+    r"(?=[AgxrsenhpSdy-][KSIhiloakypfG-][Izpousrtax_Jm.2-])(?:A[KS]IA[0-9A-Z]{12,}+|gh[pousr]_[0-9A-Za-z]{20,}+|github_pat_\w{20,}+|glpat-[\w-]{16,}+|xox[abeoprs]-[0-9A-Za-z-]{10,}+|xapp-[0-9A-Za-z-]{10,}+|[rs]k_(?:live|test)_[0-9A-Za-z]{16,}+|(?<![0-9A-Za-z])sk-[\w-]{20,}+|AIza[\w-]{30,}+"
+    r"|(?<![\w-])eyJ[\w-]{10,}+\.[\w-]{10,}+\.[\w-]{5,}+|npm_[0-9A-Za-z]{30,}+|(?<![0-9A-Za-z])hf_[0-9A-Za-z]{30,}+|pypi-[\w-]{50,}+|(?<![0-9A-Za-z])SG\.[\w-]{16,}+\.[\w-]{16,}+|dop_v1_[0-9a-f]{40,}+|shp(?:at|ca|pa|ss)_[0-9A-Fa-f]{32,}+|ya29\.[\w-]{20,}+"
+    rf"|{BLOCK})"
 )
 #: An identifier that has one of these words in it, and the sign that assigns to it (a type may stand between).
 NAMES = r"pass(?:word|wd|wort|phrase|code)|pwd|secret|token|credential|auth|(?:api|access|private|signing|encryption|master|session|account|storage|service|client|shared|ssh)[_.-]?key"
@@ -53,6 +54,7 @@ FOR = r"(?i)\b(?:password|passwd|token|secret|key|credential|login|auth|aws|prod
 AGAINST = r"(?i)\b(?:example|sample|test|dummy|fake|placeholder|fixture|docs?|e\.g|mock|demo|replace|your)"
 PATH = r"(?i)(?:^|[/_.-])(?:test|tests|spec|example|examples|fixture|fixtures|mock|docs?|sample|demo)"
 FEATURES = ("n_chars", "lower_digit", "case_change", "other_change", "pairs", "distinct", "digits", "covered", "longest_run", "is_assigned", "is_key", "beside_for", "beside_against", "path_against", "vowels")
+MARK = "\ue000\ue001\ue000"
 LETTERS, KINDS = "abcdefghijklmnopqrstuvwxyz", 28
 LEAST = 5
 
@@ -60,12 +62,16 @@ LEAST = 5
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, path, nth, start (code points before the finding), kind, value, before and after (40 characters each)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.filter(F.col("text").rlike(CANDIDATE))
+    # marks around each finding, so that a text is searched once; a text that has the mark itself is searched twice instead
+    marked = F.split(F.regexp_replace("text", f"({CANDIDATE})", f"{MARK}$1{MARK}"), MARK, -1)
+    twice = F.flatten(F.zip_with(F.split("text", CANDIDATE, -1), F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)), lambda l, x: F.array(l, F.coalesce(x, F.lit("")))))
+    parts = F.when(F.col("text").contains(MARK), F.slice(twice, F.lit(1), F.size(twice) - 1)).otherwise(marked)
     # of the text between findings only its length and what stands beside them go on, so rows stay small
-    told = lambda x: F.struct(F.length(x).alias("n"), F.left(x, F.lit(40)).alias("first"), F.right(x, F.lit(40)).alias("last"))
-    rows = rows.select("doc_id", "path", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1)).alias("found"), F.transform(F.split("text", CANDIDATE, -1), told).alias("between"))
-    each = rows.select("doc_id", "path", "row", F.posexplode(F.arrays_zip("found", F.slice("between", F.lit(1), F.size("found")).alias("l"), F.slice("between", F.lit(2), F.size("found")).alias("r"))).alias("nth", "x"))
-    each = each.select("doc_id", "path", "row", "nth", F.col("x.found").alias("finding"), F.col("x.l").alias("l"), F.col("x.r").alias("r"))
+    told = lambda x, i: F.when(i % 2 == 0, F.struct(F.length(x).alias("n"), F.left(x, F.lit(40)).alias("first"), F.right(x, F.lit(40)).alias("last"), F.lit("").alias("finding"))).otherwise(F.struct(F.length(x).alias("n"), F.lit("").alias("first"), F.lit("").alias("last"), x.alias("finding")))
+    rows = rows.select("doc_id", "path", F.monotonically_increasing_id().alias("row"), F.transform(parts, told).alias("parts")).filter("size(parts) > 1")
+    each = rows.select("doc_id", "path", "row", "parts", F.explode(F.sequence(F.lit(0), F.expr("size(parts) div 2 - 1"))).alias("nth"))
+    part = lambda k: F.get("parts", F.col("nth") * 2 + k)
+    each = each.select("doc_id", "path", "row", "nth", part(1)["finding"].alias("finding"), part(0).alias("l"), part(2).alias("r"))
     grown = F.sum(F.col("l.n") + F.length("finding")).over(Window.partitionBy("row").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)) - F.length("finding")
     finding, kind = F.col("finding"), F.col("kind")
     each = each.select(
@@ -87,7 +93,7 @@ def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def dictionary(docs: DataFrame, *, text_col: str = "text", common: float = 1e-5) -> DataFrame:
     """word, documents: the words of three letters or more, in lower case, of at least so great a share of all documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}{3,}+"), F.lit(0)))
-    counted = docs.select(F.explode(words).alias("word")).filter("length(word) <= 30").groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("documents"))
     return durable(counted.filter(F.col("documents") >= max(LEAST, common * docs.count())))
 
 
@@ -134,7 +140,7 @@ def planted(docs: DataFrame, *, text_col: str = "text", path_col: str = "source"
     """Labelled findings: secrets of random characters, and what is mistaken for them, written into passages of at most `most` documents."""
     rows = docs.select(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text")).filter("length(text) > 20")
     at = F.pmod(F.xxhash64(F.lit(f"{seed} at"), "text"), F.length("text").cast("long")).cast("int") + 1
-    drawn = F.sha2(F.concat(F.lit(f"{seed} "), "text"), 512)
+    drawn = F.sha2(F.concat(F.lit(f"{seed} "), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(seed), "text"))), 512)
     # passages, not texts, are sorted: a task sends the first `most` of its own
     rows = rows.select("path", drawn.alias("hex"), F.substring("text", at - 40, F.lit(40)).alias("before"), F.substring("text", at, F.lit(60)).alias("after"))
     rows = durable(rows.orderBy("hex", "path", "before").limit(most))
