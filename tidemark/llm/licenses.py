@@ -2,7 +2,8 @@
 
 A text is cut into sentences: at sentence ends, at line ends, and again with the lines of a paragraph joined, since
 notices are wrapped. A sentence is normalised (case, comment marks, punctuation, spaces) and looked up among the known
-sentences of licences, which gives its identifier; sentences with free parts are known by a pattern. The identifiers in
+sentences of licences, which gives its identifier; sentences with free parts are known by a pattern, and those that name
+licences in other words (a verb, names, versions, "or later", "or") by a small grammar. The identifiers in
 the order of the text are then matched against ordered rules: the first rule whose sequence is found names a licence and
 uses its sentences up, until no rule fits. An SPDX line is read as it is written: each licence of its expression is
 named, deprecated names by their successors. Of alternatives (OR) the mildest kind counts, of joint ones (AND) the
@@ -90,7 +91,56 @@ SENTENCES = {
 PATTERNS = [
     ("cc", re.compile(r"(?:(?:this work|content|text|this article) is )?(?:licensed|released|available) under (?:a |the )?(?:cc|creative commons) ?(?P<name>(?:by|attribution)[a-z ]*)(?P<version>[0-9.]+)?(?: [a-z]+)*(?: license)?")),
     ("copyright", re.compile(r"copyright (?:c )?[0-9 ]*[0-9]{4}.*")),
+    # holders are free
+    ("bsd-names", re.compile(r"(?:[0-9.]+ )?neither the names? of .{1,120}? nor the names of (?:its|their|any|the)(?: of its)? contributors may be used to endorse or promote products derived from this software without (?:specific )?prior written permission")),
+    ("isc-asis", re.compile(r"the software is provided as is and .{1,80}? disclaims? all warranties with regard to this software including all implied warranties of merchantability and fitness")),
 ]
+#: How notices name licences: (its words, SPDX name, version if none is told, whether GNU's "or later" is in its name).
+NAMES = [
+    (r"(?:gnu )?(?:affero (?:gnu )?(?:general )?public licen[sc]e|agpl)", "AGPL", "3.0", True), (r"(?:gnu )?(?:lesser|library) (?:gnu )?(?:general )?public licen[sc]e|(?:gnu )?lgpl", "LGPL", "3.0", True), (r"gnu (?:general )?public licen[sc]e|general public licen[sc]e|gnu gpl|gpl", "GPL", "3.0", True),
+    (r"apache(?: software)?(?: public)?(?: licen[sc]e)?|asl", "Apache", "2.0", False), (r"(?:the )?(?:mit x11|mit expat|mit|expat|x11)(?: style)?", "MIT", "", False), (r"isc", "ISC", "", False), (r"(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)", "BSD-2-Clause", "", False),
+    (r"(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd)", "BSD-3-Clause", "", False), (r"(?:0bsd|bsd 0 clause|zero clause bsd)", "0BSD", "", False), (r"bsd(?: style)?", "BSD", "", False), (r"mozilla public licen[sc]e|mpl", "MPL", "2.0", False), (r"eclipse public licen[sc]e|epl", "EPL", "2.0", False),
+    (r"boost(?: software)?(?: licen[sc]e)?|bsl", "BSL", "1.0", False), (r"zlib(?: libpng)?", "Zlib", "", False), (r"unlicense", "Unlicense", "", False), (r"creative commons (?:zero|cc0)|cc0", "CC0", "1.0", False), (r"do what the fuck you want to public licen[sc]e|wtfpl", "WTFPL", "", False),
+    (r"artistic licen[sc]e", "Artistic", "2.0", False), (r"postgresql", "PostgreSQL", "", False), (r"(?:python software foundation|psf)", "PSF", "2.0", False), (r"european union public licen[sc]e|eupl", "EUPL", "1.2", False), (r"common development and distribution licen[sc]e|cddl", "CDDL", "1.0", False),
+]
+_NAMED = re.compile("|".join(f"(?P<n{i}>{words})" for i, (words, *_) in enumerate(NAMES)))
+#: What leads to a name (after it come "license", a version and what may be later), and what joins two of them.
+_LEADS = re.compile(r"(?:licen[sc]ed|released|distributed|redistributed?|available|published|provided|covered|governed|modif(?:y|ied)|subject|use|used)(?: [a-z]+){0,5}? (?:under|by|to)(?: (?:the|a|an|either|both|one|terms?|and|conditions?|of|same|dual|which|license)\b)*(?: |$)|^(?:[a-z]+ ){0,4}licen[sc]e (?:is )?(?:the )?|^")
+_VERSION = re.compile(r"(?: ?licen[sc]es?)?(?: ?(?:version |v\.? ?|ver\.? )?(?P<v>[0-9]+(?:\.[0-9]+)*))?(?P<later>\+| or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?(?: at your option)?)?(?: ?licen[sc]es?)?(?: only)?")
+_JOINS = re.compile(r" (?:(?P<or>or|and or)|and)(?: (?:the|a|an|under))* ")
+_PERL = re.compile(r"(?:under the )?same terms as (?:the )?perl(?: ?5)?(?: programming language system)?(?: itself)?")
+
+
+def referred(sentence: str) -> str | None:
+    """The SPDX expression of a normalised sentence that names licences in its own words: a lead and names, or names and `licensed`."""
+    if _PERL.search(sentence):
+        return "Artistic-1.0-Perl OR GPL-1.0-or-later"
+    for lead in _LEADS.finditer(sentence):
+        at, told = lead.end(), ""
+        while (name := _NAMED.match(sentence, at)) and (name.end() == len(sentence) or not sentence[name.end()].isalpha() or sentence[name.end()] == "v"):
+            words, spdx, default, gnu = NAMES[int(name.lastgroup[1:])]
+            version = _VERSION.match(sentence, name.end())
+            number, later = version["v"] or "", bool(version["later"])
+            if default:
+                number = number or default
+                spdx += f"-{number if '.' in number else number + '.0'}"
+            elif number and spdx.startswith("BSD"):
+                spdx = "BSD"
+            told += spdx + (("-or-later" if later else "-only") if gnu else "+" if later and default else "")
+            join = _JOINS.match(sentence, version.end())
+            after = sentence[version.end() :]
+            at = join.end() if join else len(sentence)
+            if not join or not _NAMED.match(sentence, at):
+                # a name alone is no notice: a verb leads to it, or `licensed` follows, or the sentence ends after `license`
+                if lead.group() or re.match(r" ?(?:licen[sc]ed|at your option)", after) or (not after.strip() and re.search(r"licen[sc]e", version.group() + name.group())):
+                    return told
+                break
+            told += " OR " if join["or"] else " AND "
+    if short := re.fullmatch(r"(?:[a-z]+ ){0,4}(?:is|are|code) (?P<name>.+?) licen[sc]ed", sentence):
+        return referred(f"licensed under {short['name']}")
+    return None
+
+
 #: Ordered rules: a licence, the identifiers that must follow one another (a trailing ? may lack), the kind of its terms.
 RULES = [
     ("MIT", ["mit-title?", "copyright?", "all-rights?", "mit-grant", "mit-notice", "mit-asis?"], "permissive"),
@@ -138,10 +188,10 @@ CREATIVE = {"attribution": "BY", "by": "BY", "noncommercial": "NC", "nc": "NC",
 STRICTNESS = ("permissive", "unknown", "copyleft", "restricted")
 _NAME = r"[()]*[A-Za-z0-9][A-Za-z0-9.+:_-]*[()]*"
 SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*({_NAME}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_NAME})*)", re.IGNORECASE)
-SPEAKS = re.compile(r"licen[sc]e|copyright|rights reserved|spdx|warranty|redistribut|public domain|permission is hereby|permission to use|\bas is\b|unless required|above copyright|creative commons|under cc")
+SPEAKS = re.compile(r"licen[sc]|same terms as perl|neither the names? of|\b[al]?gpl|wtfpl|copyright|rights reserved|spdx|warranty|redistribut|public domain|permission is hereby|permission to use|\bas is\b|unless required|above copyright|creative commons|under cc")
 _MARKS = re.compile(r"^[\s/*#;>|.-]+|[\s/*#|-]+$")
 _GAPS = re.compile(r"[^a-z0-9.+]+")
-_ENDS = re.compile(r"(?<=[.;:!?])(?<!dentifier:)\s+")
+_ENDS = re.compile(r"(?<=[.;:!?])(?<!dentifier:)(?<!icense:)(?<!icence:)\s+")
 
 
 def normalised(sentence: str) -> str:
@@ -200,6 +250,8 @@ def sentences(text: str) -> list[tuple[int, str, str | None]]:
                         break
                 else:
                     end = at + 1
+            if name is None and len(plain) <= 300 and SPEAKS.search(plain) and (expression := referred(plain)):
+                name = f"named:{expression}"
             if name is not None or SPEAKS.search(plain):
                 found.append((line, plain, name))
             at = end
@@ -251,7 +303,7 @@ def recognised(names: list[str]) -> list[tuple[str, str]]:
                 at += 1
     for at, name in enumerate(left):
         head, _, rest = name.partition(":")
-        if head == "spdx":
+        if head in ("spdx", "named"):
             found += [(at, *x) for x in of_expression(rest)]
         elif head == "cc":
             words = [CREATIVE.get(x, x.upper()) for x in rest.split()]
@@ -260,26 +312,47 @@ def recognised(names: list[str]) -> list[tuple[str, str]]:
     return [(licence, kind) for _, licence, kind in sorted(found, key=lambda x: x[0])]
 
 
-def scanned(text: str) -> tuple[list[str], str, list[dict], int]:
+def body_sentences(text: str) -> set[str]:
+    """The normalised sentences of six words or more of a text whose lines are joined within paragraphs."""
+    whole = (normalised(x) for part in re.split(r"\n[\s/*#;>|.-]*\n", text) for x in _ENDS.split(" ".join(_MARKS.sub("", line) for line in part.split("\n"))))
+    return {x for x in whole if x.count(" ") > 4}
+
+
+def of_bodies(text: str, bodies: dict[str, set[str]], least: float = 0.5) -> list[str]:
+    """Of full licence texts those of which a text has such a share of sentences that no better one has used up."""
+    own, found = body_sentences(text), []
+    while True:
+        share, name = max(((len(own & body) / len(body), name) for name, body in bodies.items() if body), default=(0.0, ""))
+        if share < least:
+            return found
+        found.append(name)
+        own -= bodies[name]
+
+
+def scanned(text: str, bodies: dict[str, set[str]] | None = None) -> tuple[list[str], str, list[dict], int]:
     low = text.lower()
     if not SPEAKS.search(low) and not ("\n" in low and SPEAKS.search(_GAPS.sub(" ", low))):  # words may be wrapped
         return [], "none", [], 0
     found = sentences(text)
     known = [(line, name) for line, _, name in found if name]
     licences = recognised([n for _, n in known])
+    if bodies and len(found) > 5:
+        licences += [(name, kind_of(name)) for name in of_bodies(text, bodies) if all(name != x for x, _ in licences)]
     kinds = {k for _, k in licences}
     verdict = next((k for k in reversed(STRICTNESS) if k in kinds), "none")
     return list(dict.fromkeys(n for n, _ in licences)), verdict, [{"line": a, "sentence": b} for a, b in known], sum(n is None for _, _, n in found)
 
 
-def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, licenses (in the order of the text), verdict (the strictest kind: restricted, copyleft, unknown, permissive or none), sentences (line, identifier), n_unknown."""
+def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
+    """texts: full texts of licences by SPDX name, known by half of their sentences. Returns doc_id, licenses (in the order of the text), verdict (the strictest kind: restricted, copyleft, unknown, permissive or none), sentences (line, identifier), n_unknown."""
     found_type = pa.list_(pa.struct([("line", pa.int64()), ("sentence", pa.string())]))
     kinds = [("licenses", pa.list_(pa.string())), ("verdict", pa.string()), ("sentences", found_type), ("n_unknown", pa.int64())]
 
+    bodies = {name: body_sentences(text) for name, text in (texts or {}).items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 16 << 20):
-            found = [scanned(x.as_py() or "") for x in batch.column("text")]
+            found = [scanned(x.as_py() or "", bodies) for x in batch.column("text")]
             columns = zip(*found, strict=True) if found else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), kind) for c, (_, kind) in zip(columns, kinds, strict=True))], names=["doc_id", *(n for n, _ in kinds)])
 
