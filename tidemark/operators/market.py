@@ -50,15 +50,36 @@ def priced(rows: DataFrame, by_code: DataFrame, by_name: DataFrame) -> DataFrame
     return rows.join(a, "code", "left").join(b, "name", "left").withColumn("price", F.coalesce("_by_code", "_by_name")).drop("_by_code", "_by_name")
 
 
-def matched_names(names: DataFrame, quotes: DataFrame) -> DataFrame:
-    """names (name) with the quote of the same name, else the first by place that contains it or is contained.
+def _grams(text: Column) -> Column:
+    """The distinct pairs of neighbouring characters of a text, and its characters."""
+    return F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, 2)), F.split(text, "")))
+
+
+def holding(keys: DataFrame, key: str, rows: DataFrame, column: str, by_loop: Column, exact: Column) -> DataFrame:
+    """keys joined with the rows whose column holds the key, by an index of neighbouring characters, without comparing all with all.
 
-    quotes is a dimension of some hundred names, broadcast up to a number of rows.
+    Each key looks up the one of its pairs (or its only character) that fewest rows have; exact then decides. Both sides are
+    compared in lower case by the index. Keys for which by_loop holds (few: empty ones, those with wildcards) are compared
+    with all rows.
     """
+    index = rows.withColumn("_gram", F.explode(_grams(F.lower(column))))
+    often = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_often"))
+    low = F.lower(key)
+    own = F.filter(_grams(low), lambda g: (F.length(g) == 2) | (F.length(low) == 1))
+    asked = keys.filter(~by_loop).select(key, F.explode(own).alias("_gram")).distinct().join(often, "_gram", "left")
+    rarest = asked.groupBy(key).agg(F.min_by("_gram", F.struct(F.coalesce("_often", F.lit(0)), "_gram")).alias("_gram"))
+    found = keys.filter(~by_loop).join(rarest, key).join(index, "_gram").filter(exact).drop("_gram")
+    return found.unionByName(keys.filter(by_loop).join(rows, exact))
+
+
+def matched_names(names: DataFrame, quotes: DataFrame) -> DataFrame:
+    """names (name) with the quote of the same name, else the first by place that contains it or is contained; a row for each name."""
     q = quotes.select(F.col("name").alias("quote_name"), "place", "price")
-    fits = (F.col("name") == F.col("quote_name")) | F.col("quote_name").contains(F.col("name")) | F.col("name").contains(F.col("quote_name"))
-    both = names.join(dimension(q), fits, "left")
-    return first_of_each(both, ["name"], [F.desc(F.coalesce(F.col("name") == F.col("quote_name"), F.lit(False))), F.asc("place")]).drop("nth", "place")
+    asked = names.select("name").filter("name is not null").distinct()
+    wider = holding(asked, "name", q, "quote_name", F.col("name") == "", F.col("quote_name").contains(F.col("name")))
+    narrower = holding(q, "quote_name", asked, "name", F.col("quote_name") == "", F.col("name").contains(F.col("quote_name")))
+    best = first_of_each(wider.unionByName(narrower), ["name"], [F.desc(F.col("name") == F.col("quote_name")), F.asc("place")]).drop("nth", "place")
+    return names.dropDuplicates(["name"]).join(best, "name", "left")
 
 
 def snapshot(news: DataFrame, quotes: DataFrame, sector: str = "sector", day: str = "query_date") -> DataFrame:
@@ -97,17 +118,19 @@ def searched(keys: DataFrame, sectors: DataFrame, limit: int = 5) -> DataFrame:
     initials of two letters or more, then by name, then by keywords (tiers 0 to 3).
 
     Tiers fill up to limit rows, in the order of id, and may repeat a sector. LIKE has no case. The first two tiers are
-    hash joins; the others compare with the whole dimension, which is broadcast up to a number of rows.
+    joins of equal values, the others go by an index of neighbouring characters; only keys with wildcards are compared with all.
     """
     keys = keys if "pinyin" in keys.columns else keys.withColumn("pinyin", F.lit(""))
-    s = dimension(sectors.select("id", "code", "name", "keywords", "pinyin_initial"))
-    tiers = [
-        (0, F.col("name") == F.col("key")), (1, (F.col("pinyin_initial") == F.col("pinyin")) & (F.length("pinyin") >= 2)),
-        (2, F.expr("name ilike concat('%', key, '%')")), (3, F.expr("keywords ilike concat('%', key, '%')")),
+    s = sectors.select("id", "code", "name", "keywords", "pinyin_initial")
+    odd = F.col("key").rlike(r"^$|[%_\\\\]")
+    like = lambda c: F.expr(f"{c} ilike concat('%', key, '%')")
+    parts = [
+        keys.join(s, F.col("name") == F.col("key")), keys.join(s, (F.col("pinyin_initial") == F.col("pinyin")) & (F.length("pinyin") >= 2)),
+        holding(keys, "key", s, "name", odd, like("name")), holding(keys, "key", s, "keywords", odd, like("keywords")),
     ]
     found = None
-    for tier, condition in tiers:
-        part = keys.join(s, condition).withColumn("tier", F.lit(tier))
+    for tier, part in enumerate(parts):
+        part = part.withColumn("tier", F.lit(tier))
         found = part if found is None else found.unionByName(part)
     group = Window.partitionBy("key", "pinyin")
     exact = F.min("tier").over(group) == 0

@@ -395,17 +395,23 @@ def html_body(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.body_of(F.col("html"), F.col("url")).alias("body"))
 
 
-#: Pages told with a time in each of the places where it may stand; the SQL gives what is found.
+#: Where a page's time may stand: what follows its own html, and what is found, by {i} (its day as 2024-01-31), {n} (the next day), {c} (2024年01月31日).
 _PAGE_TIMES = [
-    ("<span class='time'>2025年01月02日 23:22</span> 2026-01-01", "2025年01月02日 23:22"), ('<div class="news_info">2025-01-03</div> 2026-01-01', "2025-01-03"), ('<meta name="publishdate" content="2025-01-04T08:00:00">', "2025-01-04T08:00:00"),
-    ("<meta name='og:published_time' content='2025-01-05'> 2026-01-01", "2025-01-05"), ("<time datetime='2025-01-06 10:00'> 2026-01-01", "2025-01-06 10:00"), ("<p>2025-01-07 and 2025/01/08</p>", "2025/01/08"), ("<p>none</p>", "2025-01-09 00:00:00"),
+    ("<span class='time'>{c} 23:22</span> 2099-01-01", "{c} 23:22"), ('<div class="news_info">{i}</div> 2099-01-01', "{i}"), ('<meta name="publishdate" content="{i}T08:00:00"> 2099-01-01', "{i}T08:00:00"), ("<meta name='og:published_time' content='{i}'> 2099-01-01", "{i}"),
+    ("<time datetime='{i} 10:00'> 2099-01-01", "{i} 10:00"), ("<p>{i} and {n}</p>", "{n}"), ("<p>none</p>", "{i} 00:00:00"), ('<div class="news_bt1_left">来源 {i} 07:01</div> 2099-01-01', "{i} 07:01"), ('<b id="newstime">{i}</b> 2099-01-01', "{i}"),
+    ('<p class="w-createtime"><i class="w-createtime-date">{i}</span> <i class="w-createtime-time">09:30:05</span> 2099-01-01', "{i} 09:30:05"), ('<div class="detail_left"><i>{i}</i> 11:12</div> 2099-01-01', "{i} 11:12"),
 ]
+_DAYS_SQL = "x AS (SELECT page_id, strftime(DATE '2024-01-01' + CAST(page_id % 700 AS INTEGER), '%Y-%m-%d') AS i, strftime(DATE '2024-01-02' + CAST(page_id % 700 AS INTEGER), '%Y-%m-%d') AS n, strftime(DATE '2024-01-01' + CAST(page_id % 700 AS INTEGER), '%Y年%m月%d日') AS c FROM pages)"
 
 
-@query(f"""SELECT page_id, CASE page_id % 7 {' '.join(f"WHEN {i} THEN '{t}'" for i, (_, t) in enumerate(_PAGE_TIMES))} END AS published FROM pages""")
+@query(f"WITH {_DAYS_SQL} SELECT page_id, replace(replace(replace(CASE page_id % {len(_PAGE_TIMES)} {' '.join(f"WHEN {k} THEN '{t}'" for k, (_, t) in enumerate(_PAGE_TIMES))} END, '{{i}}', i), '{{n}}', n), '{{c}}', c) AS published FROM x")
 def page_times(spark: SparkSession, d: str) -> DataFrame:
-    html = F.coalesce(*(F.when(F.col("page_id") % 7 == i, h) for i, (h, _) in enumerate(_PAGE_TIMES)))
-    return table(spark, d, "pages").select("page_id", dates.of_page(html, F.concat("url", F.lit("/2025/0109/"))).alias("published"))
+    """Pages with a time of their own added in each of the places where one may stand."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 700).cast("int"))
+    told = {"{i}": F.date_format(day, "yyyy-MM-dd"), "{n}": F.date_format(F.date_add(day, 1), "yyyy-MM-dd"), "{c}": F.date_format(day, "yyyy年MM月dd日")}
+    html = F.coalesce(*(F.when(F.col("page_id") % len(_PAGE_TIMES) == k, h) for k, (h, _) in enumerate(_PAGE_TIMES)))
+    html = F.concat("html", reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), kv[1]), told.items(), html))
+    return table(spark, d, "pages").select("page_id", dates.of_page(html, F.concat("url", F.lit("/"), F.date_format(day, "yyyy/MMdd"), F.lit("/"))).alias("published"))
 
 
 _MARKS = ['<i class="article_content">', '<i id="news_detail">', "see news.smm.cn", '<i class="people_news_content">', '<b class="article" pubdate>', ""]
@@ -428,14 +434,16 @@ def source_patterns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.by_source_pattern(F.col("html"), pattern).alias("found"), tried["h1"].alias("heading"))
 
 
-@query("""SELECT page_id, place, title, url, subtitle, list_date FROM (SELECT page_id, 1 AS place, 'Plain title ' || page_id AS title, 'http://x.example/article/' || page_id AS url, '' AS subtitle, '2024-01-02' AS list_date FROM pages
-UNION ALL SELECT page_id, 3, 'Headline number ' || page_id, 'http://x.example/info/' || page_id, 'A subtitle of page ' || page_id, CASE WHEN page_id % 2 = 0 THEN '2024-03-05' END FROM pages
-UNION ALL SELECT page_id, 7, 'Other title ' || page_id, 'http://x.example/news/2024/05/06/' || page_id, '', '2024-05-06' FROM pages) AS x""")
+@query(r"""WITH x AS (SELECT page_id, regexp_replace(regexp_extract(html, '<title>([^<&]*)', 1), '[*_~`]', '', 'g') AS title, strftime(DATE '2024-01-01' + CAST(page_id % 700 AS INTEGER), '%Y-%m-%d') AS i, regexp_replace(url, '[?#].*', '') AS u FROM pages)
+SELECT page_id, 1 AS place, trim('About ' || title) AS title, u || '/article/1' AS url, '' AS subtitle, i AS list_date FROM x UNION ALL SELECT page_id, 3, trim('Also on ' || title), u || '/info/2', trim(left(trim('Of this: ' || title), 300)), CASE WHEN page_id % 2 = 0 THEN i END FROM x
+UNION ALL SELECT page_id, 7, trim('Other than ' || title), u || '/news/' || replace(i, '-', '/') || '/3', '', i FROM x""")
 def list_page_articles(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("page_id").cast("string")
+    """List pages made of pages' titles, addresses and days: a dated title, a link that only navigates, a dated address."""
+    title, url = F.regexp_replace(F.regexp_extract("html", "<title>([^<&]*)", 1), "[*_~`]", ""), F.regexp_replace("url", "[?#].*", "")
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 700).cast("int")), "yyyy-MM-dd")
     lines = [
-        F.lit("# List"), F.concat(F.lit("[Plain title "), key, F.lit(" 2024-01-02](http://x.example/article/"), key, F.lit(")")), F.lit("[About these pages](http://x.example/about)"), F.concat(F.lit("[Read more](http://x.example/info/"), key, F.lit(")")),
-        F.concat(F.lit("**[News] Headline number "), key, F.lit("**")), F.when(F.col("page_id") % 2 == 0, "2024-03-05").otherwise("short"), F.concat(F.lit("A *subtitle* of page "), key), F.concat(F.lit("[Other title "), key, F.lit("](http://x.example/news/2024/05/06/"), key, F.lit(")")),
+        F.lit("# List"), F.concat(F.lit("[About "), title, F.lit(" "), day, F.lit("]("), url, F.lit("/article/1)")), F.lit("[About these pages](http://x.example/about)"), F.concat(F.lit("[Read more]("), url, F.lit("/info/2)")),
+        F.concat(F.lit("**[News] Also on "), title, F.lit("**")), F.when(F.col("page_id") % 2 == 0, day).otherwise("short"), F.concat(F.lit("*Of* this: "), title), F.concat(F.lit("[Other than "), title, F.lit("]("), url, F.lit("/news/"), F.translate(day, "-", "/"), F.lit("/3)")),
     ]
     return table(spark, d, "pages").select("page_id", F.inline(text.listed_articles(F.concat_ws("\n", *lines))))
 
@@ -499,27 +507,36 @@ def four_dims_parse(spark: SparkSession, d: str) -> DataFrame:
     return stock_rows(spark, d).select("code", *(dims[v].alias(k) for k, v in names.items()))
 
 
-@query("SELECT p_type AS report_id, p_brand AS tier, CASE WHEN p_size = 1 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS code, p_name AS name FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
+_REPORT = F.concat("p_type", F.lit("/"), F.floor(F.col("p_partkey") / 100).cast("string"))
+
+
+def _by_key(line: Column) -> Column:
+    """An aggregate: the lines of a report's parts, a hundred at most, in the order of their keys."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("at"), line.alias("line")))), lambda x: x["line"]), "\n")
+
+
+@query("SELECT p_type || '/' || p_partkey // 100 AS report_id, p_brand AS tier, CASE WHEN p_size = 1 THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS code, p_name AS name FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')")
 def report_table_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of a type and a range of a hundred keys, with their rows by key."""
     cell = F.concat(F.lit("| **"), F.col("p_brand"), F.lit("** | 1 | "), F.when(F.col("p_size") == 1, "-").otherwise(F.col("p_partkey").cast("string")), F.lit(" | "), F.col("p_name"), F.lit(" | link | 高/中/低/高 |"))
-    reports = table(spark, d, "part").groupBy(F.col("p_type").alias("report_id")).agg(F.concat(F.lit("# Report\n|a|b|c|d|e|\n|---|---|---|---|---|\n"), F.array_join(F.collect_list(cell), "\n")).alias("text"))
+    reports = table(spark, d, "part").groupBy(_REPORT.alias("report_id")).agg(F.concat(F.lit("# Report\n|a|b|c|d|e|\n|---|---|---|---|---|\n"), _by_key(cell)).alias("text"))
     return market.report_rows(reports, ["Brand#1", "Brand#2"]).select("report_id", "tier", "code", "name")
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """A report of each part type, with both appendices: parts are what it rules out, their number what a link has."""
+    """A report of each part type and range of keys, with both appendices: parts are what it rules out, their number what a link has."""
     cell = F.concat(F.lit("| **"), F.col("p_partkey").cast("string"), F.lit("** | "), F.col("p_name"), F.lit(" | of size "), F.col("p_size").cast("string"), F.lit(" | R"), (F.col("p_size") % 4).cast("string"), F.lit(" |"))
-    by = table(spark, d, "part").groupBy(F.col("p_type").alias("report_id")).agg(F.array_join(F.collect_list(cell), "\n").alias("rows"), F.count(F.lit(1)).cast("string").alias("n"))
+    by = table(spark, d, "part").groupBy(_REPORT.alias("report_id")).agg(_by_key(cell).alias("rows"), F.count(F.lit(1)).cast("string").alias("n"))
     parts = [F.lit("# Report\n| x | 1 | 2 | 3 |\n附录一 已剔除\n| 名称 | 代码 | 原因 | 规则 |\n|---|---|---|---|\n"), F.col("rows"), F.lit("\n附录二 覆盖\n上游资源: 已覆盖 "), F.col("n"), F.lit(" 家\n中游制造 √\n下游应用: 无此环节\n下游封测 ×\n其他\n附录三\n上游设备: √ 9")]
     return by.select("report_id", F.concat(*parts).alias("text"))
 
 
-@query("SELECT p_type AS report_id, CAST(p_partkey AS VARCHAR) AS code, p_name AS name, 'of size ' || p_size AS reason, 'R' || (p_size % 4) AS rule_no FROM part")
+@query("SELECT p_type || '/' || p_partkey // 100 AS report_id, CAST(p_partkey AS VARCHAR) AS code, p_name AS name, 'of size ' || p_size AS reason, 'R' || (p_size % 4) AS rule_no FROM part")
 def report_eliminated(spark: SparkSession, d: str) -> DataFrame:
     return market.eliminated_rows(_reports(spark, d)).select("report_id", "code", "name", "reason", "rule_no")
 
 
-@query("""WITH n AS (SELECT p_type AS report_id, count(*) AS n FROM part GROUP BY p_type)
+@query("""WITH n AS (SELECT p_type || '/' || p_partkey // 100 AS report_id, count(*) AS n FROM part GROUP BY 1)
 SELECT report_id, '上游资源' AS link, '已覆盖' || n || '家' AS state FROM n UNION ALL SELECT report_id, '中游制造', '已覆盖1家' FROM n UNION ALL SELECT report_id, '下游应用', '无此环节' FROM n UNION ALL SELECT report_id, '下游封测', '未覆盖' FROM n""")
 def report_coverage(spark: SparkSession, d: str) -> DataFrame:
     return market.chain_coverage(_reports(spark, d))
@@ -633,13 +650,14 @@ def upsert_by_key(spark: SparkSession, d: str) -> DataFrame:
     return news.upserted(rows, changes, "id")
 
 
-@query("""WITH f AS (SELECT min(o_orderkey) AS id, o_custkey FROM orders GROUP BY o_custkey)
-SELECT o_orderkey AS id, count(event_id) AS n_comments, coalesce(string_agg(event_type, '|' ORDER BY ts, event_id), '') AS comments FROM orders LEFT JOIN f ON f.id = o_orderkey LEFT JOIN events ON user_id = f.o_custkey AND event_type <> 'view' GROUP BY o_orderkey""")
+@query("""WITH f AS (SELECT min(o_orderkey) AS id, o_custkey FROM orders GROUP BY o_custkey), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events WHERE event_type <> 'view') AS x WHERE nth <= 50)
+SELECT o_orderkey AS id, count(event_id) AS n_comments, coalesce(string_agg(event_type, '|' ORDER BY ts, event_id), '') AS comments FROM orders LEFT JOIN f ON f.id = o_orderkey LEFT JOIN e ON user_id = f.o_custkey GROUP BY o_orderkey""")
 def comments_for_review(spark: SparkSession, d: str) -> DataFrame:
-    """Every order with the comments on it: a customer's first order has all of their events but views."""
+    """Every order with the first 50 comments on it, which is what a review reads: a customer's first order has their events but views."""
     orders = table(spark, d, "orders")
     first = orders.groupBy(F.col("o_custkey").alias("user_id")).agg(F.min("o_orderkey").alias("news_id"))
-    comments = table(spark, d, "events").filter("event_type <> 'view'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("content")).join(first, "user_id")
+    comments = table(spark, d, "events").filter("event_type <> 'view'").select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("event_type").alias("content"))
+    comments = news.first_of_each(comments, ["user_id"], [F.asc("created_at"), F.asc("id")], 50).drop("nth").join(first, "user_id")
     out = social.reviewed(orders.select(F.col("o_orderkey").alias("id")), comments)
     return out.select("id", F.size("comments").cast("long").alias("n_comments"), F.array_join("comments", "|").alias("comments"))
 
@@ -851,11 +869,13 @@ def importance_rows(spark: SparkSession, d: str) -> DataFrame:
     return news.important(rows).select("id", "title", "importance_score", "summary")
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, string_agg(CAST(o_orderkey AS VARCHAR), '|' ORDER BY o_orderkey) AS ids, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS sectors, count(*) AS n FROM orders GROUP BY 1")
+@query("""WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS nth FROM orders)
+SELECT day, string_agg(CASE WHEN nth <= 50 THEN CAST(o_orderkey AS VARCHAR) END, '|' ORDER BY o_orderkey) AS ids, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS sectors, count(*) AS n FROM o GROUP BY day""")
 def news_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Of each day its news' ids in order, their distinct sectors and their number: a day's news are few."""
-    rows = table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    return rows.agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), "|").alias("ids"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("sectors"), F.count(F.lit(1)).alias("n"))
+    """Of each day the ids of its first 50 news, as a page shows them, all its distinct sectors and the number of all its news."""
+    rows = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    first = news.first_of_each(rows.select("day", "o_orderkey"), ["day"], [F.asc("o_orderkey")], 50).groupBy("day").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), "|").alias("ids"))
+    return rows.groupBy("day").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("sectors"), F.count(F.lit(1)).alias("n")).join(first, "day")
 
 
 @query("""SELECT l_orderkey AS id, l_linenumber AS line, CASE WHEN l_quantity >= 45 THEN 'high' WHEN l_quantity >= 35 THEN 'middle' ELSE 'low' END AS band, CASE WHEN l_quantity - 25 > 0 THEN 'up' WHEN l_quantity - 25 < 0 THEN 'down' ELSE 'flat' END AS sign,
