@@ -16,7 +16,7 @@ from pyarrow import json as arrow_json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, text
+from ..functions import dates, text, values
 from ..operators import news
 from ..sources import paged, patterns, stored, tables
 from ..sources.tables import table
@@ -263,3 +263,40 @@ def stream_feed(spark: SparkSession, d: str) -> DataFrame:
     stateful.feed_by_batches(feed, lambda n: rows.filter(F.col("id") % 4 == n - 1) if n < 5 else rows.filter("id % 7 = 0").withColumn("deleted", F.lit(True)), 5)
     tables.write_feed(feed.feed(5), f"{folder}/snapshot", F.desc("score"), F.desc("publish_time"), F.desc("id"))
     return tables.read_feed(spark, f"{folder}/snapshot", "id long, score int, publish_time string").select("place", "id", "score")
+
+
+@query("""WITH {news}, n AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) % 50 + 1 AS nth FROM news) SELECT id, CASE WHEN nth % 5 = 0 THEN 'failed' WHEN nth % 2 = 0 THEN 'useful' ELSE 'rejected' END AS state FROM n""")
+def relevance_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """News in requests of 50, each with one reply that lists them by ordinal: those it leaves out have failed."""
+    from .catalogue import news_rows
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        told = lambda n: ", ".join(f'{{"id": {i}, "will_flunctuate": {str(i % 2 == 0).lower()}}}' for i in range(1, n + 1) if i % 5)
+        return pd.DataFrame({"chunk": frame.chunk, "reply": [f"Here it is:\n```json\n[{told(n)}]\n```" for n in frame.n]})
+
+    rows = news.numbered(news_rows(spark, d).select("id"), [F.asc("id")], 50)
+    requests = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    replies = tables.scored(requests, model, "chunk long, reply string", batch=1, in_flight=4).withColumn("told", values.recovered_batch(F.array("reply"), tables.RELEVANCE))
+    replies = replies.select("chunk", F.inline("told")).select("chunk", F.col("id").cast("long").alias("nth"), F.col("will_flunctuate").alias("useful"))
+    return news.judged(rows, replies).select("id", "state")
+
+
+@query("""WITH {news} SELECT id, 'title ' || id AS title, 'http://x/' || id AS url, 'of ' || id AS summary, CASE WHEN id % 3 = 0 THEN 'coal|steel' ELSE 'banks' END AS related_sectors, score AS importance_score, CAST(id % 7 AS DOUBLE) / 2 AS intensity FROM news WHERE status = 'P' AND id % 4 <> 0 AND id % 9 <> 0""")
+def scores_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """News scored one by one: a reply that says no, and one that can't be read, add nothing to the important ones."""
+    from .catalogue import news_rows
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        def reply(id: int, score: int) -> str:
+            if id % 9 == 0:
+                return '{"will_flunctuate": true, "summary": "cut off'
+            if id % 4 == 0:
+                return "不会引起市场波动。"
+            return f'```json\n{{"will_flunctuate": true, "summary": "of {id}", "related_sectors": "{"coal|steel" if id % 3 == 0 else "banks"}", "importance_score": {score}, "intensity": {id % 7 / 2}}}\n```'
+
+        return frame.assign(reply=[reply(i, s) for i, s in zip(frame.id, frame.score, strict=True)])[["id", "title", "url", "reply"]]
+
+    rows = news_rows(spark, d).filter("status = 'P'").select("id", "score", F.concat(F.lit("title "), F.col("id").cast("string")).alias("title"), F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"))
+    judged = tables.scored(rows, model, "id long, title string, url string, reply string", in_flight=4)
+    found = judged.select("id", "title", "url", values.recovered_json(F.array("reply"), tables.SCORING).alias("reply"))
+    return news.important(found).select("id", "title", "url", "summary", "related_sectors", "importance_score", "intensity")
