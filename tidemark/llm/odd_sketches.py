@@ -166,16 +166,28 @@ class _Confirmed:
         return durable(held.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify_batches(self.over, self.under), "a long, b long"))
 
 
-def _split(lists: DataFrame, links: DataFrame, size: int) -> DataFrame:
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links, which are followed between components only."""
+    if labels is None:
+        return durable(components(links))
+    end = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    moved = components(between)
+    fresh = moved.join(labels.select("node"), "node", "left_anti")
+    further = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
+    return durable(further.select("node", F.coalesce("next", "component").alias("component")).unionByName(fresh))
+
+
+def _split(lists: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     """The rows of lists that are in more than one component, with their component and the list's main one, its largest."""
-    named = sized(lists.join(components(links), "node", "left"), size).select("sig", "node", "score", F.coalesce("component", "node").alias("component"))
+    named = sized(lists.join(labels, "node", "left"), size).select("sig", "node", "score", F.coalesce("component", "node").alias("component"))
     parts = sized(named.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("rows")), size)
     parts = sized(parts.groupBy("sig").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("main")), size)
     return durable(sized(named.join(parts.filter("parts > 1").drop("parts"), "sig"), size))
 
 
-def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], rounds: int, most_rest: int) -> DataFrame:
-    """Links (a, b) that give the right components of the classes in lists (sig, node). about: node, n, sketches and bands."""
+def _labels(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame], DataFrame], may_link: Callable[[str, str], Column], rounds: int, most_rest: int) -> DataFrame:
+    """node, component of the classes in lists (sig, node) that are linked with another. about: node, n, sketches and bands."""
     sizes = lists.groupBy("sig").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     lists = durable(lists.join(sizes, "sig"))
     size = lists.count()
@@ -185,7 +197,7 @@ def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame],
     sides = lambda name: about.drop("bands").select(*(F.col(c).alias(name if c == "node" else f"{name}_{c}") for c in about.columns if c != "bands"))
     best = F.struct("score", "node")
     at_hand = lists.join(sized(lists.groupBy("sig").agg(F.max_by("node", best).alias("main")), size), "sig").withColumn("component", F.col("node"))
-    links = tried = None
+    labels = tried = None
     for r in range(rounds):
         by = best if r == 0 else F.struct(F.xxhash64("node", "sig", F.lit(r)), F.col("node"))
         heads = sized(at_hand.filter("component = main").groupBy("sig").agg(F.max_by(F.struct("node", "score"), by).alias("head")), size)
@@ -197,11 +209,10 @@ def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame],
         stars = durable(stars if tried is None else sized(stars.join(tried, ["a", "b"], "left_anti"), size))
         near = durable(sized(stars.join(sides("a"), "a").join(sides("b"), "b").filter(may_link("a_", "b_")).select("a", "b"), size))
         tried = stars if tried is None else tried.unionByName(stars)
-        new = confirmed(near)
-        links = new if links is None else links.unionByName(new)
-        at_hand = _split(lists, links, size)
+        labels = _merged(labels, confirmed(near))
+        at_hand = _split(lists, labels, size)
         if not at_hand.limit(1).count():
-            return links
+            return labels
     # the main component of a list is compared with the rest of it, not with itself; a pair counts in the first list that both are in
     whole, rest = at_hand.drop("score").join(about, "node"), at_hand.filter("component <> main").drop("score").join(about, "node")
     x, y = (part.select(*(F.col(c).alias(f"{name}_{c}") for c in whole.columns)) for name, part in (("x", rest), ("y", whole)))
@@ -210,7 +221,7 @@ def _links(lists: DataFrame, about: DataFrame, confirmed: Callable[[DataFrame],
     apart = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_node") < F.col("y_node")))
     first = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("x_sig")
     across = x.join(y, apart & may_link("x_", "y_") & first).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return links.unionByName(confirmed(durable(across.join(tried, ["a", "b"], "left_anti"))))
+    return _merged(labels, confirmed(durable(across.join(tried, ["a", "b"], "left_anti"))))
 
 
 def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: tuple[int, int] = (85, 100), count: int = 288, rows: int = 6, words: int = 16, deviations: float = 7.0, rounds: int = 3, most_broadcast: int = 2_000_000, most_rest: int = 100_000) -> DataFrame:
@@ -232,9 +243,9 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keys = classes.select("node", "first.text_hash", F.col("first.doc_id").alias("own_id"))
     confirmed = _Confirmed(source, keys, width, over, under, most_broadcast)
     most = most_bits(count, words, over, under, deviations)
-    links = _links(lists, about, confirmed, lambda x, y: _may_link(x, y, words, most, over, under), rounds, most_rest)
+    labels = _labels(lists, about, confirmed, lambda x, y: _may_link(x, y, words, most, over, under), rounds, most_rest)
 
-    named = classes.select("d1", "d2", "node", "least_id").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.select("d1", "d2", "node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     named = named.join(ids, "component").select("d1", "d2", "component_id")
     out = described.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
