@@ -507,7 +507,8 @@ def four_dims_parse(spark: SparkSession, d: str) -> DataFrame:
     return stock_rows(spark, d).select("code", *(dims[v].alias(k) for k, v in names.items()))
 
 
-_REPORT = F.concat("p_type", F.lit("/"), F.floor(F.col("p_partkey") / 100).cast("string"))
+def _report() -> Column:
+    return F.concat("p_type", F.lit("/"), F.floor(F.col("p_partkey") / 100).cast("string")).alias("report_id")
 
 
 def _by_key(line: Column) -> Column:
@@ -519,14 +520,14 @@ def _by_key(line: Column) -> Column:
 def report_table_parse(spark: SparkSession, d: str) -> DataFrame:
     """Reports of a type and a range of a hundred keys, with their rows by key."""
     cell = F.concat(F.lit("| **"), F.col("p_brand"), F.lit("** | 1 | "), F.when(F.col("p_size") == 1, "-").otherwise(F.col("p_partkey").cast("string")), F.lit(" | "), F.col("p_name"), F.lit(" | link | 高/中/低/高 |"))
-    reports = table(spark, d, "part").groupBy(_REPORT.alias("report_id")).agg(F.concat(F.lit("# Report\n|a|b|c|d|e|\n|---|---|---|---|---|\n"), _by_key(cell)).alias("text"))
+    reports = table(spark, d, "part").groupBy(_report()).agg(F.concat(F.lit("# Report\n|a|b|c|d|e|\n|---|---|---|---|---|\n"), _by_key(cell)).alias("text"))
     return market.report_rows(reports, ["Brand#1", "Brand#2"]).select("report_id", "tier", "code", "name")
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
     """A report of each part type and range of keys, with both appendices: parts are what it rules out, their number what a link has."""
     cell = F.concat(F.lit("| **"), F.col("p_partkey").cast("string"), F.lit("** | "), F.col("p_name"), F.lit(" | of size "), F.col("p_size").cast("string"), F.lit(" | R"), (F.col("p_size") % 4).cast("string"), F.lit(" |"))
-    by = table(spark, d, "part").groupBy(_REPORT.alias("report_id")).agg(_by_key(cell).alias("rows"), F.count(F.lit(1)).cast("string").alias("n"))
+    by = table(spark, d, "part").groupBy(_report()).agg(_by_key(cell).alias("rows"), F.count(F.lit(1)).cast("string").alias("n"))
     parts = [F.lit("# Report\n| x | 1 | 2 | 3 |\n附录一 已剔除\n| 名称 | 代码 | 原因 | 规则 |\n|---|---|---|---|\n"), F.col("rows"), F.lit("\n附录二 覆盖\n上游资源: 已覆盖 "), F.col("n"), F.lit(" 家\n中游制造 √\n下游应用: 无此环节\n下游封测 ×\n其他\n附录三\n上游设备: √ 9")]
     return by.select("report_id", F.concat(*parts).alias("text"))
 
