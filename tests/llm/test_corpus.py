@@ -59,7 +59,8 @@ def empty(odd):
 
 def test_sql(spark):
     duck = duckdb.connect()
-    duck.sql(f"create view documents as select * from '{FOLDER}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        duck.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, FOLDER)
         found = duck.sql(sql)
