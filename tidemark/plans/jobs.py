@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, values
-from ..operators import news
+from ..operators import news, social
 from ..sources import paged, patterns, stored, tables
 from ..sources.tables import table
 from ..streaming import ingest, stateful
@@ -300,3 +300,31 @@ def scores_by_model(spark: SparkSession, d: str) -> DataFrame:
     judged = tables.scored(rows, model, "id long, title string, url string, reply string", in_flight=4)
     found = judged.select("id", "title", "url", values.recovered_json(F.array("reply"), tables.SCORING).alias("reply"))
     return news.important(found).select("id", "title", "url", "summary", "related_sectors", "importance_score", "intensity")
+
+
+@query("SELECT l_orderkey AS id, p_type AS sector FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND p_type LIKE '%O%'")
+def sectors_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Sectors that a model names for each news: only known ones are kept, so what it makes up goes."""
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"id": frame.id, "reply": [f'I think: {{"sectors": ["{name}", "MADE UP"]}}' for name in frame.hint]})
+
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_type").alias("sector"))
+    rows = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("code")).join(parts, "code").select("id", F.col("sector").alias("hint"))
+    found = tables.scored(rows, model, "id long, reply string", in_flight=4).select("id", F.explode(values.recovered_json(F.array("reply"), "sectors array<string>")["sectors"]).alias("sector"))
+    return found.join(parts.select("sector").filter("sector like '%O%'").distinct(), "sector", "left_semi").select("id", "sector")
+
+
+@query("""SELECT event_id AS news_id, CASE WHEN event_id % 4 <> 0 THEN '["by user ' || user_id || '"]' END AS valid_comments, CASE WHEN event_id % 4 <> 0 THEN '[]' END AS optimization_suggestions FROM events WHERE event_type = 'purchase'""")
+def review_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Comments given to a model for a review; a reply that can't be read is kept as it came, with nothing read from it."""
+
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        told = [f'Well:\n```json\n{{"valid_comments": ["{c}"], "optimization_suggestions": []}}\n```' if i % 4 else "no answer" for i, c in zip(frame.news_id, frame.comment, strict=True)]
+        return pd.DataFrame({"news_id": frame.news_id, "raw": told})
+
+    rows = table(spark, d, "events").filter("event_type = 'purchase'").select(F.col("event_id").alias("news_id"), F.concat(F.lit("by user "), F.col("user_id").cast("string")).alias("comment"))
+    judged = tables.scored(rows, model, "news_id long, raw string", in_flight=4)
+    blocks = F.array(F.struct(F.lit("text").alias("type"), F.col("raw").alias("text")))
+    reply = values.recovered_review(blocks, "valid_comments array<string>, optimization_suggestions array<string>")
+    return social.review_rows(judged.withColumn("reply", reply)).drop("raw_llm_result")
