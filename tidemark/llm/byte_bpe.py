@@ -240,12 +240,12 @@ def _bpe(rank_file: bytes, pattern: str) -> ByteBpe:
     return _made[key]
 
 
-def _run(docs: DataFrame, rank_path: str, pattern: str, columns: list[tuple[str, str, pa.DataType]], read: Callable[[ByteBpe, list[str]], Iterable[tuple]], id_col: str, text_col: str) -> DataFrame:
+def _run(docs: DataFrame, rank_path: str, pattern: str, columns: list[tuple[str, str, pa.DataType]], read: Callable[[ByteBpe, list[str]], Iterable[tuple]], id_col: str, text_col: str, batch_bytes: int = 2 << 20) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Path(rank_path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(shared.value, pattern)
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", batch_bytes):
             texts = [x.as_py() or "" for x in batch.column("text")]
             found = list(zip(*read(bpe, texts), strict=True)) or [()] * len(columns)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(x), kind) for x, (_, _, kind) in zip(found, columns, strict=True))], names=["doc_id", *(c for c, _, _ in columns)])
@@ -270,8 +270,11 @@ def decode(encoded: DataFrame, rank_path: str, pattern: str, *, id_col: str = "d
     return _run(joined, rank_path, pattern, [("decoded", "binary", pa.binary())], lambda bpe, texts: [(bpe.decode(x),) for x in texts], "doc_id", "ids")
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids in decimal and of what they decode to, in one pass over the texts."""
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids in decimal and of what they decode to, in one pass over the texts.
+
+    batch_bytes: about so much text is encoded at once; more takes less time (a pre-token is encoded once a batch) and more memory.
+    """
 
     def read(bpe: ByteBpe, texts: list[str]) -> Iterator[tuple]:
         for parts in bpe.encode_all(texts):
@@ -283,4 +286,4 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, *, id_col: str = "
             yield n, of_ids.hexdigest(), of_text.hexdigest()
 
     columns = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    return _run(docs, rank_path, pattern, columns, read, id_col, text_col)
+    return _run(docs, rank_path, pattern, columns, read, id_col, text_col, batch_bytes)
