@@ -5,6 +5,7 @@ A news row has id, batch_id, status, is_useful, publish_time (raw text, compared
 
 from __future__ import annotations
 
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,13 +92,14 @@ def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their place in the order, from 0.
 
     They are numbered within ranges of the order, each of which begins where the ones before it end. The ranges are
-    settled, since another sampling could draw them otherwise.
+    settled, since another sampling could draw them otherwise; only their counts go through the driver.
     """
     held = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    counts = held.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each range
-    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = sorted(tuple(x) for x in held.groupBy("_range").count().collect())
+    ends = list(accumulate(n for _, n in counts))
+    before = rows.sparkSession.createDataFrame([(r, end - n) for (r, n), end in zip(counts, ends, strict=True)], "_range int, _before long")
     nth = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return held.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range").withColumn("place", nth).drop("_range", "_before")
+    return held.join(F.broadcast(before), "_range").withColumn("place", nth).drop("_range", "_before")
 
 
 def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
