@@ -8,7 +8,8 @@
 3. Bands of samples are hashed; classes with a band in common are a list.
 4. Odd sketches. Each sample flips one bit of a bitmap. Where two bitmaps differ in k of n bits, some
    -n/4 ln(1 - 2k/n) of the samples differ. A pair that this puts `deviations` standard deviations below the threshold is
-   dropped; all others are compared by their whole sets.
+   dropped. So is one whose whole sets' parities differ in too many bits, which bounds how many hashes differ: small sets
+   that lie just below the threshold end there. All others are compared by their whole sets.
 5. In each list the one that has most lists in common with others is its head; each class is compared with the best head of its
    lists. In further rounds those that are not in a list's largest component of links are compared with another one of that; what
    is then in more than one component is compared across these, a pair once for all its lists. Components are exact, and no list of similar texts is expanded
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, forgetting, sized, slices
 from .components import components
-from .ngram_join import _cache, _verify_batches, shingle_set
+from .ngram_join import SKETCH, _cache, _verify_batches, parities, shingle_set
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 EMPTY = np.uint64(2**64 - 1)
@@ -103,7 +104,7 @@ def most_bits(count: int, words: int, over: int, under: int, deviations: float)
 def _described(width: int, count: int, rows: int, words: int, over: int, under: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
-            n, first, second, found, own, upper = [], [], [], [], [], []
+            n, first, second, found, own, upper, full = [], [], [], [], [], [], []
             for x in batch.column("text"):
                 tokens = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", width)
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
@@ -114,8 +115,9 @@ def _described(width: int, count: int, rows: int, words: int, over: int, under:
                 found.append(np.concatenate([bands(s, k, rows) for k, s in taken]) if taken else None)
                 own.append(odd_sketch(taken[0][1], words) if taken else None)
                 upper.append(odd_sketch(taken[1][1], words) if len(taken) > 1 else None)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, own, upper)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *lists], names=["doc_id", "text_hash", "n", "d1", "d2", "bands", "own", "upper"])
+                full.append(parities(tokens) if taken else None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, own, upper, full)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), *lists], names=["doc_id", "text_hash", "n", "d1", "d2", "bands", "own", "upper", "full"])
 
     return run
 
@@ -135,8 +137,10 @@ def _may_link(x: str, y: str, words: int, most: int, over: int, under: int) -> C
     kind = lambda c: F.length(F.bin(c))  # noqa: E731  of two kinds the larger one judges
     left = F.when(kind(n) >= kind(m), F.col(f"{x}own")).otherwise(F.col(f"{x}upper"))
     right = F.when(kind(m) >= kind(n), F.col(f"{y}own")).otherwise(F.col(f"{y}upper"))
-    differ = sum((F.bit_count(left[i].bitwiseXOR(right[i])) for i in range(words)), F.lit(0))
-    return (n * under >= m * over) & (m * under >= n * over) & (differ <= most)
+    differ = lambda a, b, count: sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(count)), F.lit(0))
+    # two sets differ in as many hashes at least as bits of their own parities; for sets of up to some hundreds that is nearly all
+    apart = differ(F.col(f"{x}full"), F.col(f"{y}full"), SKETCH) * (over + under) <= (n + m) * (under - over)
+    return (n * under >= m * over) & (m * under >= n * over) & (differ(left, right, words) <= most) & apart
 
 
 class _Confirmed:
@@ -234,12 +238,12 @@ def minhash_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     over, under = threshold
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
-    described = source.mapInArrow(forgetting(_described(width, count, rows, words, over, under), _cache), "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>, own array<long>, upper array<long>")
+    described = source.mapInArrow(forgetting(_described(width, count, rows, words, over, under), _cache), "doc_id long, text_hash long, n long, d1 long, d2 long, bands array<long>, own array<long>, upper array<long>, full array<long>")
     described = durable(described.withColumn("row", F.monotonically_increasing_id()))
-    first = F.min_by(F.struct("doc_id", "text_hash", "n", "bands", "own", "upper"), "row").alias("first")
+    first = F.min_by(F.struct("doc_id", "text_hash", "n", "bands", "own", "upper", "full"), "row").alias("first")
     classes = durable(described.filter("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id"), first))
     lists = classes.select("node", F.explode("first.bands").alias("sig"))
-    about = classes.select("node", "first.n", "first.own", "first.upper", "first.bands")
+    about = classes.select("node", "first.n", "first.own", "first.upper", "first.full", "first.bands")
     keys = classes.select("node", "first.text_hash", F.col("first.doc_id").alias("own_id"))
     confirmed = _Confirmed(source, keys, width, over, under, most_broadcast)
     most = most_bits(count, words, over, under, deviations)
