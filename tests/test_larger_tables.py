@@ -1,6 +1,9 @@
 """What only larger tables showed: rare pages and addresses, plans that change at run time, many calls."""
 
+from pyspark.sql import functions as F
+
 from tidemark.functions.html_tree import Tree, dereferenced
+from tidemark.operators import social
 
 
 def test_references_end_with_a_semicolon():
@@ -8,3 +11,25 @@ def test_references_end_with_a_semicolon():
     assert {t: dereferenced(t) for t in told} == told
     tree = Tree('<a href="/?a=1&copy=2&amp;b">x &amp</a>')
     assert tree.attributes[1] == {"href": "/?a=1&copy=2&b"} and tree.pieces(0) == ["x &amp"]
+
+
+def test_refused_where_a_join_would_turn_small_at_run_time(spark, tmp_path):
+    spark.range(20_000).select((F.col("id") % 4).alias("user"), F.timestamp_seconds(F.col("id") * 7).alias("at"), F.col("id").alias("i"), (F.hash("id") % 3 != 0).alias("bad")).repartition(8).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    refused = lambda: {r.i for r in social.refused(rows, "user", "at", F.col("bad"), minutes=24 * 60).filter("refused").collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+        got = refused()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want, state = set(), {}
+    for r in sorted(rows.collect(), key=lambda r: (r.user, r.at, r.i)):
+        count, until = state.get(r.user, (0, -1))
+        when = int(r.at.timestamp())
+        if when < until or count >= 5:
+            want.add(r.i)
+        if when >= until:
+            count, until = (0, when + 86400) if count >= 5 else (count + 1 if r.bad else 0, until)
+        state[r.user] = (count, until)
+    assert got == want and want

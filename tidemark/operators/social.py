@@ -110,7 +110,6 @@ def refused(attempts: DataFrame, user: str, at: str, failed: Column, most: int =
     The state after an attempt depends on the one before, so users with so many failures at all are read in order.
     """
     rows = attempts.withColumns({"_failed": failed, "_at": F.col(at).cast("timestamp").cast("long")})
-    risky = rows.groupBy(user).agg(F.count_if("_failed").alias("_n")).filter(F.col("_n") >= most).select(user)
     kinds = T.StructType([*rows.schema.fields, T.StructField("refused", T.BooleanType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,8 +129,12 @@ def refused(attempts: DataFrame, user: str, at: str, failed: Column, most: int =
                     out.append(False)
             yield frame.assign(refused=out)
 
-    # a user's rows are together and in order in one partition, and pass through it in batches
-    others = [c for c in attempts.columns if c not in (user, at)]
-    ordered = rows.join(risky, user, "left_semi").repartition(user).sortWithinPartitions(user, "_at", *others)
-    calm = rows.join(risky, user, "left_anti").withColumn("refused", F.lit(False))
+    # a user's rows are together and in order in one partition, and pass through it in batches. The window needs them together
+    # whatever is planned anew at run time; a join's side may be read where it lies once the other side turns out small
+    order = ["_at", *(c for c in attempts.columns if c not in (user, at))]
+    whole = Window.partitionBy(user).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = rows.withColumn("_n", F.count_if("_failed").over(whole))
+    risky = (F.col("_n") >= most) & F.col(user).isNotNull()
+    ordered = counted.filter(risky).drop("_n").sortWithinPartitions(user, *order)
+    calm = counted.filter(~risky).drop("_n").withColumn("refused", F.lit(False))
     return ordered.mapInPandas(run, kinds).unionByName(calm).drop("_failed", "_at")
