@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates
 from tidemark.functions.html_tree import Tree, dereferenced
 from tidemark.operators import social
+from tidemark.plans import catalogue
 
 
 def test_references_end_with_a_semicolon():
@@ -40,3 +41,10 @@ def test_refused_where_a_join_would_turn_small_at_run_time(spark, tmp_path):
             count, until = (0, when + 86400) if count >= 5 else (count + 1 if r.bad else 0, until)
         state[r.user] = (count, until)
     assert got == want and want
+
+
+def test_review_has_all_comments_of_a_customer(spark, tmp_path):
+    spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(130).select(F.col("id").alias("event_id"), F.lit(7).cast("long").alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 10 == 0, "view").otherwise(F.col("id").cast("string")).alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: (r.n_comments, r.comments) for r in catalogue.queries()["comments_for_review"](spark, str(tmp_path)).collect()}
+    assert got == {1: (117, "|".join(str(i) for i in range(130) if i % 10)), 2: (0, ""), 3: (0, "")}
