@@ -6,6 +6,7 @@ from tidemark.functions import dates
 from tidemark.functions.html_tree import Tree, dereferenced
 from tidemark.operators import social
 from tidemark.plans import catalogue
+from tidemark.sources import tables
 
 
 def test_references_end_with_a_semicolon():
@@ -24,7 +25,7 @@ def test_address_of_a_day_behind_other_numbers(spark):
 def test_refused_where_a_join_would_turn_small_at_run_time(spark, tmp_path):
     spark.range(20_000).select((F.col("id") % 4).alias("user"), F.timestamp_seconds(F.col("id") * 7).alias("at"), F.col("id").alias("i"), (F.hash("id") % 3 != 0).alias("bad")).repartition(8).write.parquet(f"{tmp_path}/rows")
     rows = spark.read.parquet(f"{tmp_path}/rows")
-    refused = lambda: {r.i for r in social.refused(rows, "user", "at", F.col("bad"), minutes=24 * 60).filter("refused").collect()}
+    refused = lambda: {r.i for r in social.refused(rows, "user", "at", F.col("bad"), minutes=24 * 60).collect() if r.refused}
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
@@ -48,3 +49,15 @@ def test_review_has_all_comments_of_a_customer(spark, tmp_path):
     spark.range(130).select(F.col("id").alias("event_id"), F.lit(7).cast("long").alias("user_id"), F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") % 10 == 0, "view").otherwise(F.col("id").cast("string")).alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r.id: (r.n_comments, r.comments) for r in catalogue.queries()["comments_for_review"](spark, str(tmp_path)).collect()}
     assert got == {1: (117, "|".join(str(i) for i in range(130) if i % 10)), 2: (0, ""), 3: (0, "")}
+
+
+def test_calls_are_dealt_to_tasks_and_whole_numbers_stay(spark):
+    def model(frame):
+        if (frame.n % 7 == 0).any():
+            raise ValueError("no reply")
+        return frame.assign(twice=frame.n * 2)
+
+    rows = spark.range(2**60, 2**60 + 3000, 1, 1).withColumnRenamed("id", "n")
+    judged = tables.scored(rows, model, "n long, twice long", batch=1, tries=1, wait=0.0, in_flight=2)
+    assert judged.rdd.getNumPartitions() > 8
+    assert sorted((r.n, r.twice, r.error) for r in judged.collect()) == [(n, None, "no reply") if n % 7 == 0 else (n, 2 * n, None) for n in range(2**60, 2**60 + 3000)]

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ CONFIG = "sources array<struct<name: string, is_flash: boolean, url: string, con
 #: The fields of a model's reply on relevance and on scoring.
 RELEVANCE = "id int, will_flunctuate boolean"
 SCORING = "will_flunctuate boolean, summary string, related_sectors string, importance_score int, reason string, direction string, intensity double, expected_change double, duration double, expectation_level string, market_mode string"
+#: So many rows of a model's answers are given on together.
+GATHERED = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -119,24 +122,24 @@ def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schem
 
     A failing call is tried again after wait, 2 * wait, 4 * wait seconds. When it fails for the last time, its rows come back
     with what they have of schema's columns and the message as error: a table of dead letters, to be judged again later.
-    in_flight: so many calls of a task run at once, each with its own waiting; their rows come in the order of the input, and
-    no more calls than that are held.
+    in_flight: so many calls of a task run at once, each with its own waiting; no more calls than that are held.
+    Calls are dealt to tasks by number, however few files the rows lie in; a task's answers leave it some GATHERED rows at a time.
     """
     kinds = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("error", T.StringType())])
     names = [f.name for f in kinds.fields]
 
-    def judged(part: pd.DataFrame) -> pd.DataFrame:
+    def judged(part: pd.DataFrame) -> tuple[pd.DataFrame, bool]:
         for turn in range(tries):
             try:
-                return model(part).assign(error=None)[names]
+                told = model(part)
+                return told if list(told.columns) == names[:-1] else told[names[:-1]], True
             except Exception as problem:  # noqa: BLE001 - whatever a model raises
                 failed = problem
                 if turn + 1 < tries:
                     time.sleep(wait * 2**turn)
-        return pd.DataFrame({n: part[n] if n in part else None for n in names[:-1]}, index=part.index).assign(error=str(failed))
+        return part[[n for n in names[:-1] if n in part]].assign(error=str(failed)), False
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = (frame.iloc[i : i + batch] for frame in frames for i in range(0, len(frame), batch))
+    def answers(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
         if in_flight <= 1:
             yield from map(judged, parts)
             return
@@ -146,7 +149,32 @@ def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schem
                 yield calls.popleft().result()
                 calls.extend(pool.submit(judged, part) for part in islice(parts, 1))
 
-    return rows.mapInPandas(run, kinds)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows_held = [], 0
+        for answer in answers(frame.iloc[i : i + batch] for frame in frames for i in range(0, len(frame), batch)):
+            held.append(answer)
+            rows_held += len(answer[0])
+            if rows_held >= GATHERED:
+                yield _together(held, names)
+                held, rows_held = [], 0
+        if held:
+            yield _together(held, names)
+
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, kinds)
+
+
+def _together(answers: list[tuple[pd.DataFrame, bool]], names: list[str]) -> pd.DataFrame:
+    """Calls' answers (frame, whether it is a model's) as one frame, in their order."""
+    good, bad = ([(i, frame) for i, (frame, told) in enumerate(answers) if told == kind] for kind in (True, False))
+    kinds = []
+    for calls in (good, bad):
+        if calls:
+            columns = {n: pd.concat([frame[n] for _, frame in calls], ignore_index=True) for n in calls[0][1].columns}
+            kinds.append(pd.DataFrame(columns).set_index(np.repeat([i for i, _ in calls], [len(frame) for _, frame in calls])))
+    if len(kinds) > 1:  # numbers stay what they are beside rows that lack them
+        kinds = [one.astype({n: object for n, t in one.dtypes.items() if t.kind in "iub"}) for one in kinds]
+    out = pd.concat(kinds).sort_index(kind="stable")
+    return out.assign(**{n: None for n in names if n not in out})[names]
 
 
 def dead_letters(judged: DataFrame, rows: DataFrame, key: str) -> DataFrame:
