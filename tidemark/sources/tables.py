@@ -123,7 +123,8 @@ def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schem
     A failing call is tried again after wait, 2 * wait, 4 * wait seconds. When it fails for the last time, its rows come back
     with what they have of schema's columns and the message as error: a table of dead letters, to be judged again later.
     in_flight: so many calls of a task run at once, each with its own waiting; no more calls than that are held.
-    Calls are dealt to tasks by number, however few files the rows lie in; a task's answers leave it some GATHERED rows at a time.
+    Calls of one row are dealt to tasks by number, however few files the rows lie in; calls of several take them as they lie, so
+    that none has fewer rows than it may. A task's answers leave it some GATHERED rows at a time.
     """
     kinds = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("error", T.StringType())])
     names = [f.name for f in kinds.fields]
@@ -160,7 +161,8 @@ def scored(rows: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schem
         if held:
             yield _together(held, names)
 
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, kinds)
+    dealt = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism) if batch == 1 else rows
+    return dealt.mapInPandas(run, kinds)
 
 
 def _together(answers: list[tuple[pd.DataFrame, bool]], names: list[str]) -> pd.DataFrame:
