@@ -8,6 +8,8 @@ from tidemark.operators import social
 from tidemark.plans import catalogue
 from tidemark.sources import tables
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_references_end_with_a_semicolon():
     told = {"a &amp; b&quot;": 'a & b"', "cut &amp": "cut &amp", "cut &amp</b>": "cut &amp</b>", "&&&amp": "&&&amp", "&copy;&middot;&#38;&#x4e2d;": "©·&中", "&#38": "&#38", "&unknown;": "&unknown;", "&ampx;": "&ampx;", "&amp;quot;": "&quot;"}
@@ -61,3 +63,9 @@ def test_calls_are_dealt_to_tasks_and_whole_numbers_stay(spark):
     judged = tables.scored(rows, model, "n long, twice long", batch=1, tries=1, wait=0.0, in_flight=2)
     assert judged.rdd.getNumPartitions() > 8
     assert sorted((r.n, r.twice, r.error) for r in judged.collect()) == [(n, None, "no reply") if n % 7 == 0 else (n, 2 * n, None) for n in range(2**60, 2**60 + 3000)]
+
+
+def test_fields_and_replies_are_read_once(spark):
+    plan = lambda name: catalogue.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("stock_quotes").count("regexp_replace(") <= 6  # 85 before: each field read every key again
+    assert plan("llm_batch_recover").count("regexp_replace(") <= 4 and plan("llm_batch_recover").count("from_json(") <= 2  # 10 and 4 before

@@ -91,12 +91,24 @@ def indicator(key: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(key, rf"\[{day}(-{day})?\]", ""), r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]+", "")
 
 
-def dynamic_field(item: Column, name: str) -> Column:
-    """The value of the map's key `name`, else of its first key for the same indicator; a latin ending on one side may differ."""
-    bare = lambda c: F.regexp_replace(c, "[a-zA-Z]+$", "")
+def _bare(name: Column) -> Column:
+    return F.regexp_replace(name, "[a-zA-Z]+$", "")
+
+
+def indicators(item: Column) -> Column:
+    """The map's entries (key, value) with their indicator's name and this without a latin ending (bare)."""
+    named = F.transform(F.map_entries(item), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), indicator(x["key"]).alias("name")))
+    return F.transform(named, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"), x["name"].alias("name"), _bare(x["name"]).alias("bare")))
+
+
+def dynamic_field(item: Column, name: str, entries: Column | None = None) -> Column:
+    """The value of the map's key `name`, else of its first key for the same indicator; a latin ending on one side may differ.
+
+    entries: the map's indicators, where several fields of a row are looked for and they are at hand.
+    """
     wanted = indicator(F.lit(name))
-    same = lambda key: (key == wanted) | (bare(key) == wanted) | ((bare(wanted) != "") & (key == bare(wanted)))
-    found = F.get(F.filter(F.map_entries(item), lambda x: same(indicator(x["key"]))), F.lit(0))["value"]
+    same = lambda x: (x["name"] == wanted) | (x["bare"] == wanted) | ((_bare(wanted) != "") & (x["name"] == _bare(wanted)))
+    found = F.get(F.filter(indicators(item) if entries is None else entries, same), F.lit(0))["value"]
     return F.when(F.map_contains_key(item, name), F.element_at(item, name)).otherwise(found)
 
 
@@ -220,17 +232,22 @@ def recovered_batch(blocks: Column, schema: str, needed: tuple[str, ...] = ("id"
     Of equal ids the list's last one counts, of objects the first.
     """
     plain = F.regexp_replace(F.array_join(blocks, "\n"), r"```(?:json)?\s*", "")
-    begin, tail = F.locate("[", plain), F.substring_index(plain, "]", -1)
-    widest = F.when((begin > 0) & (F.length(plain) - F.length(tail) > begin), F.substring(plain, begin, F.length(plain) - F.length(tail) - begin + 1)).otherwise("")
-    listed = once(widest, lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, f"array<struct<{schema}>>")))
-    objects = F.transform(loose_objects(plain), lambda x: _parsed(x, schema))
+
+    def widest(held: Column) -> Column:
+        begin, end = F.locate("[", held), F.length(held) - F.length(F.substring_index(held, "]", -1))
+        return F.when((begin > 0) & (end > begin), F.substring(held, begin, end - begin + 1)).otherwise("")
+
+    def listed(held: Column) -> Column:
+        return once(widest(held), lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, f"array<struct<{schema}>>")))
 
     def chosen(held: Column) -> Column:
         last = of_equal(F.filter(held["listed"], lambda x: x["id"].isNotNull()), "id", last=True)
-        first = of_equal(F.filter(held["objects"], lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed))), "id", last=False)
+        # objects are read only where there is no list, each at most twice: whether it is JSON, and what it says
+        objects = F.transform(held["texts"], lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema)))
+        first = of_equal(F.filter(objects, lambda x: reduce(lambda a, b: a & b, (x[n].isNotNull() for n in needed))), "id", last=False)
         return F.when(held["listed"].isNotNull(), last).otherwise(first)
 
-    return once(F.struct(listed.alias("listed"), objects.alias("objects")), chosen)
+    return once(F.struct(once(plain, listed).alias("listed"), loose_objects(plain).alias("texts")), chosen)
 
 
 def aligned(replies: Column, total: Column) -> Column:

@@ -248,10 +248,10 @@ def indices_of(indices: DataFrame, news_id: Column) -> DataFrame:
 
 def stock_quotes(items: DataFrame, item: str = "item") -> DataFrame:
     """Quotes of stocks from maps of the market's own field names; a missing field is empty."""
-    m = F.col(item)
+    m, entries = F.col(item), F.col("_entries")
     either = lambda *names: F.coalesce(*(F.nullif(m[n], F.lit("")) for n in names), F.lit(""))
-    named = lambda *names: F.coalesce(*(F.nullif(values.dynamic_field(m, n), F.lit("")) for n in names), F.lit(""))
-    return items.select(
+    named = lambda *names: F.coalesce(*(F.nullif(values.dynamic_field(m, n, entries), F.lit("")) for n in names), F.lit(""))
+    return items.withColumn("_entries", values.indicators(m)).select(
         either("code", "代码").alias("code"), either("name", "股票简称").alias("name"), either("market_code").alias("market_code"), either("price", "最新价").alias("price"), values.signed_rate(named("最新涨跌幅", "涨跌幅:前复权")).alias("change_rate"),
         named("dde大单净额").alias("dde_net_amount"), named("所属同花顺行业").alias("industrys"), named("换手率").alias("turnover_rate"), named("量比").alias("volume_ratio"),
     )
