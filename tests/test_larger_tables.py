@@ -7,6 +7,7 @@ from tidemark.functions.html_tree import Tree, dereferenced
 from tidemark.operators import social
 from tidemark.plans import catalogue
 from tidemark.sources import tables
+from tidemark.sources.paged import landed, paged_source
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -69,3 +70,10 @@ def test_fields_and_replies_are_read_once(spark):
     plan = lambda name: catalogue.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan("stock_quotes").count("regexp_replace(") <= 6  # 85 before: each field read every key again
     assert plan("llm_batch_recover").count("regexp_replace(") <= 4 and plan("llm_batch_recover").count("from_json(") <= 2  # 10 and 4 before
+
+
+def test_pages_are_shared_out_to_a_bounded_number_of_tasks(spark, tmp_path):
+    source = paged_source("many_pages", "id int", lambda: 1995, lambda page, size: [{"id": page * 10 + i} for i in range(min(size, 1995 - 10 * (page - 1)))])
+    got = landed(spark, source, f"{tmp_path}/landed", per_page=10, most_pages=1000)
+    assert sorted((r.page, r.place, r.id) for r in got.collect()) == [(p, i, p * 10 + i) for p in range(1, 201) for i in range(10 if p < 200 else 5)]
+    assert len(list((tmp_path / "landed").glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism

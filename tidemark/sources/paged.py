@@ -33,25 +33,28 @@ def _asked(ask: Callable[[], Any], refresh: Callable[[], None] | None) -> Any:
 def paged_source(name: str, schema: str, count: Callable[[], int | None], fetch: Callable[[int, int], list[Mapping[str, Any]]], refresh: Callable[[], None] | None = None) -> type[DataSource]:
     """A data source to register. count: the rows there are (0 or None: not known). fetch: the rows of a page (from 1 on) by its size.
 
-    Options of a read: per_page, most_pages, first_page. As many pages are planned as the count needs, most_pages at most.
+    Options of a read: per_page, most_pages, first_page, tasks. As many pages are planned as the count needs, most_pages at most;
+    with tasks, runs of pages are shared out to so many tasks, else each page is a task.
     """
 
     class Reader(DataSourceReader):
         def __init__(self, kinds: StructType, options: Mapping[str, str]) -> None:
             self.names = [f for f in kinds.names if f not in ("page", "on_page", "place")]
-            self.per_page, self.most, self.first = (int(options.get(k, v)) for k, v in (("per_page", 100), ("most_pages", 5), ("first_page", 1)))
+            self.per_page, self.most, self.first, self.tasks = (int(options.get(k, v)) for k, v in (("per_page", 100), ("most_pages", 5), ("first_page", 1), ("tasks", 0)))
 
         def partitions(self) -> list[InputPartition]:
             rows = _asked(count, refresh)
             pages = min(self.most, ceil(rows / self.per_page)) if rows else self.most
-            return [InputPartition(self.first + i) for i in range(pages)]
+            run = max(1, ceil(pages / self.tasks)) if self.tasks else 1
+            return [InputPartition((self.first + i, self.first + min(i + run, pages))) for i in range(0, pages, run)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            rows = _asked(lambda: fetch(partition.value, self.per_page), refresh)
-            for place, row in enumerate(rows):
-                yield (partition.value, len(rows), place, *(row.get(n) for n in self.names))
-            if not rows:
-                yield (partition.value, 0, 0, *(None for _ in self.names))
+            for page in range(*partition.value):
+                rows = _asked(lambda: fetch(page, self.per_page), refresh)  # noqa: B023 - asked at once
+                for place, row in enumerate(rows):
+                    yield (page, len(rows), place, *(row.get(n) for n in self.names))
+                if not rows:
+                    yield (page, 0, 0, *(None for _ in self.names))
 
     class Paged(DataSource):
         @classmethod
@@ -73,7 +76,8 @@ def landed(spark: SparkSession, source: type[DataSource], folder: str, per_page:
     As if pages were asked for one after another: a page with fewer rows than per_page is the last one. Columns page and place stay.
     """
     spark.dataSource.register(source)
-    spark.read.format(source.name()).options(per_page=per_page, most_pages=most_pages, first_page=first_page).load().write.mode("overwrite").parquet(folder)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    spark.read.format(source.name()).options(per_page=per_page, most_pages=most_pages, first_page=first_page, tasks=tasks).load().write.mode("overwrite").parquet(folder)
     rows = spark.read.parquet(folder)
     last = rows.filter(F.col("on_page") < per_page).agg(F.coalesce(F.min("page"), F.lit(2**31 - 1)).alias("last"))  # one row
     return rows.join(F.broadcast(last), F.col("page") <= F.col("last")).filter("on_page > 0").drop("last", "on_page")
