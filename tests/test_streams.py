@@ -57,6 +57,33 @@ def test_retries_come_when_due(states, tmp_path):
     assert [x[4] and x[4].replace(tzinfo=None) for x in rows] == [at(60), at(190), None]
 
 
+def test_keys_share_states_of_retries(states, tmp_path):
+    r, at, schema = random.Random(5), lambda n: START + datetime.timedelta(seconds=n), "id double, at timestamp, error string"
+    source, out, nan = str(tmp_path / "in"), str(tmp_path / "out"), float("nan")
+    want, state, n_states = [], {}, []
+    for part in range(6):
+        rows = [(r.choice([nan, None, *map(float, range(200))]), at(200 * part + i), r.choice([None, "bad", "worse"])) for i in range(200)]
+        states.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = retry_queue(states.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "id", "at", tries=3, wait=100.0, groups=5)
+        query = stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination()
+        n_states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        for i, when, error in rows:
+            i = str(i)
+            failures = state.pop(i, (0, None, None))[0] + (error is not None)
+            if failures >= 3:
+                want.append((i, 3, error, None))
+            elif error is not None:
+                state[i] = (failures, when + datetime.timedelta(seconds=100 * 2 ** (failures - 1)), error)
+        for i, (failures, due, error) in state.items():
+            if due and due <= at(200 * part + 199):
+                want.append((i, failures, error, due))
+                state[i] = (failures, None, error)
+    got = [(str(x.id), x.failures, x.error, x.due and x.due.replace(tzinfo=None)) for x in states.read.parquet(out).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 100
+    assert max(n_states) <= 4 * 5  # a state and a timer with its index for each group, not for each key
+
+
 def test_feed_grows_without_its_history(states, tmp_path):
     r, feed = random.Random(3), GrowingFeed(states, str(tmp_path / "feed"), "id int, score int, note string", "id", {"score": True, "id": True}, size=5, reserve=6)
     rows = {}

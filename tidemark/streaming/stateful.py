@@ -81,54 +81,88 @@ def refused_stream(attempts: DataFrame, user: str, at: str, failed: Column, most
     return rows.groupBy(user).transformWithState(_Refusals(at, order, most, 60 * minutes), f"{kinds}, refused boolean", "append", "EventTime")
 
 
+def _same(key):
+    """What equal keys have in common, for a dict: floats as Spark groups them, and keys that have no hash."""
+    return key if key is None or isinstance(key, (int, str)) else repr(key + 0.0 if isinstance(key, float) else key)
+
+
 class _Retries(StatefulProcessor):
-    """How often a row has failed; the timer at its next try gives it out again."""
+    """How often the keys of a group have failed; the timer at the earliest next try gives out those whose time has come.
+
+    A group's state is read and written as one, so that a batch costs some calls for a group and none for a row.
+    """
 
-    def __init__(self, key: str, tries: int, wait: float) -> None:
-        self.key, self.tries, self.wait = key, tries, wait
+    def __init__(self, key: str, kind: str, tries: int, wait: float) -> None:
+        self.key, self.kind, self.tries, self.wait = key, kind, tries, wait
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "failures int, due long, error string")
+        self.state = handle.getValueState("state", f"keys array<{self.kind}>, failures array<int>, due array<long>, errors array<string>, timer long")
 
     def _out(self, key, failures: int, due: int | None, error: str | None) -> Row:
-        return Row(**{self.key: key[0], "failures": failures, "due": due and datetime.fromtimestamp(due / 1000, timezone.utc), "error": error, "given_up": due is None})
+        return Row(**{self.key: key, "failures": failures, "due": due and datetime.fromtimestamp(due / 1000, timezone.utc), "error": error, "given_up": due is None})
+
+    def _held(self) -> tuple[dict, int]:
+        """The group's keys that have failed (key, failures, due or 0, error), and when its timer is set, or 0."""
+        state = self.state.get()
+        if state is None:
+            return {}, 0
+        *columns, timer = state
+        return {_same(row[0]): row for row in zip(*columns, strict=True)}, timer
+
+    def _keep(self, held: dict, timer: int) -> None:
+        first = min((due for _, _, due, _ in held.values() if due), default=0)
+        if timer and timer != first:
+            self.handle.deleteTimer(timer)
+        if first and timer != first:
+            self.handle.registerTimer(first)
+        if held:
+            self.state.update((*map(list, zip(*held.values(), strict=True)), first))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        failures, due, error = self.state.get() if self.state.exists() else (0, 0, None)
+        held, timer = self._held()
+        changed = False
         for row in sorted(rows, key=lambda r: r["_at"]):
-            if due:
-                self.handle.deleteTimer(due)
-            failures, due, error = (failures + 1, int(row["_at"] + 1000 * self.wait * 2**failures), row["error"]) if row["error"] is not None else (0, 0, None)
-            if failures >= self.tries:
-                yield self._out(key, failures, None, error)
-                failures, due, error = 0, 0, None
-        if due:
-            self.handle.registerTimer(due)
-            self.state.update((failures, due, error))
-        else:
-            self.state.clear()
+            name, error = _same(row[self.key]), row["error"]
+            before = held.pop(name, None)
+            changed = changed or before is not None or error is not None
+            if error is None:
+                continue
+            failures = before[1] if before else 0
+            if failures + 1 >= self.tries:
+                yield self._out(row[self.key], failures + 1, None, error)
+            else:
+                held[name] = (row[self.key], failures + 1, int(row["_at"] + 1000 * self.wait * 2**failures), error)
+        if changed:
+            self._keep(held, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        if self.state.exists():
-            failures, due, error = self.state.get()
-            if due and due <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.update((failures, 0, error))
-                yield self._out(key, failures, due, error)
+        held, timer = self._held()
+        now = timerValues.getCurrentWatermarkInMs()
+        for name, (one, failures, due, error) in held.items():
+            if due and due <= now:
+                held[name] = (one, failures, 0, error)
+                yield self._out(one, failures, due, error)
+        if held:
+            self._keep(held, timer)
 
     def close(self) -> None:
         pass
 
 
-def retry_queue(judged: DataFrame, key: str, at: str, tries: int = 3, wait: float = 60.0, late: str = "0 seconds") -> DataFrame:
+def retry_queue(judged: DataFrame, key: str, at: str, tries: int = 3, wait: float = 60.0, late: str = "0 seconds", groups: int = 1 << 16) -> DataFrame:
     """From a stream of judgements (key, at, error or null) the rows to be judged again, when their time has come.
 
     After the first failure a row waits so many seconds, then twice as long each time; after the last try it comes out as
     given up, at once. A judgement without error forgets a row. Columns: key, failures, due, error, given_up.
+    groups: keys share so many states and timers; each holds those of its keys that wait. A checkpoint keeps the number it began with.
     """
     rows = judged.select(key, F.col(at).cast("timestamp").alias(at), "error").withColumn("_at", F.unix_millis(at)).withWatermark(at, late)
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).transformWithState(_Retries(key, tries, wait), f"`{key}` {kind}, failures int, due timestamp, error string, given_up boolean", "append", "EventTime")
+    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    return dealt.groupBy("_group").transformWithState(_Retries(key, kind, tries, wait), f"`{key}` {kind}, failures int, due timestamp, error string, given_up boolean", "append", "EventTime")
 
 
 class GrowingFeed:
