@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates
+from tidemark.functions import dates, text
 from tidemark.functions.html_tree import Tree, dereferenced
 from tidemark.operators import social
 from tidemark.plans import catalogue
@@ -77,3 +77,20 @@ def test_pages_are_shared_out_to_a_bounded_number_of_tasks(spark, tmp_path):
     got = landed(spark, source, f"{tmp_path}/landed", per_page=10, most_pages=1000)
     assert sorted((r.page, r.place, r.id) for r in got.collect()) == [(p, i, p * 10 + i) for p in range(1, 201) for i in range(10 if p < 200 else 5)]
     assert len(list((tmp_path / "landed").glob("*.parquet"))) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_tags_that_repeat_are_read_once():
+    tree = Tree("<ul>" + "<li class=row><b x='y'>t</b>" * 50 + "</ul>")
+    assert tree.tags == ["", "ul", *["li", "b"] * 50] and len({id(a) for a in tree.attributes}) == 4  # 102 before
+    assert tree.select("ul > li.row b[x=y]") == list(range(3, 102, 2)) and tree.select("ul > b") == []
+    # the same letters up to the first > are another tag where a quote goes on behind it
+    cut = Tree('<p a="x>one<p a="x>two">three<p a="x>four')
+    assert cut.attributes == [{}, {"a": "x>one<p a=", "x": ""}, {"a": '"x'}] and cut.texts == ['two">three', "four"]
+
+
+def test_plain_lines_pass_by_boilerplate_patterns(spark):
+    told = {"The report of a customer and of others.": "The report of a customer and of others.", "The report of a customer.\n----\nIt says more than that.": "The report of a customer.\nIt says more than that.", "The report of a customer.\nend of a comment --> here it is": "The report of a customer.", "The report of a customer.\n责编：someone else who is here": "The report of a customer."}
+    rows = spark.createDataFrame([(t,) for t in told], "t string")
+    assert {r.t: r.x for r in rows.select("t", text.without_boilerplate(F.col("t")).alias("x")).collect()} == told
+    plan = rows.select(text.without_boilerplate(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and text.MARKED in plan

@@ -51,6 +51,8 @@ BOILERPLATE = (
     r"(?m)^关注公众号[^\n]*$",
     r"(?m)^分享让更多人看到[^\n]*$",
 )
+#: What each of BOILERPLATE needs somewhere: a character beyond ASCII, a rule, or a comment's end.
+MARKED = r"[^\x00-\x7f]|[|\-=]{3}|-->"
 #: Signs of a text that is no article.
 INDICATORS = ("投稿", "责任编辑", "版权", "版权所有", "中国能源网", "联系电话", "邮箱:", "微信/", "qq.com")
 #: Where article bodies lie, for pages and for texts that other ways have failed on.
@@ -305,7 +307,8 @@ def without_boilerplate(text: Column) -> Column:
     """A text's article lines, then without what BOILERPLATE finds, at most one blank line in a row."""
     lines = F.array_join(F.transform(article_lines(text), lambda x: x["line"]), "\n")
     # (?d): as in these rules, only \n ends a line
-    cleaned = reduce(lambda c, p: F.regexp_replace(c, f"(?d){p}", ""), BOILERPLATE, lines)
+    without = lambda held: reduce(lambda c, p: F.regexp_replace(c, f"(?d){p}", ""), BOILERPLATE, held)
+    cleaned = once(lines, lambda held: F.when(held.rlike(MARKED), without(held)).otherwise(held))
     return stripped(F.regexp_replace(cleaned, r"\n{3,}", "\n\n"))
 
 
