@@ -94,3 +94,8 @@ def test_plain_lines_pass_by_boilerplate_patterns(spark):
     assert {r.t: r.x for r in rows.select("t", text.without_boilerplate(F.col("t")).alias("x")).collect()} == told
     plan = rows.select(text.without_boilerplate(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and text.MARKED in plan
+
+
+def test_requests_of_a_batch_are_dealt_to_tasks(spark):
+    plan = catalogue.queries()["relevance_by_model"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in plan.split("MapInPandas")[1]  # requests lay in one task before
