@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text
 from tidemark.functions.html_tree import Tree, dereferenced
-from tidemark.operators import social
+from tidemark.operators import news, social
 from tidemark.plans import catalogue
 from tidemark.sources import tables
 from tidemark.sources.paged import landed, paged_source
@@ -99,3 +99,16 @@ def test_plain_lines_pass_by_boilerplate_patterns(spark):
 def test_requests_of_a_batch_are_dealt_to_tasks(spark):
     plan = catalogue.queries()["relevance_by_model"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in plan.split("MapInPandas")[1]  # requests lay in one task before
+
+
+def test_told_ordinals_of_replies_are_not_broadcast(spark):
+    rows = catalogue.queries()["relevance_by_model"](spark, FOLDER)
+    assert len(rows.collect()) == 1500
+    final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [chunk" in final and "BroadcastHashJoin [chunk" not in final  # at run time a broadcast of all of them before, 43,200,000 over 54,000,000 news
+
+
+def test_ordinals_come_of_places(spark):
+    rows = news.numbered(spark.range(0, 1000, 1, 5).select(((F.col("id") * 617) % 1000).alias("id")), [F.desc("id")], 30)
+    assert sorted((r.id, r.chunk, r.nth) for r in rows.collect()) == [(i, (999 - i) // 30, (999 - i) % 30 + 1) for i in range(1000)]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # 2 before: each batch was shuffled and ordered again

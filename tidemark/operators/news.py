@@ -109,8 +109,7 @@ def chunks(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
 
 def numbered(rows: DataFrame, order: list[Column], size: int) -> DataFrame:
     """Rows with their batch (chunk) and their ordinal in it (nth, from 1), as a model's request lists them."""
-    nth = F.row_number().over(Window.partitionBy("chunk").orderBy(*order)).cast("long")
-    return chunks(rows, order, size).withColumn("nth", nth)
+    return placed(rows, order).withColumns({"chunk": F.floor(F.col("place") / size).cast("long"), "nth": F.col("place") % size + 1}).drop("place")
 
 
 def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -126,8 +125,11 @@ def upserted(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def judged(queue_rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies (chunk, nth, useful) aligned to numbered rows by batch and ordinal: state useful, rejected or, without a reply, failed."""
-    return queue_rows.join(replies, ["chunk", "nth"], "left").withColumn("state", F.when(F.col("useful").isNull(), "failed").when(F.col("useful"), "useful").otherwise("rejected"))
+    """Replies (chunk, nth, useful) aligned to numbered rows by batch and ordinal: state useful, rejected or, without a reply, failed.
+
+    They are never broadcast: a reply tells of a whole batch, so there are far more of them than a plan guesses from the requests.
+    """
+    return queue_rows.join(replies.hint("merge"), ["chunk", "nth"], "left").withColumn("state", F.when(F.col("useful").isNull(), "failed").when(F.col("useful"), "useful").otherwise("rejected"))
 
 
 def important(scored: DataFrame) -> DataFrame:
